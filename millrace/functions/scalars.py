@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # Magnitude suffixes, file health limits, duration units in seconds.
 MAGNITUDES = {"K": 1e3, "M": 1e6, "B": 1e9, "T": 1e12}
@@ -39,12 +40,18 @@ def parse_magnitude(text: Column) -> Column:
     return number * factor[suffix]
 
 
-@F.pandas_udf("double")
-def parse_magnitude_udf(text: pd.Series) -> pd.Series:
-    """The same as a vectorised function, for comparison; the expression above is the one to use."""
-    parts = text.str.strip().str.upper().str.extract(_MAGNITUDE)
-    factor = parts[1].map({"": 1.0, **MAGNITUDES})
-    return pd.to_numeric(parts[0], errors="coerce") * factor
+def parse_magnitude_udf():
+    """The same as a vectorised function, for comparison; the expression above is the one to use.
+
+    Made inside a function so that workers get its code and need not import this package.
+    """
+    pattern, factors = _MAGNITUDE, {"": 1.0, **MAGNITUDES}
+
+    def parse(text: pd.Series) -> pd.Series:
+        parts = text.str.strip().str.upper().str.extract(pattern)
+        return pd.to_numeric(parts[0], errors="coerce") * parts[1].map(factors)
+
+    return F.pandas_udf(parse, DoubleType())
 
 
 def truncated(text: Column, limit: int = 4096) -> Column:
@@ -82,14 +89,18 @@ def file_health(files: Column, size: Column) -> Column:
     return F.when(average.isNull(), "unknown").when(small, "small").otherwise("ok")
 
 
+def _url_decoded(text: Column) -> Column:
+    """Decoded text; a percent sign that starts no code stays as it is."""
+    return F.url_decode(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25"))
+
+
 def query_parameter(query: Column, name: str) -> Column:
     """The first value of a parameter in a query string that was encoded twice. The outer layer is a form
     (plus means space), the inner one is not."""
     head = f"{name}="
-    pairs = F.filter(F.split(query, "&"), lambda p: p.startswith(head))
+    pairs = F.filter(F.split(query, "&"), lambda p: p.startswith(head) | (p == name))
     value = F.try_element_at(F.transform(pairs, lambda p: F.substr(p, F.lit(len(head) + 1))), F.lit(1))
-    once = F.try_url_decode(value)
-    return F.try_url_decode(F.replace(once, F.lit("+"), F.lit("%2B")))
+    return _url_decoded(F.replace(_url_decoded(value), F.lit("+"), F.lit("%2B")))
 
 
 def epoch_millis(text: Column) -> Column:

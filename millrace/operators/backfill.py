@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators.merge import merge_upsert
+from millrace.operators.ordering import latest_per_key
 from millrace.operators.schema import evolve, schema_diff, schema_drifted
 from millrace.operators.writes import append_rows
+from millrace.session import hadoop_path
 from millrace.sources.cursors import in_window
 
+REGISTRY_SCHEMA = (
+    "target string, run string, node string, window_from string, window_to string, state string, at timestamp"
+)
+
 
 class PromoteError(ValueError):
     """A promote that would silently lose or duplicate rows."""
@@ -107,3 +113,36 @@ def promote_columns(staging: DataFrame, target: DataFrame) -> list[str]:
     """Columns a promote would add to the target."""
     evolve(target, staging.schema)
     return [c for c in staging.columns if c not in target.columns]
+
+
+class StagingRegistry:
+    """Append-only record of staging tables: one row when opened, one when promoted or discarded."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark = spark
+        self.path = path
+
+    def record(self, target: str, run: str, node: str, start: Sequence[str], end: Sequence[str], state: str) -> None:
+        values = (target, run, node, "/".join(start), "/".join(end), state)
+        names = [part.split()[0] for part in REGISTRY_SCHEMA.split(", ")]
+        row = [F.lit(v).alias(n) for v, n in zip(values, names)]
+        frame = self.spark.range(1).select(*row, F.current_timestamp().alias("at"))
+        frame.write.mode("append").parquet(self.path)
+
+    def open(self, target: str | None = None) -> DataFrame:
+        """Stagings that were neither promoted nor discarded, newest first."""
+        fs, jpath = hadoop_path(self.spark, self.path)
+        if not fs.exists(jpath):
+            return self.spark.createDataFrame([], REGISTRY_SCHEMA)
+        rows = self.spark.read.schema(REGISTRY_SCHEMA).parquet(self.path)
+        if target is not None:
+            rows = rows.where(F.col("target") == target)
+        latest = latest_per_key(rows, ["target", "run"], ["at", "state"])
+        return latest.where(F.col("state") == "open").orderBy(F.desc("at"))
+
+    def discard(self, staging_path: str, target: str, run: str) -> None:
+        """Delete the staging directory and close its record."""
+        fs, jpath = hadoop_path(self.spark, staging_path)
+        if fs.exists(jpath):
+            fs.delete(jpath, True)
+        self.record(target, run, "", (), (), "discarded")

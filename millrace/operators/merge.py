@@ -93,11 +93,14 @@ def merge_parts(
     on = reduce(Column.__and__, [F.col(f"target.`{k}`") == F.col(f"source.`{k}`") for k in keys])
     matched = F.col("source._matched").isNotNull()
 
+    types = {f.name: f.dataType for f in target.schema}
+
     def after(name: str) -> Column:
         old = F.col(f"target.`{name}`")
         if name in keys or name not in from_source:
             return old.alias(name)
-        return F.when(matched, _updated(name, update.get(name))).otherwise(old).alias(name)
+        new = _updated(name, update.get(name)).cast(types[name])  # a sum of decimals is wider than its parts
+        return F.when(matched, new).otherwise(old).alias(name)
 
     joined = keyed_target.join(lookup, on, "left").select(
         matched.alias("matched"),
@@ -107,7 +110,6 @@ def merge_parts(
     target_keys = keyed_target.select(*[F.col(f"`{k}`") for k in keys]).distinct()
     new_rows = keyed_source.join(target_keys, list(keys), "left_anti")
     null_keyed = source.where(_any_null(keys))
-    types = {f.name: f.dataType for f in target.schema}
     inserts = new_rows.unionByName(null_keyed).select(
         *[F.col(f"`{n}`") if n in from_source else F.lit(None).cast(types[n]).alias(n) for n in names]
     )

@@ -57,8 +57,8 @@ def text_column_types(df: DataFrame, columns: Sequence[str] | None = None) -> Da
         filled = F.when(cell != "", cell)
         aggs += [
             F.count(filled).alias(f"n{i}"),
-            F.bool_and(_is_int(filled)).alias(f"i{i}"),
-            F.bool_and(_is_float(filled)).alias(f"f{i}"),
+            F.bool_and(F.when(cell != "", _is_int(cell))).alias(f"i{i}"),
+            F.bool_and(F.when(cell != "", _is_float(cell))).alias(f"f{i}"),
         ]
     verdicts = [
         F.struct(
