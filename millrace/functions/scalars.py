@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 import pandas as pd
@@ -97,9 +98,8 @@ def _url_decoded(text: Column) -> Column:
 def query_parameter(query: Column, name: str) -> Column:
     """The first value of a parameter in a query string that was encoded twice. The outer layer is a form
     (plus means space), the inner one is not."""
-    head = f"{name}="
-    pairs = F.filter(F.split(query, "&"), lambda p: p.startswith(head) | (p == name))
-    value = F.try_element_at(F.transform(pairs, lambda p: F.substr(p, F.lit(len(head) + 1))), F.lit(1))
+    field = rf"(?:^|&){re.escape(name)}(?:=([^&]*))?(?=&|$)"
+    value = F.when(query.rlike(field), F.regexp_extract(query, field, 1))
     return _url_decoded(F.replace(_url_decoded(value), F.lit("+"), F.lit("%2B")))
 
 

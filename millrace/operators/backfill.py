@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators.merge import merge_upsert
+from millrace.operators.merge import merge_upsert, present_keys
 from millrace.operators.ordering import latest_per_key
 from millrace.operators.schema import evolve, schema_diff, schema_drifted
 from millrace.operators.writes import append_rows
@@ -68,7 +68,7 @@ def key_overlap(staging: DataFrame, target: DataFrame | None, keys: Sequence[str
         return staging.agg(F.lit(0).cast("bigint").alias("matching"), F.count(F.lit(1)).alias("new"))
     # Count per key first: a key that fills the staging table becomes one row before the join.
     per_key = staging.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    seen = target.select(*keys).distinct().withColumn("_seen", F.lit(1))
+    seen = present_keys(target, per_key, keys).withColumn("_seen", F.lit(1))
     total = F.coalesce(F.sum("_rows"), F.lit(0))
     hit = F.coalesce(F.sum(F.when(F.col("_seen").isNotNull(), F.col("_rows"))), F.lit(0))
     return per_key.join(seen, list(keys), "left").agg(hit.alias("matching"), (total - hit).alias("new"))

@@ -1,9 +1,10 @@
 """Keyed upsert as a DataFrame function: target and source in, the next table contents out.
 
-The target is read once through a LEFT join to the source and the inserts come from a LEFT ANTI join to
-the target's distinct keys. Two joins instead of one FULL OUTER join, because Spark can split a skewed
-side of these two (and broadcast a small batch), but not of a full outer join. Rows with a NULL in a key
-never match, so they bypass both joins rather than pile up in one task.
+The target goes once through a LEFT join to the source, and the inserts are the source rows whose key is
+not among the target's matching keys. Not one FULL OUTER join, because Spark can broadcast a small batch
+and split a skewed side in these joins, but in a full outer join neither: with a small batch the target is
+never shuffled. Rows with a NULL in a key never match, so they bypass the joins rather than pile up in one
+task.
 """
 
 from __future__ import annotations
@@ -35,6 +36,13 @@ def _any_null(keys: Sequence[str]) -> Column:
     return reduce(Column.__or__, [F.col(f"`{k}`").isNull() for k in keys])
 
 
+def present_keys(target: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The distinct keys of the other frame that the target has. The target's keys are filtered before
+    they are made distinct, so a small other frame means a small result and no shuffle of the target."""
+    names = [F.col(f"`{k}`") for k in keys]
+    return target.select(*names).join(other.select(*names).distinct(), list(keys), "left_semi").distinct()
+
+
 def _updated(column: str, rule: str | None) -> Column:
     old, new = F.col(f"target.`{column}`"), F.col(f"source.`{column}`")
     if rule is None:
@@ -107,8 +115,7 @@ def merge_parts(
         F.struct(*[F.col(f"target.`{n}`").alias(n) for n in names]).alias("before"),
         F.struct(*[after(n) for n in names]).alias("after"),
     )
-    target_keys = keyed_target.select(*[F.col(f"`{k}`") for k in keys]).distinct()
-    new_rows = keyed_source.join(target_keys, list(keys), "left_anti")
+    new_rows = keyed_source.join(present_keys(keyed_target, keyed_source, keys), list(keys), "left_anti")
     null_keyed = source.where(_any_null(keys))
     inserts = new_rows.unionByName(null_keyed).select(
         *[F.col(f"`{n}`") if n in from_source else F.lit(None).cast(types[n]).alias(n) for n in names]
@@ -129,20 +136,22 @@ def merge_upsert(
     return merge_parts(target, source, keys, update).table()
 
 
+def _repeated(source: DataFrame, keys: Sequence[str]) -> DataFrame:
+    groups = source.where(~_any_null(keys)).groupBy(*[F.col(f"`{k}`") for k in keys])
+    return groups.agg(F.count(F.lit(1)).alias("source_rows")).where("source_rows > 1")
+
+
 def duplicate_source_keys(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Source keys that occur more than once and exist in the target, with their count. Such a merge
     has no single result. Repeated keys without a match are plain inserts."""
-    repeated = (
-        source.where(~_any_null(keys))
-        .groupBy(*[F.col(f"`{k}`") for k in keys])
-        .agg(F.count(F.lit(1)).alias("source_rows"))
-        .where("source_rows > 1")
-    )
-    target_keys = target.where(~_any_null(keys)).select(*keys).distinct()
-    return repeated.join(target_keys, list(keys), "left_semi")
+    repeated = _repeated(source, keys)
+    return repeated.join(present_keys(target, repeated, keys), list(keys), "left_semi")
 
 
 def require_single_match(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> None:
+    """Raise if a target row has several source rows. The target is looked at only if keys repeat at all."""
+    if _repeated(source, keys).isEmpty():
+        return
     example = duplicate_source_keys(target, source, keys).first()
     if example is not None:
         raise MergeError(f"several source rows match one target row, for example {example.asDict()}")
@@ -192,6 +201,26 @@ def bound_violations(source: DataFrame, keys: Sequence[str], bound_by: Sequence[
     return pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("tuples")).where("tuples > 1")
 
 
+def require_bound(source: DataFrame, keys: Sequence[str], bound_by: Sequence[str]) -> None:
+    if bound_by:
+        example = bound_violations(source, keys, bound_by).first()
+        if example is not None:
+            raise MergeError(f"bound_by is not determined by the keys, for example {example.asDict()}")
+
+
+def split_by_bound(
+    target: DataFrame, source: DataFrame, keys: Sequence[str], cluster_by: Sequence[str] = (), bound_by: Sequence[str] = ()
+) -> tuple[DataFrame, DataFrame | None]:
+    """(target rows the source can touch, the rest). The rest is None when nothing can be ruled out. The
+    source is read several times and must not change in between."""
+    bounds = [column_bound(source, c) for c in bound_columns(keys, cluster_by, bound_by)]
+    bounds = [b for b in bounds if b is not None]
+    if not bounds:
+        return target, None
+    inside = reduce(Column.__and__, bounds)
+    return target.where(inside), target.where(~F.coalesce(inside, F.lit(False)))
+
+
 def bounded_merge(
     target: DataFrame,
     source: DataFrame,
@@ -203,15 +232,7 @@ def bounded_merge(
     """`merge_upsert` that joins only the slice of the target the batch can touch. The bound reaches the
     Parquet scan, the rest of the target passes through without a shuffle."""
     source = freeze(source)  # the bound and the merge must see the same batch
-    if bound_by:
-        example = bound_violations(source, keys, bound_by).first()
-        if example is not None:
-            raise MergeError(f"bound_by is not determined by the keys, for example {example.asDict()}")
-    bounds = [column_bound(source, c) for c in bound_columns(keys, cluster_by, bound_by)]
-    bounds = [b for b in bounds if b is not None]
-    if not bounds:
-        return merge_upsert(target, source, keys, update)
-    bound = F.coalesce(reduce(Column.__and__, bounds), F.lit(False))
-    touched = merge_upsert(target.where(reduce(Column.__and__, bounds)), source, keys, update)
-    passed = evolve(target, source.schema).where(~bound)
-    return passed.unionByName(touched)
+    require_bound(source, keys, bound_by)
+    touched, rest = split_by_bound(target, source, keys, cluster_by, bound_by)
+    merged = merge_upsert(touched, source, keys, update)
+    return merged if rest is None else evolve(rest, source.schema).unionByName(merged)

@@ -71,14 +71,14 @@ def write_path(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def write_json(df: DataFrame, path: str, max_rows: int | None = 100_000) -> None:
-    """One JSON array document in one file, written by a task. Meant for small rollups: a larger frame
-    is refused before anything is gathered, unless the limit is lifted.
+def write_json(df: DataFrame, path: str, max_rows: int = 100_000) -> None:
+    """One JSON array document in one file, written by a task. Meant for small rollups: a frame above the
+    limit is refused before anything is gathered.
 
     The document is the only line of a text file below `path`; the content type is application/json.
     """
-    if max_rows is not None and df.limit(max_rows + 1).count() > max_rows:
+    if df.limit(max_rows + 1).count() > max_rows:
         raise ValueError(f"more than {max_rows} rows are too many for one JSON document")
-    rows = df.coalesce(1).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("row"))
-    document = rows.agg(F.concat(F.lit("["), F.concat_ws(",", F.collect_list("row")), F.lit("]")).alias("value"))
-    document.coalesce(1).write.mode("overwrite").text(path)
+    rows = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("row"))
+    body = F.concat_ws(",", F.collect_list("row"))
+    rows.agg(F.concat(F.lit("["), body, F.lit("]")).alias("value")).write.mode("overwrite").text(path)

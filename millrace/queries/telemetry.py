@@ -35,7 +35,7 @@ HISTORY = """SELECT user_id, event_id, {ms} AS at_ms, CASE event_type WHEN 'view
 
 
 def duck(sql: str) -> str:
-    return sql.replace("{s}", "VARCHAR").replace("{ms}", "epoch_ms(ts)")
+    return sql.replace("{s}", "VARCHAR").replace("{ms}", "epoch_us(ts) // 1000")
 
 
 def derived(spark, sf, sql):

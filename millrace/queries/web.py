@@ -29,7 +29,7 @@ def access_log(spark, sf):
 
 BEACONS = """SELECT event_type AS event, 's/' || user_id || '-' || strftime(ts, '%d') AS session_id, 'u ' || user_id AS visitor_id,
   '/p+' || props AS path, CASE WHEN value > 100 THEN 'https://x.org/?a=1&b=2' ELSE '' END AS referrer,
-  CASE WHEN event_type <> 'error' THEN epoch_ms(ts) END AS event_ms, CASE WHEN event_type <> 'error' THEN CAST(ts AS DATE) END AS day
+  CASE WHEN event_type <> 'error' THEN epoch_us(ts) // 1000 END AS event_ms, CASE WHEN event_type <> 'error' THEN CAST(ts AS DATE) END AS day
   FROM events WHERE event_type <> 'signup' AND value >= 3"""
 
 

@@ -49,10 +49,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def freeze(df: DataFrame) -> DataFrame:
-    """Pin a frame's rows in the shared folder, so that two readers of it always see the same rows
-    even when an executor is lost in between."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Pin a frame's rows as Parquet in the shared folder, so that two readers of it always see the same
+    rows even when an executor is lost in between. The planner then also knows its size, and broadcasts
+    it to joins only if it is small."""
+    path = scratch_path(df.sparkSession, "frozen")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @contextmanager

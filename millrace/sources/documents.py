@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+MAX_COLUMNS = 10_000
 _INT = r"^[+-]?[0-9]+$"
 _FLOAT = r"(?i)^[+-]?(([0-9]+[.]?[0-9]*|[.][0-9]+)(e[+-]?[0-9]+)?|inf|infinity|nan)$"
 _NON_FINITE = r"(?i)^[+-]?(inf|infinity|nan)$"
@@ -34,7 +35,9 @@ def json_rows(
     items = json_items(df, document, json_path, keep)
     if columns is None:
         names = items.select(F.explode(F.map_keys("item")).alias("name")).distinct()
-        columns = sorted(row["name"] for row in names.collect())
+        columns = sorted(row["name"] for row in names.limit(MAX_COLUMNS + 1).collect())
+        if len(columns) > MAX_COLUMNS:
+            raise ValueError(f"more than {MAX_COLUMNS} different keys: name the columns, or keep the map")
     return items.select(*keep, *[F.col("item").getItem(c).alias(c) for c in columns])
 
 
@@ -58,7 +61,7 @@ def text_column_types(df: DataFrame, columns: Sequence[str] | None = None) -> Da
         aggs += [
             F.count(filled).alias(f"n{i}"),
             F.bool_and(F.when(cell != "", _is_int(cell))).alias(f"i{i}"),
-            F.bool_and(F.when(cell != "", _is_float(cell))).alias(f"f{i}"),
+            F.bool_and(F.when(cell != "", F.when(_is_int(cell), True).otherwise(_is_float(cell)))).alias(f"f{i}"),
         ]
     verdicts = [
         F.struct(

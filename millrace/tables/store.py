@@ -20,10 +20,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from millrace.operators import changes as ch
-from millrace.operators.merge import MergeError, bound_violations, merge_parts, require_single_match
+from millrace.operators import merge as mg
 from millrace.operators.schema import evolve
 from millrace.operators.writes import OutputSpec, clustered
 from millrace.session import freeze, hadoop_path, session_conf
@@ -82,20 +82,21 @@ class VersionedTable:
 
     # -- reading
 
-    def _read_paths(self, paths: Sequence[str], schema: StructType) -> DataFrame:
-        root = f"{self.path}/data"
+    def _read_paths(self, paths: Sequence[str], schema: StructType, kind: str = "data") -> DataFrame:
+        root = f"{self.path}/{kind}"
         full = StructType([*schema.fields, StructField(_VERSION, LongType())])
         if not paths:
             return self.spark.createDataFrame([], full)
         reader = self.spark.read.option("basePath", root).schema(full)
         return reader.parquet(*[f"{root}/{p}" for p in paths])
 
-    def _frame(self, commit: Row) -> DataFrame:
+    def contents(self, commit: Row) -> DataFrame:
+        """The table as of a commit row."""
         schema = StructType.fromJson(json.loads(commit["schema"]))
         return self._read_paths(commit["paths"], schema).select(*[f"`{n}`" for n in schema.names])
 
     @staticmethod
-    def _conform(df: DataFrame, schema: StructType) -> DataFrame:
+    def _conform(df: DataFrame, schema: StructType, keep: Sequence[str] = ()) -> DataFrame:
         """Older rows in a newer schema: a value that does not fit a changed type reads NULL."""
         have = dict(df.dtypes)
 
@@ -105,74 +106,63 @@ class VersionedTable:
             same = have[f.name] == f.dataType.simpleString()
             return F.col(f"`{f.name}`") if same else F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name)
 
-        return df.select(*[column(f) for f in schema])
+        return df.select(*keep, *[column(f) for f in schema])
 
     def read(self, version: int | None = None) -> DataFrame:
         """The table now, or as it was at a version."""
         commit = self.commit(version)
         if commit is None:
             raise LookupError(f"{self.path} has no commit" + ("" if version is None else f" <= {version}"))
-        return self._frame(commit)
+        return self.contents(commit)
 
     def read_if_any(self) -> DataFrame | None:
         commit = self.commit()
-        return self._frame(commit) if commit else None
+        return self.contents(commit) if commit else None
 
     def changes(self, after: int = -1, upto: int | None = None) -> DataFrame:
         """Change rows of the commits in `(after, upto]` with type, version and time. Commits that only
         rearrange files have none."""
-        head = self.commit()
-        if head is None:
-            raise LookupError(f"{self.path} has no commit")
-        upto = head["version"] if upto is None else upto
-        log = self.log().where((F.col("version") >= after) & (F.col("version") <= upto))
+        log = self.log().where(F.col("version") >= after)
+        if upto is not None:
+            log = log.where(F.col("version") <= upto)
         commits = log.orderBy("version").collect()
-        schema = StructType.fromJson(json.loads(commits[-1]["schema"]))
+        if not commits:
+            raise LookupError(f"{self.path} has no commit from {after} on")
+        former = commits.pop(0) if commits[0]["version"] == after else None
+        newest = commits[-1] if commits else former
+        schema = StructType.fromJson(json.loads(newest["schema"]))
         names = [f"`{n}`" for n in schema.names]
-        times = self.spark.createDataFrame(
-            [(c["version"], c["committed_at"]) for c in commits], "_commit_version bigint, _commit_timestamp timestamp"
-        )
-
-        def dated(df: DataFrame) -> DataFrame:
-            return df.join(F.broadcast(times), "_commit_version")  # one row per commit in the range
+        times = log.select(F.col("version").alias("_commit_version"), F.col("committed_at").alias("_commit_timestamp"))
 
-        former = self.commit(after) if after >= 0 else None
-        parts, inserts, merges = [], [], []
+        parts: list[DataFrame] = []
+        # Commits of one schema are read together; earlier schemas are then fitted to the newest.
+        inserts: dict[str, list[str]] = {}
+        merges: dict[str, list[str]] = {}
         for c in commits:
-            if c["version"] > after and c["data_change"]:
-                if c["operation"] == "MERGE":
-                    merges.append(c["version"])
-                else:
-                    own = f"{_VERSION}={c['version']}"
-                    inserts += [p for p in c["paths"] if p.split("/")[0] == own]
-                    if c["replaces"] and former is not None and former["paths"]:
-                        gone = self._conform(self._frame(former), schema).select(
-                            F.lit("delete").alias("_change_type"),
-                            *names,
-                            F.lit(c["version"]).cast("bigint").alias("_commit_version"),
-                        )
-                        parts.append(dated(gone))
+            if c["data_change"] and c["operation"] == "MERGE":
+                merges.setdefault(c["schema"], []).append(f"{_VERSION}={c['version']}")
+            elif c["data_change"]:
+                own = f"{_VERSION}={c['version']}"
+                inserts.setdefault(c["schema"], []).extend(p for p in c["paths"] if p.split("/")[0] == own)
+                if c["replaces"] and former is not None:
+                    gone = self._conform(self.contents(former), schema)
+                    version = F.lit(c["version"]).cast("bigint").alias("_commit_version")
+                    parts.append(gone.select(F.lit("delete").alias("_change_type"), *names, version))
             former = c
-        if inserts:
-            rows = self._read_paths(inserts, schema)
-            parts.append(
-                dated(rows.select(F.lit("insert").alias("_change_type"), *names, F.col(_VERSION).alias("_commit_version")))
-            )
-        if merges:
-            root = f"{self.path}/changes"
-            kind = StructField("_change_type", StringType())
-            full = StructType([kind, *schema.fields, StructField(_VERSION, LongType())])
-            rows = self.spark.read.option("basePath", root).schema(full)
-            rows = rows.parquet(*[f"{root}/{_VERSION}={v}" for v in merges])
-            parts.append(dated(rows.select("_change_type", *names, F.col(_VERSION).alias("_commit_version"))))
+        version = F.col(_VERSION).alias("_commit_version")
+        for text, paths in inserts.items():
+            rows = self._read_paths(paths, StructType.fromJson(json.loads(text)))
+            rows = self._conform(rows, schema, keep=[_VERSION])
+            parts.append(rows.select(F.lit("insert").alias("_change_type"), *names, version))
+        kind = StructField("_change_type", StringType())
+        for text, paths in merges.items():
+            own = StructType([kind, *StructType.fromJson(json.loads(text)).fields])
+            rows = self._conform(self._read_paths(paths, own, "changes"), schema, keep=["_change_type", _VERSION])
+            parts.append(rows.select("_change_type", *names, version))
         if not parts:
-            kind = StructField("_change_type", StringType())
-            stamp = [StructField("_commit_version", LongType()), StructField("_commit_timestamp", TimestampType())]
-            return self.spark.createDataFrame([], StructType([kind, *schema.fields, *stamp]))
-        result = parts[0]
-        for part in parts[1:]:
-            result = result.unionByName(part)
-        return result.select("_change_type", *names, "_commit_version", "_commit_timestamp")
+            parts.append(self.spark.createDataFrame([], StructType([kind, *schema.fields, StructField("_commit_version", LongType())])))
+        rows = reduce(DataFrame.unionByName, parts).join(times, "_commit_version")
+        return rows.select("_change_type", *names, "_commit_version", "_commit_timestamp")
 
     # -- writing
 
@@ -227,8 +217,10 @@ class VersionedTable:
             "file_count": files, "total_bytes": size, "trigger": by.trigger, "run_id": by.run_id,
             "inserted": None, "updated": None, "deleted": None, "output_rows": None, "total_rows": None, **counts,
         }
-        frame = self.spark.createDataFrame([{**row, "committed_at": None}], LOG_SCHEMA)
-        frame.withColumn("committed_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{self.path}/log")
+        row["committed_at"] = F.current_timestamp()
+        fields = StructType.fromDDL(LOG_SCHEMA)
+        frame = self.spark.range(0, 1, 1, 1).select(*[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in fields])
+        frame.write.mode("append").parquet(f"{self.path}/log")
         return version
 
     def _count(self, paths: Sequence[str], schema: StructType) -> int:
@@ -251,7 +243,7 @@ class VersionedTable:
         if head is None:
             return self.replace(df, by)
         version, parts = head["version"] + 1, self._parts(head)
-        schema = evolve(self._frame(head).limit(0), df.schema).schema
+        schema = evolve(self.contents(head).limit(0), df.schema).schema
         paths = self._write(df, version, parts)
         rows = self._count(paths, schema)
         total = None if head["total_rows"] is None else head["total_rows"] + rows
@@ -265,30 +257,35 @@ class VersionedTable:
         update: Mapping[str, str] | None = None,
         bound_by: Sequence[str] = (),
         by: Provenance = Provenance(),
+        cluster_by: Sequence[str] = (),
     ) -> int:
         """Keyed upsert. The first one creates the table. When every partition column is a key or named in
-        `bound_by`, only the partitions that occur in the batch are read and rewritten."""
+        `bound_by`, only the partitions that occur in the batch are read and rewritten. Otherwise all files
+        are rewritten, but only rows within the batch's bounds are joined."""
         head = self.commit()
         if head is None:
             return self.replace(df, by)
         version, parts = head["version"] + 1, self._parts(head)
         source = freeze(df)  # read for the bound, the data and the change rows
-        if bound_by:
-            example = bound_violations(source, keys, bound_by).first()
-            if example is not None:
-                raise MergeError(f"bound_by is not determined by the keys, for example {example.asDict()}")
-        table = self._frame(head)
-        touched, kept = table, []
+        mg.require_bound(source, keys, bound_by)
+        table = self.contents(head)
+        touched, rest, kept = table, None, []
+        values = None
         if parts and all(p in keys or p in bound_by for p in parts):
             values = source.select(*parts).distinct().limit(MAX_TOUCHED_PARTITIONS + 1).collect()
-            if len(values) <= MAX_TOUCHED_PARTITIONS:
-                touched, kept = self._split_partitions(table, head["paths"], parts, values)
-        require_single_match(touched, source, keys)
-        merged = merge_parts(touched, source, keys, update)
+        if values is not None and len(values) <= MAX_TOUCHED_PARTITIONS:
+            touched, kept = self._split_partitions(table, head["paths"], parts, values)
+        else:
+            touched, rest = mg.split_by_bound(table, source, keys, cluster_by, bound_by)
+        mg.require_single_match(touched, source, keys)
+        merged = mg.merge_parts(touched, source, keys, update)
+        after = merged.table()
         schema = evolve(table.limit(0), source.schema).schema
+        if rest is not None:
+            after = evolve(rest, source.schema).unionByName(after)
         change_path = f"{self.path}/changes/{_VERSION}={version}"
         merged.changes().write.mode("overwrite").parquet(change_path)
-        paths = self._write(merged.table(), version, parts)
+        paths = self._write(after, version, parts)
         kinds = self.spark.read.parquet(change_path).groupBy("_change_type").count().collect()
         by_kind = {r["_change_type"]: r["count"] for r in kinds}
         inserted, updated = by_kind.get("insert", 0), by_kind.get("update_postimage", 0)
@@ -311,7 +308,7 @@ class VersionedTable:
 
     def write(self, df: DataFrame, spec: OutputSpec, by: Provenance = Provenance()) -> int:
         if spec.mode == "merge":
-            return self.merge(df, spec.merge_keys, spec.merge_update, spec.bound_by, by)
+            return self.merge(df, spec.merge_keys, spec.merge_update, spec.bound_by, by, spec.layout_columns())
         if spec.mode == "append":
             return self.append(df, by)
         return self.replace(df, by, spec.cluster_by)
@@ -375,11 +372,12 @@ def read_feed(
     Nothing new: skip. Forced: everything. Otherwise the change rows since then, newest per key when the
     producer's keys are given.
     """
-    current = table.version()
-    if current is None:
+    head = table.commit()
+    if head is None:
         return FeedRead(None, None)
+    current = head["version"]
     if last is None or last > current or forced:
-        return FeedRead(table.read(), current, full=True)
+        return FeedRead(table.contents(head), current, full=True)
     if last == current:
         return FeedRead(None, None)
     rows = ch.version_range(table.changes(last, current), last, current, deletes)
