@@ -37,10 +37,14 @@ def _any_null(keys: Sequence[str]) -> Column:
 
 
 def present_keys(target: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The distinct keys of the other frame that the target has. The target's keys are filtered before
-    they are made distinct, so a small other frame means a small result and no shuffle of the target."""
+    """The distinct keys of the other frame that the target has.
+
+    Spark moves the semi join below the DISTINCT when the other side is small enough to broadcast, so the
+    target is not shuffled. Otherwise the keys are made distinct where they are read, which takes the
+    weight out of a key that fills the target.
+    """
     names = [F.col(f"`{k}`") for k in keys]
-    return target.select(*names).join(other.select(*names).distinct(), list(keys), "left_semi").distinct()
+    return target.select(*names).distinct().join(other.select(*names).distinct(), list(keys), "left_semi")
 
 
 def _updated(column: str, rule: str | None) -> Column:
