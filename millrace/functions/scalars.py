@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -91,16 +91,37 @@ def file_health(files: Column, size: Column) -> Column:
 
 
 def _url_decoded(text: Column) -> Column:
-    """Decoded text; a percent sign that starts no code stays as it is."""
-    return F.url_decode(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25"))
+    """Decoded text; a percent sign that starts no code stays as it is (and costs a second attempt)."""
+    repaired = F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.coalesce(F.try_url_decode(text), F.url_decode(repaired))
 
 
-def query_parameter(query: Column, name: str) -> Column:
-    """The first value of a parameter in a query string that was encoded twice. The outer layer is a form
-    (plus means space), the inner one is not."""
-    field = rf"(?:^|&){re.escape(name)}(?:=([^&]*))?(?=&|$)"
-    value = F.when(query.rlike(field), F.regexp_extract(query, field, 1))
-    return _url_decoded(F.replace(_url_decoded(value), F.lit("+"), F.lit("%2B")))
+def _query_pair(query: str, key: str) -> Column:
+    """The first `key=value` of a query string with what separates it, empty when there is none."""
+    return F.regexp_extract(query, rf"(?:^|&){re.escape(key)}(?:=[^&]*)?(?=&|$)", 0)
+
+
+def has_query_value(query: str, key: str) -> Column:
+    """Whether the first value of a parameter is there and not empty; nothing is decoded for it."""
+    return _query_pair(query, key).rlike("=.")
+
+
+def with_query_parameters(df: DataFrame, query: str, fields: Mapping[str, str]) -> DataFrame:
+    """Add a column per field with the first value of its parameter in a query string that was encoded
+    twice. The outer layer is a form (plus means space), the inner one is not.
+
+    All fields go through one lambda: a projection that spells the steps out for each field is too long
+    for the JVM to compile.
+    """
+
+    def decoded(pair: Column) -> Column:
+        after = F.instr(pair, "=")
+        value = F.when(after > 0, F.substr(pair, after + 1)).when(pair != "", "")
+        return _url_decoded(F.replace(_url_decoded(value), F.lit("+"), F.lit("%2B")))
+
+    values = F.transform(F.array(*[_query_pair(query, key) for key in fields.values()]), decoded)
+    parsed = df.withColumn("_values", values)
+    return parsed.withColumns({name: F.col("_values")[i] for i, name in enumerate(fields)}).drop("_values")
 
 
 def epoch_millis(text: Column) -> Column:

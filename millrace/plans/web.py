@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions.ranges import range_join
-from millrace.functions.scalars import epoch_millis, query_parameter
+from millrace.functions.scalars import epoch_millis, has_query_value, with_query_parameters
 
 # Beacon fields by output column, session timeout, address block for range lookups.
 BEACON_FIELDS = {"event": "e", "session_id": "sid", "visitor_id": "uid", "path": "p", "referrer": "ref"}
@@ -18,10 +18,11 @@ ADDRESS_BLOCK = 65536
 def beacons(logs: DataFrame, stem: str = "stem", query: str = "query", pixel: str = "/t.gif") -> DataFrame:
     """One row per beacon hit with its fields decoded. Hits without an event are dropped."""
     q = F.col(query)
-    hits = logs.where((F.col(stem) == pixel) & q.isNotNull() & ~q.isin("", "-"))
-    at = epoch_millis(query_parameter(q, "t"))
-    fields = [query_parameter(q, key).alias(name) for name, key in BEACON_FIELDS.items()]
-    return hits.select(*fields, at.alias("event_ts"), F.to_date(at).alias("day")).where("event <> ''")
+    hits = logs.where((F.col(stem) == pixel) & q.isNotNull() & ~q.isin("", "-")).select(q.alias("_query"))
+    hits = hits.where(has_query_value("_query", BEACON_FIELDS["event"]))
+    fields = with_query_parameters(hits, "_query", {**BEACON_FIELDS, "_at": "t"})
+    at = epoch_millis(F.col("_at"))
+    return fields.select(*BEACON_FIELDS, at.alias("event_ts"), F.to_date(at).alias("day"))
 
 
 def daily_rollup(events: DataFrame) -> DataFrame:
