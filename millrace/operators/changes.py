@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.ordering import latest_per_key
 
+COPIES_PER_ROW = 10_000
 CHANGE_COLUMNS = ("_change_type", "_commit_version", "_commit_timestamp")
 
 
@@ -19,6 +20,18 @@ def stamped(changes: DataFrame, version: int, timestamp: Column) -> DataFrame:
     )
 
 
+def repeated(df: DataFrame, copies: str) -> DataFrame:
+    """Each row as often as its count says, without the count. Large counts are cut into pieces that are
+    spread over the tasks first, so that no single task or array has to hold all copies of a row."""
+    count = F.col(copies)
+    few = df.where(count <= COPIES_PER_ROW).withColumn("_copy", F.explode(F.sequence(F.lit(1), count.cast("int"))))
+    pieces = F.sequence(F.lit(0).cast("bigint"), F.floor((count - 1) / COPIES_PER_ROW))
+    many = df.where(count > COPIES_PER_ROW).withColumn("_piece", F.explode(pieces))
+    size = F.least(F.lit(COPIES_PER_ROW), count - F.col("_piece") * COPIES_PER_ROW).cast("int")
+    many = many.repartition("_piece").withColumn("_copy", F.explode(F.sequence(F.lit(1), size)))
+    return few.drop("_copy", copies).unionByName(many.drop("_copy", "_piece", copies))
+
+
 def change_rows(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> DataFrame:
     """What turned `before` into `after`: `insert`, `update_preimage`, `update_postimage`, `delete`.
 
@@ -43,12 +56,10 @@ def change_rows(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> Dat
     kind = F.when(F.col("_copies") > 0, F.when(updated, "update_postimage").otherwise("insert")).otherwise(
         F.when(updated, "update_preimage").otherwise("delete")
     )
-    return (
-        moved.join(sides, on, "left")
-        .withColumn("_change_type", kind)
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.abs("_copies").cast("int"))))
-        .select("_change_type", *[F.col(f"`{n}`") for n in names])
+    typed = moved.join(sides, on, "left").select(
+        kind.alias("_change_type"), *[F.col(f"`{n}`") for n in names], F.abs("_copies").alias("_copies")
     )
+    return repeated(typed, "_copies")
 
 
 def inserted(batch: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.merge import MAX_LAYOUT_COLUMNS
-from millrace.operators.writes import clustered
+from millrace.operators.writes import clustered, range_arranged
 from millrace.session import hadoop_path
 from millrace.sources.sampling import file_listing
 from millrace.tables.store import Provenance, VersionedTable
@@ -60,8 +60,7 @@ def zorder_key(df: DataFrame, columns: Sequence[str], bits: int = ZORDER_BITS) -
 
 def zordered(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows close in several columns end up in the same files."""
-    keyed = df.withColumn("_z", zorder_key(df, columns))
-    return keyed.repartitionByRange("_z").sortWithinPartitions("_z").drop("_z")
+    return range_arranged(df.withColumn("_z", zorder_key(df, columns)), ["_z"]).drop("_z")
 
 
 def recluster(

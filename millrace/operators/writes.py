@@ -58,13 +58,21 @@ def append_rows(target: DataFrame, batch: DataFrame) -> DataFrame:
     return evolve(target, batch.schema).unionByName(batch, allowMissingColumns=True)
 
 
+def range_arranged(df: DataFrame, columns: Sequence[str], files: int | None = None) -> DataFrame:
+    """Range-partition and sort by columns. The number of the task a row comes from is the last range
+    column, so that a value with a large share of the rows, or of equal rows, fills several files instead
+    of one; a repeated task gives its rows the same number."""
+    chosen = [F.col(f"`{c}`") for c in columns]
+    numbered = df.withColumn("_task", F.spark_partition_id())
+    order = [*chosen, F.col("_task")]
+    parts = numbered.repartitionByRange(files, *order) if files else numbered.repartitionByRange(*order)
+    return parts.sortWithinPartitions(*chosen).drop("_task")
+
+
 def clustered(df: DataFrame, columns: Sequence[str], files: int | None = None) -> DataFrame:
-    """Range-partition and sort, so that files cover narrow value ranges and scans can skip them."""
-    chosen = [F.col(f"`{c}`") for c in list(columns)[:MAX_LAYOUT_COLUMNS]]
-    if not chosen:
-        return df
-    parts = df.repartitionByRange(files, *chosen) if files else df.repartitionByRange(*chosen)
-    return parts.sortWithinPartitions(*chosen)
+    """Arrange by at most four columns, so that files cover narrow value ranges and scans can skip them."""
+    chosen = list(columns)[:MAX_LAYOUT_COLUMNS]
+    return range_arranged(df, chosen, files) if chosen else df
 
 
 def write_path(df: DataFrame, path: str) -> None:

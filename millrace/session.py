@@ -48,12 +48,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def freeze(df: DataFrame) -> DataFrame:
-    """Pin a frame's rows as Parquet in the shared folder, so that two readers of it always see the same
-    rows even when an executor is lost in between. The planner then also knows its size, and broadcasts
-    it to joins only if it is small."""
-    path = scratch_path(df.sparkSession, "frozen")
-    df.write.parquet(path)
+def freeze(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Pin a frame's rows as Parquet in the shared folder (or at a path there), so that two readers of it
+    always see the same rows even when an executor is lost in between. The planner then also knows its
+    size, and broadcasts it to joins only if it is small."""
+    path = path or scratch_path(df.sparkSession, "frozen")
+    df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -2,7 +2,7 @@
 
     <path>/data/_v=<n>/...        files written by commit n
     <path>/changes/_v=<n>/...     change rows of merge commit n
-    <path>/log/                   one row per commit; appending the row publishes the commit
+    <path>/log/version=<n>/       the commit's row; writing it publishes the commit
 
 A commit lists the directories that make up the table. Appends add one directory. Merges into a table with
 partition columns rewrite only the partitions the batch touches and keep the directories of the others.
@@ -29,12 +29,13 @@ from millrace.operators.writes import OutputSpec, clustered
 from millrace.session import freeze, hadoop_path, session_conf
 from millrace.sources.sampling import file_listing
 
-LOG_SCHEMA = """
-version bigint, committed_at timestamp, operation string, data_change boolean, replaces boolean,
-paths array<string>, partition_by array<string>, schema string,
+COMMIT_SCHEMA = """
+committed_at timestamp, operation string, data_change boolean, replaces boolean,
+dirs array<struct<path: string, files: bigint, bytes: bigint>>, partition_by array<string>, schema string,
 inserted bigint, updated bigint, deleted bigint, output_rows bigint, total_rows bigint,
 file_count bigint, total_bytes bigint, trigger string, run_id string
 """
+LOG_SCHEMA = f"{COMMIT_SCHEMA}, version bigint"
 _VERSION = "_v"
 _FOLDER = r"/data/(_v=[0-9]+.*)/[^/]+$"
 TARGET_FILE_BYTES = 128 * 1024 * 1024
@@ -62,16 +63,34 @@ class VersionedTable:
         return fs.exists(jpath)
 
     def log(self) -> DataFrame:
+        """All commits; a filter on `version` prunes."""
         if not self._exists(f"{self.path}/log"):
             return self.spark.createDataFrame([], LOG_SCHEMA)
         return self.spark.read.schema(LOG_SCHEMA).parquet(f"{self.path}/log")
 
+    def _versions(self) -> list[int]:
+        """The versions there are, oldest first, from directory names."""
+        if not self._exists(f"{self.path}/log"):
+            return []
+        fs, jpath = hadoop_path(self.spark, f"{self.path}/log")
+        names = [s.getPath().getName() for s in fs.listStatus(jpath) if s.isDirectory()]
+        return sorted(int(n.split("=")[1]) for n in names if n.startswith("version="))
+
+    def _log_of(self, versions: Sequence[int]) -> DataFrame:
+        """Commits by version, without listing the rest of the log."""
+        root = f"{self.path}/log"
+        reader = self.spark.read.option("basePath", root).schema(LOG_SCHEMA)
+        return reader.parquet(*[f"{root}/version={v}" for v in versions])
+
     def commit(self, version: int | None = None) -> Row | None:
-        """The commit row of a version (the newest one not above it), or of the head."""
-        rows = self.log()
-        if version is not None:
-            rows = rows.where(F.col("version") <= version)
-        return rows.orderBy(F.desc("version")).first()
+        """The commit row of a version (the newest one not above it), or of the head. A long history costs
+        a listing and one small file."""
+        for v in reversed(self._versions()):
+            if version is None or v <= version:
+                row = self._log_of([v]).first()
+                if row is not None:  # a directory without a row is a commit that was not published
+                    return row
+        return None
 
     def version(self) -> int | None:
         head = self.commit()
@@ -93,7 +112,7 @@ class VersionedTable:
     def contents(self, commit: Row) -> DataFrame:
         """The table as of a commit row."""
         schema = StructType.fromJson(json.loads(commit["schema"]))
-        return self._read_paths(commit["paths"], schema).select(*[f"`{n}`" for n in schema.names])
+        return self._read_paths([d["path"] for d in commit["dirs"]], schema).select(*[f"`{n}`" for n in schema.names])
 
     @staticmethod
     def _conform(df: DataFrame, schema: StructType, keep: Sequence[str] = ()) -> DataFrame:
@@ -122,12 +141,11 @@ class VersionedTable:
     def changes(self, after: int = -1, upto: int | None = None) -> DataFrame:
         """Change rows of the commits in `(after, upto]` with type, version and time. Commits that only
         rearrange files have none."""
-        log = self.log().where(F.col("version") >= after)
-        if upto is not None:
-            log = log.where(F.col("version") <= upto)
-        commits = log.orderBy("version").collect()
-        if not commits:
+        versions = [v for v in self._versions() if v >= after and (upto is None or v <= upto)]
+        if not versions:
             raise LookupError(f"{self.path} has no commit from {after} on")
+        log = self._log_of(versions)
+        commits = log.orderBy("version").collect()
         former = commits.pop(0) if commits[0]["version"] == after else None
         newest = commits[-1] if commits else former
         schema = StructType.fromJson(json.loads(newest["schema"]))
@@ -143,7 +161,8 @@ class VersionedTable:
                 merges.setdefault(c["schema"], []).append(f"{_VERSION}={c['version']}")
             elif c["data_change"]:
                 own = f"{_VERSION}={c['version']}"
-                inserts.setdefault(c["schema"], []).extend(p for p in c["paths"] if p.split("/")[0] == own)
+                paths = [d["path"] for d in c["dirs"]]
+                inserts.setdefault(c["schema"], []).extend(p for p in paths if p.split("/")[0] == own)
                 if c["replaces"] and former is not None:
                     gone = self._conform(self.contents(former), schema)
                     version = F.lit(c["version"]).cast("bigint").alias("_commit_version")
@@ -169,16 +188,16 @@ class VersionedTable:
     def _parts(self, head: Row | None) -> list[str]:
         return list(head["partition_by"]) if head else self._partition_by
 
-    def _write(self, df: DataFrame, version: int, partition_by: Sequence[str]) -> list[str]:
+    def _write(self, df: DataFrame, version: int, partition_by: Sequence[str]) -> list[dict]:
         """Write a commit's data; the directories it consists of."""
         own = f"{_VERSION}={version}"
         target = f"{self.path}/data/{own}"
         if not partition_by:
             df.write.mode("overwrite").parquet(target)
-            return [own]
+            return self._sized([own])
         rows = df.hint("rebalance", *partition_by)
         rows.write.mode("overwrite").partitionBy(*partition_by).parquet(target)
-        return [f"{own}/{p}" for p in self._leaf_dirs(target, len(partition_by))]
+        return self._sized([f"{own}/{p}" for p in self._leaf_dirs(target, len(partition_by))])
 
     def _leaf_dirs(self, path: str, depth: int) -> list[str]:
         fs, jpath = hadoop_path(self.spark, path)
@@ -188,54 +207,57 @@ class VersionedTable:
             return names
         return [f"{n}/{rest}" for n in names for rest in self._leaf_dirs(f"{path}/{n}", depth - 1)]
 
-    def _file_totals(self, paths: Sequence[str]) -> tuple[int, int]:
-        """(files, bytes) below the directories, from their listing."""
-        files = bytes_ = 0
+    def _sized(self, paths: Sequence[str]) -> list[dict]:
+        """Directories just written, with their files and bytes."""
+        dirs = []
         for path in paths:
             fs, jpath = hadoop_path(self.spark, f"{self.path}/data/{path}")
-            for s in fs.listStatus(jpath):
-                if s.isFile() and not s.getPath().getName().startswith(("_", ".")):
-                    files, bytes_ = files + 1, bytes_ + s.getLen()
-        return files, bytes_
+            sizes = [s.getLen() for s in fs.listStatus(jpath) if s.isFile() and not s.getPath().getName().startswith(("_", "."))]
+            dirs.append({"path": path, "files": len(sizes), "bytes": sum(sizes)})
+        return dirs
 
     def _publish(
         self,
         version: int,
         operation: str,
         schema: StructType,
-        paths: Sequence[str],
+        dirs: Sequence[dict],
         partition_by: Sequence[str],
         by: Provenance,
         counts: Mapping[str, int | None],
         data_change: bool = True,
         replaces: bool = False,
     ) -> int:
-        files, size = self._file_totals(paths)
         row = {
-            "version": version, "operation": operation, "data_change": data_change, "replaces": replaces,
-            "paths": list(paths), "partition_by": list(partition_by), "schema": schema.json(),
-            "file_count": files, "total_bytes": size, "trigger": by.trigger, "run_id": by.run_id,
+            "operation": operation, "data_change": data_change, "replaces": replaces, "dirs": dirs,
+            "partition_by": list(partition_by), "schema": schema.json(), "trigger": by.trigger, "run_id": by.run_id,
+            "file_count": sum(d["files"] for d in dirs), "total_bytes": sum(d["bytes"] for d in dirs),
             "inserted": None, "updated": None, "deleted": None, "output_rows": None, "total_rows": None, **counts,
         }
         row["committed_at"] = F.current_timestamp()
-        fields = StructType.fromDDL(LOG_SCHEMA)
+        row["dirs"] = F.from_json(F.lit(json.dumps(dirs)), "array<struct<path: string, files: bigint, bytes: bigint>>")
+        fields = StructType.fromDDL(COMMIT_SCHEMA)
         frame = self.spark.range(0, 1, 1, 1).select(*[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in fields])
-        frame.write.mode("append").parquet(f"{self.path}/log")
+        frame.write.mode("overwrite").parquet(f"{self.path}/log/version={version}")
         return version
 
-    def _count(self, paths: Sequence[str], schema: StructType) -> int:
-        return self._read_paths(paths, schema).count()  # Parquet footers only, no column is read
+    @staticmethod
+    def _dirs(commit: Row) -> list[dict]:
+        return [d.asDict() for d in commit["dirs"]]
+
+    def _count(self, dirs: Sequence[dict], schema: StructType) -> int:
+        return self._read_paths([d["path"] for d in dirs], schema).count()  # Parquet footers only, no column is read
 
     def replace(self, df: DataFrame, by: Provenance = Provenance(), cluster_by: Sequence[str] = ()) -> int:
         """The output becomes the table, schema included."""
         head = self.commit()
         version = head["version"] + 1 if head else 0
         parts = self._parts(head)
-        paths = self._write(clustered(df, cluster_by), version, parts)
-        rows = self._count(paths, df.schema)
+        dirs = self._write(clustered(df, cluster_by), version, parts)
+        rows = self._count(dirs, df.schema)
         counts = {"output_rows": rows, "total_rows": rows, "inserted": rows}
         operation = "WRITE" if head else "CREATE"
-        return self._publish(version, operation, df.schema, paths, parts, by, counts, replaces=True)
+        return self._publish(version, operation, df.schema, dirs, parts, by, counts, replaces=True)
 
     def append(self, df: DataFrame, by: Provenance = Provenance()) -> int:
         """Add a batch, in time proportional to the batch; new columns read NULL in older rows."""
@@ -244,11 +266,11 @@ class VersionedTable:
             return self.replace(df, by)
         version, parts = head["version"] + 1, self._parts(head)
         schema = evolve(self.contents(head).limit(0), df.schema).schema
-        paths = self._write(df, version, parts)
-        rows = self._count(paths, schema)
+        dirs = self._write(df, version, parts)
+        rows = self._count(dirs, schema)
         total = None if head["total_rows"] is None else head["total_rows"] + rows
         counts = {"output_rows": rows, "inserted": rows, "total_rows": total}
-        return self._publish(version, "APPEND", schema, [*head["paths"], *paths], parts, by, counts)
+        return self._publish(version, "APPEND", schema, [*self._dirs(head), *dirs], parts, by, counts)
 
     def merge(
         self,
@@ -266,7 +288,8 @@ class VersionedTable:
         if head is None:
             return self.replace(df, by)
         version, parts = head["version"] + 1, self._parts(head)
-        source = freeze(df)  # read for the bound, the data and the change rows
+        batch = f"{self.path}/batches/{_VERSION}={version}"
+        source = freeze(df, batch)  # read for the bound, the data and the change rows
         mg.require_bound(source, keys, bound_by)
         table = self.contents(head)
         touched, rest, kept = table, None, []
@@ -274,7 +297,7 @@ class VersionedTable:
         if parts and all(p in keys or p in bound_by for p in parts):
             values = source.select(*parts).distinct().limit(MAX_TOUCHED_PARTITIONS + 1).collect()
         if values is not None and len(values) <= MAX_TOUCHED_PARTITIONS:
-            touched, kept = self._split_partitions(table, head["paths"], parts, values)
+            touched, kept = self._split_partitions(table, self._dirs(head), parts, values)
         else:
             touched, rest = mg.split_by_bound(table, source, keys, cluster_by, bound_by)
         mg.require_single_match(touched, source, keys)
@@ -285,17 +308,20 @@ class VersionedTable:
             after = evolve(rest, source.schema).unionByName(after)
         change_path = f"{self.path}/changes/{_VERSION}={version}"
         merged.changes().write.mode("overwrite").parquet(change_path)
-        paths = self._write(after, version, parts)
+        dirs = self._write(after, version, parts)
         kinds = self.spark.read.parquet(change_path).groupBy("_change_type").count().collect()
         by_kind = {r["_change_type"]: r["count"] for r in kinds}
         inserted, updated = by_kind.get("insert", 0), by_kind.get("update_postimage", 0)
         total = None if head["total_rows"] is None else head["total_rows"] + inserted
         counts = {"inserted": inserted, "updated": updated, "deleted": 0, "total_rows": total}
-        return self._publish(version, "MERGE", schema, [*kept, *paths], parts, by, counts)
+        self._publish(version, "MERGE", schema, [*kept, *dirs], parts, by, counts)
+        fs, jpath = hadoop_path(self.spark, batch)
+        fs.delete(jpath, True)
+        return version
 
     def _split_partitions(
-        self, table: DataFrame, paths: Sequence[str], parts: Sequence[str], values: Sequence[Row]
-    ) -> tuple[DataFrame, list[str]]:
+        self, table: DataFrame, dirs: Sequence[dict], parts: Sequence[str], values: Sequence[Row]
+    ) -> tuple[DataFrame, list[dict]]:
         """(rows in the listed partitions, directories outside them). The files say themselves which
         directory they are in, so odd characters and NULLs in partition values need no care here."""
         same = [[F.col(f"`{p}`").eqNullSafe(F.lit(row[p])) for p in parts] for row in values]
@@ -304,7 +330,7 @@ class VersionedTable:
         file_path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
         folders = touched.select(F.regexp_extract(file_path, _FOLDER, 1).alias("folder")).distinct()
         hit = {row["folder"] for row in folders.collect()}
-        return touched, [p for p in paths if p not in hit]
+        return touched, [d for d in dirs if d["path"] not in hit]
 
     def write(self, df: DataFrame, spec: OutputSpec, by: Provenance = Provenance()) -> int:
         if spec.mode == "merge":
@@ -317,10 +343,10 @@ class VersionedTable:
         """Publish the same rows in other files: no change rows."""
         head = self.commit()
         version, parts = head["version"] + 1, self._parts(head)
-        paths = self._write(df, version, parts)
+        dirs = self._write(df, version, parts)
         counts = {"total_rows": head["total_rows"]}
         schema = StructType.fromJson(json.loads(head["schema"]))
-        return self._publish(version, operation, schema, paths, parts, by, counts, data_change=False)
+        return self._publish(version, operation, schema, dirs, parts, by, counts, data_change=False)
 
     def compact(self, target_bytes: int = TARGET_FILE_BYTES, by: Provenance = Provenance()) -> int:
         """Fewer, larger files. Spark packs small files into read tasks of the target size and each task
@@ -340,7 +366,7 @@ class VersionedTable:
         commit = self.commit(version)
         listed = file_listing(self.spark, f"{self.path}/data")
         inside = F.regexp_extract("path", _FOLDER, 1)
-        return listed.where(inside.isin(list(commit["paths"]))) if commit else listed.limit(0)
+        return listed.where(inside.isin([d["path"] for d in commit["dirs"]])) if commit else listed.limit(0)
 
     def estimated_files(self, target_bytes: int = TARGET_FILE_BYTES) -> int:
         return max(1, math.ceil(self.commit()["total_bytes"] / target_bytes))

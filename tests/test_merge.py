@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from helpers import rows
 from millrace.operators import merge as m
 from millrace.operators.backfill import PromoteError, diff, key_overlap, promote, staging_name
-from millrace.operators.changes import change_rows
+from millrace.operators.changes import change_rows, repeated
 from millrace.operators.ordering import latest_per_key, numbered
 from millrace.operators.schema import schema_diff, schema_drifted
-from millrace.operators.writes import append_rows
+from millrace.operators.writes import append_rows, clustered
 
 
 def frame(spark, data, schema="k string, v bigint"):
@@ -138,6 +138,18 @@ def test_change_rows_cover_duplicates_and_nulls(spark):
         assert out == sort(want)
 
 
+def test_many_copies_of_a_row(spark):
+    df = frame(spark, [("a", 25_001), ("b", 1), ("c", 10_000)], "k string, n bigint")
+    out = repeated(df, "n").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    assert rows(out) == [("a", 25_001), ("b", 1), ("c", 10_000)]
+
+
+def test_one_value_spreads_over_several_files(spark):
+    df = spark.range(0, 8000, 1, 8).select(F.lit(1).alias("k"))
+    parts = clustered(df, ["k"], files=8).select(F.spark_partition_id().alias("p")).groupBy("p").count()
+    assert parts.count() >= 6 and parts.agg(F.max("count")).first()[0] <= 3000
+
+
 def test_numbering_spans_partitions(spark):
     df = spark.range(5000).select(F.when(F.col("id") < 4000, "big").otherwise("small").alias("g"), (F.col("id") % 7).alias("s"), "id")
     out = numbered(df, ["g"], [F.desc("s"), F.asc("id")])

@@ -74,10 +74,10 @@ def test_partitioned_merge_rewrites_only_touched_partitions(spark):
     d1, d2, d3 = (dt.date(2024, 1, i) for i in (1, 2, 3))
     schema = "k string, d date, v long"
     table.merge(frame(spark, [("A", d1, 1), ("B", d2, 1)], schema), ["k"], bound_by=["d"])
-    before = set(table.commit()["paths"])
+    before = {d["path"] for d in table.commit()["dirs"]}
     table.merge(frame(spark, [("A", d1, 9), ("C", d3, 1)], schema), ["k"], bound_by=["d"])
     assert rows(table.read(), "k", "d", "v") == [("A", d1, 9), ("B", d2, 1), ("C", d3, 1)]
-    assert "_v=0/d=2024-01-02" in before & set(table.commit()["paths"])
+    assert "_v=0/d=2024-01-02" in before & {d["path"] for d in table.commit()["dirs"]}
     with pytest.raises(MergeError):
         table.merge(frame(spark, [("A", d1, 1), ("A", d2, 1)], schema), ["k"], bound_by=["d"])
     assert table.files().count() == table.commit()["file_count"] == 3
