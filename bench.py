@@ -9,8 +9,13 @@ import os
 import sys
 import time
 
+from pyspark.sql import functions as F
+
+from millrace.operators.merge import bounded_merge, merge_upsert
+from millrace.operators.writes import clustered
 from millrace.queries import QUERIES
-from millrace.session import local_session
+from millrace.session import local_session, scratch_path
+from millrace.tables.store import VersionedTable, read_feed
 
 HEADLINE = (
     "s5_partition_cursor", "s12_text_types", "t4_staged_chain", "k2_grouped_kpis", "k6_zscore", "k11_ranked_batches",
@@ -22,19 +27,73 @@ HEADLINE = (
 )
 
 
+def incremental_ratios(spark, sf_dir: str) -> dict[str, float]:
+    """Time of an incremental run over the time of a full one, each on a warm second attempt."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "value")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    orders = clustered(orders, ["o_orderkey"], 16)
+    target_path = scratch_path(spark, "target")
+    orders.write.parquet(target_path)
+    target = spark.read.parquet(target_path)
+    newest = orders.agg(F.max("o_orderkey")).first()[0]
+    batch = target.where(F.col("o_orderkey") > newest - 150).withColumn("o_totalprice", F.col("o_totalprice") + 1)
+
+    last_day = F.to_date("ts") == events.agg(F.max(F.to_date("ts"))).first()[0]
+    raw, totals, days, busy = (VersionedTable(spark, scratch_path(spark, n)) for n in ("raw", "totals", "days", "busy"))
+    raw.append(events.where(~last_day))
+    raw.append(events.where(last_day))
+
+    def counted(rows):
+        return rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+
+    def daily(rows):
+        return rows.groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+
+    totals.merge(counted(raw.read(0)), ["user_id"])
+    days.merge(daily(raw.read(0)), ["day"])
+    days.merge(daily(raw.read().where(last_day)), ["day"])
+    busy.merge(days.read(0), ["day"])
+    out = lambda: scratch_path(spark, "full")
+    pairs = {
+        "c6_totals": (
+            lambda: counted(read_feed(raw, 0).df).write.parquet(out()),
+            lambda: counted(raw.read()).write.parquet(out()),
+        ),
+        "c7_changed_days": (
+            lambda: read_feed(days, 0, ["day"]).df.write.parquet(out()),
+            lambda: daily(raw.read()).write.parquet(out()),
+        ),
+        "w5_bounded_merge": (
+            lambda: bounded_merge(target, batch, ["o_orderkey"]).write.parquet(out()),
+            lambda: merge_upsert(target, batch, ["o_orderkey"]).write.parquet(out()),
+        ),
+    }
+
+    def seconds(run):
+        run()
+        start = time.perf_counter()
+        run()
+        return time.perf_counter() - start
+
+    return {name: round(seconds(part) / seconds(whole), 3) for name, (part, whole) in pairs.items()}
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     names = sys.argv[1:] or HEADLINE
     spark = local_session(os.environ.get("BENCH_CPUS", "8"), app="millrace-bench")
     spark.range(1000).selectExpr("sum(id)").collect()
-    seconds = {}
+    seconds, ratios = {}, {}
     with contextlib.redirect_stdout(io.StringIO()):
         for name in names:
             start = time.perf_counter()
             QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             seconds[name] = round(time.perf_counter() - start, 3)
+        if not sys.argv[1:]:
+            ratios = incremental_ratios(spark, sf_dir)
     total = round(sum(seconds.values()), 3)
-    print(json.dumps({"metric": "headline_queries_total", "value": total, "unit": "sec", "queries": seconds, "sf": os.path.basename(sf_dir)}))
+    result = {"metric": "headline_queries_total", "value": total, "unit": "sec", "queries": seconds}
+    print(json.dumps({**result, "incremental_over_full": ratios, "sf": os.path.basename(sf_dir)}))
 
 
 if __name__ == "__main__":
