@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from millrace.plans import serving
 from millrace.plans import telemetry as t
 from millrace.queries._registry import query, table
+from millrace.session import scratch_path
+from millrace.streaming.ingest import file_stream
+from millrace.streaming.progress import stream_progress
+from millrace.tables.store import VersionedTable
 
 # The derived tables are plain SQL that both engines read alike; only the time functions differ.
 NODE_RUNS = """SELECT 'run-' || CAST(event_id AS {s}) AS run_id, 'p' || CAST(user_id AS {s}) AS pipeline, event_type AS node,
@@ -236,6 +240,20 @@ def r10(spark, sf):
     return t.settled_states(states, recorded)
 
 
+@query(
+    "r10_streaming_progress",
+    f"""SELECT run, node, updated_ms, tasks_completed, status FROM (SELECT *, row_number() OVER (PARTITION BY run, node
+          ORDER BY updated_ms DESC, tasks_completed DESC) AS rn FROM ({duck(PROGRESS)}) p) x WHERE rn = 1""",
+)
+def r10_streaming(spark, sf):
+    landing, state = scratch_path(spark, "markers"), scratch_path(spark, "state")
+    markers = derived(spark, sf, PROGRESS)
+    markers.repartition(4, "tasks_completed").write.parquet(landing)
+    folded = VersionedTable(spark, scratch_path(spark, "progress"))
+    stream_progress(file_stream(spark, landing, markers.schema, max_files=2), state, folded)
+    return folded.read()
+
+
 def dashboard(spark, sf, name):
     """One of the seeded datasets over the derived tables. Of each pipeline's day only the dearest run is
     kept, so that "the newest" needs no tie-break."""

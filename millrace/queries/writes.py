@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators import backfill as b
@@ -225,6 +228,36 @@ def w10(spark, sf):
     return spark.read.parquet(path)
 
 
+@query(
+    "w11_output_specs",
+    """SELECT spec, mode, CASE mode WHEN 'append' THEN 2 * n WHEN 'refused' THEN 0 ELSE n END AS rows_after_two_writes
+       FROM (VALUES ('keys', 'merge'), ('append with keys', 'append'), ('nothing', 'replace'), ('merge without keys', 'refused'),
+               ('unknown mode', 'refused')) v(spec, mode), (SELECT count(*) AS n FROM orders) o""",
+)
+def w11(spark, sf):
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    specs = {
+        "keys": {"merge_keys": ["o_orderkey"]},
+        "append with keys": {"mode": "append", "merge_keys": ["o_orderkey"]},
+        "nothing": {},
+        "merge without keys": {"mode": "merge"},
+        "unknown mode": {"mode": "upsert"},
+    }
+    parts = []
+    for name, fields in specs.items():
+        try:
+            spec = w.OutputSpec.parse(fields)
+            t = store(spark, "spec")
+            for _ in range(2):
+                t.write(orders, spec)
+            mode, rows = spec.mode, t.read()
+        except ValueError:
+            mode, rows = "refused", orders.limit(0)
+        count = rows.agg(F.count(F.lit(1)).alias("rows_after_two_writes"))
+        parts.append(count.withColumns({"spec": F.lit(name), "mode": F.lit(mode)}))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query(
     "w12_provenance",
     """SELECT 0 AS version, 'CREATE' AS operation, 'manual' AS trigger, 'r0' AS run_id, count(*) AS inserted, NULL AS updated
