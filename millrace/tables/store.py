@@ -4,8 +4,9 @@
     <path>/changes/_v=<n>/...     change rows of merge commit n
     <path>/log/version=<n>/       the commit's row; writing it publishes the commit
 
-A commit lists the directories that make up the table. Appends add one directory. Merges into a table with
-partition columns rewrite only the partitions the batch touches and keep the directories of the others.
+A commit lists the directories that make up the table. Appends add one directory. Merges rewrite only what the
+batch touches: the partitions that occur in it when every partition column is tied to the keys, else the files
+that hold a matching key. Such files are named as dead in their directory's entry and left out by readers.
 Appends and replaces write no change rows: their data directories already are the inserts (and the former
 directories the deletes). One writer per table; readers see the highest published version.
 """
@@ -31,7 +32,7 @@ from millrace.sources.sampling import file_listing
 
 COMMIT_SCHEMA = """
 committed_at timestamp, operation string, data_change boolean, replaces boolean,
-dirs array<struct<path: string, files: bigint, bytes: bigint>>, partition_by array<string>, schema string,
+dirs array<struct<path: string, files: bigint, bytes: bigint, dead: array<string>>>, partition_by array<string>, schema string,
 inserted bigint, updated bigint, deleted bigint, output_rows bigint, total_rows bigint,
 file_count bigint, total_bytes bigint, trigger string, run_id string
 """
@@ -40,6 +41,12 @@ _VERSION = "_v"
 _FOLDER = r"/data/(_v=[0-9]+.*)/[^/]+$"
 TARGET_FILE_BYTES = 128 * 1024 * 1024
 MAX_TOUCHED_PARTITIONS = 5000
+MAX_TOUCHED_FILES = 5000
+
+
+def _file_path() -> Column:
+    """A row's file, as the file system names it (the metadata column is URL-encoded)."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
 
 
 @dataclass(frozen=True)
@@ -112,7 +119,11 @@ class VersionedTable:
     def contents(self, commit: Row) -> DataFrame:
         """The table as of a commit row."""
         schema = StructType.fromJson(json.loads(commit["schema"]))
-        return self._read_paths([d["path"] for d in commit["dirs"]], schema).select(*[f"`{n}`" for n in schema.names])
+        dead = [name for d in commit["dirs"] for name in d["dead"]]
+        rows = self._read_paths([d["path"] for d in commit["dirs"]], schema)
+        if dead:
+            rows = rows.where(~F.col("_metadata.file_name").isin(dead))
+        return rows.select(*[f"`{n}`" for n in schema.names])
 
     @staticmethod
     def _conform(df: DataFrame, schema: StructType, keep: Sequence[str] = ()) -> DataFrame:
@@ -213,7 +224,7 @@ class VersionedTable:
         for path in paths:
             fs, jpath = hadoop_path(self.spark, f"{self.path}/data/{path}")
             sizes = [s.getLen() for s in fs.listStatus(jpath) if s.isFile() and not s.getPath().getName().startswith(("_", "."))]
-            dirs.append({"path": path, "files": len(sizes), "bytes": sum(sizes)})
+            dirs.append({"path": path, "files": len(sizes), "bytes": sum(sizes), "dead": []})
         return dirs
 
     def _publish(
@@ -235,7 +246,7 @@ class VersionedTable:
             "inserted": None, "updated": None, "deleted": None, "output_rows": None, "total_rows": None, **counts,
         }
         row["committed_at"] = F.current_timestamp()
-        row["dirs"] = F.from_json(F.lit(json.dumps(dirs)), "array<struct<path: string, files: bigint, bytes: bigint>>")
+        row["dirs"] = F.from_json(F.lit(json.dumps(dirs)), "array<struct<path: string, files: bigint, bytes: bigint, dead: array<string>>>")
         fields = StructType.fromDDL(COMMIT_SCHEMA)
         frame = self.spark.range(0, 1, 1, 1).select(*[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in fields])
         frame.write.mode("overwrite").parquet(f"{self.path}/log/version={version}")
@@ -259,14 +270,14 @@ class VersionedTable:
         operation = "WRITE" if head else "CREATE"
         return self._publish(version, operation, df.schema, dirs, parts, by, counts, replaces=True)
 
-    def append(self, df: DataFrame, by: Provenance = Provenance()) -> int:
+    def append(self, df: DataFrame, by: Provenance = Provenance(), cluster_by: Sequence[str] = ()) -> int:
         """Add a batch, in time proportional to the batch; new columns read NULL in older rows."""
         head = self.commit()
         if head is None:
-            return self.replace(df, by)
+            return self.replace(df, by, cluster_by)
         version, parts = head["version"] + 1, self._parts(head)
         schema = evolve(self.contents(head).limit(0), df.schema).schema
-        dirs = self._write(df, version, parts)
+        dirs = self._write(clustered(df, cluster_by), version, parts)
         rows = self._count(dirs, schema)
         total = None if head["total_rows"] is None else head["total_rows"] + rows
         counts = {"output_rows": rows, "inserted": rows, "total_rows": total}
@@ -282,30 +293,35 @@ class VersionedTable:
         cluster_by: Sequence[str] = (),
     ) -> int:
         """Keyed upsert. The first one creates the table. When every partition column is a key or named in
-        `bound_by`, only the partitions that occur in the batch are read and rewritten. Otherwise all files
-        are rewritten, but only rows within the batch's bounds are joined."""
+        `bound_by`, only the partitions that occur in the batch are read and rewritten. Otherwise the keys
+        within the batch's bounds are scanned for the files that match, and those are rewritten; if they
+        are very many, all files are, and still only rows within the bounds are joined."""
         head = self.commit()
         if head is None:
-            return self.replace(df, by)
+            return self.replace(df, by, cluster_by)
         version, parts = head["version"] + 1, self._parts(head)
         batch = f"{self.path}/batches/{_VERSION}={version}"
         source = freeze(df, batch)  # read for the bound, the data and the change rows
         mg.require_bound(source, keys, bound_by)
         table = self.contents(head)
-        touched, rest, kept = table, None, []
-        values = None
+        touched, rest, kept, values, files = table, None, [], None, None
         if parts and all(p in keys or p in bound_by for p in parts):
             values = source.select(*parts).distinct().limit(MAX_TOUCHED_PARTITIONS + 1).collect()
         if values is not None and len(values) <= MAX_TOUCHED_PARTITIONS:
             touched, kept = self._split_partitions(table, self._dirs(head), parts, values)
         else:
             touched, rest = mg.split_by_bound(table, source, keys, cluster_by, bound_by)
+            files = self._matching_files(touched, source, keys)
+        if files is not None:
+            touched, rest = table.where(F.col("_metadata.file_name").isin([f["_name"] for f in files])), None
+            kept = self._without_files(self._dirs(head), files)
         mg.require_single_match(touched, source, keys)
         merged = mg.merge_parts(touched, source, keys, update)
         after = merged.table()
         schema = evolve(table.limit(0), source.schema).schema
         if rest is not None:
             after = evolve(rest, source.schema).unionByName(after)
+        after = clustered(after, cluster_by)
         change_path = f"{self.path}/changes/{_VERSION}={version}"
         merged.changes().write.mode("overwrite").parquet(change_path)
         dirs = self._write(after, version, parts)
@@ -319,6 +335,30 @@ class VersionedTable:
         fs.delete(jpath, True)
         return version
 
+    @staticmethod
+    def _matching_files(table: DataFrame, source: DataFrame, keys: Sequence[str]) -> list[Row] | None:
+        """`folder, name, bytes` of the files with a key of the batch, None if there are too many to list."""
+        meta = [
+            F.regexp_extract(_file_path(), _FOLDER, 1).alias("_folder"),
+            F.col("_metadata.file_name").alias("_name"),
+            F.col("_metadata.file_size").alias("_bytes"),
+        ]
+        names = [F.col(f"`{k}`") for k in keys]
+        rows = table.select(*names, *meta).join(source.select(*names).distinct(), list(keys), "left_semi")
+        found = rows.select("_folder", "_name", "_bytes").distinct().limit(MAX_TOUCHED_FILES + 1).collect()
+        return found if len(found) <= MAX_TOUCHED_FILES else None
+
+    @staticmethod
+    def _without_files(dirs: Sequence[dict], files: Sequence[Row]) -> list[dict]:
+        """Directory entries with more files marked as dead; entries without a live file are dropped."""
+        kept = []
+        for d in dirs:
+            here = {f["_name"]: f["_bytes"] for f in files if f["_folder"] == d["path"]}
+            if d["files"] > len(here):
+                left = {"files": d["files"] - len(here), "bytes": d["bytes"] - sum(here.values())}
+                kept.append({**d, **left, "dead": sorted({*d["dead"], *here})})
+        return kept
+
     def _split_partitions(
         self, table: DataFrame, dirs: Sequence[dict], parts: Sequence[str], values: Sequence[Row]
     ) -> tuple[DataFrame, list[dict]]:
@@ -327,8 +367,7 @@ class VersionedTable:
         same = [[F.col(f"`{p}`").eqNullSafe(F.lit(row[p])) for p in parts] for row in values]
         wanted = reduce(Column.__or__, [reduce(Column.__and__, c) for c in same], F.lit(False))
         touched = table.where(wanted)
-        file_path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-        folders = touched.select(F.regexp_extract(file_path, _FOLDER, 1).alias("folder")).distinct()
+        folders = touched.select(F.regexp_extract(_file_path(), _FOLDER, 1).alias("folder")).distinct()
         hit = {row["folder"] for row in folders.collect()}
         return touched, [d for d in dirs if d["path"] not in hit]
 
@@ -336,7 +375,7 @@ class VersionedTable:
         if spec.mode == "merge":
             return self.merge(df, spec.merge_keys, spec.merge_update, spec.bound_by, by, spec.layout_columns())
         if spec.mode == "append":
-            return self.append(df, by)
+            return self.append(df, by, spec.cluster_by)
         return self.replace(df, by, spec.cluster_by)
 
     def rewrite(self, df: DataFrame, operation: str, by: Provenance = Provenance()) -> int:
@@ -366,7 +405,11 @@ class VersionedTable:
         commit = self.commit(version)
         listed = file_listing(self.spark, f"{self.path}/data")
         inside = F.regexp_extract("path", _FOLDER, 1)
-        return listed.where(inside.isin([d["path"] for d in commit["dirs"]])) if commit else listed.limit(0)
+        if commit is None:
+            return listed.limit(0)
+        dead = [name for d in commit["dirs"] for name in d["dead"]]
+        live = inside.isin([d["path"] for d in commit["dirs"]])
+        return listed.where(live & ~F.regexp_extract("path", "[^/]+$", 0).isin(dead))
 
     def estimated_files(self, target_bytes: int = TARGET_FILE_BYTES) -> int:
         return max(1, math.ceil(self.commit()["total_bytes"] / target_bytes))

@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import rows
 from millrace.operators.changes import latest_changes
@@ -126,3 +127,25 @@ def test_write_follows_the_output_spec(spark, table):
     for bad in ({"mode": "merge"}, {"mode": "upsert"}):
         with pytest.raises(ValueError):
             OutputSpec.parse(bad)
+
+
+def test_merge_rewrites_only_files_with_matching_keys(spark, table):
+    ids = spark.range(0, 800).select(F.col("id").alias("k"), F.lit(0).alias("v"))
+    spec = OutputSpec(merge_keys=["k"])
+    table.replace(ids.repartitionByRange(8, "k").sortWithinPartitions("k"))
+    data = lambda keys, v: spark.createDataFrame([(k, v) for k in keys], "k long, v int")
+    table.write(data([5, 6, 2000], 1), spec)
+    head = table.commit()
+    first = next(d for d in head["dirs"] if d["path"] == "_v=0")
+    assert first["files"] == 7 and len(first["dead"]) == 1
+    assert rows(table.read().where("v = 1")) == [(5, 1), (6, 1), (2000, 1)] and table.read().count() == 801
+    table.write(data([5, 799], 2), spec)
+    assert rows(table.read().where("v > 0")) == [(5, 2), (6, 1), (799, 2), (2000, 1)] and table.read().count() == 801
+    table.write(data([3000], 3), spec)  # inserts only: nothing is rewritten
+    head = table.commit()
+    assert next(d for d in head["dirs"] if d["path"] == "_v=0")["files"] == 6
+    assert table.files().count() == head["file_count"] and table.files().agg(F.sum("bytes")).first()[0] == head["total_bytes"]
+    assert table.read(0).where("v > 0").count() == 0 and table.read(1).count() == 801
+    assert rows(table.changes(2), "_change_type", "k") == [("insert", 3000)]
+    table.compact()
+    assert table.read().count() == 802 and not any(d["dead"] for d in table.commit()["dirs"])
