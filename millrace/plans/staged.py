@@ -67,7 +67,6 @@ class Chain:
         self.spark = spark
         self.path = path.rstrip("/")
         self.cursors = CursorTable(spark, f"{self.path}/_cursors")
-        self._keys: dict[str, Sequence[str]] = {}
 
     def table(self, name: str) -> VersionedTable:
         return VersionedTable(self.spark, f"{self.path}/{name}")
@@ -79,7 +78,7 @@ class Chain:
         if alias not in stage.incremental:
             return table.read(), None
         stored = self.cursors.get(stage.name, source)
-        feed = read_feed(table, int(stored[0]) if stored else None, self._keys.get(source, ()), forced)
+        feed = read_feed(table, int(stored[0]) if stored else None, forced=forced)
         return feed.df, feed.version
 
     def run_stage(self, stage: Stage, by: Provenance, forced: bool = False) -> StageResult:
@@ -94,9 +93,7 @@ class Chain:
         outputs = run_transform(self.spark, stage.transform, inputs)
         for key, df in outputs.items():
             name = stage.name if list(outputs) == ["default"] else f"{stage.name}__{key}"
-            spec = stage.outputs.get(key, OutputSpec())
-            self._keys[name] = spec.merge_keys if spec.mode == "merge" else ()
-            self.table(name).write(df, spec, by)
+            self.table(name).write(df, stage.outputs.get(key, OutputSpec()), by)
         for source, version in cursors.items():  # only now: a crash before this repeats the batch
             self.cursors.advance(stage.name, source, [str(version)])
         return StageResult(stage.name, "ok")

@@ -32,7 +32,7 @@ from millrace.sources.sampling import file_listing
 
 COMMIT_SCHEMA = """
 committed_at timestamp, operation string, data_change boolean, replaces boolean,
-dirs array<struct<path: string, files: bigint, bytes: bigint, dead: array<string>>>, partition_by array<string>, schema string,
+dirs array<struct<path: string, files: bigint, bytes: bigint, dead: array<string>>>, partition_by array<string>, merge_keys array<string>, schema string,
 inserted bigint, updated bigint, deleted bigint, output_rows bigint, total_rows bigint,
 file_count bigint, total_bytes bigint, trigger string, run_id string
 """
@@ -236,12 +236,13 @@ class VersionedTable:
         partition_by: Sequence[str],
         by: Provenance,
         counts: Mapping[str, int | None],
+        merge_keys: Sequence[str] = (),
         data_change: bool = True,
         replaces: bool = False,
     ) -> int:
         row = {
             "operation": operation, "data_change": data_change, "replaces": replaces, "dirs": dirs,
-            "partition_by": list(partition_by), "schema": schema.json(), "trigger": by.trigger, "run_id": by.run_id,
+            "partition_by": list(partition_by), "merge_keys": list(merge_keys), "schema": schema.json(), "trigger": by.trigger, "run_id": by.run_id,
             "file_count": sum(d["files"] for d in dirs), "total_bytes": sum(d["bytes"] for d in dirs),
             "inserted": None, "updated": None, "deleted": None, "output_rows": None, "total_rows": None, **counts,
         }
@@ -259,7 +260,13 @@ class VersionedTable:
     def _count(self, dirs: Sequence[dict], schema: StructType) -> int:
         return self._read_paths([d["path"] for d in dirs], schema).count()  # Parquet footers only, no column is read
 
-    def replace(self, df: DataFrame, by: Provenance = Provenance(), cluster_by: Sequence[str] = ()) -> int:
+    def replace(
+        self,
+        df: DataFrame,
+        by: Provenance = Provenance(),
+        cluster_by: Sequence[str] = (),
+        merge_keys: Sequence[str] = (),
+    ) -> int:
         """The output becomes the table, schema included."""
         head = self.commit()
         version = head["version"] + 1 if head else 0
@@ -268,7 +275,7 @@ class VersionedTable:
         rows = self._count(dirs, df.schema)
         counts = {"output_rows": rows, "total_rows": rows, "inserted": rows}
         operation = "WRITE" if head else "CREATE"
-        return self._publish(version, operation, df.schema, dirs, parts, by, counts, replaces=True)
+        return self._publish(version, operation, df.schema, dirs, parts, by, counts, merge_keys, replaces=True)
 
     def append(self, df: DataFrame, by: Provenance = Provenance(), cluster_by: Sequence[str] = ()) -> int:
         """Add a batch, in time proportional to the batch; new columns read NULL in older rows."""
@@ -281,7 +288,7 @@ class VersionedTable:
         rows = self._count(dirs, schema)
         total = None if head["total_rows"] is None else head["total_rows"] + rows
         counts = {"output_rows": rows, "inserted": rows, "total_rows": total}
-        return self._publish(version, "APPEND", schema, [*self._dirs(head), *dirs], parts, by, counts)
+        return self._publish(version, "APPEND", schema, [*self._dirs(head), *dirs], parts, by, counts, head["merge_keys"])
 
     def merge(
         self,
@@ -298,7 +305,7 @@ class VersionedTable:
         are very many, all files are, and still only rows within the bounds are joined."""
         head = self.commit()
         if head is None:
-            return self.replace(df, by, cluster_by)
+            return self.replace(df, by, cluster_by, keys)
         version, parts = head["version"] + 1, self._parts(head)
         batch = f"{self.path}/batches/{_VERSION}={version}"
         source = freeze(df, batch)  # read for the bound, the data and the change rows
@@ -330,7 +337,7 @@ class VersionedTable:
         inserted, updated = by_kind.get("insert", 0), by_kind.get("update_postimage", 0)
         total = None if head["total_rows"] is None else head["total_rows"] + inserted
         counts = {"inserted": inserted, "updated": updated, "deleted": 0, "total_rows": total}
-        self._publish(version, "MERGE", schema, [*kept, *dirs], parts, by, counts)
+        self._publish(version, "MERGE", schema, [*kept, *dirs], parts, by, counts, keys)
         fs, jpath = hadoop_path(self.spark, batch)
         fs.delete(jpath, True)
         return version
@@ -385,7 +392,7 @@ class VersionedTable:
         dirs = self._write(df, version, parts)
         counts = {"total_rows": head["total_rows"]}
         schema = StructType.fromJson(json.loads(head["schema"]))
-        return self._publish(version, operation, schema, dirs, parts, by, counts, data_change=False)
+        return self._publish(version, operation, schema, dirs, parts, by, counts, head["merge_keys"], data_change=False)
 
     def compact(self, target_bytes: int = TARGET_FILE_BYTES, by: Provenance = Provenance()) -> int:
         """Fewer, larger files. Spark packs small files into read tasks of the target size and each task
@@ -431,15 +438,15 @@ class FeedRead:
 def read_feed(
     table: VersionedTable,
     last: int | None,
-    keys: Sequence[str] = (),
+    keys: Sequence[str] | None = None,
     forced: bool = False,
     deletes: bool = False,
 ) -> FeedRead:
     """Decide what a consumer that saw version `last` has to read.
 
     No commit: skip. Never read, or the table was rebuilt and counts from the start again: everything.
-    Nothing new: skip. Forced: everything. Otherwise the change rows since then, newest per key when the
-    producer's keys are given.
+    Nothing new: skip. Forced: everything. Otherwise the change rows since then, the newest per key of the
+    producer: the keys it merges on, unless others are given.
     """
     head = table.commit()
     if head is None:
@@ -450,6 +457,7 @@ def read_feed(
     if last == current:
         return FeedRead(None, None)
     rows = ch.version_range(table.changes(last, current), last, current, deletes)
+    keys = head["merge_keys"] if keys is None else keys
     if keys:
         rows = ch.latest_changes(rows, keys)
     return FeedRead(rows if deletes else ch.without_commit_columns(rows), current)
