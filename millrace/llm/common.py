@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,6 +89,20 @@ def rows_of(batches: Iterator[pa.RecordBatch], most_rows: int = 512, most_bytes:
             at += n
 
 
+_FAST, _BACK = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def packed(x: np.ndarray) -> bytes:
+    """An array of integers, its bytes in planes so that equal high bytes lie together."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T) if len(x) else x
+    return _FAST.compress(planes.tobytes())
+
+
+def unpacked(data: bytes, dtype) -> np.ndarray:
+    flat = np.frombuffer(_BACK.decompress(data), np.uint8)
+    return np.ascontiguousarray(flat.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel() if len(flat) else np.empty(0, dtype)
+
+
 def _sliced_bytes(batch: pa.RecordBatch, at: int, n: int) -> int:
     return batch.slice(at, n).nbytes
 

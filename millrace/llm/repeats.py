@@ -23,7 +23,6 @@ Empty tables give empty results. Other columns pass through, whatever their name
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Scratch, query, rows_of, table
+from millrace.llm.common import Scratch, packed, query, rows_of, table, unpacked
 
 LAST = np.iinfo(np.int64).max
 K = 16
@@ -40,18 +39,6 @@ _BYTE_CODES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np
 _STEPS = np.random.default_rng(977).integers(1, 1 << 63, 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _packed(x: np.ndarray) -> bytes:
-    """An array of integers, its bytes in planes so that equal high bytes lie together."""
-    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T) if len(x) else x
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
-
-
-def _unpacked(data: bytes, dtype) -> np.ndarray:
-    size = np.dtype(dtype).itemsize
-    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(flat.reshape(size, -1).T).view(dtype).ravel() if len(flat) else np.empty(0, dtype)
-
-
 def _hashed(x: np.ndarray) -> np.ndarray:
     """Mixed hashes from codes whose last axis holds the bytes of each string, or of all strings in turn."""
     step = 1
@@ -117,11 +104,11 @@ class Block:
 
     def __init__(self, row: dict):
         self.number = row["block"]
-        self.ids, self.uids = _unpacked(row["ids"], np.int64), _unpacked(row["uids"], np.int64)
-        self.nulls, self.ends = _unpacked(row["nulls"], np.uint8).astype(bool), _unpacked(row["ends"], np.int64)
+        self.ids, self.uids = unpacked(row["ids"], np.int64), unpacked(row["uids"], np.int64)
+        self.nulls, self.ends = unpacked(row["nulls"], np.uint8).astype(bool), unpacked(row["ends"], np.int64)
         self.data = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["data"]), np.uint8)
-        self.places = np.cumsum(_unpacked(row["places"], np.uint32), dtype=np.int64)
-        self.near, self.far = _unpacked(row["near"], np.uint8), _unpacked(row["far"], np.uint8)  # start is place less this
+        self.places = np.cumsum(unpacked(row["places"], np.uint32), dtype=np.int64)
+        self.near, self.far = unpacked(row["near"], np.uint8), unpacked(row["far"], np.uint8)  # start is place less this
 
     def hashed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct trigger hashes, whether more than one document of the block has each, and by trigger the number
@@ -203,9 +190,9 @@ def _to_blocks(length: int, block_bytes: int):
             nulls = np.array([x is None for x in ids], np.uint8)
             number = int(np.random.default_rng().integers(1, LAST))  # written at once, so never drawn again
             row = (
-                number, len(place), _packed(np.array([LAST if x is None else x for x in ids], np.int64)), _packed(nulls),
-                _packed(np.array(uids, np.int64)), _packed(ends), zstandard.ZstdCompressor(level=3).compress(data.tobytes()),
-                _packed(np.diff(place, prepend=0).astype(np.uint32)), _packed((place - last).astype(np.uint8)), _packed((place - first).astype(np.uint8)),
+                number, len(place), packed(np.array([LAST if x is None else x for x in ids], np.int64)), packed(nulls),
+                packed(np.array(uids, np.int64)), packed(ends), zstandard.ZstdCompressor(level=3).compress(data.tobytes()),
+                packed(np.diff(place, prepend=0).astype(np.uint32)), packed((place - last).astype(np.uint8)), packed((place - first).astype(np.uint8)),
             )
             ids.clear(), uids.clear(), texts.clear()
             return _batch([row], BLOCK_SCHEMA)
@@ -239,14 +226,14 @@ def _ask(bits: int):
         for row in _blocks(batches):
             block = Block(row)
             distinct = block.hashed()[0]
-            yield _batch([(b, block.number, _packed(distinct[part])) for b, part in _by_bucket(distinct, bits)], ASK)
+            yield _batch([(b, block.number, packed(distinct[part])) for b, part in _by_bucket(distinct, bits)], ASK)
 
     return run
 
 
 def _answer(group: pa.Table) -> pa.Table:
     """One bucket: which hashes more than one block has."""
-    asked = [_unpacked(x, np.uint64) for x in group["asked"].to_pylist()]
+    asked = [unpacked(x, np.uint64) for x in group["asked"].to_pylist()]
     sizes = [len(x) for x in asked]
     h = np.concatenate(asked)
     order = np.argsort(h, kind="stable")
@@ -263,7 +250,7 @@ def _ask_more(length: int, bits: int):
             block = Block(row)
             c = block.contexts(length, bits, row["answers"] or [])
             pack = zstandard.ZstdCompressor(level=3).compress
-            yield _batch([(b, block.number, pack(c.rows[part].tobytes()), _packed(c.least[part])) for b, part in c.parts], ASK_MORE)
+            yield _batch([(b, block.number, pack(c.rows[part].tobytes()), packed(c.least[part])) for b, part in c.parts], ASK_MORE)
 
     return run
 
@@ -308,7 +295,7 @@ def _answer_more(length: int):
         unpack = zstandard.ZstdDecompressor().decompress
         asked = [np.frombuffer(unpack(x), np.uint8).reshape(-1, width) for x in group["asked"].to_pylist()]
         sizes, rows = [len(x) for x in asked], np.concatenate(asked)
-        least = np.concatenate([_unpacked(x, np.int64) for x in group["least"].to_pylist()])
+        least = np.concatenate([unpacked(x, np.int64) for x in group["least"].to_pylist()])
         order = np.argsort(rows.view(f"V{width}").ravel(), kind="stable")
         new = np.flatnonzero(np.r_[True, (rows[order][1:] != rows[order][:-1]).any(1)])
         smallest = np.minimum.reduceat(least[order], new)
@@ -319,7 +306,7 @@ def _answer_more(length: int):
         bits[order] = np.repeat(found, counts)
         bits[order] |= np.where(np.repeat(smallest, counts) < least[order], own, np.uint64(0))
         cuts = np.split(bits, np.cumsum(sizes)[:-1])
-        return pa.table([group["block"], group["bucket"], pa.array([_packed(x) for x in cuts], pa.binary())], schema=FOUND)
+        return pa.table([group["block"], group["bucket"], pa.array([packed(x) for x in cuts], pa.binary())], schema=FOUND)
 
     return run
 
@@ -337,7 +324,7 @@ def _mark(length: int, bits: int):
             found = np.zeros(len(c.rows), np.uint64)
             more = {x["bucket"]: x["found"] for x in row["more"] or []}
             for bucket, part in c.parts:
-                found[part] = _unpacked(more[bucket], np.uint64)
+                found[part] = unpacked(more[bucket], np.uint64)
             bit = found[c.number] if len(c.rows) else found
             own = c.ids > c.least[c.number] if len(c.rows) else np.empty(0, bool)  # a smaller document of this block
             starts = np.zeros(len(block.data) + 1, np.int32)
