@@ -1,4 +1,4 @@
 """All queries of the subpackage: importing the operators registers theirs."""
 
-from millrace.llm import decontaminate, quality, repeats, simhash  # noqa: F401
+from millrace.llm import decontaminate, packing, quality, repeats, simhash, token_files  # noqa: F401
 from millrace.llm.common import ORACLE, QUERIES  # noqa: F401
