@@ -1,13 +1,25 @@
-"""Documents to training sequences: each stage works on the rows that the one before has kept."""
+"""Documents to training sequences: each stage works on the rows that the one before has kept.
+
+Every stage but the last returns the columns of documents; the last returns the pieces of all documents with their
+places in sequences. Empty tables pass through; null texts are dropped by the first stage.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from millrace.llm.common import Scratch
+from millrace.llm.decontaminate import decontaminate
+from millrace.llm.packing import pack
 from millrace.llm.quality import quality_filter
+from millrace.llm.repeats import remove_repeats
+from millrace.llm.simhash import simhash_dedup
+
+#: Near duplicates are looked for on shingles of this many words.
+SHINGLE_WORDS = 5
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,8 +27,33 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_filter(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return simhash_dedup(docs, shingle=SHINGLE_WORDS)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that one of a smaller id has; `n_chars` follows the text."""
+    cut = remove_repeats(docs)
+    return cut.select(*[F.length("text").cast(cut.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in cut.columns])
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark passage, copied or paraphrased."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents and their places in sequences of at most 1024 tokens."""
+    return pack(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", drop_poor),
+    ("SimHash near-dedup", drop_near_copies),
+    ("suffix-array dedup", cut_repeats),
+    ("benchmark decontamination", drop_leaks),
+    ("best-fit packing", pack_sequences),
 ]
 
 #: Fingerprints, suffix orders, a decomposition and a genetic search are not SQL; tests hold stages against brute force.

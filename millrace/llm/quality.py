@@ -152,10 +152,16 @@ def judged(df: DataFrame, ordered: list[Rule], done: tuple[str, ...] = ()) -> Da
 
 
 def quality_filter(docs: DataFrame, text_col: str = "text", rules: list[Rule] | None = None, sample_rows: int = 2000) -> DataFrame:
-    """The rows that every rule accepts, with their own columns."""
+    """The rows that every rule accepts, with their own columns. A row that a rule rejects does not reach the next."""
     rules = default_rules() if rules is None else rules
-    ordered = [rule for rule, _, _ in cascade_order(docs, text_col, rules, sample_rows)]
-    return judged(_with_words(docs, text_col), ordered).filter("_kept").select("_row.*")
+    df, have = _with_words(docs, text_col), set()
+    for rule, _, _ in cascade_order(docs, text_col, rules, sample_rows):
+        df = _measure_all(df, [m for m in rule.needs if m not in have])
+        have |= set(rule.needs)
+        # a verdict that is generated stands apart: as a plain filter it would be rewritten in terms of the text, with
+        # every measure spelled out as often as it is mentioned
+        df = df.withColumn("_ok", F.explode(F.array(~F.coalesce(rule.rejects, F.lit(False))))).filter("_ok").drop("_ok")
+    return df.select("_row.*")
 
 
 def quality_report(docs: DataFrame, text_col: str = "text", rules: list[Rule] | None = None, sample_rows: int = 2000) -> DataFrame:
