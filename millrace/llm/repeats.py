@@ -55,7 +55,10 @@ def hashes_at(data: np.ndarray, places: np.ndarray, piece: int = 1 << 16) -> np.
     if not len(places):
         return np.empty(0, np.uint64)
     strings = np.lib.stride_tricks.sliding_window_view(data, K)
-    return np.concatenate([_hashed(_BYTE_CODES[strings[places[i : i + piece]]])[:, 0] for i in range(0, len(places), piece)])
+    h = np.concatenate([_hashed(_BYTE_CODES[strings[places[i : i + piece]]])[:, 0] for i in range(0, len(places), piece)])
+    # triggers are least hashes: their high bits, which name the bucket, are made even again
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return h
 
 
 def _least(x: np.ndarray, width: int) -> np.ndarray:
