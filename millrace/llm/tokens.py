@@ -8,7 +8,8 @@ it, and ids are put together again with array operations. The bytes of each id t
 from __future__ import annotations
 
 import os
-from itertools import islice
+import re
+from itertools import chain, islice
 
 import numpy as np
 
@@ -21,42 +22,53 @@ def default_tokenizer() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
-def cut(text: str) -> list[str]:
-    """The text cut before each blank that other than white space follows; a run of white space else belongs to what
-    stands before it."""
+#: A blank before other white space or at the end: such texts are cut with more care.
+ODD = re.compile(r" (?=\s|\Z)")
+
+
+class Numbers(dict):
+    """Numbers pieces in the order in which they are first asked for. A piece after a blank is known by what follows
+    the blank, one at the start of a text by a tuple."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
+def cut(text: str) -> list:
+    """Keys of the text's pieces. It is cut before each blank that other than white space follows."""
     parts = text.split(" ")
-    out = [parts[0]] if parts[0] else []
-    add = out.append
+    if not ODD.search(text):
+        if parts[0]:
+            parts[0] = (parts[0],)
+            return parts
+        return parts[1:]
+    out: list[str] = [parts[0]] if parts[0] else []
     for x in parts[1:]:
-        if x and not x[0].isspace():
-            add(" " + x)
-        elif out:
+        if x and not x[0].isspace() or not out:
+            out.append(" " + x)
+        else:  # a run of white space belongs to what stands before it
             out[-1] += " " + x
-        else:
-            add(" " + x)
-    return out
+    return [x[1:] if x[0] == " " else (x,) for x in out]
 
 
-def cut_more(piece: str) -> list[str]:
+def cut_more(piece: str) -> tuple[str, ...]:
     """A piece cut before line feeds that words surround, and before a full stop or comma that ends a word."""
-    lines = piece.split("\n")
-    if len(lines) > 1:
+    if "\n" in piece:
+        lines = piece.split("\n")
         if any(not x or x[-1].isspace() for x in lines) or any(x[0].isspace() for x in lines[1:]):
-            return [piece]
+            return (piece,)
         lines = [lines[0], *("\n" + x for x in lines[1:])]
-    out = []
-    for x in lines:
-        if len(x) > 1 and x[-1] in ".," and x[-2].isalpha():
-            out += (x[:-1], x[-1])
-        else:
-            out.append(x)
-    return out
+        return tuple(y for x in lines for y in ((x[:-1], x[-1]) if x[-1] in ".," and len(x) > 1 and x[-2].isalpha() else (x,)))
+    if piece[-1] in ".," and len(piece) > 1 and piece[-2].isalpha():
+        return piece[:-1], piece[-1]
+    return (piece,)
 
 
 class Encoder:
     """Remembers the ids of words (`most_words`, the oldest go first) and of the pieces that they make up."""
 
-    def __init__(self, path: str, most_pieces: int = 400_000, most_words: int = 800_000):
+    def __init__(self, path: str, most_pieces: int = 400_000, most_words: int = 1_200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has one task for each core
         from tokenizers import Tokenizer
 
@@ -64,55 +76,57 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         size = self.tokenizer.get_vocab_size()
         self.n_bytes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)  # one character a byte
+        self.kind = np.uint16 if size <= 1 << 16 else np.uint32
         self.most_pieces, self.most_words = most_pieces, most_words
         self.words: dict[str, bytes] = {}
         self.old_words: dict[str, bytes] = {}
         self.forget()
 
     def forget(self) -> None:
-        self.numbers: dict[str, int] = {}
+        self.numbers = Numbers()
         self.known = 0
-        self.ids = np.empty(1 << 16, np.uint32)
+        self.ids = np.empty(1 << 16, self.kind)
         self.n_ids = 0
         self.starts = np.zeros(1 << 16, np.int64)
 
-    def learn_words(self, fresh: list[str], most_chars: int = 1 << 16) -> None:
-        """Words are encoded many to a string, at whose cuts the library cuts too: before a blank and a word, before a
-        line feed and a word after other than white space. Other words start a string."""
+    def learn_words(self, fresh: list[str], together: int) -> None:
+        """Encodes words, `together` to a string: the library must cut the string where they meet."""
         if not fresh:
             return
-        joined, size, at = [], 0, 0
-        for k, x in enumerate(fresh, 1):
-            size += len(x)
-            after = fresh[k] if k < len(fresh) else "."
-            if size >= most_chars or not (after[0] == " " or after[0] == "\n" and not x[-1].isspace()) or len(after) < 2 or after[1].isspace():
-                joined.append("".join(fresh[at:k]))
-                at, size = k, 0
-        ids = np.concatenate([np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
-        sizes = np.fromiter((len(x.encode()) for x in fresh), np.int64, len(fresh))
-        ends = ((np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum(sizes)) + 1) * 4).tolist()
-        data, at = ids.tobytes(), 0
-        for x, end in zip(fresh, ends, strict=True):
-            self.words[x] = data[at:end]
-            at = end
+        joined = ["".join(fresh[k : k + together]) for k in range(0, len(fresh), together)]
+        ids = np.concatenate([np.array(x.ids, self.kind) for x in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
+        sizes = np.fromiter(map(len, map(str.encode, fresh)), np.int64, len(fresh))
+        ends = (np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum(sizes)) + 1) * ids.itemsize
+        data, ends = ids.tobytes(), ends.tolist()
+        self.words.update(zip(fresh, [data[s:e] for s, e in zip([0, *ends], ends, strict=False)], strict=True))
 
     def learn(self) -> None:
         """Ids of the pieces that have a number only."""
-        fresh = [cut_more(x) for x in islice(self.numbers, self.known, None)]
-        if not fresh:
+        if len(self.numbers) == self.known:
             return
+        fresh = [cut_more(" " + x if type(x) is str else x[0]) for x in islice(self.numbers, self.known, None)]
         if len(self.words) > self.most_words // 2:
             self.words, self.old_words = {}, self.words
-        unknown = {x for parts in fresh for x in parts if x not in self.words}
+        words = self.words
+        unknown = {x for parts in fresh for x in parts if x not in words}
         if self.old_words:
-            again = {x for x in unknown if x in self.old_words}
-            self.words.update((x, self.old_words[x]) for x in again)
+            again = unknown & self.old_words.keys()
+            words.update((x, self.old_words[x]) for x in again)
             unknown -= again
-        self.learn_words([x for x in unknown if x[0] == " "] + [x for x in unknown if x[0] != " "])
-        words = self.words
-        parts = [b"".join([words[x] for x in p]) if len(p) > 1 else words[p[0]] for p in fresh]
-        ids = np.frombuffer(b"".join(parts), np.uint32)
-        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))) // 4
+        after_blank, after_line, others = [], [], []
+        for x in unknown:
+            if x[0] == " " and len(x) > 1 and not x[1].isspace():
+                after_blank.append(x)  # a cut before it is certain
+            elif x[0] == "\n" and len(x) > 1 and not x[1].isspace() and not x[-1].isspace():
+                after_line.append(x)  # and so it is here, as no white space comes before
+            else:
+                others.append(x)
+        self.learn_words(after_blank, 4096)
+        self.learn_words(after_line, 4096)
+        self.learn_words(others, 1)
+        parts = [words[p[0]] if len(p) == 1 else b"".join([words[x] for x in p]) for p in fresh]
+        ids = np.frombuffer(b"".join(parts), self.kind)
+        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))) // ids.itemsize
         while self.n_ids + len(ids) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.empty_like(self.ids)))
         while self.known + len(fresh) + 1 > len(self.starts):
@@ -123,28 +137,20 @@ class Encoder:
         self.known += len(fresh)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text."""
+        """Ids of each text, unsigned 32-bit."""
         if len(self.numbers) > self.most_pieces:
             self.forget()
-        numbers = self.numbers
-        rows = []
-        for text in texts:
-            row = []
-            for x in cut(text):
-                k = numbers.get(x)
-                if k is None:
-                    k = numbers[x] = len(numbers)
-                row.append(k)
-            rows.append(np.array(row, np.int64))
+        number, keys = self.numbers.__getitem__, [cut(text) for text in texts]
+        counts = [len(x) for x in keys]
+        flat = np.fromiter(map(number, chain.from_iterable(keys)), np.int64, sum(counts))
         self.learn()
-        flat = np.concatenate(rows) if rows else np.empty(0, np.int64)
         start = self.starts[flat]
         count = self.starts[flat + 1] - start
         total = np.cumsum(count)
         where = np.arange(int(total[-1]) if len(total) else 0) + np.repeat(start - (total - count), count)
-        ids = self.ids[where]
-        cuts = np.r_[0, total][np.cumsum([len(r) for r in rows])] if rows else []
-        return np.split(ids, cuts[:-1]) if rows else []
+        ids = self.ids[where].astype(np.uint32)
+        cuts = np.r_[0, total][np.cumsum(counts)] if texts else []
+        return np.split(ids, cuts[:-1]) if texts else []
 
 
 _ENCODERS: dict[str, Encoder] = {}
