@@ -9,49 +9,31 @@ from pyspark.sql import functions as F
 
 from millrace.operators.merge import MAX_LAYOUT_COLUMNS
 from millrace.operators.writes import clustered, range_arranged
-from millrace.session import hadoop_path
-from millrace.sources.sampling import file_listing
 from millrace.tables.store import Provenance, VersionedTable
 
 DEFAULT_RETENTION_HOURS = 168
 ZORDER_BITS = 6  # 63 range bounds per column
 
 
-def _as_number(df: DataFrame, name: str) -> Column:
-    """An order-preserving number for a column; text by its first six bytes."""
-    kind = df.schema[name].dataType.typeName()
-    column = F.col(f"`{name}`")
-    if kind == "string":
-        head = F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), 1, 6)), 12, "0")
-        return F.conv(head, 16, 10).cast("double")
-    if kind == "date":
-        return F.unix_date(column).cast("double")
-    if kind in ("timestamp", "timestamp_ntz"):
-        return F.unix_micros(column.cast("timestamp")).cast("double")
-    if kind == "boolean":
-        return column.cast("int").cast("double")
-    return column.cast("double")
-
-
-def _bucket(value: Column, bounds: Sequence[float], low: int = 0) -> Column:
+def _range(value: Column, bounds: Sequence, low: int = 0) -> Column:
     """Which range a value falls in, by halving: six comparisons for 63 bounds."""
     if not bounds:
         return F.lit(low)
     mid = len(bounds) // 2
-    return F.when(value < bounds[mid], _bucket(value, bounds[:mid], low)).otherwise(
-        _bucket(value, bounds[mid + 1 :], low + mid + 1)
-    )
+    return F.when(value < F.lit(bounds[mid]), _range(value, bounds[:mid], low)).otherwise(_range(value, bounds[mid + 1 :], low + mid + 1))
 
 
-def zorder_key(df: DataFrame, columns: Sequence[str], bits: int = ZORDER_BITS) -> Column:
-    """Interleaved bits of each column's quantile range. The bounds are a bounded, small aggregate."""
-    names = list(columns)[:MAX_LAYOUT_COLUMNS]
-    shares = [i / 2**bits for i in range(1, 2**bits)]
-    quantiles = [F.percentile_approx(_as_number(df, n), shares, 10_000).alias(n) for n in names]
-    bounds = df.agg(*quantiles).first()
+def zorder_key(df: DataFrame, columns: Sequence[str], bits: int = ZORDER_BITS, sample_rows: int = 8192, seed: int = 3) -> Column:
+    """Interleaved bits of each column's range. The bounds are quantiles of about `sample_rows` rows drawn from the
+    whole frame; values are compared whole, texts included."""
+    names = list(columns)
+    total = max(df.count(), 1)
+    sample = df.select(*[F.col(f"`{n}`") for n in names]).sample(min(1.0, sample_rows / total), seed).collect()
     key = F.lit(0).cast("bigint")
     for i, name in enumerate(names):
-        bucket = F.coalesce(_bucket(_as_number(df, name), sorted(bounds[name] or [])), F.lit(0)).cast("bigint")
+        values = sorted(row[i] for row in sample if row[i] is not None and row[i] == row[i])
+        bounds = [values[len(values) * k // 2**bits] for k in range(1, 2**bits)] if values else []
+        bucket = F.coalesce(_range(F.col(f"`{name}`"), list(dict.fromkeys(bounds))), F.lit(0)).cast("bigint")
         for bit in range(bits):
             one = F.shiftright(bucket, bit).bitwiseAND(F.lit(1))
             key = key + F.shiftleft(one, bit * len(names) + i)
@@ -66,33 +48,21 @@ def zordered(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def recluster(
     table: VersionedTable, columns: Sequence[str] = (), merge_keys: Sequence[str] = (), zorder: bool = False
 ) -> int:
-    """Rewrite by at most four columns, the merge keys if none are named."""
-    chosen = list(columns or merge_keys)[:MAX_LAYOUT_COLUMNS]
+    """Rewrite by at most four named columns, else by the first four merge keys. Later writes keep the columns."""
+    head = table.commit()
+    if len(columns) > MAX_LAYOUT_COLUMNS:
+        raise ValueError(f"at most {MAX_LAYOUT_COLUMNS} columns to cluster by")
+    chosen = list(columns) or list(merge_keys or (head["merge_keys"] if head else ()))[:MAX_LAYOUT_COLUMNS]
     if not chosen:
         raise ValueError("name the columns to cluster by")
     rows = table.read()
     arranged = zordered(rows, chosen) if zorder else clustered(rows, chosen)
-    return table.rewrite(arranged, "ZORDER" if zorder else "CLUSTER", Provenance(trigger="maintenance"))
-
-
-def expired_files(table: VersionedTable, retention_hours: float = DEFAULT_RETENTION_HOURS) -> DataFrame:
-    """Data files older than the retention that the current version does not use: `path, modified_at, bytes`."""
-    live = table.files().select("path")
-    cutoff = F.current_timestamp() - F.expr(f"make_dt_interval(0, 0, 0, {float(retention_hours) * 3600})")
-    old = file_listing(table.spark, f"{table.path}/data").where(F.col("modified_at") < cutoff)
-    return old.join(live, "path", "left_anti")
+    return table.rewrite(arranged, "ZORDER" if zorder else "CLUSTER", Provenance(trigger="maintenance"), chosen)
 
 
 def expire(table: VersionedTable, retention_hours: float = DEFAULT_RETENTION_HOURS) -> int:
-    """Delete whole expired directories; how many. A directory with any live or recent file stays."""
-    folder = F.regexp_extract("path", r"/data/(_v=[0-9]+.*)/[^/]+$", 1).alias("folder")
-    every = file_listing(table.spark, f"{table.path}/data").groupBy(folder).count()
-    dead = expired_files(table, retention_hours).groupBy(folder).count()
-    names = [r["folder"] for r in every.join(dead, ["folder", "count"], "left_semi").collect()]
-    for name in names:
-        fs, jpath = hadoop_path(table.spark, f"{table.path}/data/{name}")
-        fs.delete(jpath, True)
-    return len(names)
+    """Delete the directories that no version within the retention needs; how many."""
+    return table.expire(retention_hours)
 
 
 def sweep(

@@ -74,15 +74,15 @@ class MergeParts:
         kept = self.joined.select("after.*")
         return kept.unionByName(self.untouched).unionByName(self.inserts)
 
-    def changes(self) -> DataFrame:
-        """`insert`, `update_preimage` and `update_postimage` rows with `_change_type` in front."""
-        images = F.array(
-            F.struct(F.lit("update_preimage").alias("_change_type"), F.col("before").alias("row")),
-            F.struct(F.lit("update_postimage").alias("_change_type"), F.col("after").alias("row")),
-        )
-        updates = self.joined.where("matched").select(F.inline(images)).select("_change_type", "row.*")
-        inserted = self.inserts.select(F.lit("insert").alias("_change_type"), "*")
-        return updates.unionByName(inserted)
+    def by_kind(self, column: str) -> DataFrame:
+        """Every row once, with what it is: `keep`, `pre` and `post` of an update, `insert`."""
+        kinds = F.when(
+            F.col("matched"),
+            F.array(F.struct(F.lit("pre").alias(column), F.col("before").alias("row")), F.struct(F.lit("post").alias(column), F.col("after").alias("row"))),
+        ).otherwise(F.array(F.struct(F.lit("keep").alias(column), F.col("after").alias("row"))))
+        joined = self.joined.select(F.inline(kinds)).select("row.*", column)
+        untouched = self.untouched.withColumn(column, F.lit("keep"))
+        return joined.unionByName(untouched).unionByName(self.inserts.withColumn(column, F.lit("insert")))
 
 
 def merge_parts(

@@ -37,6 +37,8 @@ class OutputSpec:
             raise ValueError(f"unsupported mode {self.mode!r}")
         if self.mode == "merge" and not self.merge_keys:
             raise ValueError("mode 'merge' needs merge_keys")
+        if len(self.cluster_by) > MAX_LAYOUT_COLUMNS:
+            raise ValueError(f"at most {MAX_LAYOUT_COLUMNS} columns to cluster by")
 
     @classmethod
     def parse(cls, value: str | Mapping | OutputSpec) -> OutputSpec:
@@ -50,7 +52,8 @@ class OutputSpec:
         raise TypeError(f"unsupported output description {type(value).__name__}")
 
     def layout_columns(self) -> list[str]:
-        return list(self.cluster_by or self.merge_keys)[:MAX_LAYOUT_COLUMNS]
+        """Those named; else the first merge keys."""
+        return list(self.cluster_by) or list(self.merge_keys)[:MAX_LAYOUT_COLUMNS]
 
 
 def append_rows(target: DataFrame, batch: DataFrame) -> DataFrame:
@@ -71,8 +74,9 @@ def range_arranged(df: DataFrame, columns: Sequence[str], files: int | None = No
 
 def clustered(df: DataFrame, columns: Sequence[str], files: int | None = None) -> DataFrame:
     """Arrange by at most four columns, so that files cover narrow value ranges and scans can skip them."""
-    chosen = list(columns)[:MAX_LAYOUT_COLUMNS]
-    return range_arranged(df, chosen, files) if chosen else df
+    if len(columns) > MAX_LAYOUT_COLUMNS:
+        raise ValueError(f"at most {MAX_LAYOUT_COLUMNS} columns to cluster by")
+    return range_arranged(df, columns, files) if columns else df
 
 
 def write_path(df: DataFrame, path: str) -> None:

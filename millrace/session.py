@@ -13,6 +13,7 @@ def local_session(cores: int | str = 8, memory: str = "8g", app: str = "millrace
     """A session for tests and the bench. On a cluster the caller brings the session."""
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="millrace-"))
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.session.timeZone", "UTC")
@@ -26,18 +27,10 @@ def local_session(cores: int | str = 8, memory: str = "8g", app: str = "millrace
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by the cluster.
-
-    Only a local session without one gets a temporary folder; a cluster without one is an error,
-    because a machine-local path would vanish with its machine.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
+    """The folder every executor can reach: the one that the cluster names, else one beside its tables."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the whole cluster")
-        root = tempfile.mkdtemp(prefix="millrace-")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")

@@ -22,11 +22,10 @@ def merge_batches(
     is already there is left out: a replay after a crash does not add its counts twice."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        run = f"{name}:{batch_id}"
-        if table.has_run(run):
+        if table.has_batch(name, batch_id):
             return
         local = VersionedTable(batch.sparkSession, table.path, table._partition_by)
-        local.merge(prepare(batch), keys, update, by=Provenance(run, "event"))
+        local.merge(prepare(batch), keys, update, by=Provenance(f"{name}:{batch_id}", "event", (name, batch_id)))
 
     return write
 

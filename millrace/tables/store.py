@@ -1,20 +1,19 @@
 """A versioned table as plain Parquet directories and a Parquet commit log.
 
-    <path>/data/_v=<n>/...        files written by commit n
-    <path>/changes/_v=<n>/...     change rows of merge commit n
-    <path>/log/version=<n>/       the commit's row; writing it publishes the commit
-
-A commit lists the directories that make up the table. Appends add one directory. Merges rewrite only what the
-batch touches: the partitions that occur in it when every partition column is tied to the keys, else the files
-that hold a matching key. Such files are named as dead in their directory's entry and left out by readers.
-Appends and replaces write no change rows: their data directories already are the inserts (and the former
-directories the deletes). One writer per table; readers see the highest published version.
+    <path>/data/_v=<n>/_k=<kind>/...   rows that commit n wrote
+    <path>/dirs/version=<n>/           the directories that commit n added and dropped
+    <path>/log/version=<n>/            the commit's row; writing it publishes the commit
+
+A commit writes each row once, under its kind: `keep` (rewritten as it was), `insert`, `post` (a row after an update)
+and `pre` (the row before it). The first three are the table's contents, the last three the commit's change rows, so
+there is no second copy of either. A merge rewrites the directories that hold a matching key, whole, and drops their
+former entries. What a commit stores grows with what it touches, not with the table's history. One writer per table;
+readers see the highest published version.
 """
 
 from __future__ import annotations
 
 import json
-import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -25,23 +24,24 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from millrace.operators import changes as ch
 from millrace.operators import merge as mg
-from millrace.operators.schema import evolve
+from millrace.operators.schema import evolve, shape
 from millrace.operators.writes import OutputSpec, clustered
 from millrace.session import freeze, hadoop_path, session_conf
 from millrace.sources.sampling import file_listing
 
 COMMIT_SCHEMA = """
-committed_at timestamp, operation string, data_change boolean, replaces boolean,
-dirs array<struct<path: string, files: bigint, bytes: bigint, dead: array<string>>>, partition_by array<string>, merge_keys array<string>, schema string,
+committed_at timestamp, operation string, replaces boolean, base bigint, feed_from bigint,
+partition_by array<string>, merge_keys array<string>, cluster_by array<string>, schema string,
 inserted bigint, updated bigint, deleted bigint, output_rows bigint, total_rows bigint,
-file_count bigint, total_bytes bigint, trigger string, run_id string
+file_count bigint, total_bytes bigint, trigger string, run_id string, streams map<string, bigint>
 """
 LOG_SCHEMA = f"{COMMIT_SCHEMA}, version bigint"
-_VERSION = "_v"
-_FOLDER = r"/data/(_v=[0-9]+.*)/[^/]+$"
+DIRS_SCHEMA = "action string, path string, kind string, partition string, files bigint, bytes bigint, rows bigint, version bigint"
+_VERSION, _KIND = "_v", "_k"
+_FOLDER = r"/data/(_v=[0-9]+/.*)/[^/]+$"
+#: Kinds of rows, as change types where they are changes.
+CHANGE_TYPES = {"insert": "insert", "pre": "update_preimage", "post": "update_postimage"}
 TARGET_FILE_BYTES = 128 * 1024 * 1024
-MAX_TOUCHED_PARTITIONS = 5000
-MAX_TOUCHED_FILES = 5000
 
 
 def _file_path() -> Column:
@@ -49,12 +49,26 @@ def _file_path() -> Column:
     return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
 
 
+def _folder() -> Column:
+    return F.regexp_extract(_file_path(), _FOLDER, 1)
+
+
+def _tuple(columns: Sequence[str]) -> Column:
+    """Values of partition columns as one text, NULLs included."""
+    return F.to_json(F.array(*[F.col(f"`{c}`").cast("string") for c in columns])) if columns else F.lit("[]")
+
+
+class FeedError(LookupError):
+    """Change rows that cannot be given whole: a type has changed, or they have expired."""
+
+
 @dataclass(frozen=True)
 class Provenance:
-    """Who wrote a commit."""
+    """Who wrote a commit; for a stream, its name and batch."""
 
     run_id: str = ""
     trigger: str = "manual"
+    stream: tuple[str, int] | None = None
 
 
 class VersionedTable:
@@ -69,6 +83,10 @@ class VersionedTable:
         fs, jpath = hadoop_path(self.spark, path)
         return fs.exists(jpath)
 
+    def _delete(self, path: str) -> None:
+        fs, jpath = hadoop_path(self.spark, path)
+        fs.delete(jpath, True)
+
     def log(self) -> DataFrame:
         """All commits; a filter on `version` prunes."""
         if not self._exists(f"{self.path}/log"):
@@ -103,40 +121,61 @@ class VersionedTable:
         head = self.commit()
         return head["version"] if head else None
 
-    def has_run(self, run_id: str) -> bool:
-        return not self.log().where(F.col("run_id") == run_id).isEmpty()
+    def has_batch(self, stream: str, batch: int) -> bool:
+        """Whether the table holds a stream's batch; the head knows the last one of each stream."""
+        head = self.commit()
+        return head is not None and (head["streams"] or {}).get(stream, -1) >= batch
+
+    # -- directories
+
+    def dirs(self, commit: Row | None = None) -> DataFrame:
+        """The directories that make up the table as of a commit: path, kind, partition, files, bytes, rows."""
+        commit = commit or self.commit()
+        if commit is None:
+            return self.spark.createDataFrame([], DIRS_SCHEMA)
+        told = self.spark.read.schema(DIRS_SCHEMA).parquet(f"{self.path}/dirs")
+        told = told.where(F.col("version").between(commit["base"], commit["version"]) & (F.col("kind") != "pre"))
+        last = told.groupBy("path").agg(F.max_by(F.struct("action", "kind", "partition", "files", "bytes", "rows"), F.struct("version", "action")).alias("d"))
+        return last.where("d.action = 'add'").select("path", "d.*").drop("action")
+
+    def _describe(self, version: int, schema: StructType, parts: Sequence[str]) -> DataFrame:
+        """What a commit has written, by directory; no column but the partition's is read."""
+        files = self._read_paths([f"{_VERSION}={version}"], schema).select(
+            _folder().alias("path"), F.col(_KIND).alias("kind"), _tuple(parts).alias("partition"), F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_size").alias("bytes")
+        )
+        files = files.groupBy("path", "kind", "partition", "name", "bytes").agg(F.count(F.lit(1)).alias("rows"))
+        by_dir = files.groupBy("path", "kind", "partition").agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"))
+        return by_dir.select(F.lit("add").alias("action"), "path", "kind", "partition", "files", "bytes", "rows")
 
     # -- reading
 
-    def _read_paths(self, paths: Sequence[str], schema: StructType, kind: str = "data") -> DataFrame:
-        root = f"{self.path}/{kind}"
-        full = StructType([*schema.fields, StructField(_VERSION, LongType())])
+    def _read_paths(self, paths: Sequence[str], schema: StructType) -> DataFrame:
+        """Rows below directories, with their version and kind."""
+        root = f"{self.path}/data"
+        full = StructType([*schema.fields, StructField(_VERSION, LongType()), StructField(_KIND, StringType())])
         if not paths:
             return self.spark.createDataFrame([], full)
         reader = self.spark.read.option("basePath", root).schema(full)
         return reader.parquet(*[f"{root}/{p}" for p in paths])
 
+    def _paths(self, dirs: DataFrame) -> list[str]:
+        """Paths for a scan: whole versions or kinds have one path each, as scans are planned by path."""
+        return sorted(r["path"] for r in dirs.select("path").collect())
+
     def contents(self, commit: Row) -> DataFrame:
         """The table as of a commit row."""
         schema = StructType.fromJson(json.loads(commit["schema"]))
-        dead = [name for d in commit["dirs"] for name in d["dead"]]
-        rows = self._read_paths([d["path"] for d in commit["dirs"]], schema)
-        if dead:
-            rows = rows.where(~F.col("_metadata.file_name").isin(dead))
-        return rows.select(*[f"`{n}`" for n in schema.names])
+        return self._read_paths(self._paths(self.dirs(commit)), schema).select(*[f"`{n}`" for n in schema.names])
 
     @staticmethod
-    def _conform(df: DataFrame, schema: StructType, keep: Sequence[str] = ()) -> DataFrame:
-        """Older rows in a newer schema: a value that does not fit a changed type reads NULL."""
-        have = dict(df.dtypes)
-
-        def column(f: StructField) -> Column:
-            if f.name not in have:
-                return F.lit(None).cast(f.dataType).alias(f.name)
-            same = have[f.name] == f.dataType.simpleString()
-            return F.col(f"`{f.name}`") if same else F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name)
-
-        return df.select(*keep, *[column(f) for f in schema])
+    def _fitted(df: DataFrame, schema: StructType, keep: Sequence[str] = ()) -> DataFrame:
+        """Rows of an earlier schema in the newest one. A type that has changed is an error, not a NULL."""
+        have = dict(shape(df.schema))
+        for f in schema:
+            if f.name in have and have[f.name] != f.dataType.simpleString():
+                raise FeedError(f"column {f.name!r} was {have[f.name]} and is {f.dataType.simpleString()} now: read the table in full")
+        columns = [F.col(f"`{f.name}`") if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in schema]
+        return df.select(*keep, *columns)
 
     def read(self, version: int | None = None) -> DataFrame:
         """The table now, or as it was at a version."""
@@ -151,114 +190,102 @@ class VersionedTable:
 
     def changes(self, after: int = -1, upto: int | None = None) -> DataFrame:
         """Change rows of the commits in `(after, upto]` with type, version and time. Commits that only
-        rearrange files have none."""
+        rearrange files have none. Raises FeedError if they can't be given whole."""
         versions = [v for v in self._versions() if v >= after and (upto is None or v <= upto)]
         if not versions:
             raise LookupError(f"{self.path} has no commit from {after} on")
         log = self._log_of(versions)
-        commits = log.orderBy("version").collect()
+        commits = log.orderBy("version").collect()  # a row a commit of the range
+        newest = commits[-1]
+        if after < (newest["feed_from"] or 0) - 1:
+            raise FeedError(f"change rows before version {newest['feed_from']} have expired")
         former = commits.pop(0) if commits[0]["version"] == after else None
-        newest = commits[-1] if commits else former
         schema = StructType.fromJson(json.loads(newest["schema"]))
         names = [f"`{n}`" for n in schema.names]
         times = log.select(F.col("version").alias("_commit_version"), F.col("committed_at").alias("_commit_timestamp"))
 
         parts: list[DataFrame] = []
-        # Commits of one schema are read together; earlier schemas are then fitted to the newest.
-        inserts: dict[str, list[str]] = {}
-        merges: dict[str, list[str]] = {}
+        by_schema: dict[str, list[str]] = {}  # commits of one schema are read together
         for c in commits:
-            if c["data_change"] and c["operation"] == "MERGE":
-                merges.setdefault(c["schema"], []).append(f"{_VERSION}={c['version']}")
-            elif c["data_change"]:
-                own = f"{_VERSION}={c['version']}"
-                paths = [d["path"] for d in c["dirs"]]
-                inserts.setdefault(c["schema"], []).extend(p for p in paths if p.split("/")[0] == own)
-                if c["replaces"] and former is not None:
-                    gone = self._conform(self.contents(former), schema)
-                    version = F.lit(c["version"]).cast("bigint").alias("_commit_version")
-                    parts.append(gone.select(F.lit("delete").alias("_change_type"), *names, version))
+            by_schema.setdefault(c["schema"], []).append(f"{_VERSION}={c['version']}")
+            if c["replaces"] and former is not None:
+                gone = self._fitted(self.contents(former), schema)
+                parts.append(gone.select(F.lit("delete").alias("_change_type"), *names, F.lit(c["version"]).cast("bigint").alias("_commit_version")))
             former = c
-        version = F.col(_VERSION).alias("_commit_version")
-        for text, paths in inserts.items():
-            rows = self._read_paths(paths, StructType.fromJson(json.loads(text)))
-            rows = self._conform(rows, schema, keep=[_VERSION])
-            parts.append(rows.select(F.lit("insert").alias("_change_type"), *names, version))
-        kind = StructField("_change_type", StringType())
-        for text, paths in merges.items():
-            own = StructType([kind, *StructType.fromJson(json.loads(text)).fields])
-            rows = self._conform(self._read_paths(paths, own, "changes"), schema, keep=["_change_type", _VERSION])
-            parts.append(rows.select("_change_type", *names, version))
+        kind = F.create_map(*[F.lit(x) for pair in CHANGE_TYPES.items() for x in pair])[F.col(_KIND)].alias("_change_type")
+        for text, paths in by_schema.items():
+            there = [p for p in paths if self._exists(f"{self.path}/data/{p}")]
+            rows = self._read_paths(there, StructType.fromJson(json.loads(text))).where(F.col(_KIND) != "keep")
+            parts.append(self._fitted(rows, schema, keep=[_KIND, _VERSION]).select(kind, *names, F.col(_VERSION).alias("_commit_version")))
         if not parts:
-            parts.append(self.spark.createDataFrame([], StructType([kind, *schema.fields, StructField("_commit_version", LongType())])))
+            fields = [StructField("_change_type", StringType()), *schema.fields, StructField("_commit_version", LongType())]
+            parts.append(self.spark.createDataFrame([], StructType(fields)))
         rows = reduce(DataFrame.unionByName, parts).join(times, "_commit_version")
         return rows.select("_change_type", *names, "_commit_version", "_commit_timestamp")
 
     # -- writing
 
-    def _parts(self, head: Row | None) -> list[str]:
-        return list(head["partition_by"]) if head else self._partition_by
-
-    def _write(self, df: DataFrame, version: int, partition_by: Sequence[str]) -> list[dict]:
-        """Write a commit's data; the directories it consists of."""
-        own = f"{_VERSION}={version}"
-        target = f"{self.path}/data/{own}"
-        if not partition_by:
-            df.write.mode("overwrite").parquet(target)
-            return self._sized([own])
-        rows = df.hint("rebalance", *partition_by)
-        rows.write.mode("overwrite").partitionBy(*partition_by).parquet(target)
-        return self._sized([f"{own}/{p}" for p in self._leaf_dirs(target, len(partition_by))])
-
-    def _leaf_dirs(self, path: str, depth: int) -> list[str]:
-        fs, jpath = hadoop_path(self.spark, path)
-        names = [s.getPath().getName() for s in fs.listStatus(jpath) if s.isDirectory()]
-        names = sorted(n for n in names if "=" in n)
-        if depth == 1:
-            return names
-        return [f"{n}/{rest}" for n in names for rest in self._leaf_dirs(f"{path}/{n}", depth - 1)]
-
-    def _sized(self, paths: Sequence[str]) -> list[dict]:
-        """Directories just written, with their files and bytes."""
-        dirs = []
-        for path in paths:
-            fs, jpath = hadoop_path(self.spark, f"{self.path}/data/{path}")
-            sizes = [s.getLen() for s in fs.listStatus(jpath) if s.isFile() and not s.getPath().getName().startswith(("_", "."))]
-            dirs.append({"path": path, "files": len(sizes), "bytes": sum(sizes), "dead": []})
-        return dirs
-
-    def _publish(
+    def _write(self, df: DataFrame, version: int, parts: Sequence[str]) -> None:
+        """Write a commit's rows, which have their kind."""
+        target = f"{self.path}/data/{_VERSION}={version}"
+        rows = df.hint("rebalance", _KIND, *parts) if parts else df
+        rows.write.mode("overwrite").partitionBy(_KIND, *parts).parquet(target)
+
+    def _commit(
         self,
-        version: int,
+        head: Row | None,
+        rows: DataFrame,
         operation: str,
         schema: StructType,
-        dirs: Sequence[dict],
-        partition_by: Sequence[str],
         by: Provenance,
-        counts: Mapping[str, int | None],
-        merge_keys: Sequence[str] = (),
-        data_change: bool = True,
+        dropped: DataFrame | None = None,
+        merge_keys: Sequence[str] | None = None,
+        cluster_by: Sequence[str] = (),
         replaces: bool = False,
+        rebase: bool = False,
     ) -> int:
+        """Write rows with their kind, then the directories, then the commit's row. `dropped` are directories that
+        the commit takes out; `rebase` says that these are all there were."""
+        version = head["version"] + 1 if head else 0
+        parts = list(head["partition_by"]) if head else self._partition_by
+        self._write(rows, version, parts)
+        told = self._describe(version, schema, parts)
+        if dropped is not None:
+            gone = dropped.select(F.lit("drop").alias("action"), "path", "kind", "partition", "files", "bytes", "rows")
+            told = told.unionByName(gone)
+        path = f"{self.path}/dirs/version={version}"
+        told.coalesce(1).write.mode("overwrite").parquet(path)
+        sums = self.spark.read.parquet(path).groupBy("action", "kind").agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows")).collect()
+        kinds = {r["kind"]: r["rows"] for r in sums if r["action"] == "add"}
+        live = [(1 if r["action"] == "add" else -1, r) for r in sums if r["kind"] != "pre"]
+        start = {"file_count": 0, "total_bytes": 0, "total_rows": 0} if head is None else head.asDict()
         row = {
-            "operation": operation, "data_change": data_change, "replaces": replaces, "dirs": dirs,
-            "partition_by": list(partition_by), "merge_keys": list(merge_keys), "schema": schema.json(), "trigger": by.trigger, "run_id": by.run_id,
-            "file_count": sum(d["files"] for d in dirs), "total_bytes": sum(d["bytes"] for d in dirs),
-            "inserted": None, "updated": None, "deleted": None, "output_rows": None, "total_rows": None, **counts,
+            "operation": operation, "replaces": replaces, "base": version if head is None or rebase else head["base"],
+            "feed_from": head["feed_from"] if head else 0, "partition_by": parts, "schema": schema.json(),
+            "merge_keys": list(merge_keys) if merge_keys is not None else list(head["merge_keys"]) if head else [],
+            "cluster_by": list(cluster_by) or (list(head["cluster_by"]) if head else []),
+            "inserted": kinds.get("insert", 0), "updated": kinds.get("post", 0), "deleted": 0,
+            "output_rows": kinds.get("insert", 0) if operation in ("CREATE", "WRITE", "APPEND") else None,
+            "file_count": start["file_count"] + sum(s * r["files"] for s, r in live),
+            "total_bytes": start["total_bytes"] + sum(s * r["bytes"] for s, r in live),
+            "total_rows": start["total_rows"] + sum(s * r["rows"] for s, r in live),
+            "trigger": by.trigger, "run_id": by.run_id, "streams": dict(head["streams"] or {}) if head else {},
         }
-        row["committed_at"] = F.current_timestamp()
-        row["dirs"] = F.from_json(F.lit(json.dumps(dirs)), "array<struct<path: string, files: bigint, bytes: bigint, dead: array<string>>>")
+        if by.stream:
+            row["streams"][by.stream[0]] = by.stream[1]
+        return self._publish(version, row)
+
+    def _publish(self, version: int, row: Mapping) -> int:
         fields = StructType.fromDDL(COMMIT_SCHEMA)
-        frame = self.spark.range(0, 1, 1, 1).select(*[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in fields])
-        frame.write.mode("overwrite").parquet(f"{self.path}/log/version={version}")
+        given = [F.from_json(F.lit(json.dumps(row["streams"])), "map<string, bigint>").alias("streams"), F.current_timestamp().alias("committed_at")]
+        frame = self.spark.range(0, 1, 1, 1)
+        columns = [F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in fields if f.name not in ("streams", "committed_at")]
+        frame.select(*columns, *given).select(*fields.names).write.mode("overwrite").parquet(f"{self.path}/log/version={version}")
         return version
 
     @staticmethod
-    def _dirs(commit: Row) -> list[dict]:
-        return [d.asDict() for d in commit["dirs"]]
-
-    def _count(self, dirs: Sequence[dict], schema: StructType) -> int:
-        return self._read_paths([d["path"] for d in dirs], schema).count()  # Parquet footers only, no column is read
+    def _of_kind(df: DataFrame, kind: str) -> DataFrame:
+        return df.withColumn(_KIND, F.lit(kind))
 
     def replace(
         self,
@@ -267,28 +294,25 @@ class VersionedTable:
         cluster_by: Sequence[str] = (),
         merge_keys: Sequence[str] = (),
     ) -> int:
-        """The output becomes the table, schema included."""
+        """The output becomes the table, schema included. The layout columns are remembered."""
         head = self.commit()
-        version = head["version"] + 1 if head else 0
-        parts = self._parts(head)
-        dirs = self._write(clustered(df, cluster_by), version, parts)
-        rows = self._count(dirs, df.schema)
-        counts = {"output_rows": rows, "total_rows": rows, "inserted": rows}
-        operation = "WRITE" if head else "CREATE"
-        return self._publish(version, operation, df.schema, dirs, parts, by, counts, merge_keys, replaces=True)
+        layout = list(cluster_by) or [c for c in (head["cluster_by"] if head else ()) if c in df.columns]
+        rows = self._of_kind(clustered(df, layout), "insert")
+        dropped = self.dirs(head) if head else None
+        return self._commit(head, rows, "WRITE" if head else "CREATE", df.schema, by, dropped, merge_keys, layout, replaces=True, rebase=True)
 
     def append(self, df: DataFrame, by: Provenance = Provenance(), cluster_by: Sequence[str] = ()) -> int:
         """Add a batch, in time proportional to the batch; new columns read NULL in older rows."""
         head = self.commit()
         if head is None:
             return self.replace(df, by, cluster_by)
-        version, parts = head["version"] + 1, self._parts(head)
-        schema = evolve(self.contents(head).limit(0), df.schema).schema
-        dirs = self._write(clustered(df, cluster_by), version, parts)
-        rows = self._count(dirs, schema)
-        total = None if head["total_rows"] is None else head["total_rows"] + rows
-        counts = {"output_rows": rows, "inserted": rows, "total_rows": total}
-        return self._publish(version, "APPEND", schema, [*self._dirs(head), *dirs], parts, by, counts, head["merge_keys"])
+        layout = list(cluster_by) or list(head["cluster_by"])
+        schema = evolve(self._empty(head), df.schema).schema
+        rows = self._of_kind(clustered(df, [c for c in layout if c in df.columns]), "insert")
+        return self._commit(head, rows, "APPEND", schema, by, cluster_by=layout)
+
+    def _empty(self, head: Row) -> DataFrame:
+        return self.spark.createDataFrame([], StructType.fromJson(json.loads(head["schema"])))
 
     def merge(
         self,
@@ -300,84 +324,38 @@ class VersionedTable:
         cluster_by: Sequence[str] = (),
     ) -> int:
         """Keyed upsert. The first one creates the table. When every partition column is a key or named in
-        `bound_by`, only the partitions that occur in the batch are read and rewritten. Otherwise the keys
-        within the batch's bounds are scanned for the files that match, and those are rewritten; if they
-        are very many, all files are, and still only rows within the bounds are joined."""
+        `bound_by`, the partitions that occur in the batch are rewritten. Otherwise the keys within the batch's
+        bounds are scanned for the directories that hold a match, and those are."""
         head = self.commit()
         if head is None:
             return self.replace(df, by, cluster_by, keys)
-        version, parts = head["version"] + 1, self._parts(head)
-        batch = f"{self.path}/batches/{_VERSION}={version}"
-        source = freeze(df, batch)  # read for the bound, the data and the change rows
+        parts, layout = list(head["partition_by"]), list(cluster_by) or list(head["cluster_by"])
+        batch = f"{self.path}/batches/{_VERSION}={head['version'] + 1}"
+        source = freeze(df, batch)  # read for the bound, the directories and the rows
         mg.require_bound(source, keys, bound_by)
-        table = self.contents(head)
-        touched, rest, kept, values, files = table, None, [], None, None
+        schema = StructType.fromJson(json.loads(head["schema"]))
+        live = freeze(self.dirs(head), f"{batch}-dirs")
         if parts and all(p in keys or p in bound_by for p in parts):
-            values = source.select(*parts).distinct().limit(MAX_TOUCHED_PARTITIONS + 1).collect()
-        if values is not None and len(values) <= MAX_TOUCHED_PARTITIONS:
-            touched, kept = self._split_partitions(table, self._dirs(head), parts, values)
+            wanted = source.select(_tuple(parts).alias("partition")).distinct()
+            hit = live.join(wanted, "partition", "left_semi")
         else:
-            touched, rest = mg.split_by_bound(table, source, keys, cluster_by, bound_by)
-            files = self._matching_files(touched, source, keys)
-        if files is not None:
-            touched, rest = table.where(F.col("_metadata.file_name").isin([f["_name"] for f in files])), None
-            kept = self._without_files(self._dirs(head), files)
+            table = self._read_paths(self._paths(live), schema)
+            inside, _ = mg.split_by_bound(table, source, keys, layout, bound_by)
+            names = [F.col(f"`{k}`") for k in keys]
+            found = inside.select(*names, _folder().alias("path")).join(source.select(*names).distinct(), list(keys), "left_semi")
+            hit = live.join(found.select("path").distinct(), "path", "left_semi")
+        hit = freeze(hit, f"{batch}-hit")
+        touched = self._read_paths(self._paths(hit), schema).select(*[f"`{n}`" for n in schema.names])
         mg.require_single_match(touched, source, keys)
         merged = mg.merge_parts(touched, source, keys, update)
-        after = merged.table()
-        schema = evolve(table.limit(0), source.schema).schema
-        if rest is not None:
-            after = evolve(rest, source.schema).unionByName(after)
-        after = clustered(after, cluster_by)
-        change_path = f"{self.path}/changes/{_VERSION}={version}"
-        merged.changes().write.mode("overwrite").parquet(change_path)
-        dirs = self._write(after, version, parts)
-        kinds = self.spark.read.parquet(change_path).groupBy("_change_type").count().collect()
-        by_kind = {r["_change_type"]: r["count"] for r in kinds}
-        inserted, updated = by_kind.get("insert", 0), by_kind.get("update_postimage", 0)
-        total = None if head["total_rows"] is None else head["total_rows"] + inserted
-        counts = {"inserted": inserted, "updated": updated, "deleted": 0, "total_rows": total}
-        self._publish(version, "MERGE", schema, [*kept, *dirs], parts, by, counts, keys)
-        fs, jpath = hadoop_path(self.spark, batch)
-        fs.delete(jpath, True)
+        rows = merged.by_kind(_KIND)
+        rows = clustered(rows, [c for c in layout if c in rows.columns])
+        schema = evolve(self._empty(head), source.schema).schema
+        version = self._commit(head, rows, "MERGE", schema, by, hit, keys, layout)
+        for name in (batch, f"{batch}-dirs", f"{batch}-hit"):
+            self._delete(name)
         return version
 
-    @staticmethod
-    def _matching_files(table: DataFrame, source: DataFrame, keys: Sequence[str]) -> list[Row] | None:
-        """`folder, name, bytes` of the files with a key of the batch, None if there are too many to list."""
-        meta = [
-            F.regexp_extract(_file_path(), _FOLDER, 1).alias("_folder"),
-            F.col("_metadata.file_name").alias("_name"),
-            F.col("_metadata.file_size").alias("_bytes"),
-        ]
-        names = [F.col(f"`{k}`") for k in keys]
-        rows = table.select(*names, *meta).join(source.select(*names).distinct(), list(keys), "left_semi")
-        found = rows.select("_folder", "_name", "_bytes").distinct().limit(MAX_TOUCHED_FILES + 1).collect()
-        return found if len(found) <= MAX_TOUCHED_FILES else None
-
-    @staticmethod
-    def _without_files(dirs: Sequence[dict], files: Sequence[Row]) -> list[dict]:
-        """Directory entries with more files marked as dead; entries without a live file are dropped."""
-        kept = []
-        for d in dirs:
-            here = {f["_name"]: f["_bytes"] for f in files if f["_folder"] == d["path"]}
-            if d["files"] > len(here):
-                left = {"files": d["files"] - len(here), "bytes": d["bytes"] - sum(here.values())}
-                kept.append({**d, **left, "dead": sorted({*d["dead"], *here})})
-        return kept
-
-    def _split_partitions(
-        self, table: DataFrame, dirs: Sequence[dict], parts: Sequence[str], values: Sequence[Row]
-    ) -> tuple[DataFrame, list[dict]]:
-        """(rows in the listed partitions, directories outside them). The files say themselves which
-        directory they are in, so odd characters and NULLs in partition values need no care here."""
-        same = [[F.col(f"`{p}`").eqNullSafe(F.lit(row[p])) for p in parts] for row in values]
-        wanted = reduce(Column.__or__, [reduce(Column.__and__, c) for c in same], F.lit(False))
-        touched = table.where(wanted)
-        folders = touched.select(F.regexp_extract(_file_path(), _FOLDER, 1).alias("folder")).distinct()
-        hit = {row["folder"] for row in folders.collect()}
-        return touched, [d for d in dirs if d["path"] not in hit]
-
     def write(self, df: DataFrame, spec: OutputSpec, by: Provenance = Provenance()) -> int:
         if spec.mode == "merge":
             return self.merge(df, spec.merge_keys, spec.merge_update, spec.bound_by, by, spec.layout_columns())
@@ -385,25 +363,34 @@ class VersionedTable:
             return self.append(df, by, spec.cluster_by)
         return self.replace(df, by, spec.cluster_by)
 
-    def rewrite(self, df: DataFrame, operation: str, by: Provenance = Provenance()) -> int:
-        """Publish the same rows in other files: no change rows."""
+    def rewrite(self, df: DataFrame, operation: str, by: Provenance = Provenance(), cluster_by: Sequence[str] = (), dropped: DataFrame | None = None) -> int:
+        """Publish the same rows in other files: no change rows. All directories are rewritten unless some are named."""
         head = self.commit()
-        version, parts = head["version"] + 1, self._parts(head)
-        dirs = self._write(df, version, parts)
-        counts = {"total_rows": head["total_rows"]}
         schema = StructType.fromJson(json.loads(head["schema"]))
-        return self._publish(version, operation, schema, dirs, parts, by, counts, head["merge_keys"], data_change=False)
+        old = self.dirs(head) if dropped is None else dropped
+        return self._commit(head, self._of_kind(df, "keep"), operation, schema, by, old, None, cluster_by, rebase=dropped is None)
 
     def compact(self, target_bytes: int = TARGET_FILE_BYTES, by: Provenance = Provenance()) -> int:
-        """Fewer, larger files. Spark packs small files into read tasks of the target size and each task
-        writes one file, so nothing is shuffled (partitioned tables rebalance on their partition columns)."""
+        """Fewer, larger files: directories of a partition whose files are under half the target on average are
+        rewritten, if they have several files between them. Spark packs small files into read tasks of the target
+        size and each task writes one file, so nothing is shuffled (partitioned tables rebalance by partition). The
+        head stays as it is if there is nothing to do."""
+        head = self.commit()
+        small = self.dirs(head).where(F.col("bytes") < F.col("files") * (target_bytes / 2))
+        several = small.groupBy("partition").agg(F.sum("files").alias("n")).where("n > 1").select("partition")
+        small = small.join(several, "partition", "left_semi")
+        paths = self._paths(small)
+        if not paths:
+            return head["version"]
+        schema = StructType.fromJson(json.loads(head["schema"]))
         with session_conf(
             self.spark,
             spark__sql__files__maxPartitionBytes=str(target_bytes),
             spark__sql__files__openCostInBytes="0",
             spark__sql__files__minPartitionNum="1",
         ):
-            return self.rewrite(self.read(), "COMPACT", by)
+            rows = self._read_paths(paths, schema).select(*[f"`{n}`" for n in schema.names])
+            return self.rewrite(rows, "COMPACT", by, dropped=small)
 
     # -- files
 
@@ -411,15 +398,35 @@ class VersionedTable:
         """`path, modified_at, bytes` of the files a version consists of."""
         commit = self.commit(version)
         listed = file_listing(self.spark, f"{self.path}/data")
-        inside = F.regexp_extract("path", _FOLDER, 1)
         if commit is None:
             return listed.limit(0)
-        dead = [name for d in commit["dirs"] for name in d["dead"]]
-        live = inside.isin([d["path"] for d in commit["dirs"]])
-        return listed.where(live & ~F.regexp_extract("path", "[^/]+$", 0).isin(dead))
-
-    def estimated_files(self, target_bytes: int = TARGET_FILE_BYTES) -> int:
-        return max(1, math.ceil(self.commit()["total_bytes"] / target_bytes))
+        live = self.dirs(commit).select(F.col("path").alias("folder"))
+        inside = listed.withColumn("folder", F.regexp_extract("path", _FOLDER, 1))
+        return inside.join(live, "folder", "left_semi").drop("folder")
+
+    def expired(self, retention_hours: float) -> DataFrame:
+        """Directories that no version within the retention needs: dropped, or before an update, by a commit older than
+        that. `path, version` (the one that wrote it) and `rows`."""
+        cutoff = F.current_timestamp() - F.expr(f"make_dt_interval(0, 0, 0, {float(retention_hours) * 3600})")
+        old = self.log().where(F.col("committed_at") < cutoff).select("version")
+        told = self.spark.read.schema(DIRS_SCHEMA).parquet(f"{self.path}/dirs").join(old, "version", "left_semi")
+        gone = told.where((F.col("action") == "drop") | (F.col("kind") == "pre")).select("path").distinct()
+        added = told.where(F.col("action") == "add").select("path", "version", "rows")
+        return added.join(gone, "path", "left_semi")
+
+    def expire(self, retention_hours: float, by: Provenance = Provenance(trigger="maintenance")) -> int:
+        """Delete the expired directories; how many. The oldest version that a feed can still start from goes into
+        the log. Time travel reaches back as far."""
+        head = self.commit()
+        names = [r["path"] for r in self.expired(retention_hours).select("path").collect() if self._exists(f"{self.path}/data/{r['path']}")]
+        if names:
+            cutoff = F.current_timestamp() - F.expr(f"make_dt_interval(0, 0, 0, {float(retention_hours) * 3600})")
+            young = self.log().where(F.col("committed_at") >= cutoff).agg(F.min("version")).first()[0]
+            row = head.asDict() | {"operation": "EXPIRE", "replaces": False, "inserted": 0, "updated": 0, "output_rows": None, "feed_from": head["version"] + 1 if young is None else young, "trigger": by.trigger, "run_id": by.run_id}
+            self._publish(head["version"] + 1, row)
+        for name in names:
+            self._delete(f"{self.path}/data/{name}")
+        return len(names)
 
 
 @dataclass(frozen=True)
@@ -444,19 +451,23 @@ def read_feed(
 ) -> FeedRead:
     """Decide what a consumer that saw version `last` has to read.
 
-    No commit: skip. Never read, or the table was rebuilt and counts from the start again: everything.
-    Nothing new: skip. Forced: everything. Otherwise the change rows since then, the newest per key of the
-    producer: the keys it merges on, unless others are given.
+    No commit: skip. Never read, or the table was rebuilt and counts from the start again: everything. Nothing new:
+    skip, or everything if forced; otherwise force changes nothing. Behind: the change rows since then, the newest
+    per key of the producer (the keys it merges on, unless others are given); everything if they can't be given whole,
+    because a type has changed or they have expired.
     """
     head = table.commit()
     if head is None:
         return FeedRead(None, None)
     current = head["version"]
-    if last is None or last > current or forced:
+    if last is None or last > current or (forced and last == current):
         return FeedRead(table.contents(head), current, full=True)
     if last == current:
         return FeedRead(None, None)
-    rows = ch.version_range(table.changes(last, current), last, current, deletes)
+    try:
+        rows = ch.version_range(table.changes(last, current), last, current, deletes)
+    except FeedError:
+        return FeedRead(table.contents(head), current, full=True)
     keys = head["merge_keys"] if keys is None else keys
     if keys:
         rows = ch.latest_changes(rows, keys)

@@ -5,11 +5,12 @@ from pyspark.sql import functions as F
 
 from helpers import rows
 from millrace.operators.changes import latest_changes
-from millrace.operators.maintenance import expire, expired_files, recluster, sweep
+from millrace.operators.maintenance import expire, recluster, sweep
 from millrace.operators.merge import MergeError
 from millrace.operators.writes import OutputSpec
 from millrace.session import scratch_path
-from millrace.tables.store import Provenance, VersionedTable, read_feed
+from millrace.sources.sampling import file_listing
+from millrace.tables.store import FeedError, Provenance, VersionedTable, read_feed
 
 
 def frame(spark, data, schema):
@@ -66,8 +67,12 @@ def test_append_evolves_and_replace_drifts(spark, table):
     assert rows(table.read(), "id", "note") == [(1, None), (2, "x")]
     table.replace(frame(spark, [(3, "now text")], "id long, amount string"))
     assert rows(table.read()) == [(3, "now text")]
-    kinds = rows(table.changes(1), "_change_type", "id")
-    assert kinds == [("delete", 1), ("delete", 2), ("insert", 3)]
+    with pytest.raises(FeedError):  # `amount` has another type now: its old values can't be given
+        table.changes(0)
+    feed = read_feed(table, 0)
+    assert feed.full and rows(feed.df) == [(3, "now text")]
+    table.replace(frame(spark, [(4, "more")], "id long, amount string"))
+    assert rows(table.changes(2), "_change_type", "id") == [("delete", 3), ("insert", 4)]
 
 
 def test_partitioned_merge_rewrites_only_touched_partitions(spark):
@@ -75,10 +80,9 @@ def test_partitioned_merge_rewrites_only_touched_partitions(spark):
     d1, d2, d3 = (dt.date(2024, 1, i) for i in (1, 2, 3))
     schema = "k string, d date, v long"
     table.merge(frame(spark, [("A", d1, 1), ("B", d2, 1)], schema), ["k"], bound_by=["d"])
-    before = {d["path"] for d in table.commit()["dirs"]}
     table.merge(frame(spark, [("A", d1, 9), ("C", d3, 1)], schema), ["k"], bound_by=["d"])
     assert rows(table.read(), "k", "d", "v") == [("A", d1, 9), ("B", d2, 1), ("C", d3, 1)]
-    assert "_v=0/d=2024-01-02" in before & {d["path"] for d in table.commit()["dirs"]}
+    assert "_v=0/_k=insert/d=2024-01-02" in paths(table) and "_v=0/_k=insert/d=2024-01-01" not in paths(table)
     with pytest.raises(MergeError):
         table.merge(frame(spark, [("A", d1, 1), ("A", d2, 1)], schema), ["k"], bound_by=["d"])
     assert table.files().count() == table.commit()["file_count"] == 3
@@ -102,13 +106,25 @@ def test_same_key_twice_in_a_range_keeps_the_newest(spark, table):
     assert latest_changes(table.changes(), ["k"]).count() == 4
 
 
-def test_expire_removes_only_old_unreferenced_directories(spark, table):
+def test_expire_goes_by_the_time_of_replacement(spark, table):
     for v in (1, 2):
         table.replace(frame(spark, [(v,)], "v long"))
-    assert expired_files(table).count() == 0
-    assert expired_files(table, retention_hours=-1).count() >= 1
-    assert expire(table, retention_hours=-1) == 1
-    assert rows(table.read()) == [(2,)]
+    assert expire(table, retention_hours=1) == 0 and rows(table.read(0)) == [(1,)]  # replaced a moment ago
+    assert expire(table, retention_hours=-1) == 1 and rows(table.read()) == [(2,)]
+    assert read_feed(table, 0).full  # the rows of version 1 have no deletes any more
+
+
+def test_expire_takes_dropped_directories_of_live_versions(spark):
+    table = VersionedTable(spark, scratch_path(spark, "table"), ["p"])
+    schema = "k long, p string, v long"
+    table.replace(frame(spark, [(1, "a", 1), (2, "b", 1)], schema), merge_keys=["k"])
+    table.merge(frame(spark, [(1, "a", 2)], schema), ["k"])
+    assert expire(table, retention_hours=-1) == 2  # the rewritten partition and the rows before the update
+    assert rows(table.read(), "k", "p", "v") == [(1, "a", 2), (2, "b", 1)] and expire(table, retention_hours=-1) == 0
+
+
+def paths(table):
+    return {r.path for r in table.dirs().collect()}
 
 
 def test_sweep_records_failures(spark, table):
@@ -130,23 +146,59 @@ def test_write_follows_the_output_spec(spark, table):
             OutputSpec.parse(bad)
 
 
-def test_merge_rewrites_only_files_with_matching_keys(spark, table):
-    ids = spark.range(0, 800).select(F.col("id").alias("k"), F.lit(0).alias("v"))
-    spec = OutputSpec(merge_keys=["k"])
-    table.replace(ids.repartitionByRange(8, "k").sortWithinPartitions("k"))
-    data = lambda keys, v: spark.createDataFrame([(k, v) for k in keys], "k long, v int")
-    table.write(data([5, 6, 2000], 1), spec)
-    head = table.commit()
-    first = next(d for d in head["dirs"] if d["path"] == "_v=0")
-    assert first["files"] == 7 and len(first["dead"]) == 1
-    assert rows(table.read().where("v = 1")) == [(5, 1), (6, 1), (2000, 1)] and table.read().count() == 801
-    table.write(data([5, 799], 2), spec)
-    assert rows(table.read().where("v > 0")) == [(5, 2), (6, 1), (799, 2), (2000, 1)] and table.read().count() == 801
-    table.write(data([3000], 3), spec)  # inserts only: nothing is rewritten
+def test_merge_by_a_key_that_is_no_partition(spark):
+    table = VersionedTable(spark, scratch_path(spark, "table"), ["p"])
+    schema = "k long, p string, v long"
+    data = [(k, f"p{k % 4}", 0) for k in range(40)]
+    table.replace(frame(spark, data, schema).coalesce(1), merge_keys=["k"])  # one task writes all partitions
+    table.append(frame(spark, [(k, f"p{k % 2}", 0) for k in range(40, 44)], schema).coalesce(1))
+    table.merge(frame(spark, [(5, "p1", 7), (100, "p9", 7), (101, None, 7)], schema), ["k"])
+    got = rows(table.read(), "k", "v")
+    assert got == sorted([(k, 7 if k == 5 else 0) for k in range(44)] + [(100, 7), (101, 7)])
     head = table.commit()
-    assert next(d for d in head["dirs"] if d["path"] == "_v=0")["files"] == 6
-    assert table.files().count() == head["file_count"] and table.files().agg(F.sum("bytes")).first()[0] == head["total_bytes"]
-    assert table.read(0).where("v > 0").count() == 0 and table.read(1).count() == 801
-    assert rows(table.changes(2), "_change_type", "k") == [("insert", 3000)]
-    table.compact()
-    assert table.read().count() == 802 and not any(d["dead"] for d in table.commit()["dirs"])
+    assert head["total_rows"] == 46 and (head["inserted"], head["updated"]) == (2, 1)
+    assert {"_v=0/_k=insert/p=p0", "_v=1/_k=insert/p=p1"} <= paths(table) and "_v=0/_k=insert/p=p1" not in paths(table)
+    assert rows(table.changes(1), "_change_type", "k") == [("insert", 100), ("insert", 101), ("update_postimage", 5), ("update_preimage", 5)]
+    assert table.read(1).count() == 44 and table.files().count() == head["file_count"]
+
+
+def test_merge_over_many_partitions(spark):
+    table = VersionedTable(spark, scratch_path(spark, "table"), ["p"])
+    many = spark.range(300).select(F.col("id").alias("p"), F.lit(0).alias("v"))
+    table.replace(many, merge_keys=["p"])
+    table.merge(many.where("p < 290").withColumn("v", F.lit(1)), ["p"])
+    assert [tuple(r) for r in table.read().groupBy("v").count().orderBy("v").collect()] == [(0, 10), (1, 290)]
+
+
+def test_commits_do_not_grow_with_history(spark, table):
+    table.replace(frame(spark, [(0,)], "v long"))
+    for v in range(1, 13):
+        table.append(frame(spark, [(v,)], "v long"))
+    size = lambda v: sum(r.bytes for r in file_listing(spark, f"{table.path}/log/version={v}").union(file_listing(spark, f"{table.path}/dirs/version={v}")).collect())
+    assert abs(size(12) - size(2)) < 64 and table.read().count() == 13 and table.commit()["total_rows"] == 13
+
+
+def test_layout_is_remembered_and_only_small_files_are_compacted(spark, table):
+    ids = spark.range(4000).select(F.col("id").alias("k"), F.rand(1).alias("v"))
+    table.replace(ids.repartition(4), cluster_by=["k"])
+    table.append(ids.limit(10))
+    table.append(ids.limit(10))
+    assert list(table.commit()["cluster_by"]) == ["k"]
+    recluster(table, ["v"])
+    table.append(ids.limit(5))
+    assert list(table.commit()["cluster_by"]) == ["v"]
+    large = paths(table) - {p for p in paths(table) if p.startswith(f"_v={table.version()}/")}
+    size = table.commit()["total_bytes"]
+    table.append(ids.limit(5))
+    table.compact(target_bytes=size // 20)
+    assert large <= paths(table) and table.read().count() == 4030
+    head = table.version()
+    assert table.compact(target_bytes=1) == head
+
+
+def test_forced_reads_matter_only_when_nothing_is_new(spark, table):
+    table.append(frame(spark, [(1,), (2,), (3,)], "v long"))
+    table.append(frame(spark, [(4,), (5,)], "v long"))
+    behind, level = read_feed(table, 0, forced=True), read_feed(table, 1, forced=True)
+    assert not behind.full and rows(behind.df) == [(4,), (5,)]
+    assert level.full and level.df.count() == 5 and read_feed(table, 1).skipped
