@@ -109,12 +109,6 @@ def promote(
     raise PromoteError(f"a {mode} target cannot take a promote; run the stage instead")
 
 
-def promote_columns(staging: DataFrame, target: DataFrame) -> list[str]:
-    """Columns a promote would add to the target."""
-    evolve(target, staging.schema)
-    return [c for c in staging.columns if c not in target.columns]
-
-
 class StagingRegistry:
     """Append-only record of staging tables: one row when opened, one when promoted or discarded."""
 

@@ -13,13 +13,6 @@ COPIES_PER_ROW = 10_000
 CHANGE_COLUMNS = ("_change_type", "_commit_version", "_commit_timestamp")
 
 
-def stamped(changes: DataFrame, version: int, timestamp: Column) -> DataFrame:
-    """Add the commit's version and time to rows that carry `_change_type`."""
-    return changes.withColumns(
-        {"_commit_version": F.lit(version).cast("bigint"), "_commit_timestamp": timestamp}
-    )
-
-
 def repeated(df: DataFrame, copies: str) -> DataFrame:
     """Each row as often as its count says, without the count. Large counts are cut into pieces that are
     spread over the tasks first, so that no single task or array has to hold all copies of a row."""
@@ -62,11 +55,6 @@ def change_rows(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> Dat
     return repeated(typed, "_copies")
 
 
-def inserted(batch: DataFrame) -> DataFrame:
-    """An append's change rows."""
-    return batch.select(F.lit("insert").alias("_change_type"), "*")
-
-
 def version_range(changes: DataFrame, after: int, upto: int, deletes: bool = False) -> DataFrame:
     """Rows a consumer needs from the commits in `(after, upto]`, still with their commit columns."""
     kinds = ["insert", "update_postimage"] + (["delete"] if deletes else [])

@@ -84,6 +84,13 @@ class MergeParts:
         untouched = self.untouched.withColumn(column, F.lit("keep"))
         return joined.unionByName(untouched).unionByName(self.inserts.withColumn(column, F.lit("insert")))
 
+    def changes(self) -> DataFrame:
+        """`insert`, `update_preimage` and `update_postimage` rows with `_change_type` in front."""
+        names = {"insert": "insert", "pre": "update_preimage", "post": "update_postimage"}
+        kind = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[F.col("_kind")]
+        rows = self.by_kind("_kind").where("_kind <> 'keep'")
+        return rows.select(kind.alias("_change_type"), *[F.col(f"`{c}`") for c in rows.columns if c != "_kind"])
+
 
 def merge_parts(
     target: DataFrame,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from millrace.operators.ordering import latest_per_key, top_per_group
+from millrace.session import freeze
 
 # When frequent values are listed, and how many.
 TOP_MAX_DISTINCT = 1000
@@ -58,32 +59,36 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     return df.agg(*_facts(df, names)).select(F.inline(F.array(*rows)))
 
 
-def listable_columns(df: DataFrame) -> list[str]:
-    """The first columns with few enough distinct values to list; one small row comes back."""
+def listable_columns(df: DataFrame, max_distinct: int = TOP_MAX_DISTINCT, max_columns: int | None = TOP_MAX_COLUMNS, profile: DataFrame | None = None) -> list[str]:
+    """The columns with few enough distinct values to list, the first `max_columns` of them (None: all). A profile
+    of the frame, if given, spares the scan; one small row or one for each column comes back."""
     plain = [c for c, t in df.dtypes if not t.startswith(("array", "map", "struct", "binary"))]
     if not plain:
         return []
-    found = df.agg(*[F.approx_count_distinct(f"`{c}`").alias(f"d{i}") for i, c in enumerate(plain)]).first()
-    few = [c for i, c in enumerate(plain) if 0 < found[f"d{i}"] <= TOP_MAX_DISTINCT]
-    return few[:TOP_MAX_COLUMNS]
+    if profile is not None:
+        found = {r["column_name"]: r["approx_count_distinct"] for r in profile.select("column_name", "approx_count_distinct").collect()}
+    else:
+        row = df.agg(*[F.approx_count_distinct(f"`{c}`").alias(f"d{i}") for i, c in enumerate(plain)]).first()
+        found = {c: row[f"d{i}"] for i, c in enumerate(plain)}
+    return [c for c in plain if 0 < found[c] <= max_distinct][:max_columns]
 
 
-def top_values(df: DataFrame, columns: Sequence[str] | None = None, k: int = TOP_VALUES) -> DataFrame:
+def top_values(df: DataFrame, columns: Sequence[str] | None = None, k: int = TOP_VALUES, max_distinct: int = TOP_MAX_DISTINCT, max_columns: int | None = TOP_MAX_COLUMNS) -> DataFrame:
     """`column_name, value, count, share, rank`: the most frequent values of each column, NULL included.
-    One pass for all columns; ties are broken by value."""
-    names = list(listable_columns(df) if columns is None else columns)
+    One pass for all columns; ties are broken by value. The counts of a column add up to its rows."""
+    names = list(listable_columns(df, max_distinct, max_columns) if columns is None else columns)
     # Column positions, not names, so that names with dots need no care.
     cells = df.select(*[F.col(f"`{n}`").cast("string").alias(f"c{i}") for i, n in enumerate(names)])
     long = cells.unpivot([], [f"c{i}" for i in range(len(names))], "position", "value")
     counts = long.groupBy("position", "value").agg(F.count(F.lit(1)).alias("count"))
-    total = cells.agg(F.count(F.lit(1))).scalar()
+    totals = counts.groupBy("position").agg(F.sum("count").alias("total"))  # a row for each column
     labels = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(f"c{i}"), F.lit(n))])
-    best = top_per_group(counts, ["position"], [F.desc("count"), F.asc_nulls_first("value")], k)
+    best = top_per_group(counts, ["position"], [F.desc("count"), F.asc_nulls_first("value")], k).join(totals, "position")
     return best.select(
         labels[F.col("position")].alias("column_name"),
         "value",
         "count",
-        (F.col("count") / total).alias("share"),
+        (F.col("count") / F.col("total")).alias("share"),
         F.col("rank").cast("bigint").alias("rank"),
     )
 
@@ -91,15 +96,15 @@ def top_values(df: DataFrame, columns: Sequence[str] | None = None, k: int = TOP
 def profile_rows(df: DataFrame, *, run_id: str, table: str, version: int | None, scope: str) -> DataFrame:
     """Rows for the `column_stats` table: the profile with its top values. `scope` says what was profiled
     (`table`, or `batch` when an append or merge profiles only what it wrote)."""
-    tops = top_values(df).groupBy("column_name").agg(
+    profile = freeze(column_profile(df))  # a row for each column, which also says what to list
+    tops = top_values(df, listable_columns(df, profile=profile)).groupBy("column_name").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("rank", "value", "count"))),  # at most ten per column
             lambda t: F.struct(t["value"].alias("value"), t["count"].alias("count")),
         ).alias("top_10")
     )
     return (
-        column_profile(df)
-        .join(tops, "column_name", "left")
+        profile.join(tops, "column_name", "left")
         .withColumns(
             {
                 "run_id": F.lit(run_id),

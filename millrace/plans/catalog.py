@@ -15,7 +15,8 @@ from millrace.tables.store import VersionedTable
 
 def commit_state(table: VersionedTable, *, pipeline: str, node: str, output_key: str, name: str) -> DataFrame:
     """The row for `tables` after a write: version, rows touched, files, bytes, writer."""
-    latest = touched_rows(table.log()).orderBy(F.desc("version")).limit(1)
+    head = table.commit()
+    latest = touched_rows(table.log_of([head["version"]] if head else []))
     return latest.select(
         F.lit(pipeline).alias("pipeline"),
         F.lit(node).alias("node"),
@@ -115,11 +116,6 @@ def with_freshness(states: DataFrame, now: Column, committed: str = "snapshot_ts
     return states.withColumn("freshness", freshness(age, F.col(sla)))
 
 
-def schema_rows(frames: dict[str, DataFrame]) -> list[tuple[str, int, str, str]]:
-    """(table, position, column, type) for an inventory; metadata only."""
-    return [(t, i, f.name, f.dataType.simpleString()) for t, df in frames.items() for i, f in enumerate(df.schema)]
-
-
 def inventory(states: DataFrame, columns: DataFrame, owners: DataFrame, now: Column) -> DataFrame:
     """Every column of every table beside the table's owner, newest commit, freshness and file health.
     Tables without a commit are listed too. `owners` has one row per table: `table_id, owner, sla`."""
@@ -162,8 +158,3 @@ def lineage(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
         F.lit("").alias("via_table"), F.lit("source").alias("kind"),
     )
     return edges.withColumn("kind", kind).drop("_other").unionByName(roots).orderBy("from_node", "to_node", "via_table")
-
-
-def downstream(edges: DataFrame, columns: Sequence[str] = ("from_pipeline", "from_node")) -> DataFrame:
-    """How many consumers each producer has."""
-    return edges.groupBy(*columns).agg(F.count_distinct("to_pipeline", "to_node").alias("consumers"))

@@ -195,19 +195,3 @@ def column_roles(df: DataFrame) -> DataFrame:
 
     rows = [(n, t, role(t)) for n, t in df.dtypes]
     return df.sparkSession.createDataFrame(rows, "column_name string, column_type string, role string")
-
-
-# -- the seeded dashboard of a pipeline
-
-PIPELINE_DATASETS = {
-    "failures_24h": "SELECT count(*) AS n FROM runs WHERE pipeline = {{pipeline}} AND status = 'FAILED' "
-    "AND started_at > to_timestamp({{now}}) - INTERVAL 1 DAY",
-    "runs_total": "SELECT count(*) AS n FROM runs WHERE pipeline = {{pipeline}}",
-    "duration": "SELECT x, y FROM (SELECT started_at AS x, duration_ms AS y FROM runs WHERE pipeline = {{pipeline}} "
-    "ORDER BY started_at DESC LIMIT 50) ORDER BY x",
-    "failures_by_node": "SELECT node AS x, count(*) AS y FROM node_runs WHERE pipeline = {{pipeline}} "
-    "AND status = 'failed' GROUP BY node ORDER BY y DESC",
-    "recent_runs": "SELECT run_id, status, trigger, duration_ms FROM runs WHERE pipeline = {{pipeline}} "
-    "ORDER BY started_at DESC LIMIT 10",
-}
-

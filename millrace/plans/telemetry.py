@@ -41,14 +41,9 @@ EVENT_LOG_SCHEMA = """
 # -- Spark event logs
 
 
-def read_event_log(spark: SparkSession, path: str) -> DataFrame:
-    """Event log lines under an explicit schema (names that differ only in case defeat inference).
-    Lines that are not JSON come back as empty rows."""
-    return spark.read.schema(EVENT_LOG_SCHEMA).option("mode", "PERMISSIVE").json(path)
-
-
 def parse_event_log(lines: DataFrame, column: str = "value", keep: Sequence[str] = ()) -> DataFrame:
-    """The same for lines already in a column."""
+    """Event log lines under an explicit schema (names that differ only in case defeat inference). Lines that are not
+    JSON become empty rows."""
     return lines.select(*keep, F.from_json(column, EVENT_LOG_SCHEMA).alias("e")).select(*keep, "e.*")
 
 
@@ -249,12 +244,6 @@ def run_matrix(runs: DataFrame, node_runs: DataFrame, n: int) -> DataFrame:
     return shown.join(cells, "_key").drop("_key")
 
 
-def matrix_grid(matrix: DataFrame, nodes: Sequence[str]) -> DataFrame:
-    """The matrix with a column per node."""
-    base = matrix.groupBy("pipeline", "position", "run_id", "day", "bar")
-    return base.pivot("node", list(nodes)).agg(F.first("node_status"))
-
-
 def progress_states(markers: DataFrame, now_ms: int | Column) -> DataFrame:
     """The newest marker per run and node. One that claims to run but is old is dropped; terminal ones
     never expire; no status means running."""
@@ -420,22 +409,33 @@ def rightsizing(node_runs: DataFrame, by: Sequence[str] = ("node",)) -> DataFram
         facts.withColumn("spill_rate", rate)
         .withColumn("recommended_mb", F.when(known, advice))
         .withColumn("confidence", confidence.otherwise("low"))
-        .withColumn("reason", _advice_text(known))
         .drop("_spilled")
     )
 
 
-def _advice_text(known: Column) -> Column:
-    current, advice = F.col("current_mb"), F.col("recommended_mb")
-    verb = F.when(advice < current, "lower to").when(advice > current, "raise to").otherwise("keep at")
-    spilling = F.format_string(", spilling on %.0f%% of runs", F.col("spill_rate") * 100)
-    note = F.when(F.col("spill_rate") >= SPILL_RATE_LIMIT, spilling).otherwise("")
-    text = F.format_string(
-        "p95 peak %d MB vs %d MB allocated%s, %s %d MB (n=%d)",
-        "p95_peak_rss_mb", current, note, verb, advice, "samples",
-    )
-    return (
-        F.when(known, text)
-        .when(current.isNull(), "no allocated memory on record")
-        .otherwise("no runs with memory metrics yet")
-    )
+# -- a pipeline's own dashboard
+
+
+def recent_failures(runs: DataFrame, pipeline: str, now: Column, hours: int = 24) -> DataFrame:
+    """How many runs of a pipeline failed in the hours before `now`."""
+    age = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))
+    failed = runs.where((F.col("pipeline") == pipeline) & (F.col("status") == "FAILED") & (age < hours * 3_600_000_000))
+    return failed.agg(F.count(F.lit(1)).alias("n"))
+
+
+def run_total(runs: DataFrame, pipeline: str) -> DataFrame:
+    return runs.where(F.col("pipeline") == pipeline).agg(F.count(F.lit(1)).alias("n"))
+
+
+def newest_runs(runs: DataFrame, pipeline: str, n: int) -> DataFrame:
+    """The last `n` runs to start; those of one instant by their id, so that the choice is always the same."""
+    return runs.where(F.col("pipeline") == pipeline).orderBy(F.desc("started_at"), F.desc("run_id")).limit(n)
+
+
+def duration_series(runs: DataFrame, pipeline: str, n: int = 50) -> DataFrame:
+    return newest_runs(runs, pipeline, n).select(F.col("started_at").alias("x"), F.col("duration_ms").alias("y"), "run_id").orderBy("x", "run_id")
+
+
+def failing_nodes(node_runs: DataFrame, pipeline: str) -> DataFrame:
+    failed = node_runs.where((F.col("pipeline") == pipeline) & (F.col("status") == "failed"))
+    return failed.groupBy(F.col("node").alias("x")).agg(F.count(F.lit(1)).alias("y")).orderBy(F.desc("y"), "x")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.functions.scalars import parse_magnitude, parse_magnitude_udf
+from millrace.functions.scalars import parse_magnitude
 from millrace.operators.ordering import latest_per_key
 from millrace.operators.writes import OutputSpec
 from millrace.plans import recipes as r
@@ -227,7 +227,7 @@ K9_TEXT = """CASE l_linenumber WHEN 1 THEN CAST(l_quantity AS {s}) || 'K' WHEN 2
 
 @query(
     "k9_parse_magnitude",
-    f"""SELECT text, count(*) AS n, true AS udf_agrees,
+    f"""SELECT text, count(*) AS n,
                min(CASE WHEN regexp_matches(t, '^[-0-9.]+[KMBT]?$') THEN
                  CAST(regexp_extract(t, '^[-0-9.]+') AS DOUBLE) *
                  CASE right(t, 1) WHEN 'K' THEN 1e3 WHEN 'M' THEN 1e6 WHEN 'B' THEN 1e9 WHEN 'T' THEN 1e12 ELSE 1.0 END END) AS parsed
@@ -237,9 +237,7 @@ K9_TEXT = """CASE l_linenumber WHEN 1 THEN CAST(l_quantity AS {s}) || 'K' WHEN 2
 def k9(spark, sf):
     text = table(spark, sf, "lineitem").select(F.expr(K9_TEXT.format(s="STRING")).alias("text"))
     counts = text.groupBy("text").agg(F.count(F.lit(1)).alias("n"))
-    both = counts.withColumns({"parsed": parse_magnitude(F.col("text")), "_udf": parse_magnitude_udf()("text")})
-    # Arrow hands NULL over as NaN.
-    return both.withColumn("udf_agrees", F.col("parsed").eqNullSafe(F.nanvl("_udf", F.lit(None)))).drop("_udf")
+    return counts.withColumn("parsed", parse_magnitude(F.col("text")))
 
 
 @query(

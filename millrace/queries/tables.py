@@ -8,6 +8,7 @@ from millrace.operators import profile as pr
 from millrace.plans import catalog as cat
 from millrace.queries._registry import query, table
 from millrace.session import scratch_path
+from millrace.sources.sampling import file_listing
 from millrace.tables.store import Provenance, VersionedTable
 
 NOW = "2001-08-02 00:00:00"
@@ -46,23 +47,22 @@ def p1(spark, sf):
     return checked.drop("approx_count_distinct", "approx_p50", "approx_p95", "exact")
 
 
-LISTED = ["l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_suppkey"]
+FEW_VALUES = 150
+LINEITEM_COLUMNS = "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate".split()
 
 
 @query(
     "p2_top_values",
     "WITH c AS ("
     + " UNION ALL ".join(
-        f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, count(*) AS count FROM lineitem GROUP BY 2" for c in LISTED
+        f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, count(*) AS count FROM lineitem WHERE (SELECT count(DISTINCT {c}) FROM lineitem) <= {FEW_VALUES} GROUP BY 2"
+        for c in LINEITEM_COLUMNS
     )
     + """), r AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY count DESC, value ASC NULLS FIRST) AS rank FROM c)
        SELECT column_name, value, count, count / (SELECT count(*) FROM lineitem) AS share, rank FROM r WHERE rank <= 10""",
 )
 def p2(spark, sf):
-    # l_suppkey grows with the data and is listed explicitly; the others are found by their cardinality.
-    lines = table(spark, sf, "lineitem")
-    listed = pr.listable_columns(lines.drop("l_suppkey", "l_partkey", "l_orderkey", "l_shipdate"))
-    return pr.top_values(lines, [*listed, "l_suppkey"])
+    return pr.top_values(table(spark, sf, "lineitem"), max_distinct=FEW_VALUES)
 
 
 @query(
@@ -186,13 +186,15 @@ def p7(spark, sf):
 
 @query(
     "p7_file_facts",
-    "SELECT t, 1 AS files, n AS rows FROM (SELECT 'orders' AS t, count(*) AS n FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem) x",
+    "SELECT t, true AS all_files, n AS rows FROM (SELECT 'orders' AS t, count(*) AS n FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem) x",
 )
 def p7_facts(spark, sf):
-    frames = [
-        cat.file_facts(table(spark, sf, n)).agg(F.count(F.lit(1)).cast("int").alias("files"), F.sum("rows").alias("rows")).withColumn("t", F.lit(n))
-        for n in ("orders", "lineitem")
-    ]
+    def facts(n):
+        listed = file_listing(spark, f"{sf}/{n}.parquet").where("bytes > 0").agg(F.count(F.lit(1))).scalar()
+        found = cat.file_facts(table(spark, sf, n)).agg(F.count(F.lit(1)).alias("files"), F.sum("rows").alias("rows"))
+        return found.select(F.lit(n).alias("t"), (F.col("files") == listed).alias("all_files"), "rows")
+
+    frames = [facts(n) for n in ("orders", "lineitem")]
     return frames[0].unionByName(frames[1])
 
 

@@ -254,42 +254,30 @@ def r10_streaming(spark, sf):
     return folded.read()
 
 
-def dashboard(spark, sf, name):
-    """One of the seeded datasets over the derived tables. Of each pipeline's day only the dearest run is
-    kept, so that "the newest" needs no tie-break."""
-    runs = derived(spark, sf, RUNS).groupBy("pipeline", "started_at").agg(
-        F.max(F.struct("duration_ms", "run_id", "status", "trigger")).alias("r")
-    )
-    runs.select("pipeline", "started_at", "r.*").createOrReplaceTempView("runs")
-    pipeline = F.lit("2-HIGH").alias("pipeline")
-    derived(spark, sf, ORDER_NODE_RUNS).select("*", pipeline).createOrReplaceTempView("node_runs")
-    params = {"pipeline": "2-HIGH", "now": "2001-08-01T00:00:00"}
-    return serving.dataset(spark, serving.PIPELINE_DATASETS[name], params)
-
-
-DAILY_RUNS = f"""(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pipeline, started_at ORDER BY duration_ms DESC, run_id DESC) AS rn
-  FROM ({duck(RUNS)}) a) c WHERE rn = 1 AND pipeline = '2-HIGH')"""
+PIPELINE = "2-HIGH"
+OWN_RUNS = f"(SELECT * FROM ({duck(RUNS)}) a WHERE pipeline = '{PIPELINE}')"
 
 
 @query(
     "r14_failures_24h",
-    f"SELECT count(*) AS n FROM {DAILY_RUNS} d WHERE status = 'FAILED' AND started_at > TIMESTAMP '2001-07-31'",
+    f"SELECT count(*) AS n FROM {OWN_RUNS} d WHERE status = 'FAILED' AND started_at > TIMESTAMP '2001-07-31'",
 )
 def r14_failures(spark, sf):
-    return dashboard(spark, sf, "failures_24h")
+    return t.recent_failures(derived(spark, sf, RUNS), PIPELINE, F.lit("2001-08-01T00:00:00"))
 
 
-@query("r14_runs_total", f"SELECT count(*) AS n FROM {DAILY_RUNS} d")
+@query("r14_runs_total", f"SELECT count(*) AS n FROM {OWN_RUNS} d")
 def r14_total(spark, sf):
-    return dashboard(spark, sf, "runs_total")
+    return t.run_total(derived(spark, sf, RUNS), PIPELINE)
 
 
 @query(
     "r14_recent_durations",
-    f"SELECT CAST(started_at AS DATE) AS x, duration_ms AS y FROM (SELECT * FROM {DAILY_RUNS} d ORDER BY started_at DESC LIMIT 50) e",
+    f"""SELECT CAST(started_at AS DATE) AS x, duration_ms AS y, run_id
+        FROM (SELECT * FROM {OWN_RUNS} d ORDER BY started_at DESC, run_id DESC LIMIT 50) e""",
 )
 def r14_durations(spark, sf):
-    return dashboard(spark, sf, "duration").select(F.to_date("x").alias("x"), "y")
+    return t.duration_series(derived(spark, sf, RUNS), PIPELINE).withColumn("x", F.to_date("x"))
 
 
 @query(
@@ -297,15 +285,15 @@ def r14_durations(spark, sf):
     f"SELECT node AS x, count(*) AS y FROM ({duck(ORDER_NODE_RUNS)}) n WHERE status = 'failed' GROUP BY node",
 )
 def r14_nodes(spark, sf):
-    return dashboard(spark, sf, "failures_by_node")
+    return t.failing_nodes(derived(spark, sf, ORDER_NODE_RUNS).withColumn("pipeline", F.lit(PIPELINE)), PIPELINE)
 
 
 @query(
     "r14_recent_runs",
-    f"SELECT run_id, status, trigger, duration_ms FROM {DAILY_RUNS} d ORDER BY started_at DESC LIMIT 10",
+    f"SELECT run_id, status, trigger, duration_ms FROM {OWN_RUNS} d ORDER BY started_at DESC, run_id DESC LIMIT 10",
 )
 def r14_recent(spark, sf):
-    return dashboard(spark, sf, "recent_runs")
+    return t.newest_runs(derived(spark, sf, RUNS), PIPELINE, 10).select("run_id", "status", "trigger", "duration_ms")
 
 
 @query(
@@ -344,7 +332,7 @@ def r15(spark, sf):
                ELSE 'low' END AS confidence FROM h""",
 )
 def r11(spark, sf):
-    return t.rightsizing(derived(spark, sf, NODE_RUNS), ["pipeline", "node"]).drop("reason")
+    return t.rightsizing(derived(spark, sf, NODE_RUNS), ["pipeline", "node"])
 
 
 COST = """CASE WHEN duration_ms <= 0 OR memory_mb IS NULL THEN 0.0::DOUBLE

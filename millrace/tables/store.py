@@ -41,6 +41,7 @@ _VERSION, _KIND = "_v", "_k"
 _FOLDER = r"/data/(_v=[0-9]+/.*)/[^/]+$"
 #: Kinds of rows, as change types where they are changes.
 CHANGE_TYPES = {"insert": "insert", "pre": "update_preimage", "post": "update_postimage"}
+APPENDING = ("CREATE", "WRITE", "APPEND")
 TARGET_FILE_BYTES = 128 * 1024 * 1024
 
 
@@ -101,8 +102,10 @@ class VersionedTable:
         names = [s.getPath().getName() for s in fs.listStatus(jpath) if s.isDirectory()]
         return sorted(int(n.split("=")[1]) for n in names if n.startswith("version="))
 
-    def _log_of(self, versions: Sequence[int]) -> DataFrame:
+    def log_of(self, versions: Sequence[int]) -> DataFrame:
         """Commits by version, without listing the rest of the log."""
+        if not versions:
+            return self.spark.createDataFrame([], LOG_SCHEMA)
         root = f"{self.path}/log"
         reader = self.spark.read.option("basePath", root).schema(LOG_SCHEMA)
         return reader.parquet(*[f"{root}/version={v}" for v in versions])
@@ -112,7 +115,7 @@ class VersionedTable:
         a listing and one small file."""
         for v in reversed(self._versions()):
             if version is None or v <= version:
-                row = self._log_of([v]).first()
+                row = self.log_of([v]).first()
                 if row is not None:  # a directory without a row is a commit that was not published
                     return row
         return None
@@ -194,7 +197,7 @@ class VersionedTable:
         versions = [v for v in self._versions() if v >= after and (upto is None or v <= upto)]
         if not versions:
             raise LookupError(f"{self.path} has no commit from {after} on")
-        log = self._log_of(versions)
+        log = self.log_of(versions)
         commits = log.orderBy("version").collect()  # a row a commit of the range
         newest = commits[-1]
         if after < (newest["feed_from"] or 0) - 1:
@@ -264,8 +267,9 @@ class VersionedTable:
             "feed_from": head["feed_from"] if head else 0, "partition_by": parts, "schema": schema.json(),
             "merge_keys": list(merge_keys) if merge_keys is not None else list(head["merge_keys"]) if head else [],
             "cluster_by": list(cluster_by) or (list(head["cluster_by"]) if head else []),
-            "inserted": kinds.get("insert", 0), "updated": kinds.get("post", 0), "deleted": 0,
-            "output_rows": kinds.get("insert", 0) if operation in ("CREATE", "WRITE", "APPEND") else None,
+            "inserted": kinds.get("insert", 0) if operation in (*APPENDING, "MERGE") else None,
+            "updated": kinds.get("post", 0) if operation == "MERGE" else None, "deleted": 0 if operation == "MERGE" else None,
+            "output_rows": kinds.get("insert", 0) if operation in APPENDING else None,
             "file_count": start["file_count"] + sum(s * r["files"] for s, r in live),
             "total_bytes": start["total_bytes"] + sum(s * r["bytes"] for s, r in live),
             "total_rows": start["total_rows"] + sum(s * r["rows"] for s, r in live),

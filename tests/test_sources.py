@@ -10,7 +10,7 @@ from millrace.operators.writes import OutputSpec, write_json
 from millrace.session import scratch_path
 from millrace.sources import cursors as c
 from millrace.sources.documents import json_rows, text_column_types, typed_text
-from millrace.sources.formats import flat_name, has_partition_dirs, read_named, read_path, table_name
+from millrace.sources.formats import flat_name, partition_columns, read_named, read_path, table_name
 from millrace.sources.sampling import newest_files, probe_prefixes, sample_newest, sample_rows
 
 ORDERS = """order_id,amount,status,ts
@@ -47,7 +47,7 @@ def test_unknown_format(spark):
 def test_prefix_keeps_partition_columns_and_recurses_elsewhere(spark, tmp_path):
     spark.range(3).write.parquet(f"{tmp_path}/parts/day=26/hour=01")
     spark.range(3).write.parquet(f"{tmp_path}/flat/2024/jan")
-    assert has_partition_dirs(spark, f"{tmp_path}/parts/") and not has_partition_dirs(spark, f"{tmp_path}/gone/")
+    assert partition_columns(spark, f"{tmp_path}/parts/") and not partition_columns(spark, f"{tmp_path}/gone/")
     assert set(read_path(spark, f"{tmp_path}/parts/").columns) == {"id", "day", "hour"}
     assert read_path(spark, f"{tmp_path}/flat/").count() == 3
     assert read_named(spark, f"{tmp_path}/flat/2024/jan").count() == 3
