@@ -12,6 +12,7 @@ from millrace.operators.ordering import latest_per_key
 from millrace.operators.schema import evolve, schema_diff, schema_drifted
 from millrace.operators.writes import append_rows
 from millrace.session import hadoop_path
+from millrace.tables.store import Provenance, VersionedTable
 from millrace.sources.cursors import in_window
 
 REGISTRY_SCHEMA = (
@@ -86,20 +87,16 @@ def promote(
 ) -> DataFrame:
     """The target's contents after the promote.
 
-    A merge target merges on its keys. Additive columns are refused unless `replace_counters` says the
-    staging values are totals that take the place of the old ones: adding a re-run would count twice.
+    A merge target merges on its keys. Additive columns are refused unless `replace_counters` says that the
+    staged rows take the place of the old ones, whatever the rules: adding a re-run would count twice, and a corrected
+    window may lower a `max`.
     An append target needs `force_dedup` (a column to merge on) or `allow_duplicates`. A replace target
     refuses. Without a target the staging table becomes it.
     """
     if target is None:
         return staging
     if mode == "merge":
-        rules = dict(update or {})
-        if "additive" in rules.values():
-            if not replace_counters:
-                raise PromoteError("promoting into additive columns would count the window twice")
-            rules = {c: r for c, r in rules.items() if r != "additive"}
-        return merge_upsert(target, staging, keys, rules)
+        return merge_upsert(target, staging, keys, _rules(update, replace_counters))
     if mode == "append":
         if force_dedup:
             return merge_upsert(target, staging, [force_dedup])
@@ -109,6 +106,42 @@ def promote(
     raise PromoteError(f"a {mode} target cannot take a promote; run the stage instead")
 
 
+def _rules(update: Mapping[str, str] | None, replace_counters: bool) -> dict[str, str]:
+    """The merge rules of a promote: none if the staged rows take the place of the old ones."""
+    if replace_counters:
+        return {}
+    if "additive" in (update or {}).values():
+        raise PromoteError("promoting into additive columns would count the window twice")
+    return dict(update or {})
+
+
+def promote_into(
+    table: VersionedTable,
+    staging: DataFrame,
+    mode: str,
+    run: str,
+    keys: Sequence[str] = (),
+    update: Mapping[str, str] | None = None,
+    force_dedup: str | None = None,
+    allow_duplicates: bool = False,
+    replace_counters: bool = False,
+) -> int:
+    """Commit a promote to a versioned table under the rules of `promote`, with change rows for what it changes and
+    `backfill` as its trigger; the version."""
+    by = Provenance(run, "backfill")
+    if table.commit() is None:
+        return table.replace(staging, by, merge_keys=keys)
+    if mode == "merge":
+        return table.merge(staging, keys, _rules(update, replace_counters), by=by)
+    if mode == "append" and force_dedup:
+        return table.merge(staging, [force_dedup], by=by)
+    if mode == "append" and allow_duplicates:
+        return table.append(staging, by)
+    if mode == "append":
+        raise PromoteError("an append target needs force_dedup or allow_duplicates")
+    raise PromoteError(f"a {mode} target cannot take a promote; run the stage instead")
+
+
 class StagingRegistry:
     """Append-only record of staging tables: one row when opened, one when promoted or discarded."""
 

@@ -79,8 +79,8 @@ def clustered(df: DataFrame, columns: Sequence[str], files: int | None = None) -
     return range_arranged(df, columns, files) if columns else df
 
 
-def write_path(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
+def write_path(df: DataFrame, path: str, mode: str = "replace") -> None:
+    df.write.mode("append" if mode == "append" else "overwrite").parquet(path)
 
 
 def write_json(df: DataFrame, path: str, max_rows: int = 100_000) -> None:

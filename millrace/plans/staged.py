@@ -4,12 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
-
-from millrace.operators.writes import OutputSpec
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from millrace.operators.changes import version_range, without_commit_columns
+from millrace.operators.profile import profile_rows
+from millrace.operators.writes import OutputSpec, write_json, write_path
+from millrace.plans.catalog import commit_state
+from millrace.plans.systables import SYSTEM_TABLES
+from millrace.session import hadoop_path
+from millrace.sources.cursors import CursorTable, read_incremental
+from millrace.sources.formats import InputSpec, read_path
 from millrace.tables.store import Provenance, VersionedTable, read_feed
-from millrace.sources.cursors import CursorTable
 
 Transform = str | Callable[[SparkSession, dict[str, DataFrame]], dict[str, DataFrame]]
 
@@ -44,11 +53,12 @@ def python_transform(source: str) -> Transform:
 
 @dataclass
 class Stage:
-    """One step of a chain: inputs by alias (tables of the chain, or frames), outputs by key."""
+    """One step of a chain: inputs by alias (tables of the chain, paths, or frames), outputs by key. `incremental`
+    names the table inputs that are read as feeds; a path input with partition columns always is."""
 
     name: str
     transform: Transform
-    inputs: Mapping[str, str | DataFrame]
+    inputs: Mapping[str, str | InputSpec | DataFrame]
     outputs: Mapping[str, OutputSpec] = field(default_factory=lambda: {"default": OutputSpec()})
     incremental: Sequence[str] = ()
 
@@ -61,42 +71,115 @@ class StageResult:
 
 
 class Chain:
-    """Stages in the order given, each reading tables the earlier ones wrote."""
+    """Stages in the order given, each reading tables the earlier ones wrote. What each run did goes to the telemetry
+    tables below `<path>/_system`: a `node_runs` row for each stage, a `tables` row for each table written, and
+    `column_stats` where an output asks for statistics."""
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, pipeline: str = "chain"):
         self.spark = spark
         self.path = path.rstrip("/")
+        self.pipeline = pipeline
         self.cursors = CursorTable(spark, f"{self.path}/_cursors")
 
     def table(self, name: str) -> VersionedTable:
         return VersionedTable(self.spark, f"{self.path}/{name}")
 
-    def _read(self, stage: Stage, alias: str, source: str | DataFrame, forced: bool):
+    def system(self, name: str) -> DataFrame:
+        """One of the telemetry tables; empty before the first run."""
+        path, schema = f"{self.path}/_system/{name}", SYSTEM_TABLES[name]
+        fs, jpath = hadoop_path(self.spark, path)
+        return self.spark.read.schema(schema).parquet(path) if fs.exists(jpath) else self.spark.createDataFrame([], schema)
+
+    def _tell(self, name: str, rows: DataFrame) -> None:
+        """Append rows to a telemetry table; columns they lack are NULL."""
+        fields = StructType.fromDDL(SYSTEM_TABLES[name])
+        have = set(rows.columns)
+        columns = [(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]
+        rows.select(*columns).write.mode("append").parquet(f"{self.path}/_system/{name}")
+
+    def _read(self, stage: Stage, alias: str, source: str | InputSpec | DataFrame, forced: bool):
+        """(frame or None if there is nothing new, the cursor to store)."""
         if isinstance(source, DataFrame):
             return source, None
+        if isinstance(source, InputSpec):
+            if not source.partitions:
+                return read_path(self.spark, source.source, source.format, source.options), None
+            got = read_incremental(
+                self.spark, self.cursors, stage.name, source.source, source.partitions, source.format, source.start_from, forced
+            )
+            return got.df, (source.source, got.cursor) if got.cursor else None
         table = self.table(source)
         if alias not in stage.incremental:
             return table.read(), None
         stored = self.cursors.get(stage.name, source)
         feed = read_feed(table, int(stored[0]) if stored else None, forced=forced)
-        return feed.df, feed.version
+        return feed.df, None if feed.version is None else (source, (str(feed.version),))
+
+    def _write(self, stage: Stage, key: str, name: str, df: DataFrame, spec: OutputSpec, by: Provenance) -> int | None:
+        """Write an output by its kind; rows written, if it is a table."""
+        if spec.kind == "json_object":
+            write_json(df, spec.target or f"{self.path}/{name}.json")
+            return None
+        if spec.kind == "path":
+            if spec.mode == "merge":
+                raise ValueError("a path output can't be merged into")
+            write_path(df, spec.target, spec.mode)
+            if spec.stats:
+                self._profile(stage, key, spec.target, self.spark.read.parquet(spec.target), None, "table", by)
+            return None
+        table = self.table(spec.target or name)
+        version = table.write(df, spec, by)
+        state = commit_state(table, pipeline=self.pipeline, node=stage.name, output_key=key, name=spec.target or name)
+        self._tell("tables", state)
+        if spec.stats:
+            batch = spec.mode in ("append", "merge") and version > 0
+            rows = table.read()
+            if batch:  # what this commit has written, inserts and updated rows
+                rows = without_commit_columns(version_range(table.changes(version - 1, version), version - 1, version))
+            self._profile(stage, key, table.path, rows, version, "batch" if batch else "table", by)
+        return table.commit()["output_rows"]
+
+    def _profile(self, stage: Stage, key: str, identifier: str, rows: DataFrame, version: int | None, scope: str, by: Provenance) -> None:
+        stats = profile_rows(rows, run_id=by.run_id, table=identifier, version=version, scope=scope)
+        told = {"pipeline": F.lit(self.pipeline), "node": F.lit(stage.name), "output_key": F.lit(key), "snapshot_ts": F.current_timestamp()}
+        self._tell("column_stats", stats.withColumns(told))
 
     def run_stage(self, stage: Stage, by: Provenance, forced: bool = False) -> StageResult:
+        began = datetime.now(timezone.utc)
+        try:
+            result, rows = self._run_stage(stage, by, forced)
+        except Exception as error:  # reported as the stage's result
+            result, rows = StageResult(stage.name, "failed", str(error)), None
+            kind = type(error).__name__
+        else:
+            kind = None
+        ended = datetime.now(timezone.utc)
+        told = {
+            "run_id": by.run_id, "pipeline": self.pipeline, "node": stage.name, "started_at": began, "ended_at": ended,
+            "duration_ms": int((ended - began).total_seconds() * 1000), "status": result.status, "error_class": kind,
+            "error_msg": result.error[:1000] or None, "output_rows": rows,
+        }
+        self._tell("node_runs", self.spark.range(1).select(*[F.lit(v).alias(k) for k, v in told.items()]))
+        return result
+
+    def _run_stage(self, stage: Stage, by: Provenance, forced: bool) -> tuple[StageResult, int | None]:
         inputs, cursors = {}, {}
         for alias, source in stage.inputs.items():
-            df, version = self._read(stage, alias, source, forced)
+            df, cursor = self._read(stage, alias, source, forced)
             if df is None:
-                return StageResult(stage.name, "skipped")
+                return StageResult(stage.name, "skipped"), None
             inputs[alias] = df
-            if version is not None:
-                cursors[source] = version
+            if cursor is not None:
+                cursors[cursor[0]] = cursor[1]
         outputs = run_transform(self.spark, stage.transform, inputs)
+        rows = None
         for key, df in outputs.items():
             name = stage.name if list(outputs) == ["default"] else f"{stage.name}__{key}"
-            self.table(name).write(df, stage.outputs.get(key, OutputSpec()), by)
-        for source, version in cursors.items():  # only now: a crash before this repeats the batch
-            self.cursors.advance(stage.name, source, [str(version)])
-        return StageResult(stage.name, "ok")
+            wrote = self._write(stage, key, name, df, stage.outputs.get(key, OutputSpec()), by)
+            rows = rows if wrote is None else (rows or 0) + wrote
+        for source, cursor in cursors.items():  # only now: a crash before this repeats the batch
+            self.cursors.advance(stage.name, source, cursor)
+        return StageResult(stage.name, "ok"), rows
 
     def run(
         self, stages: Sequence[Stage], by: Provenance = Provenance(), forced: bool | Sequence[str] = False
@@ -113,9 +196,7 @@ class Chain:
             if parents and all(p.status == "skipped" for p in parents) and not must:
                 results[stage.name] = StageResult(stage.name, "skipped")
                 continue
-            try:
-                results[stage.name] = self.run_stage(stage, by, must)
-            except Exception as error:  # reported as the stage's result; later stages do not run
-                results[stage.name] = StageResult(stage.name, "failed", str(error))
+            results[stage.name] = self.run_stage(stage, by, must)
+            if results[stage.name].status == "failed":
                 break
         return list(results.values())

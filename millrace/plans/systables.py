@@ -43,3 +43,5 @@ COLUMN_STATS = (
     "approx_p50 double, approx_p95 double, top_10 array<struct<value:string,count:bigint>>, "
     "computed_at timestamp"
 )
+
+SYSTEM_TABLES = {"node_runs": NODE_RUNS, "runs": RUNS, "tables": TABLES, "column_stats": COLUMN_STATS}

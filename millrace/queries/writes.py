@@ -310,22 +310,22 @@ def w14(spark, sf):
 @query(
     "c1_change_rows",
     WITH_BOTH
-    + """SELECT 'update_preimage' AS _change_type, t.k, t.o_custkey, t.price FROM t JOIN s ON t.k = s.k
-         UNION ALL SELECT 'update_postimage', s.k, s.o_custkey, s.price FROM t JOIN s ON t.k = s.k
-         UNION ALL SELECT 'insert', k, o_custkey, price FROM s WHERE k IS NULL OR k NOT IN (SELECT k FROM t WHERE k IS NOT NULL)""",
+    + """SELECT 'update_preimage' AS _change_type, t.k, t.o_custkey, t.o_orderstatus, t.price FROM t JOIN s ON t.k = s.k
+         UNION ALL SELECT 'update_postimage', s.k, s.o_custkey, s.o_orderstatus, s.price FROM t JOIN s ON t.k = s.k
+         UNION ALL SELECT 'insert', k, o_custkey, o_orderstatus, price FROM s WHERE k IS NULL OR k NOT IN (SELECT k FROM t WHERE k IS NOT NULL)""",
 )
 def c1(spark, sf):
     target, source = both(spark, sf)
     after = mg.merge_upsert(target, source, ["k"])
-    return ch.change_rows(target, after, ["k"]).drop("o_orderstatus")
+    return ch.change_rows(target, after, ["k"])
 
 
 @query(
     "c1_merge_changes",
     WITH_BOTH
-    + """SELECT 'update_preimage' AS _change_type, t.k, t.o_custkey, t.price FROM t JOIN s ON t.k = s.k
-         UNION ALL SELECT 'update_postimage', s.k, s.o_custkey, s.price FROM t JOIN s ON t.k = s.k
-         UNION ALL SELECT 'insert', k, o_custkey, price FROM s WHERE k IS NULL OR k NOT IN (SELECT k FROM t WHERE k IS NOT NULL)""",
+    + """SELECT 'update_preimage' AS _change_type, t.k, t.o_custkey, t.o_orderstatus, t.price FROM t JOIN s ON t.k = s.k
+         UNION ALL SELECT 'update_postimage', s.k, s.o_custkey, s.o_orderstatus, s.price FROM t JOIN s ON t.k = s.k
+         UNION ALL SELECT 'insert', k, o_custkey, o_orderstatus, price FROM s WHERE k IS NULL OR k NOT IN (SELECT k FROM t WHERE k IS NOT NULL)""",
 )
 def c1_merge(spark, sf):
     target, source = both(spark, sf)

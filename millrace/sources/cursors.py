@@ -132,8 +132,8 @@ def read_incremental(
     start_from: str = "all",
     forced: bool = False,
 ) -> PartitionRead:
-    """Read what is beyond the stored cursor. Nothing new is a skip, unless forced: then the whole
-    input is read again, and the cursor still moves to its end."""
+    """Read what is beyond the stored cursor. Nothing new is a skip, unless forced: then the whole input is read again.
+    Force changes nothing while there is something new."""
     stored = cursors.get(consumer, path)
     newest = newest_partition(spark, path, columns)
     if newest is None:
@@ -145,8 +145,6 @@ def read_incremental(
             cursors.advance(consumer, path, newest)
     rows = read_partitioned(spark, path, fmt)
     upto = in_window(rows, columns, [""] * len(columns), newest)
-    if forced:
-        return PartitionRead(upto, newest)
     if stored is not None and tuple(newest) <= tuple(stored):
-        return PartitionRead(None, None)
+        return PartitionRead(upto, newest) if forced else PartitionRead(None, None)
     return PartitionRead(after_cursor(upto, columns, stored), newest)
