@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.scalars import parse_magnitude
@@ -10,7 +13,9 @@ from millrace.operators.writes import OutputSpec
 from millrace.plans import recipes as r
 from millrace.plans.staged import Chain, Stage, python_transform, run_transform, sql_transform
 from millrace.queries._registry import query, table
-from millrace.session import scratch_path
+from millrace.session import freeze, scratch_path
+from millrace.sources.formats import InputSpec
+from millrace.tables.store import Provenance
 
 MONEY = "decimal(18,2)"
 
@@ -117,6 +122,59 @@ def t4(spark, sf):
 # -- recipes
 
 
+DAYS_SQL = """SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2"""
+
+
+@query(
+    "t4_outputs_and_telemetry",
+    f"""WITH d AS ({DAYS_SQL}), late AS (SELECT * FROM d WHERE day > DATE '2024-01-20')
+        SELECT 'path' AS what, '' AS name, count(*) AS a, CAST(sum(n) AS BIGINT) AS b FROM d
+        UNION ALL SELECT 'json', '', count(DISTINCT event_type), CAST(sum(n) AS BIGINT) FROM d
+        UNION ALL SELECT 'table', '', count(*), CAST(sum(n) AS BIGINT) FROM d
+        UNION ALL SELECT 'tables', 'daily__days', 2, (SELECT count(*) FROM d)
+        UNION ALL SELECT 'stats', c, (SELECT count(*) FROM d), CASE c WHEN 'n' THEN (SELECT min(n) FROM d) ELSE 0 END FROM (VALUES ('day'), ('event_type'), ('n')) v(c)
+        UNION ALL SELECT 'node', 'daily ' || s, k, 0 FROM (VALUES ('ok', 2), ('skipped', 1)) v(s, k)""",
+)
+def t4_outputs(spark, sf):
+    """A stage that reads a partitioned path by cursor and writes a path, a JSON document and a table with statistics;
+    the second run finds only the days that were added, the third nothing."""
+    source, chain = scratch_path(spark, "by-day"), Chain(spark, scratch_path(spark, "chain"))
+    dated = table(spark, sf, "events").withColumns({"day": F.date_format("ts", "yyyy-MM-dd")}).select("day", "event_type", "event_id")
+    path, document = f"{chain.path}/out/days", f"{chain.path}/out/types"
+
+    def daily(spark, inputs):
+        days = inputs["rows"].groupBy(F.to_date("day").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+        return {"days": days, "files": days, "types": days.groupBy("event_type").agg(F.sum("n").alias("n"))}
+
+    stage = Stage(
+        "daily", daily, {"rows": InputSpec(source, partitions=("day",))},
+        {"days": OutputSpec(mode="append", stats=True), "files": OutputSpec(path, "path", "append"), "types": OutputSpec(document, "json_object")},
+    )
+    typed = "array<struct<event_type: string, n: bigint>>"
+    types = []
+    for part in ("day <= '2024-01-20'", "day > '2024-01-20'", "false"):
+        dated.where(part).write.mode("append").partitionBy("day").parquet(source)
+        if chain.run([stage], Provenance("r"))[0].status == "ok":
+            read = spark.read.text(document).select(F.inline(F.from_json("value", typed)))
+            types.append(freeze(read))  # the next run's document takes the place of this one
+
+    def row(what, df, name=F.lit("")):
+        return df.select(F.lit(what).alias("what"), name.alias("name"), F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"))
+
+    def counted(df):
+        return df.agg(F.count(F.lit(1)).alias("a"), F.sum("n").alias("b"))
+
+    both = types[0].unionByName(types[1]).groupBy("event_type").agg(F.sum("n").alias("n"))
+    stats = chain.system("column_stats").groupBy("column_name").agg(F.sum("row_count").alias("a"), F.min(F.when(F.col("column_name") == "n", F.col("min_value").cast("bigint")).otherwise(0)).alias("b"))
+    tables = chain.system("tables").groupBy("table_name").agg(F.count(F.lit(1)).alias("a"), F.sum("row_count").alias("b"))
+    nodes = chain.system("node_runs").groupBy("node", "status").agg(F.count(F.lit(1)).alias("a"), F.lit(0).alias("b"))
+    parts = [
+        row("path", counted(spark.read.parquet(path))), row("json", counted(both)), row("table", counted(chain.table("daily__days").read())),
+        row("tables", tables, F.col("table_name")), row("stats", stats, F.col("column_name")), row("node", nodes, F.concat_ws(" ", "node", "status")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query(
     "k1_type_pinning",
     """SELECT CAST(l_orderkey AS BIGINT) AS l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber,

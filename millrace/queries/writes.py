@@ -20,7 +20,7 @@ from millrace.session import scratch_path
 from millrace.sources.cursors import read_partitioned
 from millrace.streaming.ingest import file_stream
 from millrace.streaming.upsert import stream_merge
-from millrace.tables.store import Provenance, VersionedTable, read_feed
+from millrace.tables.store import FeedError, Provenance, VersionedTable, read_feed
 
 # The target holds the orders that are not open, the source those that are not finished at a new price:
 # pending orders are in both, open ones are new, and low-priority ones have no key at all.
@@ -553,6 +553,28 @@ def b6(spark, sf):
     return parts[0].unionByName(parts[1])
 
 
+@query(
+    "b5_promote_commit",
+    """SELECT 'promoted' AS what, trigger, n, total FROM (SELECT 'backfill' AS trigger, count(*) AS n,
+         CAST(sum(CASE WHEN o_orderstatus <> 'F' THEN CAST(o_totalprice AS DECIMAL(18,2)) - 1000 ELSE CAST(o_totalprice AS DECIMAL(18,2)) END) AS DOUBLE) AS total FROM orders)
+       UNION ALL SELECT 'insert', 'backfill', count(*), CAST(sum(CAST(o_totalprice AS DECIMAL(18,2)) - 1000) AS DOUBLE) FROM orders WHERE o_orderstatus = 'O'
+       UNION ALL SELECT 'update_postimage', 'backfill', count(*), CAST(sum(CAST(o_totalprice AS DECIMAL(18,2)) - 1000) AS DOUBLE) FROM orders WHERE o_orderstatus = 'P'
+       UNION ALL SELECT 'update_preimage', 'backfill', count(*), CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) FROM orders WHERE o_orderstatus = 'P'""",
+)
+def b5_commit(spark, sf):
+    # A corrected window lowers a `max`: the staged rows take the place of the old ones.
+    price = F.col("o_totalprice").cast("decimal(18,2)")
+    orders = table(spark, sf, "orders").select("o_orderkey", price.alias("price"), "o_orderstatus")
+    target = store(spark, "promoted", ["o_orderstatus"])
+    target.replace(orders.where("o_orderstatus <> 'O'"), merge_keys=["o_orderkey"])
+    late = orders.where("o_orderstatus <> 'F'").withColumn("price", (F.col("price") - 1000).cast("decimal(18,2)"))
+    version = b.promote_into(target, late, "merge", "r1", ["o_orderkey"], {"price": "max"}, replace_counters=True)
+    total = [F.count(F.lit(1)).alias("n"), F.sum("price").cast("double").alias("total")]
+    moved = target.changes(version - 1).groupBy(F.col("_change_type").alias("what")).agg(*total)
+    now = target.read().agg(*total).select(F.lit("promoted").alias("what"), "n", "total")
+    return now.unionByName(moved).withColumn("trigger", F.lit(target.commit()["trigger"]))
+
+
 @query("b7_promote_new", "SELECT o_orderkey, o_custkey, o_totalprice, 'late' AS note FROM orders WHERE o_orderstatus <> 'F'")
 def b7(spark, sf):
     staging, _ = staged_orders(spark, sf)
@@ -577,6 +599,62 @@ def b8(spark, sf):
     return registry.open("days").drop("state", "at").withColumn("staged", staged)
 
 
+@query(
+    "w6_key_is_no_partition",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
+              CAST(o_totalprice + CASE WHEN o_orderkey % 10 = 0 THEN 1 ELSE 0 END AS DOUBLE) AS price FROM orders""",
+)
+def w6_key(spark, sf):
+    """A merge by a key that says nothing about the partition, after an append of other files of the same names."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("double").alias("price"))
+    t = store(spark, "by-status", ["o_orderstatus"])
+    t.replace(orders.where("o_orderkey % 3 <> 0").coalesce(1), merge_keys=["o_orderkey"])
+    t.append(orders.where("o_orderkey % 3 = 0 AND o_orderkey % 10 <> 0").coalesce(1))
+    batch = orders.where("o_orderkey % 10 = 0")
+    t.merge(batch.withColumns({"price": F.col("price") + 1, "o_orderstatus": F.lit("X")}), ["o_orderkey"])
+    return t.read().select("o_orderkey", "o_orderstatus", "price")
+
+
+@query(
+    "c2_type_change",
+    """SELECT event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total, true AS refused, true AS in_full
+       FROM events GROUP BY event_type""",
+)
+def c2_type(spark, sf):
+    """A column changes its type: its old values can't be given as changes, so a feed reads in full."""
+    events = table(spark, sf, "events").select("event_id", "event_type", F.col("value").cast("decimal(18,2)").alias("value"))
+    t = store(spark, "retyped")
+    t.append(events.withColumn("value", F.col("value").cast("string")).where("event_id % 2 = 0"))
+    t.append(events.withColumn("value", F.col("value").cast("string")).where("event_id % 2 = 1"))
+    t.replace(events)
+    try:
+        t.changes(0)
+        refused = False
+    except FeedError:
+        refused = True
+    feed = read_feed(t, 0)
+    told = feed.df.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").cast("double").alias("total"))
+    return told.withColumns({"refused": F.lit(refused), "in_full": F.lit(feed.full)})
+
+
+@query(
+    "c4_forced_behind",
+    "SELECT user_id, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events GROUP BY user_id",
+)
+def c4_forced(spark, sf):
+    """An additive consumer that forces each read counts nothing twice while there is something new."""
+    events = table(spark, sf, "events")
+    raw, totals = store(spark, "raw"), store(spark, "totals")
+    last = None
+    for k in range(3):
+        raw.append(events.where(F.col("event_id") % 3 == k))
+        feed = read_feed(raw, last, forced=True)
+        batch = per_user(feed.df).select("user_id", "n", "total")
+        totals.merge(batch, ["user_id"], {"n": "additive", "total": "additive"})
+        last = feed.version
+    return totals.read().withColumn("total", F.col("total").cast("double"))
+
+
 # -- upkeep
 
 
