@@ -68,7 +68,7 @@ def cut_more(piece: str) -> tuple[str, ...]:
 class Encoder:
     """Remembers the ids of words (`most_words`, the oldest go first) and of the pieces that they make up."""
 
-    def __init__(self, path: str, most_pieces: int = 200_000, most_words: int = 500_000):
+    def __init__(self, path: str, most_pieces: int = 250_000, most_words: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has one task for each core
         from tokenizers import Tokenizer
 
