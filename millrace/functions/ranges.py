@@ -1,8 +1,9 @@
 """Joins of points to intervals without comparing every pair.
 
 Both sides get a bucket of fixed width: an interval one row per bucket it covers, a point its own bucket.
-The join is then an equi join on the bucket with the exact bounds as a filter. Choose the width so that
-typical intervals cover few buckets. A bucket that holds a large share of the points is spread by a salt
+The join is then an equi join on the bucket with the exact bounds as a filter. Intervals are first cut to where there
+are points, so that one without an end costs no more buckets than the points span. Choose the width so that typical
+intervals cover few buckets. A bucket that holds a large share of the points is spread by a salt
 that is taken from the point's row; the (small) interval side is repeated once per salt value.
 """
 
@@ -45,7 +46,10 @@ def range_join(
     bounds = {"_low": F.col(f"`{low}`").cast("bigint"), "_high": F.col(f"`{high}`").cast("bigint")}
     left = _points(points, column, width, salts).alias("p")
     valid = ranges.withColumns(bounds).where("_low <= _high")
-    right = _buckets(valid, F.col("_low"), F.col("_high"), width, salts).alias("r")
+    span = points.agg(F.min(column).alias("least"), F.max(column).alias("most"))
+    reach = {"_from": F.greatest("_low", span.select("least").scalar()), "_upto": F.least("_high", span.select("most").scalar())}
+    reached = valid.withColumns(reach).where("_from <= _upto")
+    right = _buckets(reached, F.col("_from"), F.col("_upto"), width, salts).alias("r")
     on = F.col("p._bucket") == F.col("r._bucket")
     if salts > 1:
         on = on & (F.col("p._salt") == F.col("r._salt"))

@@ -239,10 +239,11 @@ def bounded_merge(
     update: Mapping[str, str] | None = None,
     cluster_by: Sequence[str] = (),
     bound_by: Sequence[str] = (),
+    path: str | None = None,
 ) -> DataFrame:
     """`merge_upsert` that joins only the slice of the target the batch can touch. The bound reaches the
     Parquet scan, the rest of the target passes through without a shuffle."""
-    source = freeze(source)  # the bound and the merge must see the same batch
+    source = freeze(source, path)  # the bound and the merge must see the same batch
     require_bound(source, keys, bound_by)
     touched, rest = split_by_bound(target, source, keys, cluster_by, bound_by)
     merged = merge_upsert(touched, source, keys, update)

@@ -10,29 +10,26 @@ from pyspark.sql import functions as F
 from millrace.session import freeze
 
 
-def numbered(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str = "rank") -> DataFrame:
+def numbered(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str = "rank", path: str | None = None) -> DataFrame:
     """`row_number` per group when one group may be far larger than a task.
 
-    Rows are range-partitioned by group and order, so a large group spreads over many tasks; each task
-    numbers its own rows, and adds the size of the group's earlier parts. Those sizes are one row per
-    group and task, never per input row. The ranges are pinned first: counts and rows must agree on them.
+    Rows are range-partitioned by group and order, so a large group spreads over many tasks, and are written sorted with
+    their place in the task. A rank is that place, less the group's first one in the task, plus the sizes of the group's
+    earlier parts: one row per group and task, never per input row. The rows are shuffled once. They are written so that
+    places and sizes agree; give a `path` (see `session.scratch_dir`) to remove them when the result has been used.
     `order` has to be total (end it with a unique column).
     """
     groups = [F.col(f"`{g}`") for g in group]
-    ranged = freeze(df.repartitionByRange(*groups, *order).withColumn("_part", F.spark_partition_id()))
-    sizes = ranged.groupBy("_part", *groups).agg(F.count(F.lit(1)).alias("_size"))
+    placed = df.repartitionByRange(*groups, *order).sortWithinPartitions(*groups, *order)
+    ranged = freeze(placed.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)), path)
+    sizes = ranged.groupBy("_part", *groups).agg(F.count(F.lit(1)).alias("_size"), F.min("_at").alias("_first"))
     parts = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        "_part", *groups, F.coalesce(F.sum("_size").over(parts), F.lit(0)).alias("_offset")
-    )
-    rows = Window.partitionBy("_part", *groups).orderBy(*order)
-    local = ranged.withColumn("_row", F.row_number().over(rows))
+    before = F.coalesce(F.sum("_size").over(parts), F.lit(0))
+    offsets = sizes.select("_part", *groups, (before - F.col("_first") + 1).alias("_offset"))
     same = [F.col("l._part") == F.col("o._part")]
     same += [F.col(f"l.`{g}`").eqNullSafe(F.col(f"o.`{g}`")) for g in group]
-    joined = local.alias("l").join(offsets.alias("o"), same, "left")
-    return joined.select(
-        *[F.col(f"l.`{c}`") for c in df.columns], (F.col("_row") + F.col("_offset")).alias(name)
-    )
+    joined = ranged.alias("l").join(offsets.alias("o"), same, "left")
+    return joined.select(*[F.col(f"l.`{c}`") for c in df.columns], (F.col("_at") + F.col("_offset")).alias(name))
 
 
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, name: str = "rank") -> DataFrame:

@@ -108,18 +108,19 @@ def sessions(
 
 
 def without_bots(
-    hits: DataFrame, agent: str, address: str, crawler: str, datacenters: DataFrame, low: str, high: str
+    hits: DataFrame, agent: str, address: str, crawler: str, datacenters: DataFrame, low: str, high: str, salts: int = 4
 ) -> DataFrame:
-    """Drop hits whose agent matches the crawler pattern or whose address is in a datacenter range."""
+    """Drop hits whose agent matches the crawler pattern or whose address is in a datacenter range. A block of
+    addresses is spread over `salts` tasks: about as many as the busiest block would fill."""
     human = hits.where(~F.coalesce(F.col(agent).rlike(crawler), F.lit(False)))
-    return range_join(human, address, datacenters, low, high, ADDRESS_BLOCK, "left_anti", salts=4)
+    return range_join(human, address, datacenters, low, high, ADDRESS_BLOCK, "left_anti", salts=salts)
 
 
-def with_country(hits: DataFrame, address: str, ranges: DataFrame, low: str, high: str, country: str) -> DataFrame:
+def with_country(hits: DataFrame, address: str, ranges: DataFrame, low: str, high: str, country: str, salts: int = 4) -> DataFrame:
     """Add the two-letter country of the address and drop the address; unknown addresses get NULL.
     The ranges must not overlap."""
     places = ranges.select(F.col(low).alias("_from"), F.col(high).alias("_to"), F.col(country).alias("country"))
-    found = range_join(hits, address, places, "_from", "_to", ADDRESS_BLOCK, "left", salts=4)
+    found = range_join(hits, address, places, "_from", "_to", ADDRESS_BLOCK, "left", salts=salts)
     return found.drop(address, "_from", "_to")
 
 

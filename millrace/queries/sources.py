@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.writes import write_path
 from millrace.queries._registry import layout, query, table
-from millrace.session import scratch_path
+from millrace.session import freeze, scratch_path
 from millrace.sources import cursors as c
 from millrace.sources.documents import json_rows, text_column_types, typed_text
 from millrace.sources.formats import read_files, read_named, read_path
@@ -234,8 +234,8 @@ TEXT_CELLS = """CAST(l_orderkey AS {s}) AS a_long, CAST(l_discount AS {s}) AS a_
 def s12(spark, sf):
     table(spark, sf, "lineitem").createOrReplaceTempView("lineitem_cells")
     text = spark.sql(f"SELECT {TEXT_CELLS.format(s='STRING')} FROM lineitem_cells")
-    types = text_column_types(text)
-    typed = typed_text(text)
+    types = freeze(text_column_types(text))
+    typed = typed_text(text, types=types)
     filled = typed.agg(*[F.count(n).alias(n) for n in typed.columns]).unpivot([], typed.columns, "column_name", "filled")
     return types.join(filled, "column_name")
 

@@ -50,6 +50,17 @@ def freeze(df: DataFrame, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch_dir(spark: SparkSession, label: str = "scratch"):
+    """A fresh folder in the shared one that goes when the block ends: for what `freeze` and `numbered` write."""
+    path = scratch_path(spark, label)
+    try:
+        yield path
+    finally:
+        fs, jpath = hadoop_path(spark, path)
+        fs.delete(jpath, True)
+
+
 @contextmanager
 def session_conf(spark: SparkSession, **settings: str):
     """Set SQL confs (dots written as double underscores) and restore them afterwards."""

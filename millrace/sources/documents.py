@@ -41,45 +41,36 @@ def json_rows(
     return items.select(*keep, *[F.col("item").getItem(c).alias(c) for c in columns])
 
 
-def _is_int(cell: Column) -> Column:
-    return cell.rlike(_INT) & cell.try_cast("bigint").isNotNull()
+_TYPES = ("long", "double", "string")
 
 
-def _is_float(cell: Column) -> Column:
+def _cell_class(cell: Column) -> Column:
+    """Which of the types the narrowest is that takes a cell's text."""
     value = cell.try_cast("double")
-    finite = value.isNotNull() & (F.abs(value) != float("inf"))
-    return cell.rlike(_NON_FINITE) | (cell.rlike(_FLOAT) & finite)
+    whole = cell.rlike(_INT) & cell.try_cast("bigint").isNotNull()
+    real = cell.rlike(_NON_FINITE) | (cell.rlike(_FLOAT) & value.isNotNull() & (F.abs(value) != float("inf")))
+    return F.when(whole, 0).when(real, 1).otherwise(2)
 
 
 def text_column_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """One row per text column: `long`, `double` or `string`, judged over every non-blank cell."""
+    """One row per text column: `long`, `double` or `string`, judged over every non-blank cell; `string` if all are
+    blank. One pass, in which a cell is classed once."""
     names = list(columns or [c for c, t in df.dtypes if t == "string"])
-    aggs = []
-    for i, name in enumerate(names):
-        cell = F.trim(F.col(f"`{name}`"))
-        filled = F.when(cell != "", cell)
-        aggs += [
-            F.count(filled).alias(f"n{i}"),
-            F.bool_and(F.when(cell != "", _is_int(cell))).alias(f"i{i}"),
-            F.bool_and(F.when(cell != "", F.when(_is_int(cell), True).otherwise(_is_float(cell)))).alias(f"f{i}"),
-        ]
+    cells = [F.trim(F.col(f"`{name}`")) for name in names]
+    widest = [F.max(F.when(cell != "", _cell_class(cell))).alias(f"c{i}") for i, cell in enumerate(cells)]
+    kinds = F.array(*[F.lit(t) for t in _TYPES])
     verdicts = [
-        F.struct(
-            F.lit(name).alias("column_name"),
-            F.when(F.col(f"n{i}") == 0, "string")
-            .when(F.col(f"i{i}"), "long")
-            .when(F.col(f"f{i}"), "double")
-            .otherwise("string")
-            .alias("column_type"),
-        )
+        F.struct(F.lit(name).alias("column_name"), F.get(kinds, F.coalesce(F.col(f"c{i}"), F.lit(2))).alias("column_type"))
         for i, name in enumerate(names)
     ]
-    return df.agg(*aggs).select(F.inline(F.array(*verdicts)))
+    return df.agg(*widest).select(F.inline(F.array(*verdicts)))
 
 
-def typed_text(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Cast each text column to the type all its cells allow; blank cells become NULL."""
-    types = {r["column_name"]: r["column_type"] for r in text_column_types(df, columns).collect()}
+def typed_text(df: DataFrame, columns: Sequence[str] | None = None, types: DataFrame | None = None) -> DataFrame:
+    """Cast each text column to the type all its cells allow; blank cells become NULL. `types` spares the pass that
+    finds them."""
+    found = text_column_types(df, columns) if types is None else types
+    types = {r["column_name"]: r["column_type"] for r in found.collect()}  # a row for each column
 
     def cast(name: str) -> Column:
         kind = types.get(name, "string")

@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check_oracle import compare
+from millrace.queries import ORACLE, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -22,12 +23,12 @@ def con():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_its_sql(spark, con, name):
-    frame = entry.queries()[name](spark, SF_DIR)
+    frame = QUERIES[name](spark, SF_DIR)
     names = sorted(frame.columns)
     got = [tuple(r) for r in frame.select(*[f"`{n}`" for n in names]).collect()]
-    answer = con.execute(f"SELECT * FROM ({entry.oracle_sql()[name]}) q")
+    answer = con.execute(f"SELECT * FROM ({ORACLE[name]}) q")
     columns = [d[0] for d in answer.description]
     assert sorted(columns) == names
     want = [tuple(r[columns.index(n)] for n in names) for r in answer.fetchall()]
@@ -36,3 +37,20 @@ def test_query_equals_its_sql(spark, con, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 3
+
+
+def test_entry_names_every_query():
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
+
+
+def test_entry_without_the_optional_parts(tmp_path):
+    """The library, without its one subpackage that may be absent and the pipeline, still imports and lists its queries."""
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    shutil.copytree(f"{root}/millrace", tmp_path / "millrace", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True, check=True)
+    assert said.stdout.split() == [str(len(QUERIES)), str(len(ORACLE))]
