@@ -74,7 +74,7 @@ def test_rightsizing(spark):
     assert (got["a"]["recommended_mb"], got["a"]["confidence"]) == (960, "high")
     assert (got["b"]["recommended_mb"], got["b"]["confidence"]) == (2880, "medium")
     assert got["c"]["confidence"] == got["d"]["confidence"] == "n/a" and got["c"]["recommended_mb"] is None
-    assert got["a"]["reason"] == "p95 peak 800 MB vs 1024 MB allocated, lower to 960 MB (n=12)"
+    assert (got["a"]["p95_peak_rss_mb"], got["a"]["current_mb"], got["a"]["samples"]) == (800, 1024, 12)
 
 
 @pytest.mark.parametrize("p95, spill, want", [(1000, 0.25, 1536), (100, 0.0, 512), (20000, 0.0, 10240)])
