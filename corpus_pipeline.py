@@ -20,6 +20,8 @@ from millrace.llm.simhash import simhash_dedup
 
 #: Near duplicates are looked for on shingles of this many words.
 SHINGLE_WORDS = 5
+#: And of this similarity of their shingle sets.
+SIMILARITY = 0.8
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +30,8 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return simhash_dedup(docs, shingle=SHINGLE_WORDS)
+    """One document of each group of near copies: fingerprints of three bits' difference, or similar shingle sets."""
+    return simhash_dedup(docs, shingle=SHINGLE_WORDS, similarity=SIMILARITY)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

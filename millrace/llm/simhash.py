@@ -26,33 +26,69 @@ from millrace.llm.common import Scratch, components, query, rows_of, table
 SEED = 42
 
 
-def fingerprint(data: bytes | None, shingle: int = 3, block: int = 1 << 15) -> int:
-    """Of a UTF-8 text: ASCII letters in lower case, words at ASCII blanks, a bit set if over half the hashes set it."""
+def shingle_hashes(data: bytes | None, shingle: int = 3, block: int = 1 << 15) -> Iterator[np.ndarray]:
+    """Hashes of a UTF-8 text's shingles, repeats included, in blocks: ASCII letters in lower case, words at ASCII
+    blanks; fewer words than a shingle has are one."""
     words = (data or b"").lower().split()
     if not words:
-        return 0
+        return
     joined, n = b" ".join(words), max(len(words) - shingle + 1, 1)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
-    ends = ends[-n:].tolist()
-    counts, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
+    ends, digest = ends[-n:].tolist(), xxhash.xxh64_intdigest
     for at in range(0, n, block):
-        hashes = [digest(joined[s:e], SEED) for s, e in zip(starts[at : at + block], ends[at : at + block], strict=True)]
-        bits = np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        yield np.array([digest(joined[s:e], SEED) for s, e in zip(starts[at : at + block], ends[at : at + block], strict=True)], np.uint64)
+
+
+def fingerprint_of(blocks: list[np.ndarray]) -> int:
+    """A bit is set if over half the hashes set it."""
+    counts, n = np.zeros(64, np.int64), 0
+    for hashes in blocks:
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(0, dtype=np.uint32)
+        n += len(hashes)
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
 
 
-def with_fingerprint(docs: DataFrame, text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(row, fp): the whole row as a struct, and its fingerprint as a signed long."""
+def fingerprint(data: bytes | None, shingle: int = 3) -> int:
+    return fingerprint_of(list(shingle_hashes(data, shingle)))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+
+
+def part_keys(hashes: np.ndarray) -> np.ndarray:
+    """Keys of parts of a shingle set. Shingles fall into parts by their hash, a few to a part; two sets of similarity
+    0.8 agree in all shingles of a part with a chance of a seventh or more, and have dozens of parts. The number of
+    parts is a power of two, and parts of half that number are keyed too, as similar sets differ in size."""
+    u = _mixed(np.unique(hashes))
+    n = len(u)
+    share = 2 if n < 128 else 4 if n < 4096 else 8
+    most, keys = 1 << max((n // share).bit_length() - 1, 0), []
+    for level in {most, max(most // 2, 1)}:
+        part = u >> np.uint64(40) & np.uint64(level - 1)
+        order = np.argsort(part, kind="stable")
+        new = np.flatnonzero(np.r_[True, part[order][1:] != part[order][:-1]])
+        sums = np.add.reduceat(_mixed(u[order]), new)
+        keys.append(_mixed(sums ^ _mixed(part[order][new] + np.uint64(level) * np.uint64(1 << 32))))
+    return np.concatenate(keys).view(np.int64)
+
+
+def with_fingerprint(docs: DataFrame, text_col: str = "text", shingle: int = 3, parts: bool = False) -> DataFrame:
+    """(row, fp, parts): the whole row as a struct, its fingerprint as a signed long, and its part keys if asked for."""
     df = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[f"`{text_col}`"].cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
-            prints = [fingerprint(x.as_py(), shingle) for x in batch.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64))], names=["row", "fp"])
+            blocks = [list(shingle_hashes(x, shingle)) for x in batch.column(1).cast(pa.binary()).to_pylist()]
+            prints = np.array([fingerprint_of(b) for b in blocks], np.uint64).view(np.int64)
+            keys = [part_keys(np.concatenate(b)) if parts and b else None for b in blocks]
+            columns = [batch.column(0), pa.array(prints), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "fp", "parts"])
 
-    return df.mapInArrow(run, T.StructType([df.schema["row"], T.StructField("fp", T.LongType())]))
+    return df.mapInArrow(run, T.StructType([df.schema["row"], T.StructField("fp", T.LongType()), T.StructField("parts", T.ArrayType(T.LongType()))]))
 
 
 def variants(fp: Column, k: int, bits: int = 64) -> Column:
@@ -88,7 +124,10 @@ def spanning(prints: np.ndarray, k: int) -> Iterator[tuple[np.uint64, np.ndarray
                 left = left[~near]
 
 
-def _links(k: int):
+def _links(k: int, stirred: bool = False):
+    """Spanning forests of the links of fingerprints with one key. Searches start from the least fingerprint, or, if
+    stirred, from another one for each key."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept_key, kept_fp = np.empty(0, np.int64), np.empty(0, np.uint64)
 
@@ -100,7 +139,10 @@ def _links(k: int):
             near = np.bitwise_count(a ^ b) <= k
             left, right = [a[near]], [b[near]]
             for s, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
-                for at, reached in spanning(prints[s : s + n], k):
+                own = np.unique(prints[s : s + n])
+                if stirred:
+                    own = own[np.argsort(_mixed(own ^ np.uint64(keys[s] & 0x7FFFFFFFFFFFFFFF)))]
+                for at, reached in spanning(own, k):
                     left.append(np.full(len(reached), at, np.uint64))
                     right.append(reached)
             out = [pa.array(np.concatenate(x).view(np.int64)) for x in (left, right)]
@@ -119,12 +161,40 @@ def _links(k: int):
     return run
 
 
-def classes(prints: DataFrame, scratch: Scratch, k: int = 3) -> DataFrame:
-    """(fp, root, component) for rows (id, fp): the least fingerprint and the smallest id that links can reach."""
+def similar_links(rows: DataFrame, scratch: Scratch, similarity: float, shingle: int, far: int = 20) -> DataFrame:
+    """(a, b) of fingerprints whose shingle sets are that similar, for rows (uid, fp, text, parts).
+
+    At a similarity of 0.8 fingerprints differ in about ten bits, of which no segment tells. So parts of the sets are
+    joined by equality instead, fingerprints of a group that differ in more than `far` bits are left apart, and the
+    pairs of the others' spanning forest are verified on the sets. One text stands for all of a fingerprint, which link
+    anyway."""
+    firsts = rows.groupBy("fp").agg(F.min("uid").alias("uid")).select("uid")
+    own = scratch.write(rows.join(firsts, "uid", "left_semi").select("fp", "text", "parts"), "firsts")
+    keyed = own.select(F.explode("parts").alias("key"), "fp")
+    pairs = keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_links(far, True), "a long, b long")
+    pairs = scratch.write(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    text = own.select("fp", "text")
+    both = pairs.join(text.select(F.col("fp").alias("a"), F.col("text").alias("ta")), "a").join(text.select(F.col("fp").alias("b"), F.col("text").alias("tb")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows_of(batches):
+            keep = []
+            for x, y in zip(*(batch.column(k).cast(pa.binary()).to_pylist() for k in (2, 3)), strict=True):
+                p, q = (np.unique(np.concatenate([*shingle_hashes(t, shingle), np.empty(0, np.uint64)])) for t in (x, y))
+                shared = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(shared >= similarity * (len(p) + len(q) - shared))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+
+
+def classes(prints: DataFrame, scratch: Scratch, k: int = 3, more: DataFrame | None = None) -> DataFrame:
+    """(fp, root, component) for rows (id, fp): the least fingerprint and the smallest id that links can reach: those
+    of at most k bits, and `more` links (a, b)."""
     distinct = scratch.write(prints.groupBy("fp").agg(F.min("id").alias("id")), "distinct")
     keyed = distinct.select(F.explode(variants(F.col("fp"), k)).alias("key"), "fp")
     links = keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_links(k), "a long, b long")
-    roots = components(links, scratch)
+    roots = components(links if more is None else links.unionByName(more), scratch)
     of_root = scratch.write(
         distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "id", F.coalesce("root", "fp").alias("root")), "roots"
     )
@@ -143,13 +213,17 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, shingle: int = 3) -> DataFrame:
-    """The rows with one of each component left: the one of the smallest id, and of repeated ids any one."""
+def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, shingle: int = 3, similarity: float | None = None) -> DataFrame:
+    """The rows with one of each component left: the one of the smallest id, and of repeated ids any one. With a
+    `similarity`, texts whose shingle sets are that similar are linked as well."""
     scratch = Scratch(docs.sparkSession, "simhash")
-    rows = with_fingerprint(docs, text_col, shingle).withColumn("uid", F.monotonically_increasing_id())
+    rows = with_fingerprint(docs, text_col, shingle, similarity is not None).withColumn("uid", F.monotonically_increasing_id())
     rows = scratch.write(rows, "rows")  # which fixes the uid
     narrow = rows.select(F.col("row")[id_col].alias("id"), "fp", "uid")
-    found = classes(narrow, scratch, k)
+    more = None
+    if similarity is not None:
+        more = scratch.write(similar_links(rows.select("uid", "fp", F.col("row")[text_col].alias("text"), "parts"), scratch, similarity, shingle), "more")
+    found = classes(narrow, scratch, k, more)
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("uid"))
     kept = narrow.join(found, "fp").groupBy("root").agg(F.min(order)["uid"].alias("uid"))
     return rows.join(kept, "uid", "left_semi").select("row.*")

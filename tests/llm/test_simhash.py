@@ -3,7 +3,7 @@ import re
 import xxhash
 from pyspark.sql import functions as F
 
-from millrace.llm.simhash import simhash_dedup, simhash_groups, spanning
+from millrace.llm.simhash import fingerprint, part_keys, simhash_dedup, simhash_groups, spanning
 
 
 def plain(text):
@@ -66,3 +66,48 @@ def test_one_of_each_group_stays(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash_groups(df).count() == 0 and simhash_dedup(df).count() == 0
+
+
+def test_similar_sets_are_linked_and_others_are_not(spark):
+    import random
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghiklmnorstu", k=rng.randint(3, 8)))
+    shared = [word() for _ in range(40)]
+    texts = []
+    for _ in range(60):
+        base = [word() for _ in range(rng.choice([30, 80, 200, 600, 1500]))] + shared
+        texts.append(base)
+        for edits in (1, len(base) // 70, len(base) // 8):
+            near = base[:]
+            for at in rng.sample(range(len(near)), edits):
+                near[at] = word()
+            texts.append(near)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(900, None), (901, ""), (902, "two words")]
+    sets = [{tuple((t or "").split()[k : k + 5]) for k in range(max(len((t or "").split()) - 4, 1))} for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    prints = [fingerprint((t or "").encode(), 5) for _, t in rows]
+    for a in range(len(rows)):
+        for b in range(a):
+            if (prints[a] ^ prints[b]).bit_count() <= 3 or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    want = sorted(rows[i][0] for i in range(len(rows)) if find(i) == i)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(r.doc_id for r in simhash_dedup(df, shingle=5, similarity=0.8).collect()) == want
+    assert len(want) < len(simhash_dedup(df, shingle=5).collect())
+
+
+def test_equal_parts_have_equal_keys():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 20, 127, 128, 300, 5000):
+        a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        b = np.concatenate((a[: n - n // 10], rng.integers(0, 1 << 63, n // 10, dtype=np.uint64)))
+        assert set(part_keys(a)) == set(part_keys(np.concatenate((a, a))[::-1])) and set(part_keys(a)) & set(part_keys(b))
