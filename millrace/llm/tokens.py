@@ -7,6 +7,7 @@ it, and ids are put together again with array operations. The bytes of each id t
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from itertools import chain, islice
@@ -68,7 +69,7 @@ def cut_more(piece: str) -> tuple[str, ...]:
 class Encoder:
     """Remembers the ids of words (`most_words`, the oldest go first) and of the pieces that they make up."""
 
-    def __init__(self, path: str, most_pieces: int = 250_000, most_words: int = 800_000):
+    def __init__(self, path: str, most_pieces: int = 400_000, most_words: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has one task for each core
         from tokenizers import Tokenizer
 
@@ -140,6 +141,15 @@ class Encoder:
         """Ids of each text, unsigned 32-bit."""
         if len(self.numbers) > self.most_pieces:
             self.forget()
+        collects = gc.isenabled()
+        gc.disable()  # all that is made here is free of cycles, and there is much of it
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         number, keys = self.numbers.__getitem__, [cut(text) for text in texts]
         counts = [len(x) for x in keys]
         flat = np.fromiter(map(number, chain.from_iterable(keys)), np.int64, sum(counts))
