@@ -62,12 +62,14 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 def part_keys(hashes: np.ndarray) -> np.ndarray:
     """Keys of parts of a shingle set. Shingles fall into parts by their hash, a few to a part; two sets of similarity
     0.8 agree in all shingles of a part with a chance of a seventh or more, and have dozens of parts. The number of
-    parts is a power of two, and parts of half that number are keyed too, as similar sets differ in size."""
+    parts is a power of two, and parts of half that number are keyed too where a similar set may have that many."""
     u = _mixed(np.unique(hashes))
     n = len(u)
     share = 2 if n < 128 else 4 if n < 4096 else 8
     most, keys = 1 << max((n // share).bit_length() - 1, 0), []
-    for level in {most, max(most // 2, 1)}:
+    # a similar set has at least 0.8 times the shingles, which may halve the parts
+    levels = {most, max(most // 2, 1)} if n < 1.25 * most * share or n < 128 else {most}
+    for level in levels:
         part = u >> np.uint64(40) & np.uint64(level - 1)
         order = np.argsort(part, kind="stable")
         new = np.flatnonzero(np.r_[True, part[order][1:] != part[order][:-1]])
@@ -168,12 +170,16 @@ def similar_links(rows: DataFrame, scratch: Scratch, similarity: float, shingle:
     joined by equality instead, fingerprints of a group that differ in more than `far` bits are left apart, and the
     pairs of the others' spanning forest are verified on the sets. One text stands for all of a fingerprint, which link
     anyway."""
-    firsts = rows.groupBy("fp").agg(F.min("uid").alias("uid")).select("uid")
-    own = scratch.write(rows.join(firsts, "uid", "left_semi").select("fp", "text", "parts"), "firsts")
-    keyed = own.select(F.explode("parts").alias("key"), "fp")
+    narrow = rows.select("uid", "fp")
+    firsts = scratch.write(narrow.groupBy("fp").agg(F.min("uid").alias("first")), "firsts")
+    # fewer rows are left out than stay, so the wide side may be spared a shuffle
+    copies = scratch.write(narrow.join(firsts, "fp").where("uid <> first").select("uid"), "copies")
+    keyed = rows.select("uid", "fp", "parts").join(copies, "uid", "left_anti").select(F.explode("parts").alias("key"), "fp")
     pairs = keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_links(far, True), "a long, b long")
     pairs = scratch.write(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    text = own.select("fp", "text")
+    paired = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(firsts, "fp").select("fp", F.col("first").alias("uid"))
+    paired = scratch.write(paired, "paired")
+    text = scratch.write(rows.select("uid", "text").join(paired, "uid").select("fp", "text"), "texts")
     both = pairs.join(text.select(F.col("fp").alias("a"), F.col("text").alias("ta")), "a").join(text.select(F.col("fp").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,8 +231,12 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         more = scratch.write(similar_links(rows.select("uid", "fp", F.col("row")[text_col].alias("text"), "parts"), scratch, similarity, shingle), "more")
     found = classes(narrow, scratch, k, more)
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("uid"))
-    kept = narrow.join(found, "fp").groupBy("root").agg(F.min(order)["uid"].alias("uid"))
-    return rows.join(kept, "uid", "left_semi").select("row.*")
+    named = scratch.write(narrow.join(found, "fp").select("uid", "id", "root"), "named")
+    kept = named.groupBy("root").agg(F.min(order)["uid"].alias("uid"))
+    dropped = scratch.write(named.join(kept, "uid", "left_anti").select("uid"), "dropped")
+    out = scratch.write(rows.join(dropped, "uid", "left_anti").select("row.*"), "out")
+    scratch.drop(rows, found, named, dropped)
+    return out
 
 
 @query("op4_simhash_near_dedup")
