@@ -10,6 +10,8 @@ from __future__ import annotations
 import gc
 import os
 import re
+import threading
+import time
 from itertools import chain, islice
 
 import numpy as np
@@ -67,9 +69,10 @@ def cut_more(piece: str) -> tuple[str, ...]:
 
 
 class Encoder:
-    """Remembers the ids of words (`most_words`, the oldest go first) and of the pieces that they make up."""
+    """Remembers the ids of words (`most_words`, the oldest go first) and of the pieces that they make up. All is
+    forgotten after `idle_s` seconds without work, as a worker outlives the stage that needs this."""
 
-    def __init__(self, path: str, most_pieces: int = 400_000, most_words: int = 800_000):
+    def __init__(self, path: str, most_pieces: int = 400_000, most_words: int = 800_000, idle_s: float = 2.0):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has one task for each core
         from tokenizers import Tokenizer
 
@@ -79,10 +82,20 @@ class Encoder:
         self.n_bytes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)  # one character a byte
         self.kind = np.uint16 if size <= 1 << 16 else np.uint32
         self.most_pieces, self.most_words = most_pieces, most_words
+        self.idle_s, self.last, self.watched, self.lock = idle_s, 0.0, False, threading.Lock()
         self.words: dict[str, bytes] = {}
         self.old_words: dict[str, bytes] = {}
         self.forget()
 
+    def _watch(self) -> None:
+        while True:
+            time.sleep(self.idle_s / 2)
+            with self.lock:
+                if time.monotonic() - self.last > self.idle_s:
+                    self.words, self.old_words, self.watched = {}, {}, False
+                    self.forget()
+                    return
+
     def forget(self) -> None:
         self.numbers = Numbers()
         self.known = 0
@@ -139,6 +152,15 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, unsigned 32-bit."""
+        with self.lock:
+            if not self.watched:
+                self.watched = True
+                threading.Thread(target=self._watch, daemon=True).start()
+            out = self._remembering(texts)
+            self.last = time.monotonic()
+        return out
+
+    def _remembering(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.numbers) > self.most_pieces:
             self.forget()
         collects = gc.isenabled()

@@ -22,3 +22,14 @@ def test_equals_the_library(spark):
     for at in range(0, len(texts), 300):
         got = [x.tolist() for x in e.encode(texts[at : at + 300])]
         assert got == plain(texts[at : at + 300])
+
+
+def test_forgets_when_idle():
+    import time
+
+    e = Encoder(default_tokenizer(), idle_s=0.2)
+    first = e.encode(["some words to remember"])[0].tolist()
+    assert e.words and e.numbers
+    time.sleep(1)
+    assert not e.words and not e.numbers
+    assert e.encode(["some words to remember"])[0].tolist() == first
