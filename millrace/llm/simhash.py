@@ -78,19 +78,79 @@ def part_keys(hashes: np.ndarray) -> np.ndarray:
     return np.concatenate(keys).view(np.int64)
 
 
-def with_fingerprint(docs: DataFrame, text_col: str = "text", shingle: int = 3, parts: bool = False) -> DataFrame:
-    """(row, fp, parts): the whole row as a struct, its fingerprint as a signed long, and its part keys if asked for."""
+def commonness(docs: DataFrame, text_col: str, shingle: int, sample_rows: int = 10_000, most: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in order, counts) of the commonest shingles of a sample. They only order shingles: any numbers would give
+    the same links, these keep stock phrases out of the keys."""
+    texts = docs.select(docs[f"`{text_col}`"].cast("string").alias("text"))
+    share = min(1.0, sample_rows / max(texts.count(), 1))
+    texts = texts.filter(F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(1 << 20)) < int(share * (1 << 20)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows_of(batches):
+            sets = [np.unique(b) for x in batch.column(0).cast(pa.binary()).to_pylist() for b in shingle_hashes(x, shingle)]
+            hashes, counts = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts.astype(np.int64))], names=["hash", "n"])
+
+    counted = texts.mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where("n > 2")
+    found = counted.orderBy(F.desc("n"), "hash").limit(most).collect()
+    hashes, counts = (np.array([r[k] for r in found], np.int64) for k in ("hash", "n"))
+    order = np.argsort(hashes.view(np.uint64))
+    return hashes.view(np.uint64)[order], counts[order]
+
+
+def prefix_keys(hashes: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The rarest shingles of a set, as many as a similar set must hold one of among its own: with all shingles in one
+    order, two sets of that similarity share one of their first n - ceil(similarity * n) + 1."""
+    listed, counts = common
+    weight = np.zeros(len(hashes), np.int64)
+    if len(listed):
+        at = np.minimum(np.searchsorted(listed, hashes), len(listed) - 1)
+        weight = np.where(listed[at] == hashes, counts[at], 0)
+    n = len(hashes)
+    return hashes[np.lexsort((hashes, weight))[: n - int(np.ceil(similarity * n - 1e-9)) + 1]].view(np.int64)
+
+
+SHORT = 64
+
+
+def parities(hashes: np.ndarray) -> bytes:
+    """Whether buckets hold an odd number of a set's shingles, two buckets or more to a shingle. Two sets differ in as
+    many shingles as buckets at least; the halves of a longer one, added, are the shorter one."""
+    width = max(8 * SHORT, 1 << (2 * len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes & np.uint64(width - 1)).astype(np.int64), minlength=width).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").tobytes()
+
+
+def folded(data: bytes, size: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(np.frombuffer(data, np.uint64).reshape(-1, size // 8), axis=0)
+
+
+def most_apart(n, m, similarity: float):
+    """Shingles that are in one of two sets of n and m only, at most, if they are that similar."""
+    return (n + m) * (1 - similarity) / (1 + similarity) + 1e-6
+
+
+def with_fingerprint(docs: DataFrame, text_col: str = "text", shingle: int = 3, similarity: float | None = None) -> DataFrame:
+    """(row, fp): the whole row as a struct and its fingerprint as a signed long. With a similarity also n, the number
+    of its distinct shingles, their prefix keys and their parities."""
     df = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[f"`{text_col}`"].cast("string").alias("text"))
+    common = None if similarity is None else commonness(docs, text_col, shingle)
+    fields = [df.schema["row"], T.StructField("fp", T.LongType())]
+    if similarity is not None:
+        fields += [T.StructField("n", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("odd", T.BinaryType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
             blocks = [list(shingle_hashes(x, shingle)) for x in batch.column(1).cast(pa.binary()).to_pylist()]
-            prints = np.array([fingerprint_of(b) for b in blocks], np.uint64).view(np.int64)
-            keys = [part_keys(np.concatenate(b)) if parts and b else None for b in blocks]
-            columns = [batch.column(0), pa.array(prints), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "fp", "parts"])
+            columns = [batch.column(0), pa.array(np.array([fingerprint_of(b) for b in blocks], np.uint64).view(np.int64))]
+            if similarity is not None:
+                sets = [np.unique(np.concatenate(b)) if b else None for b in blocks]
+                columns.append(pa.array([0 if x is None else len(x) for x in sets], pa.int64()))
+                columns.append(pa.array([None if x is None else prefix_keys(x, similarity, common) for x in sets], pa.list_(pa.int64())))
+                columns.append(pa.array([None if x is None else parities(x) for x in sets], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
-    return df.mapInArrow(run, T.StructType([df.schema["row"], T.StructField("fp", T.LongType()), T.StructField("parts", T.ArrayType(T.LongType()))]))
+    return df.mapInArrow(run, T.StructType(fields))
 
 
 def variants(fp: Column, k: int, bits: int = 64) -> Column:
@@ -126,9 +186,8 @@ def spanning(prints: np.ndarray, k: int) -> Iterator[tuple[np.uint64, np.ndarray
                 left = left[~near]
 
 
-def _links(k: int, stirred: bool = False):
-    """Spanning forests of the links of fingerprints with one key. Searches start from the least fingerprint, or, if
-    stirred, from another one for each key."""
+def _links(k: int):
+    """Spanning forests of the links of fingerprints with one key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept_key, kept_fp = np.empty(0, np.int64), np.empty(0, np.uint64)
@@ -142,8 +201,6 @@ def _links(k: int, stirred: bool = False):
             left, right = [a[near]], [b[near]]
             for s, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
                 own = np.unique(prints[s : s + n])
-                if stirred:
-                    own = own[np.argsort(_mixed(own ^ np.uint64(keys[s] & 0x7FFFFFFFFFFFFFFF)))]
                 for at, reached in spanning(own, k):
                     left.append(np.full(len(reached), at, np.uint64))
                     right.append(reached)
@@ -163,26 +220,75 @@ def _links(k: int, stirred: bool = False):
     return run
 
 
-def similar_links(rows: DataFrame, scratch: Scratch, similarity: float, shingle: int, far: int = 20) -> DataFrame:
-    """(a, b) of fingerprints whose shingle sets are that similar, for rows (uid, fp, text, parts).
-
-    At a similarity of 0.8 fingerprints differ in about ten bits, of which no segment tells. So parts of the sets are
-    joined by equality instead, fingerprints of a group that differ in more than `far` bits are left apart, and the
-    pairs of the others' spanning forest are verified on the sets. One text stands for all of a fingerprint, which link
-    anyway."""
-    narrow = rows.select("uid", "fp")
-    firsts = scratch.write(narrow.groupBy("fp").agg(F.min("uid").alias("first")), "firsts")
-    # fewer rows are left out than stay, so the wide side may be spared a shuffle
-    copies = scratch.write(narrow.join(firsts, "fp").where("uid <> first").select("uid"), "copies")
-    keyed = rows.select("uid", "fp", "parts").join(copies, "uid", "left_anti").select(F.explode("parts").alias("key"), "fp")
-    pairs = keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_links(far, True), "a long, b long")
-    pairs = scratch.write(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    paired = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(firsts, "fp").select("fp", F.col("first").alias("uid"))
-    paired = scratch.write(paired, "paired")
-    text = scratch.write(rows.select("uid", "text").join(paired, "uid").select("fp", "text"), "texts")
-    both = pairs.join(text.select(F.col("fp").alias("a"), F.col("text").alias("ta")), "a").join(text.select(F.col("fp").alias("b"), F.col("text").alias("tb")), "b")
+def _windows(low: int, high: int, similarity: float, far: int):
+    """Pairs of rows (key, fp, n, root, short) of one key that stand `low` places or more and fewer than `high` apart in
+    their order by n, have different roots, and by their sizes and parities may be that similar: (null, a, b). Before
+    them, if there are keys with more rows than that, these rows: (key, fp, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[np.ndarray] = []
+
+        def out(key: np.ndarray | None, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            key = pa.nulls(len(a), pa.int64()) if key is None else pa.array(key)
+            return pa.RecordBatch.from_arrays([key, pa.array(a), pa.array(b)], names=["key", "a", "b"])
+
+        def paired(key, fp, n, root=None, short=None) -> Iterator[pa.RecordBatch]:
+            at = np.arange(len(key))
+            if low == 1 and len(key):
+                new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                sizes = np.diff(np.r_[new, len(key)])
+                more = np.repeat(sizes > high, sizes)
+                yield out(key[more], fp[more], n[more])
+            if low > 1:
+                at = at[at + low - 1 < len(key)]
+                at = at[key[at] == key[at + low - 1]]
+            for d in range(low, high):
+                at = at[at + d < len(key)]
+                at = at[key[at] == key[at + d]]
+                at = at[n[at] >= similarity * n[at + d] - 1e-6]  # rows further on are larger still
+                if not len(at):
+                    break
+                for some in np.array_split(at, len(at) // (1 << 18) + 1):
+                    x, y = some, some + d
+                    if root is not None:
+                        ok = root[x] != root[y]
+                        x, y = x[ok], y[ok]
+                        ok = np.bitwise_count(short[x] ^ short[y]).sum(1, dtype=np.int64) <= most_apart(n[x], n[y], similarity)
+                        x, y = x[ok], y[ok]
+                    ok = np.bitwise_count((fp[x] ^ fp[y]).view(np.uint64)) <= far
+                    x, y = x[ok], y[ok]
+                    if len(x):
+                        yield out(None, np.minimum(fp[x], fp[y]), np.maximum(fp[x], fp[y]))
+
+        for batch in batches:
+            now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(min(batch.num_columns, 4))]
+            if batch.num_columns > 4:
+                now.append(np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(-1, SHORT // 8))
+            now = [np.concatenate(x) for x in zip(kept, now, strict=True)] if kept else now
+            if not len(now[0]):
+                continue
+            whole = int(np.searchsorted(now[0], now[0][-1]))  # the last key may go on in the next batch
+            yield from paired(*[x[:whole] for x in now])
+            kept = [x[whole:] for x in now]
+        if kept:
+            yield from paired(*kept)
+
+    return run
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, firsts: DataFrame, sets: DataFrame, scratch: Scratch, similarity: float, shingle: int) -> DataFrame:
+    """The pairs (a, b) of fingerprints whose shingle sets are that similar: those that parities don't rule out are
+    compared themselves."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows_of(batches, 4096):
+            _, _, n, m, odd, other = (batch.column(k).to_pylist() for k in range(6))
+            sizes = [min(len(x), len(y)) for x, y in zip(odd, other, strict=True)]
+            apart = [int(np.bitwise_count(folded(x, s) ^ folded(y, s)).sum(dtype=np.int64)) for x, y, s in zip(odd, other, sizes, strict=True)]
+            keep = [k <= most_apart(p, q, similarity) for k, p, q in zip(apart, n, m, strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
             keep = []
             for x, y in zip(*(batch.column(k).cast(pa.binary()).to_pylist() for k in (2, 3)), strict=True):
@@ -191,7 +297,58 @@ def similar_links(rows: DataFrame, scratch: Scratch, similarity: float, shingle:
                 keep.append(shared >= similarity * (len(p) + len(q) - shared))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("odd").alias("oa")), "a")
+    both = both.join(sets.select(F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("ob")), "b")
+    pairs = scratch.write(both.select("a", "b", "na", "nb", "oa", "ob").mapInArrow(near, "a long, b long"), "pairs")
+    paired = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(firsts, "fp").select("fp", F.col("first").alias("uid"))
+    paired = scratch.write(paired, "paired")
+    text = scratch.write(rows.select("uid", "text").join(paired, "uid").select("fp", "text"), "texts")
+    both = pairs.join(text.select(F.col("fp").alias("a"), F.col("text").alias("ta")), "a").join(text.select(F.col("fp").alias("b"), F.col("text").alias("tb")), "b")
+    links = scratch.write(both.select("a", "b", "ta", "tb").mapInArrow(alike, "a long, b long"), "links")
+    scratch.drop(pairs, paired, text)
+    return links
+
+
+def similar_links(rows: DataFrame, scratch: Scratch, similarity: float, shingle: int, far: int = 20, window: int = 4) -> DataFrame:
+    """(a, b) of fingerprints whose shingle sets are that similar, for rows (uid, fp, text, n, keys, odd): enough of them
+    to connect all that are.
+
+    At a similarity of 0.8 fingerprints differ in about ten bits, of which no segment tells. So sets are joined by their
+    prefix keys instead, of which similar sets share one. Rows of a key are paired with the next few in its order by
+    size, the pairs are verified on the sets and what is linked is contracted; keys that still have rows of several
+    components go on with those further apart, until each pair of a key is in one component, verified or ruled out by
+    sizes or parities, which rule out no similar pair. One text stands for all of a fingerprint, which link anyway."""
+    narrow = rows.select("uid", "fp")
+    firsts = scratch.write(narrow.groupBy("fp").agg(F.min("uid").alias("first")), "firsts")
+    # fewer rows are left out than stay, so the wide side may be spared a shuffle
+    copies = scratch.write(narrow.join(firsts, "fp").where("uid <> first").select("uid"), "copies")
+    sole = rows.select("uid", "fp", "n", "keys", "odd").join(copies, "uid", "left_anti")
+    sets = scratch.write(sole.where("n > 0").select("fp", "n", "odd"), "sets")
+    keyed = sole.select(F.explode("keys").alias("key"), "fp", "n").repartition("key").sortWithinPartitions("key", "n", "fp")
+    found = scratch.write(keyed.mapInArrow(_windows(1, window, similarity, far), "key long, a long, b long"), "found")
+    # of larger keys: their rows, whose n is beside them in `sets`
+    left = found.where("key is not null").select("key", F.col("a").alias("fp"), F.col("b").alias("n"))
+    pairs = tried = scratch.write(found.where("key is null").select("a", "b").distinct(), "tried")
+    links = _verified(pairs, rows, firsts, sets, scratch, similarity, shingle)
+    while not left.isEmpty():
+        roots = components(links, scratch)
+        rooted = scratch.write(left.join(roots, left["fp"] == roots["node"], "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("root")), "rooted")
+        several = rooted.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("least"), F.max("root").alias("last")).where(f"size > {window} and least < last")
+        left = scratch.write(rooted.join(several.select("key"), "key", "left_semi"), "left")
+        scratch.drop(rooted)
+        short = sets.join(left.select("fp").distinct(), "fp", "left_semi").select("fp", "odd").mapInArrow(_shortened, "fp long, short binary")
+        keyed = left.join(short, "fp").select("key", "fp", "n", "root", "short").repartition("key").sortWithinPartitions("key", "n", "fp")
+        pairs = keyed.mapInArrow(_windows(window, 16 * window, similarity, far), "key long, a long, b long").select("a", "b").distinct()
+        pairs = scratch.write(pairs.join(tried, ["a", "b"], "left_anti"), "tried")
+        links = links.unionByName(_verified(pairs, rows, firsts, sets, scratch, similarity, shingle))
+        tried, left, window = tried.unionByName(pairs), left.drop("root"), 16 * window
+    return links
+
+
+def _shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in rows_of(batches, 4096):
+        short = [folded(x, SHORT).tobytes() for x in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(short, pa.binary())], names=["fp", "short"])
 
 
 def classes(prints: DataFrame, scratch: Scratch, k: int = 3, more: DataFrame | None = None) -> DataFrame:
@@ -223,12 +380,12 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The rows with one of each component left: the one of the smallest id, and of repeated ids any one. With a
     `similarity`, texts whose shingle sets are that similar are linked as well."""
     scratch = Scratch(docs.sparkSession, "simhash")
-    rows = with_fingerprint(docs, text_col, shingle, similarity is not None).withColumn("uid", F.monotonically_increasing_id())
+    rows = with_fingerprint(docs, text_col, shingle, similarity).withColumn("uid", F.monotonically_increasing_id())
     rows = scratch.write(rows, "rows")  # which fixes the uid
     narrow = rows.select(F.col("row")[id_col].alias("id"), "fp", "uid")
     more = None
     if similarity is not None:
-        more = scratch.write(similar_links(rows.select("uid", "fp", F.col("row")[text_col].alias("text"), "parts"), scratch, similarity, shingle), "more")
+        more = scratch.write(similar_links(rows.select("uid", "fp", F.col("row")[text_col].alias("text"), "n", "keys", "odd"), scratch, similarity, shingle), "more")
     found = classes(narrow, scratch, k, more)
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("uid"))
     named = scratch.write(narrow.join(found, "fp").select("uid", "id", "root"), "named")

@@ -111,3 +111,24 @@ def test_equal_parts_have_equal_keys():
         a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
         b = np.concatenate((a[: n - n // 10], rng.integers(0, 1 << 63, n // 10, dtype=np.uint64)))
         assert set(part_keys(a)) == set(part_keys(np.concatenate((a, a))[::-1])) and set(part_keys(a)) & set(part_keys(b))
+
+
+def words(rng, n):
+    return ["".join(rng.choices("abcdefghiklmnorstu", k=8)) for _ in range(n)]
+
+
+def test_similar_pair_in_a_group_of_a_thousand_is_linked(spark):
+    """All hold one stock text; only the last two are similar to another (0.83, the others 0.67 and less)."""
+    import random
+
+    rng, rows = random.Random(5), []
+    for _ in range(3):
+        stock = words(rng, 114)
+        rows += [(len(rows) + k, " ".join(stock + words(rng, own))) for k, own in enumerate([44] * 1000 + [11] * 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = {r.doc_id for r in simhash_dedup(df, shingle=5, similarity=0.8).collect()}
+    assert kept.isdisjoint({1001, 2003, 3005})
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    prints = {i: fingerprint(t.encode(), 5) for i, t in rows}
+    for i in {r[0] for r in rows} - kept:  # nothing else goes but by its fingerprint
+        assert i in (1001, 2003, 3005) or any((prints[i] ^ prints[j]).bit_count() <= 3 for j in sets if j != i)
