@@ -220,7 +220,7 @@ def _links(k: int):
     return run
 
 
-def _windows(low: int, high: int, similarity: float, far: int):
+def _windows(low: int, high: int, similarity: float):
     """Pairs of rows (key, fp, n, root, short) of one key that stand `low` places or more and fewer than `high` apart in
     their order by n, have different roots, and by their sizes and parities may be that similar: (null, a, b). Before
     them, if there are keys with more rows than that, these rows: (key, fp, n)."""
@@ -255,8 +255,6 @@ def _windows(low: int, high: int, similarity: float, far: int):
                         x, y = x[ok], y[ok]
                         ok = np.bitwise_count(short[x] ^ short[y]).sum(1, dtype=np.int64) <= most_apart(n[x], n[y], similarity)
                         x, y = x[ok], y[ok]
-                    ok = np.bitwise_count((fp[x] ^ fp[y]).view(np.uint64)) <= far
-                    x, y = x[ok], y[ok]
                     if len(x):
                         yield out(None, np.minimum(fp[x], fp[y]), np.maximum(fp[x], fp[y]))
 
@@ -309,7 +307,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, firsts: DataFrame, sets: DataFr
     return links
 
 
-def similar_links(rows: DataFrame, scratch: Scratch, similarity: float, shingle: int, far: int = 20, window: int = 4) -> DataFrame:
+def similar_links(rows: DataFrame, scratch: Scratch, similarity: float, shingle: int, window: int = 4) -> DataFrame:
     """(a, b) of fingerprints whose shingle sets are that similar, for rows (uid, fp, text, n, keys, odd): enough of them
     to connect all that are.
 
@@ -325,7 +323,7 @@ def similar_links(rows: DataFrame, scratch: Scratch, similarity: float, shingle:
     sole = rows.select("uid", "fp", "n", "keys", "odd").join(copies, "uid", "left_anti")
     sets = scratch.write(sole.where("n > 0").select("fp", "n", "odd"), "sets")
     keyed = sole.select(F.explode("keys").alias("key"), "fp", "n").repartition("key").sortWithinPartitions("key", "n", "fp")
-    found = scratch.write(keyed.mapInArrow(_windows(1, window, similarity, far), "key long, a long, b long"), "found")
+    found = scratch.write(keyed.mapInArrow(_windows(1, window, similarity), "key long, a long, b long"), "found")
     # of larger keys: their rows, whose n is beside them in `sets`
     left = found.where("key is not null").select("key", F.col("a").alias("fp"), F.col("b").alias("n"))
     pairs = tried = scratch.write(found.where("key is null").select("a", "b").distinct(), "tried")
@@ -338,7 +336,7 @@ def similar_links(rows: DataFrame, scratch: Scratch, similarity: float, shingle:
         scratch.drop(rooted)
         short = sets.join(left.select("fp").distinct(), "fp", "left_semi").select("fp", "odd").mapInArrow(_shortened, "fp long, short binary")
         keyed = left.join(short, "fp").select("key", "fp", "n", "root", "short").repartition("key").sortWithinPartitions("key", "n", "fp")
-        pairs = keyed.mapInArrow(_windows(window, 16 * window, similarity, far), "key long, a long, b long").select("a", "b").distinct()
+        pairs = keyed.mapInArrow(_windows(window, 16 * window, similarity), "key long, a long, b long").select("a", "b").distinct()
         pairs = scratch.write(pairs.join(tried, ["a", "b"], "left_anti"), "tried")
         links = links.unionByName(_verified(pairs, rows, firsts, sets, scratch, similarity, shingle))
         tried, left, window = tried.unionByName(pairs), left.drop("root"), 16 * window

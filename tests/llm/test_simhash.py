@@ -132,3 +132,17 @@ def test_similar_pair_in_a_group_of_a_thousand_is_linked(spark):
     prints = {i: fingerprint(t.encode(), 5) for i, t in rows}
     for i in {r[0] for r in rows} - kept:  # nothing else goes but by its fingerprint
         assert i in (1001, 2003, 3005) or any((prints[i] ^ prints[j]).bit_count() <= 3 for j in sets if j != i)
+
+
+def test_copies_with_a_repeated_phrase_are_linked(spark):
+    """Repeats turn the fingerprint and leave the set."""
+    import random
+
+    rng, rows = random.Random(6), []
+    for k in range(20):
+        text, phrase = words(rng, 300), words(rng, 10)
+        rows += [(2 * k, " ".join(text + phrase)), (2 * k + 1, " ".join(text + phrase * 12))]
+    prints = [fingerprint(t.encode(), 5) for _, t in rows]
+    assert sum((a ^ b).bit_count() > 20 for a, b in zip(prints[::2], prints[1::2], strict=True)) >= 5
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash_dedup(df, shingle=5, similarity=0.8).collect()) == list(range(0, 40, 2))
