@@ -102,6 +102,22 @@ def auction(origin: int, arcs: Sequence[Sequence[tuple[str, int, int]]], price:
     return price[origin]
 
 
+def first_prices(arcs: Sequence[Sequence[tuple[str, int, int]]]) -> list[int]:
+    """0 where a path leads to the end, NEVER elsewhere: no bids are made for nodes that lead nowhere."""
+    before: list[list[int]] = [[] for _ in arcs]
+    for node, out in enumerate(arcs):
+        for _, _, to in out:
+            before[to].append(node)
+    price, left = [NEVER] * len(arcs), [len(arcs) - 1]
+    price[-1] = 0
+    while left:
+        for node in before[left.pop()]:
+            if price[node]:
+                price[node] = 0
+                left.append(node)
+    return price
+
+
 def most_cost(n: int) -> int:
     """More than any repair costs that can be made: a row is rerolled or deleted, and a turn inserted before it."""
     return (DELETE + REROLE + INSERT + TRUNCATED) * (n + 2) + 16
@@ -112,7 +128,7 @@ def between(kinds: Sequence[int], last: bool) -> list[int]:
     out = [NEVER] * 16
     for to in STATES:
         arcs = lattice(kinds, [0 if q == to else NEVER for q in STATES], last)
-        price = [0] * len(arcs)
+        price = first_prices(arcs)
         for q in STATES:
             out[4 * q + to] = auction(q, arcs, price, most_cost(len(kinds)))
     return out
@@ -122,7 +138,7 @@ def traces(kinds: Sequence[int], exits: Sequence[int], last: bool, entries: Sequ
     """For each state a block may be entered in: (edits, state after them), the ASCII-least of the cheapest."""
     lowest = min(exits)
     arcs = lattice(kinds, [x if x >= NEVER else x - lowest for x in exits], last)
-    price, end, out = [0] * len(arcs), len(arcs) - 1, []
+    price, end, out = first_prices(arcs), len(arcs) - 1, []
     leads: dict[int, bool] = {end: True}
 
     def tight(node: int) -> Iterator[tuple[str, int]]:
@@ -350,6 +366,7 @@ def traced_blocks(rows: DataFrame, scratch: Scratch) -> DataFrame:
     long = blocks.alias("b").join(own.alias("o"), F.col("b.conv").eqNullSafe(F.col("o.conv")))
     long = long.select("b.conv", "b.part", "b.block", "b.kinds", (F.struct("b.part", "b.block") == F.col("o.final")).alias("last"))
     place = f"conv {ids.simpleString()}, part int, block int"
+    long = long.repartition(many, "part", "block")  # few small rows with much to do
     costs = scratch.write(long.mapInArrow(_matrices(_arrow(ids)), f"{place}, costs array<bigint>"), "costs")
     swept = costs.repartition("conv").sortWithinPartitions("conv", F.desc("part"), F.desc("block"))
     exits = scratch.write(swept.mapInArrow(_sweep(_arrow(ids)), f"{place}, exits array<bigint>"), "exits")
