@@ -97,8 +97,10 @@ def merge_parts(
     source: DataFrame,
     keys: Sequence[str],
     update: Mapping[str, str] | None = None,
+    present: DataFrame | None = None,
 ) -> MergeParts:
-    """Evolve the target by the source's new columns, then match on the keys."""
+    """Evolve the target by the source's new columns, then match on the keys. `present` are the distinct keys of the
+    source that the target has, if they are known already."""
     if not keys:
         raise MergeError("a merge needs keys")
     update = update or {}
@@ -126,7 +128,8 @@ def merge_parts(
         F.struct(*[F.col(f"target.`{n}`").alias(n) for n in names]).alias("before"),
         F.struct(*[after(n) for n in names]).alias("after"),
     )
-    new_rows = keyed_source.join(present_keys(keyed_target, keyed_source, keys), list(keys), "left_anti")
+    present = present_keys(keyed_target, keyed_source, keys) if present is None else present
+    new_rows = keyed_source.join(present, list(keys), "left_anti")
     null_keyed = source.where(_any_null(keys))
     inserts = new_rows.unionByName(null_keyed).select(
         *[F.col(f"`{n}`") if n in from_source else F.lit(None).cast(types[n]).alias(n) for n in names]
@@ -187,23 +190,42 @@ def _is_literal(value: object) -> bool:
     return True
 
 
+def column_bounds(source: DataFrame, columns: Sequence[str], max_values: int = MAX_BOUND_VALUES) -> list[Column]:
+    """Predicates on the target that every row matching the source satisfies: for each column its values when they are
+    few, else the true range. None for a column of which a value has no exact literal (NaN matches NaN, yet no range).
+    One job tells the values of all columns, a second one all ranges that are needed."""
+    odd = ("array", "map", "struct", "binary", "variant")
+    names = [c for c in dict.fromkeys(columns) if source.schema[c].dataType.typeName() not in odd]
+    if not names:
+        return []
+
+    def values_of(i: int) -> DataFrame:
+        rows = source.select(F.col(f"`{names[i]}`").alias("v")).where("v IS NOT NULL").distinct().limit(max_values + 1)
+        typed = [F.col("v") if k == i else F.lit(None).cast(source.schema[n].dataType) for k, n in enumerate(names)]
+        return rows.select(F.lit(i).alias("i"), *[t.alias(f"v{k}") for k, t in enumerate(typed)])
+
+    told: list[list] = [[] for _ in names]
+    for row in reduce(DataFrame.unionByName, [values_of(i) for i in range(len(names))]).collect():
+        told[row["i"]].append(row[f"v{row['i']}"])
+    many = [i for i, values in enumerate(told) if len(values) > max_values]
+    if many:
+        ends = source.agg(*[f(f"`{names[i]}`").alias(f"{k}{i}") for i in many for k, f in (("low", F.min), ("high", F.max))]).first()
+    bounds = []
+    for i, values in enumerate(told):
+        column = F.col(f"`{names[i]}`")
+        if i in many:
+            low, high = ends[f"low{i}"], ends[f"high{i}"]
+            if _is_literal(low) and _is_literal(high):
+                bounds.append(column.between(F.lit(low), F.lit(high)))
+        elif values and all(_is_literal(v) for v in values):
+            bounds.append(column.isin(values))
+    return bounds
+
+
 def column_bound(source: DataFrame, column: str, max_values: int = MAX_BOUND_VALUES) -> Column | None:
-    """A predicate on the target that every row matching the source satisfies: a value list when short,
-    else the true range. None when a value has no exact literal (NaN matches NaN, yet no range)."""
-    name = f"`{column}`"
-    kind = source.schema[column].dataType.typeName()
-    if kind in ("array", "map", "struct", "binary", "variant"):
-        return None
-    present = source.select(name).where(F.col(name).isNotNull())
-    values = [row[0] for row in present.distinct().limit(max_values + 1).collect()]
-    if len(values) <= max_values:
-        if not values or not all(_is_literal(v) for v in values):
-            return None
-        return F.col(name).isin(values)
-    low, high = present.agg(F.min(name), F.max(name)).first()
-    if not (_is_literal(low) and _is_literal(high)):
-        return None
-    return F.col(name).between(F.lit(low), F.lit(high))
+    """The bound of one column, None if it has none."""
+    bounds = column_bounds(source, [column], max_values)
+    return bounds[0] if bounds else None
 
 
 def bound_violations(source: DataFrame, keys: Sequence[str], bound_by: Sequence[str]) -> DataFrame:
@@ -224,8 +246,7 @@ def split_by_bound(
 ) -> tuple[DataFrame, DataFrame | None]:
     """(target rows the source can touch, the rest). The rest is None when nothing can be ruled out. The
     source is read several times and must not change in between."""
-    bounds = [column_bound(source, c) for c in bound_columns(keys, cluster_by, bound_by)]
-    bounds = [b for b in bounds if b is not None]
+    bounds = column_bounds(source, bound_columns(keys, cluster_by, bound_by))
     if not bounds:
         return target, None
     inside = reduce(Column.__and__, bounds)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.ranges import range_join
 from millrace.functions.scalars import truncated
 from millrace.operators.ordering import latest_per_key, top_per_group
+from millrace.session import freeze, scratch_dir
 
 # Statuses, triggers, memory limits and list prices (USD, us-east-1 on demand).
 TERMINAL = ("SUCCEEDED", "FAILED", "TIMED_OUT", "ABORTED")
@@ -17,6 +18,7 @@ FAILED = ("FAILED", "TIMED_OUT", "ABORTED")
 TRIGGERS = ("manual", "scheduled", "event", "backfill", "backfill-direct", "upstream")
 PROGRESS_FRESH_MS = 12_000
 HEALTH_WINDOW = 20
+CASCADE_NOTE = "all upstreams skipped"
 MEMORY_STEP_MB, MEMORY_MIN_MB, MEMORY_MAX_MB = 64, 512, 10240
 SPILL_RATE_LIMIT = 0.25
 LAMBDA_GB_SECOND = 0.0000166667
@@ -163,6 +165,44 @@ def with_skipped(node_runs: DataFrame, expected: DataFrame, keys: Sequence[str]
     return node_runs.unionByName(missing.withColumn("status", F.lit("skipped")), allowMissingColumns=True)
 
 
+def cascade_skipped(edges: DataFrame, node_runs: DataFrame, keys: Sequence[str] = ("run_id",), most_rounds: int = 1000) -> DataFrame:
+    """The nodes that a run skips because all their parents were skipped, in one step or through others: `keys`, node.
+
+    `edges` are (parent, child) of the graph, `node_runs` have the keys, node and status; a node with a row of its own is
+    what its row says. Skips spread by a child a round: a round counts the skipped parents of each run and child, by a
+    join and a group-by over what the round before has found, and ends when nothing is new. Rounds are written tables."""
+    spark, keys = edges.sparkSession, list(keys)
+    edges = edges.select("parent", "child").distinct()
+    needs = edges.groupBy("child").agg(F.count(F.lit(1)).alias("parents"))
+    have = node_runs.select(*keys, F.col("node").alias("child")).distinct()
+    with scratch_dir(spark, "cascade") as path:
+        links = freeze(edges.join(needs, "child"), f"{path}/links")
+        new = freeze(node_runs.where(F.col("status") == "skipped").select(*keys, "node").distinct(), f"{path}/skipped-0")
+        met = found = None
+        for round_ in range(1, most_rounds + 1):
+            hits = new.join(links, F.col("node") == F.col("parent")).groupBy(*keys, "child", "parents").agg(F.count(F.lit(1)).alias("skipped"))
+            if met is not None:  # parents that earlier rounds have found
+                hits = hits.unionByName(met).groupBy(*keys, "child", "parents").agg(F.sum("skipped").alias("skipped"))
+            hits = freeze(hits, f"{path}/met-{round_}")
+            whole = hits.where("skipped = parents").join(have, [*keys, "child"], "left_anti").select(*keys, F.col("child").alias("node"))
+            met = hits.where("skipped < parents")
+            new = freeze(whole, f"{path}/skipped-{round_}")
+            if new.isEmpty():
+                break
+            found = new if found is None else found.unionByName(new)
+        else:
+            raise RuntimeError("the graph is deeper than the rounds allowed")
+        return freeze(new if found is None else found)
+
+
+def with_cascade(node_runs: DataFrame, edges: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:
+    """Node runs with a `skipped` row for every node that the cascade reaches."""
+    missing = cascade_skipped(edges, node_runs, keys).withColumns({"status": F.lit("skipped"), "error_msg": F.lit(CASCADE_NOTE)})
+    if "error_msg" not in node_runs.columns:
+        missing = missing.drop("error_msg")
+    return node_runs.unionByName(missing, allowMissingColumns=True)
+
+
 def net_rows(commits: DataFrame) -> DataFrame:
     """Add `net_rows`: a merge counts inserts less deletes, any other write its output rows; never below
     zero, NULL when the metric is missing."""
@@ -172,6 +212,20 @@ def net_rows(commits: DataFrame) -> DataFrame:
     return commits.withColumn("net_rows", F.when(added.isNotNull(), F.greatest(added - gone, F.lit(0))))
 
 
+def net_output(commit: Row) -> int | None:
+    """`net_rows` of one commit row that is at hand."""
+    if "MERGE" in commit["operation"].upper():
+        return None if commit["inserted"] is None else max(commit["inserted"] - (commit["deleted"] or 0), 0)
+    return None if commit["output_rows"] is None else max(commit["output_rows"], 0)
+
+
+def touched_output(commit: Row) -> int | None:
+    """`row_count` of `touched_rows` for one commit row that is at hand."""
+    if "MERGE" in commit["operation"].upper():
+        return (commit["inserted"] or 0) + (commit["updated"] or 0) or None
+    return commit["output_rows"]
+
+
 def touched_rows(commits: DataFrame) -> DataFrame:
     """Add `row_count`: rows a commit touched. Merges: inserted and updated, NULL when none."""
     merge = F.upper("operation").contains("MERGE")

@@ -119,6 +119,33 @@ def t4(spark, sf):
     return chain.table("gold").read().withColumns({"first_run": F.lit(first), "second_run": F.lit(second)})
 
 
+@query(
+    "t4_node_rows",
+    """WITH m AS (SELECT l_partkey AS mode, count(*) AS n FROM lineitem GROUP BY 1)
+       SELECT run, node, status, output_rows, error_msg FROM (VALUES
+         ('r1', 'raw', 'ok', (SELECT count(*) FROM lineitem WHERE l_quantity <= 25), NULL),
+         ('r1', 'modes', 'ok', (SELECT count(DISTINCT l_partkey) FROM lineitem WHERE l_quantity <= 25), NULL), ('r1', 'report', 'ok', 1, NULL),
+         ('r2', 'raw', 'ok', (SELECT count(*) FROM lineitem WHERE l_quantity > 25), NULL),
+         ('r2', 'modes', 'ok', (SELECT count(*) FROM m) - (SELECT count(DISTINCT l_partkey) FROM lineitem WHERE l_quantity <= 25), NULL), ('r2', 'report', 'ok', 1, NULL),
+         ('r3', 'modes', 'skipped', NULL, NULL), ('r3', 'report', 'skipped', NULL, 'all upstreams skipped')) v(run, node, status, output_rows, error_msg)""",
+)
+def t4_node_rows(spark, sf):
+    """What each run says of its stages: a merge counts the rows that it adds, a stage reads the table that another one
+    names as its target, and a stage skipped by cascade leaves a row."""
+    lines = table(spark, sf, "lineitem").select("l_partkey", "l_quantity")
+    modes = Stage(
+        "modes", "SELECT l_partkey AS mode, count(*) AS n FROM lines GROUP BY 1", {"lines": "raw"},
+        {"default": OutputSpec(target="by_mode", merge_keys=["mode"], merge_update={"n": "additive"})}, incremental=["lines"],
+    )
+    report = Stage("report", "SELECT sum(n) AS n FROM modes", {"modes": "by_mode"}, incremental=["modes"])
+    chain = Chain(spark, scratch_path(spark, "chain"))
+    for run, part in (("r1", "l_quantity <= 25"), ("r2", "l_quantity > 25")):
+        raw = Stage("raw", "SELECT * FROM lines", {"lines": lines.where(part)}, {"default": OutputSpec(mode="append")})
+        chain.run([raw, modes, report], Provenance(run))
+    chain.run([modes, report], Provenance("r3"))
+    return chain.system("node_runs").select(F.col("run_id").alias("run"), "node", "status", "output_rows", "error_msg")
+
+
 # -- recipes
 
 

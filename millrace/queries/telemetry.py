@@ -166,6 +166,34 @@ def r5(spark, sf):
     return t.with_skipped(runs, expected).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _reached() -> str:
+    """Skipped or not by line number: recorded, else all parents (the number before and half of it) are skipped."""
+    steps = ["coalesce(r1, false) AS s1"]
+    for k in range(2, 8):
+        parents = sorted({k - 1, k // 2})
+        steps.append(f"coalesce(r{k}, {' AND '.join(f's{p}' for p in parents)}) AS s{k}")
+    return ", ".join(steps)
+
+
+@query(
+    "r5_cascade",
+    f"""WITH w AS (SELECT l_orderkey AS run_id, {', '.join(f"max(skipped) FILTER (l_linenumber = {k}) AS r{k}" for k in range(1, 8))}
+          FROM (SELECT l_orderkey, l_linenumber, l_quantity < 25 AS skipped FROM lineitem WHERE l_linenumber <= 2 OR l_quantity > 40) x GROUP BY 1),
+             s AS (SELECT *, {_reached()} FROM w)
+        SELECT n AS node, reached, count(*) AS runs FROM (
+          {' UNION ALL '.join(f"SELECT {k} AS n, r{k} IS NULL AS reached FROM s WHERE s{k}" for k in range(1, 8))}) x GROUP BY n, reached""",
+)
+def r5_cascade(spark, sf):
+    """Runs are orders, nodes are line numbers; each has the number before and half of it as its parents."""
+    lines = table(spark, sf, "lineitem").where("l_linenumber <= 2 OR l_quantity > 40").groupBy("l_orderkey", "l_linenumber").agg(F.max(F.col("l_quantity") < 25).alias("skipped"))
+    runs = lines.select(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").cast("int").alias("node"), F.when(F.col("skipped"), "skipped").otherwise("ok").alias("status"))
+    numbers = table(spark, sf, "lineitem").select(F.col("l_linenumber").cast("int").alias("child")).distinct().where("child > 1")
+    edges = numbers.select(F.explode(F.array(F.col("child") - 1, (F.col("child") / 2).cast("int"))).alias("parent"), "child")
+    whole = t.with_cascade(runs.withColumn("error_msg", F.lit(None).cast("string")), edges).where("status = 'skipped'")
+    return whole.groupBy("node", F.col("error_msg").isNotNull().alias("reached")).agg(F.count(F.lit(1)).alias("runs"))
+
+
+
 @query(
     "r6_net_rows",
     """SELECT l_suppkey, CAST(sum(CASE WHEN l_returnflag = 'A' THEN greatest(l_partkey - 500, 0)

@@ -615,6 +615,46 @@ def w6_key(spark, sf):
     return t.read().select("o_orderkey", "o_orderstatus", "price")
 
 
+ODD = "CASE o_custkey % 7 WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN '__HIVE_DEFAULT_PARTITION__' WHEN 3 THEN '~' WHEN 4 THEN 'a/b=c %41+' ELSE o_orderstatus END"
+
+
+@query(
+    "w6_odd_partitions",
+    f"""SELECT part, o_orderkey, CAST(o_totalprice + CASE WHEN part IS NULL OR o_orderkey % 3 <> 0 THEN 0 ELSE 2 END AS DOUBLE) AS price
+        FROM (SELECT *, {ODD} AS part FROM orders)
+        UNION ALL SELECT NULL, o_orderkey, CAST(o_totalprice + n AS DOUBLE) FROM orders, (VALUES (1), (2)) v(n) WHERE o_orderkey % 3 = 0 AND ({ODD}) IS NULL""",
+)
+def w6_odd(spark, sf):
+    """Two merges into partitions of empty, NULL and odd texts: rows are updated in place, and NULL keys insert again."""
+    orders = table(spark, sf, "orders").select(F.expr(ODD).alias("part"), "o_orderkey", F.col("o_totalprice").cast("double").alias("price"))
+    t = store(spark, "odd-parts", ["part"])
+    t.replace(orders, merge_keys=["part", "o_orderkey"])
+    for n in (1, 2):
+        t.merge(orders.where("o_orderkey % 3 = 0").withColumn("price", F.col("price") + n), ["part", "o_orderkey"])
+    return t.read().select("part", "o_orderkey", "price")
+
+
+@query(
+    "w6_observed_counts",
+    f"""SELECT version, operation, inserted, updated, output_rows, total_rows FROM (VALUES
+          (0, 'CREATE', (SELECT count(*) FROM t), NULL, (SELECT count(*) FROM t), (SELECT count(*) FROM t)),
+          (1, 'MERGE', (SELECT count(*) FROM s WHERE k IS NULL OR k NOT IN (SELECT k FROM t WHERE k IS NOT NULL)), (SELECT count(*) FROM s WHERE k IN (SELECT k FROM t)), NULL,
+             (SELECT count(*) FROM t) + (SELECT count(*) FROM s WHERE k IS NULL OR k NOT IN (SELECT k FROM t WHERE k IS NOT NULL))),
+          (2, 'APPEND', (SELECT count(*) FROM s), NULL, (SELECT count(*) FROM s),
+             (SELECT count(*) FROM t) + (SELECT count(*) FROM s) + (SELECT count(*) FROM s WHERE k IS NULL OR k NOT IN (SELECT k FROM t WHERE k IS NOT NULL))),
+          (3, 'WRITE', 0, NULL, 0, 0)) v(version, operation, inserted, updated, output_rows, total_rows)""".replace("FROM (VALUES", "FROM (WITH t AS (" + TARGET_SQL + "), s AS (" + SOURCE_SQL + ") SELECT * FROM (VALUES").replace("v(version, operation, inserted, updated, output_rows, total_rows)", "v(version, operation, inserted, updated, output_rows, total_rows)) q"),
+)
+def w6_observed(spark, sf):
+    """What commits say of themselves, counted while they were written; the last one writes no row."""
+    target, source = both(spark, sf)
+    t = store(spark, "observed", ["o_orderstatus"])
+    t.replace(target, merge_keys=["k"])
+    t.merge(source, ["k"])
+    t.append(source)
+    t.replace(source.limit(0))
+    return t.log().select(F.col("version").cast("int").alias("version"), "operation", "inserted", "updated", "output_rows", "total_rows")
+
+
 @query(
     "c2_type_change",
     """SELECT event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total, true AS refused, true AS in_full

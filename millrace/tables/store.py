@@ -16,9 +16,10 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from datetime import datetime, timezone
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -36,9 +37,13 @@ inserted bigint, updated bigint, deleted bigint, output_rows bigint, total_rows
 file_count bigint, total_bytes bigint, trigger string, run_id string, streams map<string, bigint>
 """
 LOG_SCHEMA = f"{COMMIT_SCHEMA}, version bigint"
-DIRS_SCHEMA = "action string, path string, kind string, partition string, files bigint, bytes bigint, rows bigint, version bigint"
+DIRS_SCHEMA = "action string, path string, kind string, partition string, files bigint, bytes bigint, version bigint"
 _VERSION, _KIND = "_v", "_k"
 _FOLDER = r"/data/(_v=[0-9]+/.*)/[^/]+$"
+KINDS = ("keep", "pre", "post", "insert")
+#: Fixed value: the name Spark gives to a partition of NULL.
+NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
+_MARK = "~"
 #: Kinds of rows, as change types where they are changes.
 CHANGE_TYPES = {"insert": "insert", "pre": "update_preimage", "post": "update_postimage"}
 APPENDING = ("CREATE", "WRITE", "APPEND")
@@ -54,6 +59,19 @@ def _folder() -> Column:
     return F.regexp_extract(_file_path(), _FOLDER, 1)
 
 
+def _marked(text: Column) -> Column:
+    odd = (text == "") | (text == NULL_PARTITION) | text.startswith(_MARK)
+    return F.when(odd, F.concat(F.lit(_MARK), text)).otherwise(text)
+
+
+def _unmarked(text: Column) -> Column:
+    return F.when(text.startswith(_MARK), F.substring(text, len(_MARK) + 1, F.length(text))).otherwise(text)
+
+
+def _texts(schema: StructType, parts: Sequence[str]) -> list[str]:
+    return [p for p in parts if p in schema.names and schema[p].dataType == StringType()]
+
+
 def _tuple(columns: Sequence[str]) -> Column:
     """Values of partition columns as one text, NULLs included."""
     return F.to_json(F.array(*[F.col(f"`{c}`").cast("string") for c in columns])) if columns else F.lit("[]")
@@ -77,6 +95,7 @@ class VersionedTable:
         self.spark = spark
         self.path = path.rstrip("/")
         self._partition_by = list(partition_by)
+        self._written: Row | None = None  # the commit row that this object has written last
 
     # -- the commit log
 
@@ -115,6 +134,8 @@ class VersionedTable:
         a listing and one small file."""
         for v in reversed(self._versions()):
             if version is None or v <= version:
+                if self._written is not None and self._written["version"] == v:
+                    return self._written
                 row = self.log_of([v]).first()
                 if row is not None:  # a directory without a row is a commit that was not published
                     return row
@@ -131,44 +152,74 @@ class VersionedTable:
 
     # -- directories
 
+    def _told(self, commit: Row) -> DataFrame:
+        """The last that commits have told of each directory: path, and a struct with its action."""
+        told = self.spark.read.schema(DIRS_SCHEMA).parquet(f"{self.path}/dirs").where(F.col("version").between(commit["base"], commit["version"]))
+        return told.groupBy("path").agg(F.max_by(F.struct("action", "kind", "partition", "files", "bytes"), F.struct("version", "action")).alias("d"))
+
     def dirs(self, commit: Row | None = None) -> DataFrame:
-        """The directories that make up the table as of a commit: path, kind, partition, files, bytes, rows."""
+        """The directories that make up the table as of a commit: path, kind, partition, files, bytes."""
         commit = commit or self.commit()
         if commit is None:
             return self.spark.createDataFrame([], DIRS_SCHEMA)
-        told = self.spark.read.schema(DIRS_SCHEMA).parquet(f"{self.path}/dirs")
-        told = told.where(F.col("version").between(commit["base"], commit["version"]) & (F.col("kind") != "pre"))
-        last = told.groupBy("path").agg(F.max_by(F.struct("action", "kind", "partition", "files", "bytes", "rows"), F.struct("version", "action")).alias("d"))
-        return last.where("d.action = 'add'").select("path", "d.*").drop("action")
+        return self._told(commit).where("d.action = 'add' AND d.kind <> 'pre'").select("path", "d.*").drop("action")
 
     def _describe(self, version: int, schema: StructType, parts: Sequence[str]) -> DataFrame:
-        """What a commit has written, by directory; no column but the partition's is read."""
-        files = self._read_paths([f"{_VERSION}={version}"], schema).select(
-            _folder().alias("path"), F.col(_KIND).alias("kind"), _tuple(parts).alias("partition"), F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_size").alias("bytes")
-        )
-        files = files.groupBy("path", "kind", "partition", "name", "bytes").agg(F.count(F.lit(1)).alias("rows"))
-        by_dir = files.groupBy("path", "kind", "partition").agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"))
-        return by_dir.select(F.lit("add").alias("action"), "path", "kind", "partition", "files", "bytes", "rows")
+        """What a commit has written, by directory, from a listing of its files; none is opened."""
+        target = f"{self.path}/data/{_VERSION}={version}"
+        files = file_listing(self.spark, target).select(F.regexp_extract("path", _FOLDER, 1).alias("path"), "bytes")
+        by_dir = files.groupBy("path").agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"))
+        levels, values = F.split("path", "/"), []
+        for i, p in enumerate(parts):
+            text = F.substring_index(F.get(levels, F.lit(2 + i)), "=", -1)
+            text = F.nullif(F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), F.lit(NULL_PARTITION))
+            values.append(_unmarked(text) if p in _texts(schema, parts) else text)
+        partition = F.to_json(F.array(*values)) if values else F.lit("[]")
+        kind = F.substring_index(F.get(levels, F.lit(1)), "=", -1)
+        return by_dir.select(F.lit("add").alias("action"), "path", kind.alias("kind"), partition.alias("partition"), "files", "bytes")
 
     # -- reading
 
-    def _read_paths(self, paths: Sequence[str], schema: StructType) -> DataFrame:
-        """Rows below directories, with their version and kind."""
+    def _read_paths(self, paths: Sequence[str], schema: StructType, parts: Sequence[str], folder: bool = False) -> DataFrame:
+        """Rows below directories, with their version and kind, and on demand their `_folder`."""
         root = f"{self.path}/data"
         full = StructType([*schema.fields, StructField(_VERSION, LongType()), StructField(_KIND, StringType())])
         if not paths:
-            return self.spark.createDataFrame([], full)
-        reader = self.spark.read.option("basePath", root).schema(full)
-        return reader.parquet(*[f"{root}/{p}" for p in paths])
+            rows = self.spark.createDataFrame([], full)
+            return rows.withColumn("_folder", F.lit("")) if folder else rows
+        rows = self.spark.read.option("basePath", root).schema(full).parquet(*[f"{root}/{p}" for p in paths])
+        texts = _texts(schema, parts)
+        columns = [_unmarked(F.col(f"`{n}`")).alias(n) if n in texts else F.col(f"`{n}`") for n in full.names]
+        return rows.select(*columns, *([_folder().alias("_folder")] if folder else []))
 
     def _paths(self, dirs: DataFrame) -> list[str]:
-        """Paths for a scan: whole versions or kinds have one path each, as scans are planned by path."""
+        """The paths of some directories."""
         return sorted(r["path"] for r in dirs.select("path").collect())
 
+    def _all_paths(self, commit: Row) -> list[str]:
+        """Paths that hold the table as of a commit and nothing else: one for each version, or kind of a version, that is
+        live as a whole, and one for each other directory."""
+        live = F.col("d.action") == "add"
+        groups = self._told(commit).groupBy(F.substring_index("path", "/", 2).alias("at")).agg(
+            F.bool_and(live).alias("whole"), F.when(~F.bool_and(live), F.collect_list(F.when(live, F.col("path")))).alias("some")
+        )
+        by_version: dict[str, list[Row]] = {}
+        for r in groups.collect():
+            by_version.setdefault(r["at"].split("/")[0], []).append(r)
+        out: list[str] = []
+        for version, kinds in by_version.items():
+            shown = [r for r in kinds if not r["at"].endswith("=pre")]
+            if len(shown) == len(kinds) and all(r["whole"] for r in kinds):
+                out.append(version)
+                continue
+            for r in shown:
+                out += [r["at"]] if r["whole"] else r["some"]
+        return sorted(out)
+
     def contents(self, commit: Row) -> DataFrame:
         """The table as of a commit row."""
         schema = StructType.fromJson(json.loads(commit["schema"]))
-        return self._read_paths(self._paths(self.dirs(commit)), schema).select(*[f"`{n}`" for n in schema.names])
+        return self._read_paths(self._all_paths(commit), schema, commit["partition_by"]).select(*[f"`{n}`" for n in schema.names])
 
     @staticmethod
     def _fitted(df: DataFrame, schema: StructType, keep: Sequence[str] = ()) -> DataFrame:
@@ -218,7 +269,7 @@ class VersionedTable:
         kind = F.create_map(*[F.lit(x) for pair in CHANGE_TYPES.items() for x in pair])[F.col(_KIND)].alias("_change_type")
         for text, paths in by_schema.items():
             there = [p for p in paths if self._exists(f"{self.path}/data/{p}")]
-            rows = self._read_paths(there, StructType.fromJson(json.loads(text))).where(F.col(_KIND) != "keep")
+            rows = self._read_paths(there, StructType.fromJson(json.loads(text)), newest["partition_by"]).where(F.col(_KIND) != "keep")
             parts.append(self._fitted(rows, schema, keep=[_KIND, _VERSION]).select(kind, *names, F.col(_VERSION).alias("_commit_version")))
         if not parts:
             fields = [StructField("_change_type", StringType()), *schema.fields, StructField("_commit_version", LongType())]
@@ -228,11 +279,16 @@ class VersionedTable:
 
     # -- writing
 
-    def _write(self, df: DataFrame, version: int, parts: Sequence[str]) -> None:
-        """Write a commit's rows, which have their kind."""
+    def _write(self, df: DataFrame, version: int, parts: Sequence[str]) -> dict[str, int]:
+        """Write a commit's rows, which have their kind; how many of each. They are counted by the tasks that write them,
+        behind the last shuffle, so that a task that runs again counts once."""
         target = f"{self.path}/data/{_VERSION}={version}"
         rows = df.hint("rebalance", _KIND, *parts) if parts else df
+        seen = Observation()
+        rows = rows.observe(seen, *[F.count_if(F.col(_KIND) == kind).alias(kind) for kind in KINDS])
+        rows = rows.withColumns({p: _marked(F.col(f"`{p}`")) for p in _texts(df.schema, parts)})
         rows.write.mode("overwrite").partitionBy(_KIND, *parts).parquet(target)
+        return seen.get
 
     def _commit(
         self,
@@ -251,28 +307,28 @@ class VersionedTable:
         the commit takes out; `rebase` says that these are all there were."""
         version = head["version"] + 1 if head else 0
         parts = list(head["partition_by"]) if head else self._partition_by
-        self._write(rows, version, parts)
+        kinds = self._write(rows, version, parts)
         told = self._describe(version, schema, parts)
         if dropped is not None:
-            gone = dropped.select(F.lit("drop").alias("action"), "path", "kind", "partition", "files", "bytes", "rows")
+            gone = dropped.select(F.lit("drop").alias("action"), "path", "kind", "partition", "files", "bytes")
             told = told.unionByName(gone)
-        path = f"{self.path}/dirs/version={version}"
-        told.coalesce(1).write.mode("overwrite").parquet(path)
-        sums = self.spark.read.parquet(path).groupBy("action", "kind").agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows")).collect()
-        kinds = {r["kind"]: r["rows"] for r in sums if r["action"] == "add"}
-        live = [(1 if r["action"] == "add" else -1, r) for r in sums if r["kind"] != "pre"]
+        seen = Observation()
+        live = F.when(F.col("kind") != "pre", F.when(F.col("action") == "add", 1).otherwise(-1)).otherwise(0)
+        sums = [F.coalesce(F.sum(F.col(c) * live), F.lit(0)).alias(c) for c in ("files", "bytes")]
+        told.coalesce(1).observe(seen, *sums).write.mode("overwrite").parquet(f"{self.path}/dirs/version={version}")
+        moved = seen.get
         start = {"file_count": 0, "total_bytes": 0, "total_rows": 0} if head is None else head.asDict()
         row = {
             "operation": operation, "replaces": replaces, "base": version if head is None or rebase else head["base"],
             "feed_from": head["feed_from"] if head else 0, "partition_by": parts, "schema": schema.json(),
             "merge_keys": list(merge_keys) if merge_keys is not None else list(head["merge_keys"]) if head else [],
             "cluster_by": list(cluster_by) or (list(head["cluster_by"]) if head else []),
-            "inserted": kinds.get("insert", 0) if operation in (*APPENDING, "MERGE") else None,
-            "updated": kinds.get("post", 0) if operation == "MERGE" else None, "deleted": 0 if operation == "MERGE" else None,
-            "output_rows": kinds.get("insert", 0) if operation in APPENDING else None,
-            "file_count": start["file_count"] + sum(s * r["files"] for s, r in live),
-            "total_bytes": start["total_bytes"] + sum(s * r["bytes"] for s, r in live),
-            "total_rows": start["total_rows"] + sum(s * r["rows"] for s, r in live),
+            "inserted": kinds["insert"] if operation in (*APPENDING, "MERGE") else None,
+            "updated": kinds["post"] if operation == "MERGE" else None, "deleted": 0 if operation == "MERGE" else None,
+            "output_rows": kinds["insert"] if operation in APPENDING else None,
+            "file_count": start["file_count"] + moved["files"],
+            "total_bytes": start["total_bytes"] + moved["bytes"],
+            "total_rows": kinds["insert"] + (0 if replaces else start["total_rows"]),
             "trigger": by.trigger, "run_id": by.run_id, "streams": dict(head["streams"] or {}) if head else {},
         }
         if by.stream:
@@ -281,10 +337,13 @@ class VersionedTable:
 
     def _publish(self, version: int, row: Mapping) -> int:
         fields = StructType.fromDDL(COMMIT_SCHEMA)
-        given = [F.from_json(F.lit(json.dumps(row["streams"])), "map<string, bigint>").alias("streams"), F.current_timestamp().alias("committed_at")]
+        now = datetime.now(timezone.utc)
+        given = [F.from_json(F.lit(json.dumps(row["streams"])), "map<string, bigint>").alias("streams"), F.lit(now).alias("committed_at")]
         frame = self.spark.range(0, 1, 1, 1)
         columns = [F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in fields if f.name not in ("streams", "committed_at")]
         frame.select(*columns, *given).select(*fields.names).write.mode("overwrite").parquet(f"{self.path}/log/version={version}")
+        values = dict(row) | {"committed_at": now, "version": version}
+        self._written = Row(**{n: values[n] for n in (*fields.names, "version")})
         return version
 
     @staticmethod
@@ -338,25 +397,27 @@ class VersionedTable:
         source = freeze(df, batch)  # read for the bound, the directories and the rows
         mg.require_bound(source, keys, bound_by)
         schema = StructType.fromJson(json.loads(head["schema"]))
-        live = freeze(self.dirs(head), f"{batch}-dirs")
+        live, present = self.dirs(head), None
         if parts and all(p in keys or p in bound_by for p in parts):
             wanted = source.select(_tuple(parts).alias("partition")).distinct()
             hit = live.join(wanted, "partition", "left_semi")
         else:
-            table = self._read_paths(self._paths(live), schema)
+            table = self._read_paths(self._all_paths(head), schema, parts, folder=True)
             inside, _ = mg.split_by_bound(table, source, keys, layout, bound_by)
             names = [F.col(f"`{k}`") for k in keys]
-            found = inside.select(*names, _folder().alias("path")).join(source.select(*names).distinct(), list(keys), "left_semi")
-            hit = live.join(found.select("path").distinct(), "path", "left_semi")
+            found = inside.select(*names, "_folder").join(source.select(*names).distinct(), list(keys), "left_semi")
+            found = freeze(found, f"{batch}-found")  # read for the directories, and to tell inserts
+            hit = live.join(found.select(F.col("_folder").alias("path")).distinct(), "path", "left_semi")
+            present = found.select(*names).distinct()
         hit = freeze(hit, f"{batch}-hit")
-        touched = self._read_paths(self._paths(hit), schema).select(*[f"`{n}`" for n in schema.names])
+        touched = self._read_paths(self._paths(hit), schema, parts).select(*[f"`{n}`" for n in schema.names])
         mg.require_single_match(touched, source, keys)
-        merged = mg.merge_parts(touched, source, keys, update)
+        merged = mg.merge_parts(touched, source, keys, update, present)
         rows = merged.by_kind(_KIND)
         rows = clustered(rows, [c for c in layout if c in rows.columns])
         schema = evolve(self._empty(head), source.schema).schema
         version = self._commit(head, rows, "MERGE", schema, by, hit, keys, layout)
-        for name in (batch, f"{batch}-dirs", f"{batch}-hit"):
+        for name in (batch, f"{batch}-found", f"{batch}-hit"):
             self._delete(name)
         return version
 
@@ -393,7 +454,7 @@ class VersionedTable:
             spark__sql__files__openCostInBytes="0",
             spark__sql__files__minPartitionNum="1",
         ):
-            rows = self._read_paths(paths, schema).select(*[f"`{n}`" for n in schema.names])
+            rows = self._read_paths(paths, schema, head["partition_by"]).select(*[f"`{n}`" for n in schema.names])
             return self.rewrite(rows, "COMPACT", by, dropped=small)
 
     # -- files
@@ -410,27 +471,51 @@ class VersionedTable:
 
     def expired(self, retention_hours: float) -> DataFrame:
         """Directories that no version within the retention needs: dropped, or before an update, by a commit older than
-        that. `path, version` (the one that wrote it) and `rows`."""
+        that, and not deleted by an earlier expiry. `path, version` (the one that wrote it)."""
         cutoff = F.current_timestamp() - F.expr(f"make_dt_interval(0, 0, 0, {float(retention_hours) * 3600})")
         old = self.log().where(F.col("committed_at") < cutoff).select("version")
-        told = self.spark.read.schema(DIRS_SCHEMA).parquet(f"{self.path}/dirs").join(old, "version", "left_semi")
+        told = self.spark.read.schema(DIRS_SCHEMA).parquet(f"{self.path}/dirs")
+        done = told.where("action = 'expire'").select("path")
+        told = told.where("action <> 'expire'").join(old, "version", "left_semi")
         gone = told.where((F.col("action") == "drop") | (F.col("kind") == "pre")).select("path").distinct()
-        added = told.where(F.col("action") == "add").select("path", "version", "rows")
-        return added.join(gone, "path", "left_semi")
+        added = told.where(F.col("action") == "add").select("path", "version")
+        return added.join(gone, "path", "left_semi").join(done, "path", "left_anti")
 
     def expire(self, retention_hours: float, by: Provenance = Provenance(trigger="maintenance")) -> int:
         """Delete the expired directories; how many. The oldest version that a feed can still start from goes into
-        the log. Time travel reaches back as far."""
+        the log, and what was deleted beside it, so that no later expiry looks for it again. Time travel reaches back as
+        far. A whole version that has expired is one deletion."""
         head = self.commit()
-        names = [r["path"] for r in self.expired(retention_hours).select("path").collect() if self._exists(f"{self.path}/data/{r['path']}")]
-        if names:
-            cutoff = F.current_timestamp() - F.expr(f"make_dt_interval(0, 0, 0, {float(retention_hours) * 3600})")
-            young = self.log().where(F.col("committed_at") >= cutoff).agg(F.min("version")).first()[0]
-            row = head.asDict() | {"operation": "EXPIRE", "replaces": False, "inserted": 0, "updated": 0, "output_rows": None, "feed_from": head["version"] + 1 if young is None else young, "trigger": by.trigger, "run_id": by.run_id}
-            self._publish(head["version"] + 1, row)
+        version = head["version"] + 1
+        beside = f"{self.path}/dirs/version={version}"
+        seen = Observation()
+        gone = self.expired(retention_hours).select(F.lit("expire").alias("action"), "path", *[F.lit(None).cast(t).alias(c) for c, t in (("kind", "string"), ("partition", "string"), ("files", "bigint"), ("bytes", "bigint"))])
+        gone.observe(seen, F.count(F.lit(1)).alias("n")).coalesce(1).write.mode("overwrite").parquet(beside)
+        n = seen.get["n"]
+        if not n:
+            self._delete(beside)
+            return 0
+        names = self._whole_paths(beside)
+        cutoff = F.current_timestamp() - F.expr(f"make_dt_interval(0, 0, 0, {float(retention_hours) * 3600})")
+        young = self.log().where(F.col("committed_at") >= cutoff).agg(F.min("version")).first()[0]
+        row = head.asDict() | {"operation": "EXPIRE", "replaces": False, "inserted": 0, "updated": 0, "output_rows": None, "feed_from": version if young is None else young, "trigger": by.trigger, "run_id": by.run_id}
+        self._publish(version, row)
         for name in names:
             self._delete(f"{self.path}/data/{name}")
-        return len(names)
+        return n
+
+    def _whole_paths(self, beside: str) -> list[str]:
+        """What an expiry deletes, by version or kind where nothing else is left below it."""
+        told = self.spark.read.schema(DIRS_SCHEMA).parquet(f"{self.path}/dirs")
+        added = told.where("action = 'add'").select("path")
+        gone = told.where("action = 'expire'").select("path").unionByName(self.spark.read.parquet(beside).select("path")).distinct()
+        now = self.spark.read.parquet(beside).select("path", F.lit(True).alias("now"))
+        left = added.join(gone.withColumn("gone", F.lit(True)), "path", "left").join(now, "path", "left")
+        groups = left.groupBy(F.substring_index("path", "/", 2).alias("at")).agg(
+            F.bool_and(F.col("gone").isNotNull()).alias("whole"), F.bool_or(F.col("now").isNotNull()).alias("any"),
+            F.when(~F.bool_and(F.col("gone").isNotNull()), F.collect_list(F.when(F.col("now"), F.col("path")))).alias("some"),
+        ).where("any")
+        return sorted(name for r in groups.collect() for name in ([r["at"]] if r["whole"] else r["some"]))
 
 
 @dataclass(frozen=True)
