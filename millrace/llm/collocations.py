@@ -8,9 +8,10 @@ owner holds one tile, which turns dense when its list grows. Pairs that are freq
 again, and neighbouring pairs that overlap are the pairs of the next level, as a frequent phrase has frequent parts: so
 phrases of 3, 4 and 5 words are counted by the same tiles.
 
-Text is read once: a block (about `BLOCK_WORDS` words of one language) becomes a list of its distinct words and the
-words' places in that list. Lists, never words by occurrence, are joined with the numbers. A whole text lies in one
-block. Numbers have 31 bits: more frequent phrases of one length in a language raise an error.
+Text is read once: a block (of about `BLOCK_WORDS` words, by language) becomes a list of its distinct words and the
+words' places in that list. Lists, never words by occurrence, meet the numbers: words in a join, pairs tile by tile,
+where the tile's numbers come first in the stream and the blocks' cells after them. A whole text lies in one block.
+Numbers have 31 bits: more frequent phrases of one length in a language raise an error.
 
 Null texts are empty, a null language is `und`. Repeated rows count as often as they occur. Ties of rank are ordered by
 phrase. Empty tables give no rows. Other columns are not read.
@@ -30,7 +31,7 @@ from millrace.llm.common import Scratch, packed, query, rows_of, table, unpacked
 from millrace.llm.tokens import Numbers
 from millrace.operators.ordering import numbered, top_per_group
 
-BLOCK_WORDS = 1 << 20
+BLOCK_WORDS = 1 << 21
 #: A tile's side is 2 to this power.
 BITS = 11
 SIDE = 1 << BITS
@@ -55,7 +56,9 @@ def _row(values: tuple, schema: pa.Schema) -> pa.RecordBatch:
 
 
 _WORDS = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("keys", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("codes", pa.binary())])
-_PAIRS = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("keys", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("codes", pa.binary())])
+#: A block's places in its list of pairs (`tx` -1), and the cells of that list by tile, which are numbered from `first`.
+_PAIRS = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("tx", pa.int32()), ("ty", pa.int32()), ("first", pa.int32()), ("cells", pa.binary()), ("counts", pa.binary()), ("codes", pa.binary())])
+_PAIRS_DDL = "block long, lang string, tx int, ty int, first int, cells binary, counts binary, codes binary"
 
 
 def _encoded(block_words: int):
@@ -97,74 +100,83 @@ def _encoded(block_words: int):
 
 
 def tiled(x: np.ndarray, y: np.ndarray, least: int = DENSE_PAIRS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs as `x << 32 | y`, how often each occurs, and each pair's place in that list from 1."""
+    """Distinct pairs, the cells of a tile side by side and sorted, as `tx << 42 | ty << 22 | cell`; how often each occurs;
+    and each pair's place in that list from 1."""
     code = np.zeros(len(x), np.int32)
     keys, counts, n = [], [], 0
     tx, ty = x >> BITS, y >> BITS
+    cell = (x & (SIDE - 1)) << BITS | (y & (SIDE - 1))
     head = (tx < HEAD) & (ty < HEAD)
     tile = np.where(head, tx * HEAD + ty, -1)
     for t in np.flatnonzero(np.bincount(tile[head], minlength=1) >= least):
         here = np.flatnonzero(tile == t)
-        cell = (x[here] & (SIDE - 1)) << BITS | (y[here] & (SIDE - 1))
-        count = np.bincount(cell, minlength=SIDE * SIDE)
+        count = np.bincount(cell[here], minlength=SIDE * SIDE)
         found = np.flatnonzero(count)
         place = np.zeros(SIDE * SIDE, np.int32)
         place[found] = np.arange(n + 1, n + 1 + len(found))
-        code[here] = place[cell]
-        keys.append(((found >> BITS) + (t // HEAD) * SIDE) << 32 | ((found & (SIDE - 1)) + (t % HEAD) * SIDE))
+        code[here] = place[cell[here]]
+        keys.append((t // HEAD) << 42 | (t % HEAD) << 22 | found)
         counts.append(count[found])
         n += len(found)
     rest = np.flatnonzero(code == 0)
-    found, place, count = np.unique(x[rest] << 32 | y[rest], return_inverse=True, return_counts=True)
+    found, place, count = np.unique(tx[rest] << 42 | ty[rest] << 22 | cell[rest], return_inverse=True, return_counts=True)
     code[rest] = place + n + 1
     return np.concatenate([*keys, found]).astype(np.int64), np.concatenate([*counts, count]).astype(np.int64), code
 
 
-def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From a block's codes and the numbers of those that are frequent, the block of neighbouring pairs of numbers."""
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def _next(block: int, lang: str, flat: np.ndarray, at: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The pairs of a block whose places `at` of its list have numbers: the tiles' cells, and the places in their list."""
+    number = np.full(int(flat.max(initial=0)) + 1, -1, np.int64)
+    number[at] = ids
+    found = number[flat]
+    both = np.flatnonzero((found[:-1] >= 0) & (found[1:] >= 0))
+    if not len(both):
+        return
+    keys, counts, code = tiled(found[both], found[both + 1])
+    starts = np.flatnonzero(np.r_[True, keys[1:] >> 22 != keys[:-1] >> 22])
+    rows = []
+    for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True):
+        t = int(keys[s]) >> 22
+        rows.append((block, lang, t >> 20, t & 0xFFFFF, s + 1, packed((keys[s:e] & 0x3FFFFF).astype(np.uint32)), packed(counts[s:e]), None))
+        if len(rows) == 1024:
+            yield _rows(rows, _PAIRS)
+            rows = []
+    if rows:
+        yield _rows(rows, _PAIRS)
+    out = np.zeros(len(flat) - 1, np.int32)
+    out[both] = code
+    yield _rows([(block, lang, -1, -1, 0, None, None, packed(out))], _PAIRS)
+
+
+def _word_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of blocks of words (block, lang, codes, at, ids)."""
     for batch in batches:
         for block, lang, codes, at, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), batch.column(4), strict=True):
-            flat = unpacked(codes.as_py(), np.int32)
-            number = np.full(int(flat.max(initial=0)) + 1, -1, np.int64)
-            number[at.values.to_numpy(zero_copy_only=False)] = ids.values.to_numpy(zero_copy_only=False)
-            found = number[flat]
-            both = np.flatnonzero((found[:-1] >= 0) & (found[1:] >= 0))
-            if not len(both):
-                continue
-            keys, counts, code = tiled(found[both], found[both + 1])
-            out = np.zeros(len(flat) - 1, np.int32)
-            out[both] = code
-            yield _row((block, lang, keys, counts, packed(out)), _PAIRS)
+            at, ids = (c.values.to_numpy(zero_copy_only=False) for c in (at, ids))
+            yield from _next(block, lang, unpacked(codes.as_py(), np.int32), at, ids)
 
 
-_TILE = "lang string, tx int, ty int, owner int, cells binary, counts binary"
-_TILES = pa.schema([("lang", pa.string()), ("tx", pa.int32()), ("ty", pa.int32()), ("owner", pa.int32()), ("cells", pa.binary()), ("counts", pa.binary())])
-
-
-def _as_tiles(owners: int):
-    """The tiles of blocks (block, lang, keys, counts), as sorted coordinates."""
+def _longer_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of blocks (block, lang, codes, at, ids) of which rows with numbers come before the row with places."""
+    seen, at, ids = None, [], []
+    for batch in rows_of(batches):
+        for block, lang, codes, a, i in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            if block != seen:
+                seen, at, ids = block, [], []
+            if codes is None:
+                at.append(unpacked(a, np.int32))
+                ids.append(unpacked(i, np.int32))
+            elif at:
+                yield from _next(block, lang, unpacked(codes, np.int32), np.concatenate(at), np.concatenate(ids))
+                seen, at, ids = None, [], []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, lang, keys, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                keys, counts = (c.values.to_numpy(zero_copy_only=False) for c in (keys, counts))
-                x, y = keys >> 32, keys & 0xFFFFFFFF
-                tile = (x >> BITS) << 32 | (y >> BITS)
-                cell = ((x & (SIDE - 1)) << BITS | (y & (SIDE - 1))).astype(np.uint32)
-                order = np.lexsort((cell, tile))
-                tile, cell, counts = tile[order], cell[order], counts[order]
-                starts = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]])
-                rows = []
-                for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(tile)], strict=True):
-                    t = int(tile[s])
-                    rows.append((lang, t >> 32, t & 0xFFFFFFFF, block % owners, packed(cell[s:e]), packed(counts[s:e])))
-                    if len(rows) == 1024:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _TILES, strict=True)], schema=_TILES)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _TILES, strict=True)], schema=_TILES)
 
-    return run
+_TILE = "lang string, tx int, ty int, owner int, cells binary, counts binary"
+_TILES = pa.schema([("lang", pa.string()), ("tx", pa.int32()), ("ty", pa.int32()), ("owner", pa.int32()), ("cells", pa.binary()), ("counts", pa.binary())])
 
 
 class Tile:
@@ -209,7 +221,7 @@ def _summed(least: int | None):
         cells, counts = tile.sums()
         lang, tx, ty = key[:3]
         if least is None:
-            return _row((lang, tx, ty, 0, packed(cells), packed(counts)), _TILES)
+            return _rows([(lang, tx, ty, 0, packed(cells), packed(counts))], _TILES)
         keep = counts >= least
         cells, counts = cells[keep].astype(np.int64), counts[keep]
         columns = [pa.array([lang] * len(cells), pa.string()), pa.array((cells >> BITS) + tx * SIDE), pa.array((cells & (SIDE - 1)) + ty * SIDE), pa.array(counts)]
@@ -230,14 +242,86 @@ def _summed(least: int | None):
     return run
 
 
-def frequent_pairs(blocks: DataFrame, least: int) -> DataFrame:
+def frequent_pairs(pairs: DataFrame, least: int) -> DataFrame:
     """(lang, x, y, f) of the pairs of numbers with at least so many occurrences in all blocks."""
     key = ["lang", "tx", "ty", "owner"]
-    tiles = blocks.select("block", "lang", "keys", "counts").mapInArrow(_as_tiles(OWNERS), _TILE)
+    tiles = pairs.where("tx >= 0").select(*key[:3], F.pmod("block", F.lit(OWNERS)).cast("int").alias("owner"), "cells", "counts")
     first = tiles.repartition(*key).sortWithinPartitions(*key).mapInArrow(_summed(None), _TILE)
     return first.repartition(*key[:3]).sortWithinPartitions(*key).mapInArrow(_summed(least), "lang string, x long, y long, f long")
 
 
+_NUMBERS = pa.schema([("lang", pa.string()), ("tx", pa.int32()), ("ty", pa.int32()), ("cells", pa.binary()), ("ids", pa.binary())])
+
+
+def _number_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, tx, ty, cell, id) in that order as a row a tile."""
+    at, cells, ids = None, [], []
+
+    def done() -> pa.RecordBatch:
+        return _rows([(*at, packed(np.concatenate(cells)), packed(np.concatenate(ids)))], _NUMBERS)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lang, tx, ty = (batch.column(k).to_pylist() for k in range(3))
+        cell, number = (batch.column(k).to_numpy(zero_copy_only=False) for k in (3, 4))
+        keys = list(zip(lang, tx, ty, strict=True))
+        starts = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1])]
+        for s, e in zip(starts, [*starts[1:], len(keys)], strict=True):
+            if at is not None and keys[s] != at:
+                yield done()
+                cells, ids = [], []
+            at = keys[s]
+            cells.append(cell[s:e].astype(np.uint32))
+            ids.append(number[s:e].astype(np.int32))
+    if at is not None:
+        yield done()
+
+
+_MET = pa.schema([("block", pa.int64()), ("at", pa.binary()), ("ids", pa.binary())])
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tiles (lang, tx, ty, owner, block, first, cells, ids) in order; the row with numbers, of block -1, comes first. The
+    places in its block's list of each cell that has a number, and the numbers."""
+    at, own, numbers = None, None, None
+    for batch in rows_of(batches):
+        rows = []
+        for *key, block, first, cells, ids in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
+            if key != at:
+                at, own = key, None
+            cells = unpacked(cells, np.uint32)
+            if block < 0:
+                own, numbers = cells, unpacked(ids, np.int32)
+            elif own is not None:
+                place = np.minimum(np.searchsorted(own, cells), len(own) - 1)
+                found = np.flatnonzero(own[place] == cells)
+                if len(found):
+                    rows.append((block, packed((found + first).astype(np.int32)), packed(numbers[place[found]])))
+        if rows:
+            yield _rows(rows, _MET)
+
+
+def _of_numbers(pairs: DataFrame, items: DataFrame) -> DataFrame:
+    """The pairs of the next length: of blocks' cells that have numbers, `items` (lang, key, id)."""
+    x, y = F.shiftright("key", 32), F.col("key").bitwiseAND(F.lit(0xFFFFFFFF))
+    cell = F.shiftleft(x.bitwiseAND(F.lit(SIDE - 1)), BITS).bitwiseOR(y.bitwiseAND(F.lit(SIDE - 1)))
+    tile = ["lang", "tx", "ty"]
+    numbers = items.select("lang", F.shiftright(x, BITS).cast("int").alias("tx"), F.shiftright(y, BITS).cast("int").alias("ty"), cell.alias("cell"), "id")
+    numbers = numbers.repartition(*tile).sortWithinPartitions(*tile, "cell").mapInArrow(_number_tiles, "lang string, tx int, ty int, cells binary, ids binary")
+    owners = F.explode(F.sequence(F.lit(0), F.lit(OWNERS - 1))).alias("owner")  # each has the tile's numbers
+    first = numbers.select(*tile, owners, F.lit(-1).cast("long").alias("block"), F.lit(0).alias("first"), "cells", "ids")
+    owner = F.pmod("block", F.lit(OWNERS)).cast("int").alias("owner")
+    cells = pairs.where("tx >= 0").select(*tile, owner, "block", "first", "cells", F.lit(None).cast("binary").alias("ids"))
+    key = [*tile, "owner"]
+    met = first.unionByName(cells).repartition(*key).sortWithinPartitions(*key, "block").mapInArrow(_meet, "block long, at binary, ids binary")
+    none = F.lit(None)
+    met = met.select("block", none.cast("string").alias("lang"), none.cast("binary").alias("codes"), "at", "ids")
+    codes = pairs.where("tx < 0").select("block", "lang", "codes", none.cast("binary").alias("at"), none.cast("binary").alias("ids"))
+    both = met.unionByName(codes).repartition("block").sortWithinPartitions("block", F.col("codes").isNotNull())
+    return both.mapInArrow(_longer_pairs, _PAIRS_DDL)
+
+
 def _numbered(found: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Adds `id`, from 0 by falling frequency in a language."""
     ranked = numbered(found, ["lang"], [F.desc("f"), F.col("phrase")], "id", scratch.path(f"{name}-ranked"))
@@ -245,12 +329,13 @@ def _numbered(found: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return scratch.write(ranked.withColumn("id", F.coalesce(few.cast("long"), F.col("id") - 1)), name)
 
 
-def _renumbered(blocks: DataFrame, items: DataFrame) -> DataFrame:
-    """Blocks with the numbers of those of their keys that are frequent: `at` (places) and `ids`."""
+def _of_words(blocks: DataFrame, items: DataFrame) -> DataFrame:
+    """The pairs of blocks of words, where both are frequent."""
     listed = blocks.select("block", "lang", F.posexplode("keys").alias("at", "key"))
     named = listed.join(items.select("lang", "key", "id"), ["lang", "key"])
     lists = named.groupBy("block").agg(F.collect_list(F.struct((F.col("at") + 1).alias("at"), F.col("id").alias("id"))).alias("found"))
-    return blocks.select("block", "lang", "codes").join(lists, "block").select("block", "lang", "codes", F.col("found.at").alias("at"), F.col("found.id").alias("ids"))
+    met = blocks.select("block", "lang", "codes").join(lists, "block")
+    return met.select("block", "lang", "codes", F.col("found.at").alias("at"), F.col("found.id").alias("ids")).mapInArrow(_word_pairs, _PAIRS_DDL)
 
 
 def _cut(least_first: int, words: int) -> Column:
@@ -272,15 +357,16 @@ def phrases(docs: DataFrame, scratch: Scratch, longest: int = 5, least: int = 10
     words, a, l, r, n, score."""
     text, lang = docs[f"`{text_col}`"].cast("string"), docs[f"`{lang_col}`"].cast("string")
     docs = docs.select(F.coalesce(lang, F.lit("und")).alias("lang"), F.coalesce(text, F.lit("")).alias("text"))
-    ddl = "block long, lang string, keys array<{}>, counts array<bigint>, codes binary"
-    blocks = scratch.write(docs.mapInArrow(_encoded(block_words), ddl.format("string")), "words")
+    ddl = "block long, lang string, keys array<string>, counts array<bigint>, codes binary"
+    blocks = scratch.write(docs.mapInArrow(_encoded(block_words), ddl), "words")
     listed = blocks.select("lang", F.explode(F.arrays_zip("keys", "counts")).alias("w"))
     counted = scratch.write(listed.groupBy("lang", F.col("w.keys").alias("key")).agg(F.sum("w.counts").alias("f")), "counted")
     totals = counted.groupBy("lang").agg(F.sum("f").alias("n"))
     word = counted.where(F.col("f") >= least).select("lang", "key", F.col("key").alias("phrase"), F.col("key").alias("tail"), "f", F.array("f").alias("pf"), F.array("f").alias("sf"))
     items, out = _numbered(word, scratch, "items-1"), []
     for words in range(2, longest + 1):
-        pairs = scratch.write(_renumbered(blocks, items).mapInArrow(_paired, ddl.format("bigint")), f"pairs-{words}")
+        made = _of_words(blocks, items) if words == 2 else _of_numbers(blocks, items)
+        pairs = scratch.write(made, f"pairs-{words}")
         scratch.drop(blocks)
         blocks = pairs
         found = scratch.write(frequent_pairs(blocks, least), f"found-{words}")

@@ -78,12 +78,17 @@ def test_empty_table_and_nothing_frequent(spark):
 def test_dense_tiles_and_coordinates_agree():
     rng = np.random.default_rng(4)
     x, y = (np.minimum(rng.geometric(0.0005, 50_000), 30_000).astype(np.int64) for _ in range(2))
-    pairs, want = np.unique(x << 32 | y, return_counts=True)
     for least in (1, 500, 1 << 30):
         keys, counts, code = co.tiled(x, y, least)
-        assert (keys[code - 1] == x << 32 | y).all()
-        order = np.argsort(keys)
-        assert (keys[order] == pairs).all() and (counts[order] == want).all()
+        cell = keys & 0x3FFFFF
+        pair = ((keys >> 42) * co.SIDE + (cell >> co.BITS)) << 32 | ((keys >> 22 & 0xFFFFF) * co.SIDE + (cell & (co.SIDE - 1)))
+        assert (pair[code - 1] == x << 32 | y).all()
+        pairs, want = np.unique(x << 32 | y, return_counts=True)
+        order = np.argsort(pair)
+        assert (pair[order] == pairs).all() and (counts[order] == want).all()
+        tiles = keys >> 22
+        starts = np.flatnonzero(np.r_[True, tiles[1:] != tiles[:-1]])
+        assert len(np.unique(tiles)) == len(starts) and all((np.diff(part) > 0).all() for part in np.split(cell, starts[1:]))
 
 
 def test_a_tile_turns_dense(monkeypatch):
