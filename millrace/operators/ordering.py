@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,3 +50,32 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
         ).alias("_row")
     )
     return best.select(*[F.col(f"_row.`{n}`").alias(n) for n in names])
+
+
+def exact_percentiles(df: DataFrame, columns: Sequence[str], shares: Mapping[str, float], groups: Sequence[str] = (), path: str | None = None) -> DataFrame:
+    """Discrete percentiles by distributed selection: for each group, column and share, the least value that the share of
+    the non-NULL values does not exceed. `groups, column, share, value` (a double), a row only where there is a value.
+
+    Values are counted, which takes the weight out of frequent ones, and range-partitioned by group, column and value.
+    Counts of the ranges tell which range holds a wanted rank; only those ranges are ranked value by value. No task holds
+    more than a range, whatever the number of distinct values. The ranges are written so that both steps see the same;
+    give a `path` to remove them when the result has been used."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("value")) for c in columns])).alias("_cell")
+    key = [*groups, "column"]
+    long = df.select(*[F.col(f"`{g}`") for g in groups], cells).select(*groups, "_cell.column", "_cell.value").where("value IS NOT NULL")
+    names = [F.col(f"`{k}`") for k in key]
+    counts = long.groupBy(*names, "value").agg(F.count(F.lit(1)).alias("_n"))
+    placed = counts.repartitionByRange(*names, "value").withColumn("_part", F.spark_partition_id())
+    ranged = freeze(placed.sortWithinPartitions(*names, "value"), path)
+    sizes = ranged.groupBy(*names, "_part").agg(F.sum("_n").alias("_size"))  # a row for each group and range it lies in
+    whole, earlier = Window.partitionBy(*names), Window.partitionBy(*names).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumns({"_total": F.sum("_size").over(whole), "_before": F.coalesce(F.sum("_size").over(earlier), F.lit(0))})
+    # a rank is a whole number: the share is taken as the decimal that it was written as
+    wanted = F.explode(F.array(*[F.struct(F.lit(n).alias("share"), F.ceil(F.lit(Decimal(str(q))) * F.col("_total").cast("decimal(20,0)")).cast("bigint").alias("rank")) for n, q in shares.items()])).alias("_w")
+    ranks = sizes.select(*names, "_part", "_size", "_before", wanted).select(*names, "_part", "_size", "_before", "_w.share", F.greatest("_w.rank", F.lit(1)).alias("_rank"))
+    hit = ranks.where("_rank > _before AND _rank <= _before + _size").drop("_size")
+    same = [F.col("r._part") == F.col("h._part")] + [F.col(f"r.`{k}`").eqNullSafe(F.col(f"h.`{k}`")) for k in key]
+    near = ranged.alias("r").join(hit.alias("h"), same).select(*[F.col(f"r.`{k}`") for k in key], "r.value", "r._n", "r._part", "h.share", "h._rank", "h._before")
+    running = Window.partitionBy(*names, "_part", "share").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    reached = near.withColumn("_upto", F.col("_before") + F.sum("_n").over(running)).where("_upto >= _rank")
+    return reached.groupBy(*names, "share").agg(F.min("value").alias("value"))

@@ -15,9 +15,11 @@ from millrace.session import freeze
 TOP_MAX_DISTINCT = 1000
 TOP_VALUES = 10
 TOP_MAX_COLUMNS = 20
+#: Size of KLL sketches; the rank error of 200 is about 1.4 %.
+KLL_SIZE = 200
 
 
-def _facts(df: DataFrame, columns: Sequence[str]) -> list[Column]:
+def _facts(df: DataFrame, columns: Sequence[str], sketches: bool = False) -> list[Column]:
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, name in enumerate(columns):
         column = F.col(f"`{name}`")
@@ -29,12 +31,17 @@ def _facts(df: DataFrame, columns: Sequence[str]) -> list[Column]:
         ]
         if isinstance(df.schema[name].dataType, NumericType):
             aggs.append(F.percentile_approx(column.cast("double"), [0.5, 0.95]).alias(f"pct{i}"))
+            if sketches:
+                aggs.append(F.kll_sketch_agg_double(column.cast("double"), F.lit(KLL_SIZE)).alias(f"kll{i}"))
+        if sketches:
+            aggs.append(F.hll_sketch_agg(column.cast("string")).alias(f"hll{i}"))
     return aggs
 
 
-def column_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def column_profile(df: DataFrame, columns: Sequence[str] | None = None, sketches: bool = False) -> DataFrame:
     """One row per column: rows, nulls and their share, approximate distinct count, least and greatest
-    value as text, approximate median and 95th percentile of numbers. All columns in a single pass."""
+    value as text, approximate median and 95th percentile of numbers. All columns in a single pass. On demand with
+    `distinct_sketch` (HLL) and `quantile_sketch` (KLL, of numbers), NULL without a value, which `folded_profile` merges."""
     names = list(columns or df.columns)
     no_number = F.lit(None).cast("double")
     rows = []
@@ -54,9 +61,16 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
                 F.col(f"max{i}").alias("max_value"),
                 (pct[0] if numeric else no_number).alias("approx_p50"),
                 (pct[1] if numeric else no_number).alias("approx_p95"),
+                *(_kept_sketches(i, numeric) if sketches else []),
             )
         )
-    return df.agg(*_facts(df, names)).select(F.inline(F.array(*rows)))
+    return df.agg(*_facts(df, names, sketches)).select(F.inline(F.array(*rows)))
+
+
+def _kept_sketches(i: int, numeric: bool) -> list[Column]:
+    some = F.col(f"nulls{i}") < F.col("rows")
+    quantiles = F.when(some, F.col(f"kll{i}")) if numeric else F.lit(None).cast("binary")
+    return [F.when(some, F.col(f"hll{i}")).alias("distinct_sketch"), quantiles.alias("quantile_sketch")]
 
 
 def listable_columns(df: DataFrame, max_distinct: int = TOP_MAX_DISTINCT, max_columns: int | None = TOP_MAX_COLUMNS, profile: DataFrame | None = None) -> list[str]:
@@ -96,7 +110,7 @@ def top_values(df: DataFrame, columns: Sequence[str] | None = None, k: int = TOP
 def profile_rows(df: DataFrame, *, run_id: str, table: str, version: int | None, scope: str) -> DataFrame:
     """Rows for the `column_stats` table: the profile with its top values. `scope` says what was profiled
     (`table`, or `batch` when an append or merge profiles only what it wrote)."""
-    profile = freeze(column_profile(df))  # a row for each column, which also says what to list
+    profile = freeze(column_profile(df, sketches=True))  # a row for each column, which also says what to list
     tops = top_values(df, listable_columns(df, profile=profile)).groupBy("column_name").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("rank", "value", "count"))),  # at most ten per column

@@ -42,6 +42,8 @@ COLUMN_STATS = (
     "null_count bigint, null_pct double, approx_count_distinct bigint, min_value string, max_value string, "
     "approx_p50 double, approx_p95 double, top_10 array<struct<value:string,count:bigint>>, "
     "computed_at timestamp"
+    # our own: what was profiled (table or batch), and the sketches that profiles are folded from
+    ", scope string, distinct_sketch binary, quantile_sketch binary"
 )
 
 SYSTEM_TABLES = {"node_runs": NODE_RUNS, "runs": RUNS, "tables": TABLES, "column_stats": COLUMN_STATS}

@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.functions.ranges import range_join
+from millrace.functions.ranges import last_start
 from millrace.functions.scalars import epoch_millis, has_query_value, with_query_parameters
+from millrace.operators.ordering import exact_percentiles
+from millrace.operators.sketches import audience, audience_over, how_many, in_both
 
-# Beacon fields by output column, session timeout, address block for range lookups.
+# Beacon fields by output column, session timeout.
 BEACON_FIELDS = {"event": "e", "session_id": "sid", "visitor_id": "uid", "path": "p", "referrer": "ref"}
 SESSION_GAP_SECONDS = 30 * 60
-ADDRESS_BLOCK = 65536
 
 
 def beacons(logs: DataFrame, stem: str = "stem", query: str = "query", pixel: str = "/t.gif") -> DataFrame:
@@ -107,21 +108,22 @@ def sessions(
     )
 
 
-def without_bots(
-    hits: DataFrame, agent: str, address: str, crawler: str, datacenters: DataFrame, low: str, high: str, salts: int = 4
-) -> DataFrame:
-    """Drop hits whose agent matches the crawler pattern or whose address is in a datacenter range. A block of
-    addresses is spread over `salts` tasks: about as many as the busiest block would fill."""
+def without_bots(hits: DataFrame, agent: str, address: str, crawler: str, datacenters: DataFrame, low: str, high: str) -> DataFrame:
+    """Drop hits whose agent matches the crawler pattern or whose address is in a datacenter range; the ranges may
+    overlap. Addresses may be of any type with an order."""
     human = hits.where(~F.coalesce(F.col(agent).rlike(crawler), F.lit(False)))
-    return range_join(human, address, datacenters, low, high, ADDRESS_BLOCK, "left_anti", salts=salts)
+    ranges = datacenters.select(F.col(low).alias("_from"), F.col(high).alias("_upto")).where("_from <= _upto")
+    met = last_start(human, address, ranges, "_from", {"_reach": (F.max, "_upto")})
+    return met.where(~F.coalesce(F.col("_reach") >= F.col(f"`{address}`"), F.lit(False))).drop("_reach")
 
 
-def with_country(hits: DataFrame, address: str, ranges: DataFrame, low: str, high: str, country: str, salts: int = 4) -> DataFrame:
+def with_country(hits: DataFrame, address: str, ranges: DataFrame, low: str, high: str, country: str) -> DataFrame:
     """Add the two-letter country of the address and drop the address; unknown addresses get NULL.
     The ranges must not overlap."""
-    places = ranges.select(F.col(low).alias("_from"), F.col(high).alias("_to"), F.col(country).alias("country"))
-    found = range_join(hits, address, places, "_from", "_to", ADDRESS_BLOCK, "left", salts=salts)
-    return found.drop(address, "_from", "_to")
+    places = ranges.select(F.col(low).alias("_from"), F.struct(F.col(high).alias("upto"), F.col(country).alias("country")).alias("_place")).where("_from <= _place.upto")
+    met = last_start(hits, address, places, "_from", {"_found": (F.last, "_place")})
+    inside = F.col("_found.upto") >= F.col(f"`{address}`")
+    return met.withColumn("country", F.when(inside, F.col("_found.country"))).drop(address, "_found")
 
 
 def session_facts(events: DataFrame, session: str, ts: str, kind: str, value: Column) -> DataFrame:
@@ -142,9 +144,21 @@ def session_facts(events: DataFrame, session: str, ts: str, kind: str, value: Co
 
 
 def vitals(facts: DataFrame) -> DataFrame:
-    """Median and 75th percentile of the paint and shift figures over sessions, exact: the values are counted, and
-    have as many distinct ones as the instruments can tell apart."""
+    """Median and 75th percentile of the paint and shift figures over sessions, exact, in one row. They are selected by
+    ranges of values (see `exact_percentiles`), so no task holds all of them."""
     shares = {"p50": 0.5, "p75": 0.75}
-    return facts.agg(
-        *[F.expr(f"percentile_disc({s}) WITHIN GROUP (ORDER BY {c})").alias(f"{c}_{n}") for c in ("lcp", "cls") for n, s in shares.items()]
-    )
+    found = exact_percentiles(facts, ["lcp", "cls"], shares)
+    return found.agg(*[F.max(F.when((F.col("column") == c) & (F.col("share") == n), F.col("value"))).alias(f"{c}_{n}") for c in ("lcp", "cls") for n in shares])
+
+
+def daily_audience(events: DataFrame, day: Column, who: str, kind: str) -> DataFrame:
+    """Sketches of each day's visitors, of those shown something and of those who clicked: rows to keep, as longer periods
+    and funnels are merges of them."""
+    sets = {"visitors": F.lit(True), "seen": F.col(kind).isin("view", "displayed"), "clicked": F.col(kind) == "click"}
+    return audience(events, [day], who, sets)
+
+
+def audience_report(daily: DataFrame, period: Column) -> DataFrame:
+    """Visitors, those who saw, those who clicked, and those who did both, for each period, from the days' sketches."""
+    over = audience_over(daily.withColumn("period", period), ["period"], ["visitors", "seen", "clicked"])
+    return over.select("period", how_many("visitors").alias("visitors"), how_many("seen").alias("seen"), how_many("clicked").alias("clicked"), in_both("seen", "clicked").alias("clicked_of_seen"))

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.operators import profile as pr
+from millrace.operators.sketches import table_profile
+from millrace.operators.writes import OutputSpec
 from millrace.plans import catalog as cat
+from millrace.plans.staged import Chain, Stage
 from millrace.queries._registry import query, table
 from millrace.session import scratch_path
 from millrace.sources.sampling import file_listing
@@ -47,22 +50,60 @@ def p1(spark, sf):
     return checked.drop("approx_count_distinct", "approx_p50", "approx_p95", "exact")
 
 
-FEW_VALUES = 150
-LINEITEM_COLUMNS = "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate".split()
+FOLDED = "l_quantity l_extendedprice l_discount l_shipdate l_returnflag".split()
+
+
+@query(
+    "p3_folded_profile",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count(*) AS row_count, count(*) - count({c}) AS null_count, "
+        + (f"CAST(min({c}) AS DOUBLE) AS low, CAST(max({c}) AS DOUBLE) AS high" if c in FOLDED[:3] else "NULL AS low, NULL AS high")
+        + ", true AS p50_near, true AS p95_near, true AS distinct_near FROM lineitem"
+        for c in FOLDED
+    ),
+)
+def p3_folded(spark, sf):
+    """The profile of a table from its batches' profiles: three appends by a chain that asks for statistics, folded and held
+    against the rows."""
+    lines = table(spark, sf, "lineitem").select(*FOLDED)
+    chain = Chain(spark, scratch_path(spark, "chain"))
+    for k, part in enumerate(("l_quantity <= 10", "l_quantity > 10 AND l_quantity <= 30", "l_quantity > 30")):
+        stage = Stage("lines", "SELECT * FROM rows", {"rows": lines.where(part)}, {"default": OutputSpec(mode="append", stats=True)})
+        chain.run([stage], Provenance(f"r{k}"))
+    folded = table_profile(chain.system("column_stats")).drop("table_identifier")
+    long = lines.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in FOLDED[:3]])).alias("x")).select("x.*")
+    told = folded.where("approx_p50 IS NOT NULL").select("column_name", "approx_p50", "approx_p95")
+    ranks = long.join(told, "column_name").groupBy("column_name").agg(
+        *[F.avg((F.col("v") < F.col(f"approx_{p}")).cast("double")).alias(f"below_{p}") for p in ("p50", "p95")],
+        *[F.avg((F.col("v") <= F.col(f"approx_{p}")).cast("double")).alias(f"upto_{p}") for p in ("p50", "p95")],
+    )
+    near = {f"{p}_near": F.coalesce((F.col(f"below_{p}") <= q + 0.02) & (F.col(f"upto_{p}") >= q - 0.02), F.lit(True)) for p, q in (("p50", 0.5), ("p95", 0.95))}
+    exact = lines.agg(*[F.count_distinct(c).alias(c) for c in FOLDED]).unpivot([], FOLDED, "column_name", "exact")
+    number = F.when(F.col("approx_p50").isNotNull(), F.col("min_value").cast("double")).alias("low"), F.when(F.col("approx_p50").isNotNull(), F.col("max_value").cast("double")).alias("high")
+    both = folded.join(ranks, "column_name", "left").join(exact, "column_name").withColumns(near)
+    close = F.abs(F.col("approx_count_distinct") - F.col("exact")) <= F.greatest(F.col("exact") * 0.1, F.lit(0))
+    return both.select("column_name", "row_count", "null_count", *number, "p50_near", "p95_near", close.alias("distinct_near"))
+
+
+# Columns whose number of distinct values is far from the operator's cut-off at every size, which a sketch's error can't move.
+LISTED = "l_suppkey l_linenumber l_quantity l_discount l_tax l_returnflag l_linestatus".split()
 
 
 @query(
     "p2_top_values",
     "WITH c AS ("
-    + " UNION ALL ".join(
-        f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, count(*) AS count FROM lineitem WHERE (SELECT count(DISTINCT {c}) FROM lineitem) <= {FEW_VALUES} GROUP BY 2"
-        for c in LINEITEM_COLUMNS
-    )
+    + " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, count(*) AS count FROM lineitem GROUP BY 2" for c in LISTED)
     + """), r AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY count DESC, value ASC NULLS FIRST) AS rank FROM c)
-       SELECT column_name, value, count, count / (SELECT count(*) FROM lineitem) AS share, rank FROM r WHERE rank <= 10""",
+       SELECT column_name, value, count, count / (SELECT count(*) FROM lineitem) AS share, rank, true AS listed FROM r WHERE rank <= 10""",
 )
 def p2(spark, sf):
-    return pr.top_values(table(spark, sf, "lineitem"), max_distinct=FEW_VALUES)
+    """The columns are named, as a sketch may put one of exactly a thousand values on either side of the cut-off; that the
+    operator's own choice takes in all that are clearly below it, and no key of many values, is a column of the answer."""
+    lines = table(spark, sf, "lineitem")
+    chosen = set(pr.listable_columns(lines))
+    keys = lines.agg(*[F.count_distinct(c).alias(c) for c in lines.columns]).first().asDict()
+    clear = all((c in chosen) == (n <= pr.TOP_MAX_DISTINCT) for c, n in keys.items() if abs(n - pr.TOP_MAX_DISTINCT) > 0.2 * pr.TOP_MAX_DISTINCT)
+    return pr.top_values(lines, LISTED).withColumn("listed", F.lit(clear))
 
 
 @query(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from millrace.operators.ordering import exact_percentiles
 from millrace.plans import web as a
 from millrace.plans.recipes import top_groups
 from millrace.queries._registry import query, table
@@ -168,6 +169,52 @@ def a7(spark, sf):
     return found.select("event_id", "country")
 
 
+@query(
+    "a7_hot_address",
+    f"""WITH r AS ({RANGES.replace("{s}", "VARCHAR")}), h AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 41000000 ELSE {ADDRESS} END AS address FROM events)
+        SELECT coalesce(country, '-') AS country, count(*) AS hits, CAST(sum(event_id) AS BIGINT) AS ids FROM h LEFT JOIN r ON address BETWEEN lo AND hi GROUP BY 1""",
+)
+def a7_hot(spark, sf):
+    """A third of the hits come from one address; addresses are as wide as those of version 6."""
+    wide = F.lit("1000000000000000000000").cast("decimal(22,0)")
+    address = F.when(F.col("event_id") % 3 == 0, 41000000).otherwise(F.col("address"))
+    visits = hits(spark, sf).withColumn("address", (address.cast("decimal(14,0)") * wide).cast("decimal(38,0)"))
+    places = ranges(spark, sf)
+    for end in ("lo", "hi"):
+        places = places.withColumn(end, (F.col(end).cast("decimal(14,0)") * wide).cast("decimal(38,0)"))
+    found = a.with_country(visits, "address", places, "lo", "hi", "country")
+    return found.groupBy(F.coalesce("country", F.lit("-")).alias("country")).agg(F.count(F.lit(1)).alias("hits"), F.sum("event_id").alias("ids"))
+
+
+AUDIENCE = """SELECT {p} AS period, count(DISTINCT user_id) AS visitors, count(DISTINCT user_id) FILTER (event_type = 'view') AS seen,
+  count(DISTINCT user_id) FILTER (event_type = 'click') AS clicked FROM events GROUP BY 1"""
+BOTH = """SELECT period, count(*) AS clicked_of_seen FROM (SELECT DISTINCT {p} AS period, user_id FROM events WHERE event_type = 'view'
+  INTERSECT SELECT DISTINCT {p}, user_id FROM events WHERE event_type = 'click') x GROUP BY 1"""
+
+
+@query(
+    "a4_audience_from_days",
+    f"""SELECT period, true AS visitors, true AS seen, true AS clicked, true AS clicked_of_seen
+        FROM ({AUDIENCE.replace("{p}", "CAST(floor((day(ts) - 1) / 7) AS BIGINT)")}) a JOIN ({BOTH.replace("{p}", "CAST(floor((day(ts) - 1) / 7) AS BIGINT)")}) b USING (period)""",
+)
+def a4_audience(spark, sf):
+    """Weekly visitors, and those who clicked of those who saw, from the days' sketches; each figure is within three
+    standard errors (of 4,096 entries) of the exact one."""
+    events = table(spark, sf, "events")
+    week = F.floor((F.day("day") - 1) / 7)
+    told = a.audience_report(a.daily_audience(events, F.to_date("ts").alias("day"), "user_id", "event_type"), week)
+    person = lambda kind: F.when(F.col("event_type") == kind, F.col("user_id"))
+    weeks = events.withColumn("period", F.floor((F.day("ts") - 1) / 7))
+    exact = weeks.groupBy("period").agg(
+        F.count_distinct("user_id").alias("x_visitors"), F.count_distinct(person("view")).alias("x_seen"), F.count_distinct(person("click")).alias("x_clicked")
+    )
+    flags = weeks.groupBy("period", "user_id").agg(F.bool_or(F.col("event_type") == "view").alias("v"), F.bool_or(F.col("event_type") == "click").alias("c"))
+    both = flags.where("v AND c").groupBy("period").agg(F.count(F.lit(1)).alias("x_clicked_of_seen"))
+    met = told.join(exact, "period").join(both, "period")
+    close = [(F.abs(F.col(n) - F.col(f"x_{n}")) <= 3 / 64 * F.col("x_visitors")).alias(n) for n in ("visitors", "seen", "clicked", "clicked_of_seen")]
+    return met.select("period", *close)
+
+
 FACTS = """SELECT user_id, day(ts) AS d, CAST(min(ts) AS DATE) AS started_on, epoch_ms(date_trunc('second', max(ts))) // 1000
     - epoch_ms(date_trunc('second', min(ts))) // 1000 AS duration_s, max(value) FILTER (event_type = 'view') AS max_scroll,
   max(value) FILTER (event_type = 'click') AS lcp, max(value) FILTER (event_type = 'purchase') AS cls,
@@ -194,3 +241,16 @@ def a8(spark, sf):
 )
 def a8_vitals(spark, sf):
     return a.vitals(facts(spark, sf))
+
+
+@query(
+    "a8_percentiles_by_day",
+    """SELECT CAST(dd AS INTEGER) AS d, 'value' AS "column", share, CASE share WHEN 'p1' THEN p1 WHEN 'p75' THEN p75 ELSE p100 END AS value
+       FROM (SELECT day(ts) AS dd, quantile_disc(value + event_id * 1e-7, 0.01) AS p1,
+               quantile_disc(value + event_id * 1e-7, 0.75) AS p75, max(value + event_id * 1e-7) AS p100 FROM events GROUP BY 1) q,
+            (VALUES ('p1'), ('p75'), ('p100')) v(share)""",
+)
+def a8_by_day(spark, sf):
+    """Percentiles of values that are all different, by day."""
+    events = table(spark, sf, "events").select(F.day("ts").alias("d"), (F.col("value") + F.col("event_id") * 1e-7).alias("value"))
+    return exact_percentiles(events, ["value"], {"p1": 0.01, "p75": 0.75, "p100": 1.0}, ["d"])
