@@ -19,6 +19,7 @@ from millrace.plans.telemetry import CASCADE_NOTE, net_output, touched_output
 from millrace.session import hadoop_path
 from millrace.sources.cursors import CursorTable, read_incremental
 from millrace.sources.formats import InputSpec, read_path
+from millrace.sources.manifest import FileManifest, read_unread
 from millrace.tables.store import Provenance, VersionedTable, read_feed
 
 Transform = str | Callable[[SparkSession, dict[str, DataFrame]], dict[str, DataFrame]]
@@ -92,6 +93,7 @@ class Chain:
         self.path = path.rstrip("/")
         self.pipeline = pipeline
         self.cursors = CursorTable(spark, f"{self.path}/_cursors")
+        self.files = FileManifest(spark, f"{self.path}/_files")
         self._rows: dict[str, list[dict]] = {}
         self._stats: list[DataFrame] = []
 
@@ -122,23 +124,26 @@ class Chain:
             rows.select(*columns).write.mode("append").parquet(f"{self.path}/_system/column_stats")
         self._rows, self._stats = {}, []
 
-    def _read(self, stage: Stage, alias: str, source: str | InputSpec | DataFrame, forced: bool):
-        """(frame or None if there is nothing new, the cursor to store)."""
+    def _read(self, stage: Stage, alias: str, source: str | InputSpec | DataFrame, forced: bool) -> tuple[DataFrame | None, Callable[[], None] | None]:
+        """(frame or None if there is nothing new, what to do once the outputs are written)."""
         if isinstance(source, DataFrame):
             return source, None
         if isinstance(source, InputSpec):
+            if source.late_files:
+                files = read_unread(self.files, stage.name, source.source, source.format, source.options, forced=forced)
+                return files.df, files.done
             if not source.partitions:
                 return read_path(self.spark, source.source, source.format, source.options), None
             got = read_incremental(
                 self.spark, self.cursors, stage.name, source.source, source.partitions, source.format, source.start_from, forced
             )
-            return got.df, (source.source, got.cursor) if got.cursor else None
+            return got.df, partial(self.cursors.advance, stage.name, source.source, got.cursor) if got.cursor else None
         table = self.table(source)
         if alias not in stage.incremental:
             return table.read(), None
         stored = self.cursors.get(stage.name, source)
         feed = read_feed(table, int(stored[0]) if stored else None, forced=forced)
-        return feed.df, None if feed.version is None else (source, (str(feed.version),))
+        return feed.df, None if feed.version is None else partial(self.cursors.advance, stage.name, source, (str(feed.version),))
 
     def _write(self, stage: Stage, key: str, name: str, df: DataFrame, spec: OutputSpec, by: Provenance) -> int | None:
         """Write an output by its kind; if it is a table, the rows it has gained."""
@@ -198,22 +203,22 @@ class Chain:
         return result
 
     def _run_stage(self, stage: Stage, by: Provenance, forced: bool) -> tuple[StageResult, int | None]:
-        inputs, cursors = {}, {}
+        inputs, done = {}, []
         for alias, source in stage.inputs.items():
-            df, cursor = self._read(stage, alias, source, forced)
+            df, after = self._read(stage, alias, source, forced)
             if df is None:
                 return StageResult(stage.name, "skipped"), None
             inputs[alias] = df
-            if cursor is not None:
-                cursors[cursor[0]] = cursor[1]
+            if after is not None:
+                done.append(after)
         outputs = run_transform(self.spark, stage.transform, inputs)
         rows = None
         for key, df in outputs.items():
             name = stage.table_name(key, list(outputs) == ["default"])
             wrote = self._write(stage, key, name, df, stage.outputs.get(key, OutputSpec()), by)
             rows = rows if wrote is None else (rows or 0) + wrote
-        for source, cursor in cursors.items():  # only now: a crash before this repeats the batch
-            self.cursors.advance(stage.name, source, cursor)
+        for after in done:  # only now: a crash before this repeats the batch
+            after()
         return StageResult(stage.name, "ok"), rows
 
     def run(

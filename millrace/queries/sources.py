@@ -8,10 +8,11 @@ from millrace.operators.writes import write_path
 from millrace.queries._registry import layout, query, table
 from millrace.session import freeze, scratch_path
 from millrace.sources import cursors as c
-from millrace.sources.documents import json_rows, text_column_types, typed_text
+from millrace.sources.documents import json_rows, text_column_types, typed_text, variant_rows
 from millrace.sources.formats import read_files, read_named, read_path
+from millrace.sources.manifest import FileManifest, read_unread
 from millrace.sources.sampling import file_listing, newest_files, page, shared_scan
-from millrace.streaming.ingest import file_stream, run_available
+from millrace.streaming.ingest import file_stream, once, run_available
 from millrace.tables.store import VersionedTable
 
 DAY = ["year", "month", "day"]
@@ -114,6 +115,27 @@ def s5(spark, sf):
     return summary(c.after_cursor(rows, DAY, ("2024", "01", "15")), "day")
 
 
+@query(
+    "s5_late_files",
+    """SELECT 1 AS read, strftime(ts, '%d') AS day, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events WHERE event_id % 10 <> 3 AND ts < TIMESTAMP '2024-01-21' GROUP BY 2
+       UNION ALL SELECT 2, strftime(ts, '%d'), count(*), CAST(sum(event_id) AS BIGINT) FROM events WHERE event_id % 10 = 3 AND ts < TIMESTAMP '2024-01-21' GROUP BY 2
+       UNION ALL SELECT 3, strftime(ts, '%d'), count(*), CAST(sum(event_id) AS BIGINT) FROM events WHERE ts >= TIMESTAMP '2024-01-21' GROUP BY 2""",
+)
+def s5_late(spark, sf):
+    """Files that land in partitions already read are read once, and so is what comes after them."""
+    landing, manifest = scratch_path(spark, "late-landing"), FileManifest(spark, scratch_path(spark, "manifest"))
+    events = table(spark, sf, "events").select("event_id", F.date_format("ts", "dd").alias("day"))
+    parts, number = None, 0
+    for what in ("event_id % 10 <> 3 AND day <= '20'", "event_id % 10 = 3 AND day <= '20'", "day > '20'", "false"):
+        events.where(what).write.mode("append").partitionBy("day").parquet(landing)
+        while not (got := read_unread(manifest, "daily", landing, suffix=".parquet")).skipped:
+            number += 0 if got.more else 1
+            counts = got.df.groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids")).withColumn("read", F.lit(number))
+            parts = counts if parts is None else parts.unionByName(counts)
+            got.done()
+    return parts
+
+
 @query(
     "s6_first_cursor",
     f"""SELECT 'all' AS start_from, {EVENT_SUMMARY} FROM events
@@ -297,6 +319,42 @@ def s16(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query(
+    "st1_redelivered",
+    f"SELECT event_type, {EVENT_SUMMARY} FROM events GROUP BY event_type",
+)
+def st1_redelivered(spark, sf):
+    """Every file is delivered twice, the second time under another name; each event counts once, and the stream remembers
+    no more events than the delay covers."""
+    landing, out, state = (scratch_path(spark, n) for n in ("landing", "once", "state"))
+    events = table(spark, sf, "events").select("event_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
+    for day in range(0, 31, 8):
+        some = events.where(F.day("ts").between(day, day + 7))
+        for _ in range(2):
+            some.coalesce(1).write.mode("append").parquet(landing)
+    stream = once(file_stream(spark, landing, events.schema, max_files=2), ["event_id"], "ts", "8 days")
+    run_available(stream, state, path=out)
+    return summary(spark.read.parquet(out), "event_type")
+
+
+@query(
+    "s11_variant",
+    """SELECT event_id, CAST(CASE WHEN event_id % 3 = 0 THEN event_id ELSE NULL END AS BIGINT) AS n,
+              CASE event_id % 3 WHEN 0 THEN CAST(event_id AS VARCHAR) WHEN 1 THEN event_type ELSE 'true' END AS mixed,
+              CASE WHEN event_id % 3 = 1 THEN value END AS amount, CASE WHEN event_id % 3 = 2 THEN user_id END AS "user.id" FROM events""",
+)
+def s11_variant(spark, sf):
+    """Objects whose keys and types differ from row to row: the union of keys and types is found in one pass."""
+    event = F.struct(F.col("event_id").alias("id"), F.col("event_id").alias("n"), F.col("event_id").alias("mixed"))
+    other = F.struct(F.col("event_id").alias("id"), F.col("value").alias("amount"), F.col("event_type").alias("mixed"))
+    third = F.struct(F.col("event_id").alias("id"), F.lit(True).alias("mixed"), F.struct(F.col("user_id").alias("id")).alias("user"))
+    kind = F.col("event_id") % 3
+    item = F.when(kind == 0, F.to_json(event)).when(kind == 1, F.to_json(other)).otherwise(F.to_json(third))
+    documents = table(spark, sf, "events").select(F.concat(F.lit('{"data":{"items":['), item, F.lit(', 7, "x"]}}')).alias("body"))
+    rows = variant_rows(documents, "body", "data.items")
+    return rows.select(F.col("id").alias("event_id"), "n", "mixed", F.col("amount").cast("double").alias("amount"), F.col("`user`.id").alias("user.id"))
+
+
 @query(
     "st1_file_stream",
     f"SELECT event_type, {EVENT_SUMMARY} FROM events GROUP BY event_type",

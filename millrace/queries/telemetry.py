@@ -9,7 +9,7 @@ from millrace.plans import telemetry as t
 from millrace.queries._registry import query, table
 from millrace.session import scratch_path
 from millrace.streaming.ingest import file_stream
-from millrace.streaming.progress import stream_progress
+from millrace.streaming.progress import stream_live_progress, stream_progress
 from millrace.tables.store import VersionedTable
 
 # The derived tables are plain SQL that both engines read alike; only the time functions differ.
@@ -282,6 +282,31 @@ def r10_streaming(spark, sf):
     return folded.read()
 
 
+@query(
+    "r10_stateful_progress",
+    f"""SELECT run, node, updated_ms, tasks_completed, CASE WHEN status IN ('running', '') AND {NOW_MS} - updated_ms >= 12000 THEN 'STALE'
+               WHEN status IN ('running', '') THEN 'RUNNING' ELSE upper(status) END AS status
+        FROM (SELECT *, row_number() OVER (PARTITION BY run, node ORDER BY updated_ms DESC, tasks_completed DESC) AS rn FROM ({duck(PROGRESS)}) p WHERE updated_ms < {NOW_MS}) x WHERE rn = 1""",
+)
+def r10_stateful(spark, sf):
+    """States kept by the stream, with timers that say when a running node is stale; equal to the fold over all markers.
+    A last marker moves event time to the moment that is asked about."""
+    landing, state = scratch_path(spark, "markers"), scratch_path(spark, "state")
+    markers = derived(spark, sf, PROGRESS).where(F.col("updated_ms") < NOW_MS)
+    late_ms = 40 * 86_400_000  # files come in any order
+    markers.repartition(3, "tasks_completed").write.parquet(landing)
+    live = VersionedTable(spark, scratch_path(spark, "live"))
+
+    def run():
+        stream_live_progress(file_stream(spark, landing, markers.schema, max_files=2), state, live, "40 days")
+
+    run()
+    marks = spark.range(1).select(F.lit(-1).alias("run"), F.lit("clock").alias("node"), F.lit("skipped").alias("status"), F.lit(NOW_MS + late_ms).alias("updated_ms"), F.lit(0).alias("tasks_completed"))
+    marks.select(*[F.col(f.name).cast(f.dataType) for f in markers.schema]).write.mode("append").parquet(landing)
+    run()
+    return live.read().where("run >= 0").drop("at_ms")
+
+
 PIPELINE = "2-HIGH"
 OWN_RUNS = f"(SELECT * FROM ({duck(RUNS)}) a WHERE pipeline = '{PIPELINE}')"
 

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 MAX_COLUMNS = 10_000
 _INT = r"^[+-]?[0-9]+$"
@@ -41,6 +42,40 @@ def json_rows(
     return items.select(*keep, *[F.col("item").getItem(c).alias(c) for c in columns])
 
 
+def variant_items(df: DataFrame, document: str, json_path: str, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per object of the array at a dotted path, as a VARIANT named `item`; other elements are dropped, and so are
+    documents that are no JSON."""
+    path = "$" + "".join(f".{part}" for part in json_path.split(".") if part)
+    exploded = df.select(*keep, F.explode(F.try_variant_get(F.try_parse_json(F.col(document)), path, "array<variant>")).alias("item"))
+    return exploded.where(F.schema_of_variant("item").startswith("OBJECT<"))
+
+
+def variant_types(items: DataFrame, column: str = "item") -> StructType:
+    """The union of all keys with the type that fits all their values, from one pass over the rows of which one short text
+    comes back. A key whose values have no common type is a `variant`."""
+    told = items.agg(F.schema_of_variant_agg(column)).first()[0]
+    if told is None or not told.startswith("OBJECT<"):
+        return StructType()
+    found = items.sparkSession.sql(f"SELECT CAST(NULL AS STRUCT<{told[len('OBJECT<') : -1].replace('OBJECT<', 'STRUCT<')}>) AS s").schema["s"].dataType
+    return found if isinstance(found, StructType) else StructType()
+
+
+def variant_rows(df: DataFrame, document: str, json_path: str, keep: Sequence[str] = (), types: StructType | None = None) -> DataFrame:
+    """The objects at a path as typed columns, missing keys NULL. Keys of several types are text, as JSON but for plain
+    texts. `types` spares the pass that finds them."""
+    items = variant_items(df, document, json_path, keep)
+    types = variant_types(items) if types is None else types
+    if len(types) > MAX_COLUMNS:
+        raise ValueError(f"more than {MAX_COLUMNS} different keys: name the columns, or keep the variant")
+
+    def column(field: StructField) -> Column:
+        path = "$['" + field.name.replace("\\", "\\\\").replace("'", "\\'") + "']"
+        mixed = "variant" in field.dataType.simpleString() or field.dataType.simpleString() == "void"
+        return F.variant_get("item", path, "string" if mixed else field.dataType.simpleString()).alias(field.name)
+
+    return items.select(*keep, *[column(f) for f in types])
+
+
 _TYPES = ("long", "double", "string")
 
 

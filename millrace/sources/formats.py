@@ -12,13 +12,15 @@ from pyspark.sql.types import StructType
 
 @dataclass(frozen=True)
 class InputSpec:
-    """What a stage reads: a table name, or a path with its format and options."""
+    """What a stage reads: a table name, or a path with its format and options. With partitions it is read by their
+    cursor; with `late_files` by a manifest of the files read, which also sees what lands in partitions already read."""
 
     source: str
     format: str = "parquet"
     options: Mapping[str, str] = field(default_factory=dict)
     partitions: tuple[str, ...] = ()
     start_from: str = "all"
+    late_files: bool = False
 
 
 @dataclass(frozen=True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
@@ -37,3 +37,10 @@ def run_available(
         query = writer.format("parquet").outputMode("append").start(path)
     query.awaitTermination()
     return query
+
+
+def once(stream: DataFrame, keys: Sequence[str], ts: str, within: str) -> DataFrame:
+    """A stream's rows without those of a key that was seen before, for deliveries that repeat under other names. State is
+    kept for as long as a copy may come after its first (`within`, in event time); rows older than that are late and left
+    out, copies or not."""
+    return stream.withWatermark(ts, within).dropDuplicatesWithinWatermark(list(keys))
