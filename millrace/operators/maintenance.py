@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators.merge import MAX_LAYOUT_COLUMNS
@@ -65,15 +65,23 @@ def expire(table: VersionedTable, retention_hours: float = DEFAULT_RETENTION_HOU
     return table.expire(retention_hours)
 
 
-def sweep(
-    tables: Mapping[str, VersionedTable], actions: Mapping[str, Callable[[VersionedTable], object]]
-) -> list[dict[str, str]]:
-    """Run each action on each table. A failure is recorded and does not stop the others; sorted by table."""
+def sweep(tables: Mapping[str, VersionedTable], actions: Mapping[str, Callable[[VersionedTable], object]]) -> DataFrame:
+    """Run each action on each table: `table, action, status, detail`, sorted by table. A failure is recorded and does not
+    stop the others. The loop is over tables and actions; what an action does, it does as Spark jobs."""
     report = []
     for name in sorted(tables):
         for action, run in actions.items():
             try:
-                report.append({"table": name, "action": action, "status": "ok", "detail": str(run(tables[name]))})
+                report.append((name, action, "ok", str(run(tables[name]))))
             except Exception as error:  # one table's trouble must not stop the sweep
-                report.append({"table": name, "action": action, "status": "failed", "detail": str(error)})
-    return report
+                report.append((name, action, "failed", str(error).splitlines()[0][:1000] if str(error) else type(error).__name__))
+    spark = SparkSession.active() if not tables else next(iter(tables.values())).spark
+    return spark.createDataFrame(report, "table string, action string, status string, detail string").orderBy("table")
+
+
+#: The upkeep of a table: fewer files, the layout it remembers, what nobody needs any more.
+UPKEEP: dict[str, Callable[[VersionedTable], object]] = {
+    "compact": lambda table: table.compact(),
+    "cluster": lambda table: recluster(table, list(table.commit()["cluster_by"])),
+    "expire": expire,
+}

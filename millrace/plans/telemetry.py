@@ -45,8 +45,10 @@ EVENT_LOG_SCHEMA = """
 
 def parse_event_log(lines: DataFrame, column: str = "value", keep: Sequence[str] = ()) -> DataFrame:
     """Event log lines under an explicit schema (names that differ only in case defeat inference). Lines that are not
-    JSON become empty rows."""
-    return lines.select(*keep, F.from_json(column, EVENT_LOG_SCHEMA).alias("e")).select(*keep, "e.*")
+    JSON become empty rows, and so do events that tell nothing of tasks and stages: those, most of a log's bytes, are known
+    by their text and not parsed."""
+    told = F.col(column).contains("SparkListenerTaskEnd") | F.col(column).contains("SparkListenerStageCompleted")
+    return lines.select(*keep, F.from_json(F.when(told, F.col(column)), EVENT_LOG_SCHEMA).alias("e")).select(*keep, "e.*")
 
 
 def event_log_metrics(events: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -6,6 +6,8 @@ zero-padded, as `month=04`. The comparisons use partition columns only, so Spark
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -79,35 +81,57 @@ def initial_cursor(
 
 
 class CursorTable:
-    """Append-only record of cursors, one row per advance, keyed by consumer and input."""
+    """Cursors by consumer and input. Each pair has a directory of its own, in which an advance writes the new cursor and
+    then removes the one before: a read costs one small file, however often the cursor has moved."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
-        self.path = path
+        self.path = path.rstrip("/")
+
+    def _home(self, consumer: str, input_name: str) -> str:
+        digest = hashlib.sha256(json.dumps([consumer, input_name]).encode()).hexdigest()
+        return f"{self.path}/key={digest[:32]}"
+
+    def _moves(self, home: str) -> list[int]:
+        """The numbers of the cursors that are kept, newest last: one, or two after a crash."""
+        fs, jpath = hadoop_path(self.spark, home)
+        if not fs.exists(jpath):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(jpath) if s.isDirectory()]
+        moves = sorted(int(n.split("=")[1]) for n in names if n.startswith("move="))
+        whole = [m for m in moves if fs.exists(hadoop_path(self.spark, f"{home}/move={m}/_SUCCESS")[1])]
+        return whole
 
     def rows(self) -> DataFrame:
+        """The cursors of all consumers and inputs."""
         fs, jpath = hadoop_path(self.spark, self.path)
         if not fs.exists(jpath):
             return self.spark.createDataFrame([], CURSOR_SCHEMA)
-        return self.spark.read.schema(CURSOR_SCHEMA).parquet(self.path)
+        kept = self.spark.read.schema(f"{CURSOR_SCHEMA}, key string, move bigint").parquet(self.path)
+        last = kept.groupBy("key").agg(F.max_by(F.struct("consumer", "input", "cursor", "updated_at"), "move").alias("c"))
+        return last.select("c.*")
 
     def get(self, consumer: str, input_name: str) -> tuple[str, ...] | None:
-        row = (
-            self.rows()
-            .where((F.col("consumer") == consumer) & (F.col("input") == input_name))
-            .agg(F.max_by("cursor", "updated_at").alias("cursor"))
-            .first()
-        )
-        return tuple(row["cursor"]) if row["cursor"] is not None else None
+        home = self._home(consumer, input_name)
+        moves = self._moves(home)
+        if not moves:
+            return None
+        row = self.spark.read.schema(CURSOR_SCHEMA).parquet(f"{home}/move={moves[-1]}").first()
+        return tuple(row["cursor"]) if row is not None and row["cursor"] is not None else None
 
     def advance(self, consumer: str, input_name: str, cursor: Sequence[str]) -> None:
         """Call only after the outputs are committed: a crash in between repeats work, never skips it."""
-        self.spark.range(1).select(
+        home = self._home(consumer, input_name)
+        moves = self._moves(home)
+        self.spark.range(0, 1, 1, 1).select(
             F.lit(consumer).alias("consumer"),
             F.lit(input_name).alias("input"),
             _literal(cursor).alias("cursor"),
             F.current_timestamp().alias("updated_at"),
-        ).write.mode("append").parquet(self.path)
+        ).write.mode("overwrite").parquet(f"{home}/move={(moves[-1] if moves else 0) + 1}")
+        for m in moves:
+            fs, jpath = hadoop_path(self.spark, f"{home}/move={m}")
+            fs.delete(jpath, True)
 
 
 class PartitionRead:

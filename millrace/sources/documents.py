@@ -10,8 +10,9 @@ from pyspark.sql.types import StructField, StructType
 
 MAX_COLUMNS = 10_000
 _INT = r"^[+-]?[0-9]+$"
-_FLOAT = r"(?i)^[+-]?(([0-9]+[.]?[0-9]*|[.][0-9]+)(e[+-]?[0-9]+)?|inf|infinity|nan)$"
-_NON_FINITE = r"(?i)^[+-]?(inf|infinity|nan)$"
+_NON_FINITE = [sign + word for sign in ("", "+", "-") for word in ("inf", "infinity", "nan")]
+#: What Spark's cast takes beside plain decimal notation: type suffixes, hexadecimal floats, control characters around.
+_NOT_PLAIN = r"[dDfFxX\x00-\x20]"
 
 
 def json_items(df: DataFrame, document: str, json_path: str, keep: Sequence[str] = ()) -> DataFrame:
@@ -80,11 +81,13 @@ _TYPES = ("long", "double", "string")
 
 
 def _cell_class(cell: Column) -> Column:
-    """Which of the types the narrowest is that takes a cell's text."""
+    """Which of the types the narrowest is that takes a cell's text. Most cells are told by their digits alone; the cast to
+    a number and the patterns are for the others."""
+    digits = (F.translate(cell, "0123456789", "") == "") & (F.length(cell) <= 18)
+    whole = digits | (cell.rlike(_INT) & cell.try_cast("bigint").isNotNull())
     value = cell.try_cast("double")
-    whole = cell.rlike(_INT) & cell.try_cast("bigint").isNotNull()
-    real = cell.rlike(_NON_FINITE) | (cell.rlike(_FLOAT) & value.isNotNull() & (F.abs(value) != float("inf")))
-    return F.when(whole, 0).when(real, 1).otherwise(2)
+    finite = value.isNotNull() & (F.abs(value) != float("inf")) & ~F.isnan(value) & ~cell.rlike(_NOT_PLAIN)
+    return F.when(whole, 0).when(finite | F.lower(cell).isin(_NON_FINITE), 1).otherwise(2)
 
 
 def text_column_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -131,7 +131,7 @@ def test_sweep_records_failures(spark, table):
     table.replace(frame(spark, [(1,)], "v long"))
     missing = VersionedTable(spark, scratch_path(spark, "missing"))
     report = sweep({"b": table, "a": missing}, {"compact": lambda t: t.compact()})
-    assert [(r["table"], r["status"]) for r in report] == [("a", "failed"), ("b", "ok")]
+    assert [(r["table"], r["status"]) for r in report.collect()] == [("a", "failed"), ("b", "ok")]
 
 
 def test_write_follows_the_output_spec(spark, table):
@@ -202,3 +202,56 @@ def test_forced_reads_matter_only_when_nothing_is_new(spark, table):
     behind, level = read_feed(table, 0, forced=True), read_feed(table, 1, forced=True)
     assert not behind.full and rows(behind.df) == [(4,), (5,)]
     assert level.full and level.df.count() == 5 and read_feed(table, 1).skipped
+
+
+ODD_TEXTS = ["", None, "~", "~~x", "__HIVE_DEFAULT_PARTITION__", "~__HIVE_DEFAULT_PARTITION__", "a/b=c%2F +", "é", " ", "null", "x:y", "{}"]
+
+
+def test_merges_into_odd_partitions_update_in_place(spark):
+    table = VersionedTable(spark, scratch_path(spark, "table"), ["p"])
+    schema = "p string, k long, v long"
+    for v in (1, 2, 3):
+        table.merge(frame(spark, [(p, i, v) for i, p in enumerate(ODD_TEXTS)], schema), ["p", "k"])
+    want = sorted([(p, i, v) for i, p in enumerate(ODD_TEXTS) for v in ((1, 2, 3) if p is None else (3,))], key=str)
+    assert sorted(rows(table.read(), "p", "k", "v"), key=str) == want
+    head = table.commit()
+    assert head["total_rows"] == len(want) and (head["inserted"], head["updated"]) == (1, len(ODD_TEXTS) - 1)
+    assert sorted(rows(table.read().where("p = ''"), "k", "v")) == [(0, 3)]
+    plan = table.read().where("p = '~'")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [" in plan and "PartitionFilters: []" not in plan
+
+
+def test_whole_versions_are_read_by_one_path(spark):
+    table = VersionedTable(spark, scratch_path(spark, "table"), ["p"])
+    many = spark.range(120).select((F.col("id") % 20).alias("p"), "id", F.lit(0).alias("v"))
+    for k in range(3):
+        table.append(many.where(F.col("id") % 3 == k))
+    assert table._all_paths(table.commit()) == ["_v=0", "_v=1", "_v=2"]
+    table.merge(many.where("id = 4").withColumn("v", F.lit(1)), ["id"])  # partition 4 of version 1
+    paths = table._all_paths(table.commit())
+    assert {"_v=0", "_v=2", "_v=3/_k=keep", "_v=3/_k=post"} <= set(paths) and "_v=1" not in paths
+    assert len(paths) == 4 + len({p for p in paths if p.startswith("_v=1/")}) and table.read().count() == 120
+    assert table.read().agg(F.sum("v")).first()[0] == 1 and table.read(2).agg(F.sum("v")).first()[0] == 0
+
+
+def test_expiry_is_remembered(spark):
+    table = VersionedTable(spark, scratch_path(spark, "table"), ["p"])
+    schema = "k long, p string, v long"
+    for v in range(3):
+        table.replace(frame(spark, [(k, f"p{k % 5}", v) for k in range(20)], schema), merge_keys=["k"])
+    assert expire(table, -1) == 10  # five directories of two versions
+    assert table.expired(-1).count() == 0 and expire(table, -1) == 0
+    assert not table._exists(f"{table.path}/data/_v=0") and table.read().count() == 20
+    table.merge(frame(spark, [(1, "p1", 9)], schema), ["k"])
+    assert expire(table, -1) == 2 and rows(table.read().where("k = 1"), "v") == [(9,)]
+    assert table.dirs().count() == 6
+
+
+def test_commits_without_rows_are_counted(spark, table):
+    empty = frame(spark, [], "k long, v long")
+    table.replace(empty)
+    table.append(frame(spark, [(1, 1)], "k long, v long"))
+    table.merge(empty, ["k"])
+    told = [(r.inserted, r.updated, r.output_rows, r.total_rows) for r in table.log().orderBy("version").collect()]
+    assert told == [(0, None, 0, 0), (1, None, 1, 1), (0, 0, None, 1)]
+    assert rows(table.read()) == [(1, 1)]
