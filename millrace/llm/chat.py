@@ -12,13 +12,14 @@ the loss mask, as they stand escaped in the output.
 Null texts and roles count as empty. A null turn comes first. Rows with a null conversation id are one conversation of
 that id. Repeated rows are turns like any other. Empty tables give no rows. Other columns are not read.
 
-A conversation becomes one string, which is what a trainer reads, so its turns meet in one row; the text of a message
-is joined once, in time that grows with its length.
+A conversation becomes one string, which is what a trainer reads, so its turns meet in one row. Where each text stands is
+a running sum over the turns, taken before they are collected; texts under the mask are cut out of blocks of the string.
+So a conversation costs time that grows with its length, not with its square.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import query, table
@@ -39,37 +40,29 @@ def unescaped(text: Column) -> Column:
 
 def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", loss_role: str = "assistant") -> DataFrame:
     """(conversation id, formatted, loss_spans): a span has `start` (from 0) and `length` in code points of `formatted`."""
-    turn = F.struct(turns[f"`{turn_col}`"].alias("turn"), escaped(turns[f"`{role_col}`"]).alias("role"), escaped(turns[f"`{text_col}`"]).alias("text"))
-    df = turns.select(turns[f"`{conv_col}`"].alias("conv"), turn.alias("turn")).groupBy("conv").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
+    raw = [F.coalesce(turns[f"`{c}`"].cast("string"), F.lit("")) for c in (role_col, text_col)]
+    df = turns.select(turns[f"`{conv_col}`"].alias("conv"), turns[f"`{turn_col}`"].alias("turn"), *[c.alias(n) for c, n in zip(raw, ("role", "text"), strict=True)])
+    order = Window.partitionBy("conv").orderBy("turn", "role", "text")
+    former = F.lag("role").over(order)
+    head = len(ROLE) + F.length(escaped(F.col("role"))) + len(CLOSE)
+    df = df.withColumn("before", F.when(former.isNull(), head).when(former == F.col("role"), len(NEXT)).otherwise(len(END) + head).cast("long"))
+    df = df.withColumns({"role": escaped(F.col("role")), "said": escaped(F.col("text")), "before": F.col("before")})
+    size = F.length("said").cast("long")
+    # where a turn's text begins; what a turn adds to the string is never empty, so this is also the turns' order
+    running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    df = df.withColumn("at", F.sum(F.col("before") + size).over(running) - size)
+    df = df.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("at", "role", F.col("said").alias("text")))).alias("turns"))
     # first turns of the messages, and where each message ends
     df = df.withColumn("n", F.size("turns"))
     first = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: (i == 0) | (F.get("turns", i)["role"] != F.get("turns", F.greatest(i - 1, F.lit(0)))["role"]))
     df = df.withColumn("first", first)
     after = F.concat(F.slice("first", 2, F.size("first")), F.array("n"))
     merged = F.zip_with("first", after, lambda a, b: F.struct(F.get("turns", a)["role"].alias("role"), F.transform(F.slice("turns", a + 1, b - a), lambda t: t["text"]).alias("texts")))
-    df = df.select("conv", merged.alias("messages"))
     rendered = F.transform("messages", lambda m: F.concat(F.lit(ROLE), m["role"], F.lit(CLOSE), F.array_join(m["texts"], NEXT), F.lit(END)))
-    df = df.withColumn("parts", rendered)
-    # length before each message, then before each of its texts
-    total = F.aggregate(
-        "parts",
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("starts")),
-        lambda s, p: F.struct((s["at"] + F.length(p)).alias("at"), F.array_append(s["starts"], s["at"]).alias("starts")),
-    )
-    df = df.withColumn("starts", total["starts"])
-
-    def spans(message: Column, start: Column) -> Column:
-        head = start + len(ROLE) + F.length(message["role"]) + len(CLOSE)
-        none = F.array().cast("array<struct<start:bigint,length:bigint>>")
-        found = F.aggregate(
-            message["texts"],
-            F.struct(head.cast("long").alias("at"), none.alias("spans")),
-            lambda s, t: F.struct((s["at"] + F.length(t) + len(NEXT)).alias("at"), F.array_append(s["spans"], F.struct(s["at"].alias("start"), F.length(t).cast("long").alias("length"))).alias("spans")),
-        )
-        return F.when(message["role"] == escaped(F.lit(loss_role)), found["spans"]).otherwise(none)
-
-    loss = F.flatten(F.zip_with("messages", "starts", spans))
-    return df.select(F.col("conv").alias(conv_col), F.array_join("parts", "").alias("formatted"), loss.alias("loss_spans"))
+    marked = F.filter("turns", lambda t: t["role"] == escaped(F.lit(loss_role)))
+    loss = F.transform(marked, lambda t: F.struct(t["at"].alias("start"), F.length(t["text"]).cast("long").alias("length")))
+    df = df.withColumn("messages", merged).withColumn("loss", loss)
+    return df.select(F.col("conv").alias(conv_col), F.array_join(rendered, "").alias("formatted"), F.col("loss").alias("loss_spans"))
 
 
 def read_back(formatted: Column) -> Column:
@@ -84,9 +77,21 @@ def read_back(formatted: Column) -> Column:
     return F.flatten(F.transform(messages, turns))
 
 
-def under_mask(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped, in order."""
-    return F.array_join(F.transform(spans, lambda s: unescaped(F.substring(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+def under_mask(formatted: Column, spans: Column, block: int = 1024) -> Column:
+    """All text under the loss mask, unescaped, in order. The string is cut into blocks once, as finding a place in a
+    string takes time that grows with the place."""
+    cut = F.regexp_extract_all(formatted, F.lit("(?s).{1,%d}" % block), F.lit(0))
+
+    def of(blocks: Column) -> Column:
+        def text(s: Column) -> Column:
+            first, last = F.floor(s["start"] / block), F.floor((s["start"] + F.greatest(s["length"], F.lit(1)) - 1) / block)
+            near = F.array_join(F.slice(blocks, (first + 1).cast("int"), (last - first + 1).cast("int")), "")
+            return unescaped(F.substring(near, (s["start"] - first * block + 1).cast("int"), s["length"].cast("int")))
+
+        return F.array_join(F.transform(spans, text), "")
+
+    # the blocks are an element of a list of one, so that they are made once and not for each span
+    return F.get(F.transform(F.array(cut), of), F.lit(0))
 
 
 _SQL = """

@@ -213,7 +213,7 @@ def pack(
         else:
             moved = state.select("shard", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("elite").alias("migrant"))
             task = everywhere.join(state.select("shard", "island", "population"), ["shard", "island"]).join(moved, ["shard", "island"], "left")
-        task = task.select("shard", "island", "lengths", "population", "migrant").repartition(F.col("shard"), F.col("island"))
+        task = task.select("shard", "island", "lengths", "population", "migrant").repartition(shards, "shard", "island")  # small rows with much to do: a number that is given is not coalesced
         after = scratch.write(task.mapInArrow(_evolve(capacity, population, generations, turn, seed), STATE), f"round{turn}")
         if state is not None:
             scratch.drop(state)

@@ -166,7 +166,8 @@ def base32(hexes):
 
 def normalise(archives: DataFrame, scratch: Scratch, level: int = 6) -> DataFrame:
     """Archives with a member per record beside their index: file, offset, length, record_id, record_type."""
-    files = archives.select("file").repartition("file")
+    # a task for each file: a number that is given is not coalesced, however small the rows are
+    files = archives.select("file").repartitionByRange(max(1, archives.count()), "file")
     return scratch.write(files.mapInArrow(_normalise(scratch.path("records"), level), "file string, offset long, length long, record_id string, record_type string"), "index")
 
 
@@ -203,7 +204,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_archives(index: DataFrame) -> DataFrame:
     """Every record by its place in the index: page_id, payload_bytes, payload_digest, record_type, refers_to, url and
     payload (null for revisits); payloads are held against their digests."""
-    return index.select("file", "offset", "length").mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
+    files = max(1, index.select("file").distinct().count())
+    placed = index.select("file", "offset", "length").repartitionByRange(files, "file", "offset").sortWithinPartitions("file", "offset")
+    return placed.mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
 
 
 _SQL = """

@@ -41,3 +41,26 @@ def test_nulls_ties_and_repeats(spark):
 
 def test_empty_table(spark):
     assert format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_time_grows_with_the_turns_and_not_with_their_square(spark):
+    import time
+
+    def seconds(n):
+        rows = [(1, t, "user" if t % 3 == 0 else "assistant", f"turn {t} <|end|> \\ é") for t in range(n)]
+        df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+        out = format_conversations(df).select("formatted", under_mask(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+        began = time.monotonic()
+        row = out.first()
+        assert row.loss == "".join(t for _, _, r, t in rows if r == "assistant")
+        return time.monotonic() - began
+
+    seconds(1000)  # code is generated
+    short, long = seconds(10_000), seconds(80_000)
+    assert long < 24 * max(short, 0.5), (short, long)  # a square would be 64
+
+
+def test_extra_columns_of_clashing_names(spark):
+    rows = [(1, 0, "user", "a", 5, "x"), (1, 1, "assistant", "b", 6, "y")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, conv long, before string").selectExpr("*", "1 as at", "2 as n", "'z' as said", "3 as turns", "4 as first")
+    assert format_conversations(df).first().formatted == format_conversations(df.select("conv_id", "turn", "role", "text")).first().formatted
