@@ -9,8 +9,9 @@ again, and neighbouring pairs that overlap are the pairs of the next level, as a
 phrases of 3, 4 and 5 words are counted by the same tiles.
 
 Text is read once: a block (of about `BLOCK_WORDS` words, by language) becomes a list of its distinct words and the
-words' places in that list. Lists, never words by occurrence, meet the numbers: words in a join, pairs tile by tile,
-where the tile's numbers come first in the stream and the blocks' cells after them. A whole text lies in one block.
+words' places in that list. Lists, never words by occurrence, meet the numbers: words bucket by bucket of their checksum,
+pairs tile by tile; the bucket's or tile's numbers come first in the stream, the blocks' words or cells after them. A
+whole text lies in one block.
 Numbers have 31 bits: more frequent phrases of one length in a language raise an error.
 
 Null texts are empty, a null language is `und`. Repeated rows count as often as they occur. Ties of rank are ordered by
@@ -19,6 +20,7 @@ phrase. Empty tables give no rows. Other columns are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +43,8 @@ DENSE_PAIRS, DENSE_CELLS = SIDE * SIDE // 32, SIDE * SIDE // 4
 HEAD = 8
 #: Owners of a tile in the first step of its sum.
 OWNERS = 16
+#: Words with numbers that a bucket holds, about; their lists are the memory of a task.
+BUCKET_WORDS = 1 << 16
 
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _PLAIN = bytes.maketrans(_BREAKS + b"\t", b"." * len(_BREAKS) + b" ")
@@ -152,15 +156,7 @@ def _next(block: int, lang: str, flat: np.ndarray, at: np.ndarray, ids: np.ndarr
     yield _rows([(block, lang, -1, -1, 0, None, None, packed(out))], _PAIRS)
 
 
-def _word_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of blocks of words (block, lang, codes, at, ids)."""
-    for batch in batches:
-        for block, lang, codes, at, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), batch.column(4), strict=True):
-            at, ids = (c.values.to_numpy(zero_copy_only=False) for c in (at, ids))
-            yield from _next(block, lang, unpacked(codes.as_py(), np.int32), at, ids)
-
-
-def _longer_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pairs_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of blocks (block, lang, codes, at, ids) of which rows with numbers come before the row with places."""
     seen, at, ids = None, [], []
     for batch in rows_of(batches):
@@ -315,11 +311,7 @@ def _of_numbers(pairs: DataFrame, items: DataFrame) -> DataFrame:
     cells = pairs.where("tx >= 0").select(*tile, owner, "block", "first", "cells", F.lit(None).cast("binary").alias("ids"))
     key = [*tile, "owner"]
     met = first.unionByName(cells).repartition(*key).sortWithinPartitions(*key, "block").mapInArrow(_meet, "block long, at binary, ids binary")
-    none = F.lit(None)
-    met = met.select("block", none.cast("string").alias("lang"), none.cast("binary").alias("codes"), "at", "ids")
-    codes = pairs.where("tx < 0").select("block", "lang", "codes", none.cast("binary").alias("at"), none.cast("binary").alias("ids"))
-    both = met.unionByName(codes).repartition("block").sortWithinPartitions("block", F.col("codes").isNotNull())
-    return both.mapInArrow(_longer_pairs, _PAIRS_DDL)
+    return _with_codes(met, pairs.where("tx < 0"))
 
 
 def _numbered(found: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -329,13 +321,69 @@ def _numbered(found: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return scratch.write(ranked.withColumn("id", F.coalesce(few.cast("long"), F.col("id") - 1)), name)
 
 
+_LISTED = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("block", pa.int64()), ("words", pa.list_(pa.binary())), ("at", pa.binary())])
+
+
+def _by_bucket(buckets: int):
+    """The words of blocks (block, lang, keys) by bucket, with their places in the block's list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, lang, keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                words = np.array(keys.values.cast(pa.binary()).to_pylist(), object)
+                bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
+                order = np.argsort(bucket, kind="stable").astype(np.int32)
+                starts = np.flatnonzero(np.r_[True, np.diff(bucket[order]) > 0]).tolist()
+                rows = [(lang, int(bucket[order[s]]), block, words[order[s:e]], packed(order[s:e] + 1)) for s, e in zip(starts, [*starts[1:], len(order)], strict=True)]
+                for k in range(0, len(rows), 1024):
+                    yield _rows(rows[k : k + 1024], _LISTED)
+
+    return run
+
+
+def _meet_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Buckets (lang, bucket, block, words, at, id) in order; rows of a word and its number, of block -1, come first."""
+    at, numbers = None, {}
+    for batch in rows_of(batches, 4096):
+        lang, bucket, block, places, ids = (batch.column(k).to_pylist() for k in (0, 1, 2, 4, 5))
+        rows = []
+        for k, key in enumerate(zip(lang, bucket, strict=True)):
+            if key != at:
+                at, numbers = key, {}
+            words = batch.column(3)[k].values.to_pylist()
+            if block[k] < 0:
+                numbers[words[0]] = ids[k]
+            elif numbers:
+                number = np.fromiter((numbers.get(w, -1) for w in words), np.int64, len(words))
+                found = np.flatnonzero(number >= 0)
+                if len(found):
+                    rows.append((block[k], packed(unpacked(places[k], np.int32)[found]), packed(number[found].astype(np.int32))))
+        if rows:
+            yield _rows(rows, _MET)
+
+
 def _of_words(blocks: DataFrame, items: DataFrame) -> DataFrame:
     """The pairs of blocks of words, where both are frequent."""
-    listed = blocks.select("block", "lang", F.posexplode("keys").alias("at", "key"))
-    named = listed.join(items.select("lang", "key", "id"), ["lang", "key"])
-    lists = named.groupBy("block").agg(F.collect_list(F.struct((F.col("at") + 1).alias("at"), F.col("id").alias("id"))).alias("found"))
-    met = blocks.select("block", "lang", "codes").join(lists, "block")
-    return met.select("block", "lang", "codes", F.col("found.at").alias("at"), F.col("found.id").alias("ids")).mapInArrow(_word_pairs, _PAIRS_DDL)
+    buckets = max(64, -(-items.count() // BUCKET_WORDS))
+    none, word = F.lit(None), F.col("key").cast("binary")
+    numbers = items.select(
+        "lang", F.pmod(F.crc32(word), F.lit(buckets)).cast("int").alias("bucket"), F.lit(-1).cast("long").alias("block"),
+        F.array(word).alias("words"), none.cast("binary").alias("at"), F.col("id").cast("long").alias("id"),
+    )
+    listed = blocks.select("block", "lang", "keys").mapInArrow(_by_bucket(buckets), "lang string, bucket int, block long, words array<binary>, at binary")
+    both = numbers.unionByName(listed.withColumn("id", none.cast("long")))
+    key = ["lang", "bucket"]
+    met = both.repartition(*key).sortWithinPartitions(*key, "block").select(*key, "block", "words", "at", "id").mapInArrow(_meet_words, "block long, at binary, ids binary")
+    return _with_codes(met, blocks)
+
+
+def _with_codes(met: DataFrame, codes: DataFrame) -> DataFrame:
+    """The pairs of blocks, from what their lists have met (block, at, ids) and their places (block, lang, codes)."""
+    none = F.lit(None)
+    met = met.select("block", none.cast("string").alias("lang"), none.cast("binary").alias("codes"), "at", "ids")
+    codes = codes.select("block", "lang", "codes", none.cast("binary").alias("at"), none.cast("binary").alias("ids"))
+    both = met.unionByName(codes).repartition("block").sortWithinPartitions("block", F.col("codes").isNotNull())
+    return both.mapInArrow(_pairs_of_blocks, _PAIRS_DDL)
 
 
 def _cut(least_first: int, words: int) -> Column:
