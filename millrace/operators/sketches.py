@@ -25,7 +25,9 @@ def _end(value: str, kind: str, largest: bool) -> Column:
     by = F.max_by if largest else F.min_by
     plain = F.max if largest else F.min
     exact = F.when(number & ~F.col("column_type").isin("float", "double"), F.col(value).try_cast("decimal(38,10)"))
-    of_number = by(F.when(number, F.col(value)), F.struct(exact, F.when(number, F.col(value).try_cast("double"))))
+    # an order for values only: a batch without any has none
+    order = F.when(number & F.col(value).isNotNull(), F.struct(exact, F.col(value).try_cast("double")))
+    of_number = by(F.when(number, F.col(value)), order)
     return F.coalesce(F.when(F.bool_or(number), of_number), plain(F.when(~number, F.col(value)))).alias(kind)
 
 

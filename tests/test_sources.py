@@ -149,3 +149,40 @@ def test_zorder_keeps_neighbours_together(spark):
     # A quarter of the key space is one quadrant of the grid.
     low = z.where("z < 1024").agg(F.max("x"), F.max("y")).first()
     assert max(low) <= 33 and z.select("z").distinct().count() > 3500
+
+
+def test_variant_rows_have_the_union_of_keys_and_types(spark):
+    from millrace.sources.documents import variant_items, variant_rows, variant_types
+
+    body = '{"a":{"b":[{"n":1,"x":"t","it\'s":2},{"n":2.5,"o":{"k":1}},7,null,"s",{"x":true,"l":[1,2]}]}}'
+    df = spark.createDataFrame([(1, body), (2, '{"a":{"b":[]}}'), (3, "no json"), (4, None), (5, '{"a":1}'), (6, '{"a":{"b":[{"x":null,"n":3}]}}')], "id long, doc string")
+    found = variant_types(variant_items(df, "doc", "a.b"))
+    assert sorted(found.names) == ["it's", "l", "n", "o", "x"]
+    out = variant_rows(df, "doc", "a.b", keep=["id"]).orderBy("id", "n")
+    got = [(r["id"], None if r["n"] is None else float(r["n"]), r["x"], r["it's"], r["o"] and r["o"]["k"], r["l"]) for r in out.collect()]
+    assert got == [(1, None, "true", None, None, [1, 2]), (1, 1.0, "t", 2, None, None), (1, 2.5, None, None, 1, None), (6, 3.0, None, None, None, None)]
+    empty = df.limit(0)
+    assert variant_rows(empty, "doc", "a.b", keep=["id"]).columns == ["id"]
+
+
+def test_cell_classes(spark):
+    from millrace.sources.documents import text_column_types
+
+    cells = {"long": ["1", "+5", "-007", "9223372036854775807"], "double": ["1.", ".5", "-1e3", "1E-2", "inf", "-Infinity", "NaN", "9223372036854775808", "+nan"],
+             "string": ["1d", "1.0f", "0x1p3", "1e999", "", "1 2", "abc", "1_000", "infinit", "5\t", "--1"]}
+    for kind, some in cells.items():
+        for cell in some:
+            (row,) = text_column_types(spark.createDataFrame([(cell,)], "c string")).collect()
+            assert row.column_type == kind, cell
+
+
+def test_cursors_cost_one_small_file_each(spark, tmp_path):
+    import glob
+
+    store = c.CursorTable(spark, f"{tmp_path}/cursors")
+    for k in range(5):
+        store.advance("a", "in", (f"{k:02}",))
+        store.advance("b", "in", (f"{k + 10}", "x"))
+    assert store.get("a", "in") == ("04",) and store.get("b", "in") == ("14", "x") and store.get("a", "other") is None
+    assert len(glob.glob(f"{tmp_path}/cursors/*/*/*.parquet")) == 2
+    assert sorted((r.consumer, tuple(r.cursor)) for r in store.rows().collect()) == [("a", ("04",)), ("b", ("14", "x"))]
