@@ -65,6 +65,11 @@ class Scratch:
             files, path = hadoop_path(self.spark, df.written_to)
             files.delete(path, True)
 
+    def clear(self) -> None:
+        """Drop all that was written, once nothing reads it any more."""
+        files, path = hadoop_path(self.spark, self.root)
+        files.delete(path, True)
+
 
 def open_folder(path: str):
     """(file system, path in it) for binary files of tasks; any store that Arrow knows by its URI."""

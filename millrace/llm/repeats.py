@@ -386,8 +386,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scratch = Scratch(docs.sparkSession, "repeats")
     whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("uid"))
     whole = scratch.write(whole, "rows")  # which fixes the uid
-    out = repeats(whole.select(F.col("row")[id_col].alias("id"), "uid", F.col("row")[text_col].alias("text")), scratch, length)
+    blocks = Scratch(docs.sparkSession, "repeats-blocks")
+    out = repeats(whole.select(F.col("row")[id_col].alias("id"), "uid", F.col("row")[text_col].alias("text")), blocks, length)
     cut = out.filter(F.size("starts") > 0).select("uid", "kept").mapInArrow(_as_text, "uid long, kept string")
+    cut = scratch.write(cut, "cut")
+    blocks.clear()  # before the rows are shuffled
     text = F.when(F.col("kept").isNull(), F.col("row")[text_col]).otherwise(F.col("kept"))
     return whole.join(cut, "uid", "left").select(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
 

@@ -54,30 +54,6 @@ def fingerprint(data: bytes | None, shingle: int = 3) -> int:
     return fingerprint_of(list(shingle_hashes(data, shingle)))
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    return (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-
-
-def part_keys(hashes: np.ndarray) -> np.ndarray:
-    """Keys of parts of a shingle set. Shingles fall into parts by their hash, a few to a part; two sets of similarity
-    0.8 agree in all shingles of a part with a chance of a seventh or more, and have dozens of parts. The number of
-    parts is a power of two, and parts of half that number are keyed too where a similar set may have that many."""
-    u = _mixed(np.unique(hashes))
-    n = len(u)
-    share = 2 if n < 128 else 4 if n < 4096 else 8
-    most, keys = 1 << max((n // share).bit_length() - 1, 0), []
-    # a similar set has at least 0.8 times the shingles, which may halve the parts
-    levels = {most, max(most // 2, 1)} if n < 1.25 * most * share or n < 128 else {most}
-    for level in levels:
-        part = u >> np.uint64(40) & np.uint64(level - 1)
-        order = np.argsort(part, kind="stable")
-        new = np.flatnonzero(np.r_[True, part[order][1:] != part[order][:-1]])
-        sums = np.add.reduceat(_mixed(u[order]), new)
-        keys.append(_mixed(sums ^ _mixed(part[order][new] + np.uint64(level) * np.uint64(1 << 32))))
-    return np.concatenate(keys).view(np.int64)
-
-
 def commonness(docs: DataFrame, text_col: str, shingle: int, sample_rows: int = 10_000, most: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
     """(hashes in order, counts) of the commonest shingles of a sample. They only order shingles: any numbers would give
     the same links, these keep stock phrases out of the keys."""
@@ -110,9 +86,15 @@ def prefix_keys(hashes: np.ndarray, similarity: float, common: tuple[np.ndarray,
     return hashes[np.lexsort((hashes, weight))[: n - int(np.ceil(similarity * n - 1e-9)) + 1]].view(np.int64)
 
 
+#: Bytes of the least parities that pairs of a key are looked through with, before whole ones are compared.
 SHORT = 64
 
 
+def short_bytes(n: int) -> int:
+    """As many buckets as shingles, so that dissimilar sets of any size are told apart."""
+    return max(SHORT, 1 << max((int(n) - 1).bit_length() - 3, 0))
+
+
 def parities(hashes: np.ndarray) -> bytes:
     """Whether buckets hold an odd number of a set's shingles, two buckets or more to a shingle. Two sets differ in as
     many shingles as buckets at least; the halves of a longer one, added, are the shorter one."""
@@ -220,6 +202,31 @@ def _links(k: int):
     return run
 
 
+class _Shorts:
+    """Parities of rows, by their width."""
+
+    def __init__(self, rows: np.ndarray):
+        self.width = np.fromiter(map(len, rows), np.int64, len(rows))
+        self.place, self.of = np.zeros(len(rows), np.int64), {}
+        for w in np.unique(self.width).tolist():
+            at = np.flatnonzero(self.width == w)
+            self.place[at] = np.arange(len(at))
+            self.of[w] = np.frombuffer(b"".join(rows[at]), np.uint64).reshape(-1, w // 8)
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Buckets in which rows x and y differ; a longer parity is folded to the other's width."""
+        out = np.empty(len(x), np.int64)
+        both = self.width[x] << 32 | self.width[y]
+        for key in np.unique(both).tolist():
+            at = np.flatnonzero(both == key)
+            for some in np.array_split(at, len(at) // (1 << 14) + 1):
+                a, b = self.of[key >> 32][self.place[x[some]]], self.of[key & 0xFFFFFFFF][self.place[y[some]]]
+                w = min(a.shape[1], b.shape[1])
+                a, b = (np.bitwise_xor.reduce(c.reshape(len(c), -1, w), axis=1) for c in (a, b))
+                out[some] = np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+        return out
+
+
 def _windows(low: int, high: int, similarity: float):
     """Pairs of rows (key, fp, n, root, short) of one key that stand `low` places or more and fewer than `high` apart in
     their order by n, have different roots, and by their sizes and parities may be that similar: (null, a, b). Before
@@ -233,7 +240,7 @@ def _windows(low: int, high: int, similarity: float):
             return pa.RecordBatch.from_arrays([key, pa.array(a), pa.array(b)], names=["key", "a", "b"])
 
         def paired(key, fp, n, root=None, short=None) -> Iterator[pa.RecordBatch]:
-            at = np.arange(len(key))
+            at, shorts = np.arange(len(key)), None if short is None else _Shorts(short)
             if low == 1 and len(key):
                 new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
                 sizes = np.diff(np.r_[new, len(key)])
@@ -253,7 +260,7 @@ def _windows(low: int, high: int, similarity: float):
                     if root is not None:
                         ok = root[x] != root[y]
                         x, y = x[ok], y[ok]
-                        ok = np.bitwise_count(short[x] ^ short[y]).sum(1, dtype=np.int64) <= most_apart(n[x], n[y], similarity)
+                        ok = shorts.apart(x, y) <= most_apart(n[x], n[y], similarity)
                         x, y = x[ok], y[ok]
                     if len(x):
                         yield out(None, np.minimum(fp[x], fp[y]), np.maximum(fp[x], fp[y]))
@@ -261,7 +268,7 @@ def _windows(low: int, high: int, similarity: float):
         for batch in batches:
             now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(min(batch.num_columns, 4))]
             if batch.num_columns > 4:
-                now.append(np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(-1, SHORT // 8))
+                now.append(np.array([*batch.column(4).to_pylist(), None], object)[:-1])
             now = [np.concatenate(x) for x in zip(kept, now, strict=True)] if kept else now
             if not len(now[0]):
                 continue
@@ -334,7 +341,7 @@ def similar_links(rows: DataFrame, scratch: Scratch, similarity: float, shingle:
         several = rooted.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("least"), F.max("root").alias("last")).where(f"size > {window} and least < last")
         left = scratch.write(rooted.join(several.select("key"), "key", "left_semi"), "left")
         scratch.drop(rooted)
-        short = sets.join(left.select("fp").distinct(), "fp", "left_semi").select("fp", "odd").mapInArrow(_shortened, "fp long, short binary")
+        short = sets.join(left.select("fp").distinct(), "fp", "left_semi").select("fp", "n", "odd").mapInArrow(_shortened, "fp long, short binary")
         keyed = left.join(short, "fp").select("key", "fp", "n", "root", "short").repartition("key").sortWithinPartitions("key", "n", "fp")
         pairs = keyed.mapInArrow(_windows(window, 16 * window, similarity), "key long, a long, b long").select("a", "b").distinct()
         pairs = scratch.write(pairs.join(tried, ["a", "b"], "left_anti"), "tried")
@@ -345,7 +352,7 @@ def similar_links(rows: DataFrame, scratch: Scratch, similarity: float, shingle:
 
 def _shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in rows_of(batches, 4096):
-        short = [folded(x, SHORT).tobytes() for x in batch.column(1).to_pylist()]
+        short = [folded(x, short_bytes(n)).tobytes() for n, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(short, pa.binary())], names=["fp", "short"])
 
 

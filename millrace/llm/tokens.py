@@ -72,7 +72,7 @@ class Encoder:
     """Remembers the ids of words (`most_words`, the oldest go first) and of the pieces that they make up. All is
     forgotten after `idle_s` seconds without work, as a worker outlives the stage that needs this."""
 
-    def __init__(self, path: str, most_pieces: int = 400_000, most_words: int = 800_000, idle_s: float = 2.0):
+    def __init__(self, path: str, most_pieces: int = 900_000, most_words: int = 800_000, idle_s: float = 2.0):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has one task for each core
         from tokenizers import Tokenizer
 
@@ -118,7 +118,7 @@ class Encoder:
         """Ids of the pieces that have a number only."""
         if len(self.numbers) == self.known:
             return
-        fresh = [cut_more(" " + x if type(x) is str else x[0]) for x in islice(self.numbers, self.known, None)]
+        fresh = [(" " + x,) if type(x) is str and x.isalpha() else cut_more(" " + x if type(x) is str else x[0]) for x in islice(self.numbers, self.known, None)]
         if len(self.words) > self.most_words // 2:
             self.words, self.old_words = {}, self.words
         words = self.words

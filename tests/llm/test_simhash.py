@@ -3,7 +3,7 @@ import re
 import xxhash
 from pyspark.sql import functions as F
 
-from millrace.llm.simhash import fingerprint, part_keys, simhash_dedup, simhash_groups, spanning
+from millrace.llm.simhash import _windows, fingerprint, folded, parities, short_bytes, simhash_dedup, simhash_groups, spanning
 
 
 def plain(text):
@@ -103,14 +103,24 @@ def test_similar_sets_are_linked_and_others_are_not(spark):
     assert len(want) < len(simhash_dedup(df, shingle=5).collect())
 
 
-def test_equal_parts_have_equal_keys():
+def test_pairs_of_a_key_grow_with_similar_sets_only():
+    """Sets of any size that share a third of their shingles make no pair, however many stand in one key; those that are
+    similar make theirs."""
     import numpy as np
-
-    rng = np.random.default_rng(4)
-    for n in (1, 2, 20, 127, 128, 300, 5000):
-        a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
-        b = np.concatenate((a[: n - n // 10], rng.integers(0, 1 << 63, n // 10, dtype=np.uint64)))
-        assert set(part_keys(a)) == set(part_keys(np.concatenate((a, a))[::-1])) and set(part_keys(a)) & set(part_keys(b))
+    import pyarrow as pa
+
+    rng, sets = np.random.default_rng(4), []
+    for n in (20, 120, 600, 3000):
+        stock = rng.integers(0, 1 << 63, n // 3, dtype=np.uint64)
+        own = [np.unique(np.concatenate((stock, rng.integers(0, 1 << 63, n - n // 3 + k % 5, dtype=np.uint64)))) for k in range(200)]
+        sets += own + [np.unique(np.concatenate((x[: len(x) - len(x) // 20], rng.integers(0, 1 << 63, len(x) // 20, dtype=np.uint64)))) for x in own[:10]]
+    order = sorted(range(len(sets)), key=lambda k: len(sets[k]))
+    sizes = np.array([len(sets[k]) for k in order])
+    short = [folded(parities(sets[k]), short_bytes(len(sets[k]))).tobytes() for k in order]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(len(order), np.int64)), pa.array(np.array(order)), pa.array(sizes), pa.array(np.array(order)), pa.array(short, pa.binary())], names=["key", "fp", "n", "root", "short"])
+    pairs = {(a, b) for out in _windows(1, len(order), 0.8)(iter([batch])) for a, b in zip(out.column(1).to_pylist(), out.column(2).to_pylist(), strict=True) if not out.column(0).null_count == 0}
+    alike = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 0.8 <= len(sets[a]) / len(sets[b]) <= 1.25 and len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))}
+    assert len(alike) >= 30 and alike <= pairs and len(pairs) <= len(alike) + 0.01 * 210 * 210
 
 
 def words(rng, n):
