@@ -33,17 +33,20 @@ ASIDE_WORDS = frozenset(
     "social related recommended widget pagination pager skip toolbar complementary contentinfo search login".split()
 )
 ASIDE_TAGS = frozenset("nav footer aside form script style noscript template iframe object svg canvas button select textarea input head title menu dialog audio video map".split())
+#: What HTML itself keeps out of a page's text: what is not shown, and what is filled in.
+SILENT_TAGS = frozenset("head script style noscript template iframe object svg canvas button select textarea input title audio video map form".split())
 MAIN_TAGS = frozenset({"article", "main"})
 DEEPEST = 200
 
 
 class Element:
-    __slots__ = ("tag", "label", "aside", "named", "kids")
+    __slots__ = ("tag", "label", "aside", "named", "silent", "kids")
 
     def __init__(self, tag: str, label: str, aside: bool, named: bool):
         self.tag, self.label = tag, label
-        self.aside = aside  # not main text
+        self.aside = aside  # not main text, by its tag or name
         self.named = named  # and so only by its class, id or role
+        self.silent = tag in SILENT_TAGS
         self.kids: list[Element | str] = []
 
 
@@ -110,10 +113,11 @@ def parse(page: str) -> Element:
                     break
 
 
-def pieces(element: Element, skip: frozenset[int] | set[int] = frozenset(), out: list[str] | None = None) -> list[str]:
+def pieces(element: Element, skip: frozenset[int] | set[int] = frozenset(), out: list[str] | None = None, left: dict[int, bool] | None = None) -> list[str]:
     """Texts of the main part in page order, with a blank where a block begins or ends. `skip` has ids of elements
-    whose own texts are left out."""
-    out = [] if out is None else out
+    whose own texts are left out; `left` tells by id which elements are left out whole: those it does not know are if
+    their tag or name says so."""
+    out, left = [] if out is None else out, left or {}
     # (element, its next kid), so that deep pages need no deep stack
     todo = [(element, iter(element.kids), id(element) in skip)]
     while todo:
@@ -125,7 +129,7 @@ def pieces(element: Element, skip: frozenset[int] | set[int] = frozenset(), out:
                 continue
             if kid.tag in BLOCK:
                 out.append(" ")
-            if not kid.aside:
+            if not (kid.silent or left.get(id(kid), kid.aside)):
                 todo.append((kid, iter(kid.kids), id(kid) in skip))
                 break
         else:

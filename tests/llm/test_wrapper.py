@@ -1,9 +1,10 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm.dom import flowing, parse, pieces
-from millrace.llm.wrapper import Node, Wrapper, main_text, matched, numbered, tree
+from millrace.llm.wrapper import Node, Wrapper, by_tags, main_text, matched, numbered, tree
 
 
 def text_of(page):
@@ -85,10 +86,55 @@ def test_a_page_that_does_not_align_is_read_by_its_tags(spark):
 
 
 def test_a_wrapper_without_votes():
-    w = Wrapper("<article>x</article>", [], 8, 0.9)
-    assert w.place is None and w.read("<article>y<nav>z</nav></article>") == "y"
+    w = Wrapper("<article>x</article>", [], 0.9)
+    assert w.nodes[w.place].tag == "article" and w.read("<article>y<nav>z</nav></article>") == "y"
     assert isinstance(w.nodes[0], Node)
 
 
+def nameless(n, form, hosts=3):
+    """Pages without a tag or name that tells anything: menus are links, the notice is short or the same everywhere, a list
+    of links stands in the content, and the comments are fewer words than the text."""
+    rng = random.Random(3)
+    prose = lambda k: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randrange(99)) for _ in range(k))
+    rows, want = [], {}
+    for host in range(hosts):
+        k1, k2, k3, k4 = (form.format("xyz"[host], x) for x in "abcd")
+        for i in range(n):
+            title, body = prose(5), [prose(rng.randint(20, 60)) for _ in range(rng.randint(2, 6))]
+            links = "".join(f"<li><a href='/{x}'>{prose(2)}</a></li>" for x in range(rng.randint(2, 5)))
+            page = (
+                f"<html><body><div class='{k1}'><ul>{links}</ul></div><div class='{k2}'>Welcome to our pages</div><div class='{k3}'>{prose(3)}</div>"
+                f"<div class='{k4}'><h1>{title}</h1>" + "".join(f"<p>{b}</p>" for b in body) + f"<ul>{links}</ul></div><div class='{k3}'>{prose(6)}</div></body></html>"
+            )
+            rows.append((host * 1000 + i, f"http://{host}.example/{i}", page))
+            want[host * 1000 + i] = " ".join([title, *body])
+    return rows, want
+
+
+@pytest.mark.parametrize("form", ["q{}{}", "7{}{}"])  # a name with a digit is none
+def test_names_that_mean_nothing(spark, form):
+    rows, want = nameless(20, form)
+    rows.append((9000, "http://sole.example/", rows[0][2]))  # the only page of its host
+    want[9000] = want[0]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.row.page_id: r.text for r in main_text(df).collect()}
+    by_name = {i: by_tags(parse(page)) for i, _, page in rows}
+    assert all(by_name[i] != want[i] for i in want)  # tags and names alone find none of them
+    # the content of the sole page, too, has its place by the text it holds
+    assert got == want
+
+
+def test_an_aside_that_holds_the_text_is_content_whatever_its_name(spark):
+    rng = random.Random(8)
+    prose = lambda k: " ".join(f"w{rng.randrange(999)}" for _ in range(k))
+    rows, want = [], {}
+    for i in range(10):
+        body = prose(300)
+        rows.append((i, f"http://a.example/{i}", f"<body><div class='top'>{prose(2)}</div><div class='promo'><h1>T{i}</h1><p>{body}</p></div></body>"))
+        want[i] = f"T{i} {body}"
+    got = {r.row.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
 def test_empty_table(spark):
     assert main_text(spark.createDataFrame([], "page_id long, url string, html string")).select(F.col("text")).count() == 0
