@@ -16,7 +16,7 @@ from millrace.operators.profile import profile_rows
 from millrace.operators.writes import OutputSpec, write_json, write_path
 from millrace.plans.systables import SYSTEM_TABLES
 from millrace.plans.telemetry import CASCADE_NOTE, net_output, touched_output
-from millrace.session import hadoop_path
+from millrace.session import hadoop_path, local_frame
 from millrace.sources.cursors import CursorTable, read_incremental
 from millrace.sources.formats import InputSpec, read_path
 from millrace.sources.manifest import FileManifest, read_unread
@@ -114,8 +114,7 @@ class Chain:
         """Append what the run has noted."""
         for name, rows in self._rows.items():
             fields = StructType.fromDDL(SYSTEM_TABLES[name])
-            frame = self.spark.createDataFrame([tuple(r.get(f.name) for f in fields) for r in rows], fields)
-            frame.coalesce(1).write.mode("append").parquet(f"{self.path}/_system/{name}")
+            local_frame(self.spark, rows, fields).coalesce(1).write.mode("append").parquet(f"{self.path}/_system/{name}")
         if self._stats:
             fields = StructType.fromDDL(SYSTEM_TABLES["column_stats"])
             rows = reduce(partial(DataFrame.unionByName, allowMissingColumns=True), self._stats)

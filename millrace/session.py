@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Mapping, Sequence
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def local_session(cores: int | str = 8, memory: str = "8g", app: str = "millrace") -> SparkSession:
@@ -50,6 +53,15 @@ def freeze(df: DataFrame, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def local_frame(spark: SparkSession, rows: Sequence[Mapping], schema: StructType | str) -> DataFrame:
+    """A few rows that the driver holds, as a frame that needs neither a task nor generated code to be read."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    fields = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    plain = [{f.name: list(v.items()) if isinstance(v := r.get(f.name), Mapping) else v for f in fields} for r in rows]
+    return spark.createDataFrame(pa.Table.from_pylist(plain, to_arrow_schema(fields)), fields)
+
+
 @contextmanager
 def scratch_dir(spark: SparkSession, label: str = "scratch"):
     """A fresh folder in the shared one that goes when the block ends: for what `freeze` and `numbered` write."""

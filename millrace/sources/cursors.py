@@ -9,11 +9,12 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Sequence
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.session import hadoop_path, session_conf
+from millrace.session import hadoop_path, local_frame, session_conf
 
 CURSOR_SCHEMA = "consumer string, input string, cursor array<string>, updated_at timestamp"
 
@@ -123,12 +124,8 @@ class CursorTable:
         """Call only after the outputs are committed: a crash in between repeats work, never skips it."""
         home = self._home(consumer, input_name)
         moves = self._moves(home)
-        self.spark.range(0, 1, 1, 1).select(
-            F.lit(consumer).alias("consumer"),
-            F.lit(input_name).alias("input"),
-            _literal(cursor).alias("cursor"),
-            F.current_timestamp().alias("updated_at"),
-        ).write.mode("overwrite").parquet(f"{home}/move={(moves[-1] if moves else 0) + 1}")
+        row = {"consumer": consumer, "input": input_name, "cursor": [str(v) for v in cursor], "updated_at": datetime.now(timezone.utc)}
+        local_frame(self.spark, [row], CURSOR_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{home}/move={(moves[-1] if moves else 0) + 1}")
         for m in moves:
             fs, jpath = hadoop_path(self.spark, f"{home}/move={m}")
             fs.delete(jpath, True)

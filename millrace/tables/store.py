@@ -27,7 +27,7 @@ from millrace.operators import changes as ch
 from millrace.operators import merge as mg
 from millrace.operators.schema import evolve, shape
 from millrace.operators.writes import OutputSpec, clustered
-from millrace.session import freeze, hadoop_path, session_conf
+from millrace.session import freeze, hadoop_path, local_frame, session_conf
 from millrace.sources.sampling import file_listing
 
 COMMIT_SCHEMA = """
@@ -338,10 +338,7 @@ class VersionedTable:
     def _publish(self, version: int, row: Mapping) -> int:
         fields = StructType.fromDDL(COMMIT_SCHEMA)
         now = datetime.now(timezone.utc)
-        given = [F.from_json(F.lit(json.dumps(row["streams"])), "map<string, bigint>").alias("streams"), F.lit(now).alias("committed_at")]
-        frame = self.spark.range(0, 1, 1, 1)
-        columns = [F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in fields if f.name not in ("streams", "committed_at")]
-        frame.select(*columns, *given).select(*fields.names).write.mode("overwrite").parquet(f"{self.path}/log/version={version}")
+        local_frame(self.spark, [dict(row) | {"committed_at": now}], fields).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/log/version={version}")
         values = dict(row) | {"committed_at": now, "version": version}
         self._written = Row(**{n: values[n] for n in (*fields.names, "version")})
         return version
@@ -409,15 +406,16 @@ class VersionedTable:
             found = freeze(found, f"{batch}-found")  # read for the directories, and to tell inserts
             hit = live.join(found.select(F.col("_folder").alias("path")).distinct(), "path", "left_semi")
             present = found.select(*names).distinct()
-        hit = freeze(hit, f"{batch}-hit")
-        touched = self._read_paths(self._paths(hit), schema, parts).select(*[f"`{n}`" for n in schema.names])
+        named = hit.select("path", "kind", "partition", "files", "bytes").collect()  # a scan is planned by paths anyway
+        hit = local_frame(self.spark, [r.asDict() for r in named], "path string, kind string, partition string, files bigint, bytes bigint")
+        touched = self._read_paths(sorted(r["path"] for r in named), schema, parts).select(*[f"`{n}`" for n in schema.names])
         mg.require_single_match(touched, source, keys)
         merged = mg.merge_parts(touched, source, keys, update, present)
         rows = merged.by_kind(_KIND)
         rows = clustered(rows, [c for c in layout if c in rows.columns])
         schema = evolve(self._empty(head), source.schema).schema
         version = self._commit(head, rows, "MERGE", schema, by, hit, keys, layout)
-        for name in (batch, f"{batch}-found", f"{batch}-hit"):
+        for name in (batch, f"{batch}-found"):
             self._delete(name)
         return version
 
