@@ -7,6 +7,7 @@ import io
 import json
 import os
 import sys
+import tempfile
 import time
 
 from pyspark.sql import functions as F
@@ -90,7 +91,7 @@ def incremental_ratios(spark, sf_dir: str) -> dict[str, float]:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     names = sys.argv[1:] or HEADLINE
-    spark = local_session(os.environ.get("BENCH_CPUS", "8"), app="millrace-bench")
+    spark = local_session(tempfile.mkdtemp(prefix="millrace-"), os.environ.get("BENCH_CPUS", "8"), app="millrace-bench")
     spark.range(1000).selectExpr("sum(id)").collect()
     seconds, ratios = {}, {}
     with contextlib.redirect_stdout(io.StringIO()):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
 from contextlib import contextmanager
@@ -12,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
-def local_session(cores: int | str = 8, memory: str = "8g", app: str = "millrace") -> SparkSession:
-    """A session for tests and the bench. On a cluster the caller brings the session."""
+def local_session(scratch: str, cores: int | str = 8, memory: str = "8g", app: str = "millrace") -> SparkSession:
+    """A session of one machine for tests and the bench, with the folder that its scratch goes to. On a cluster the caller
+    brings the session."""
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
-        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="millrace-"))
+        .config("spark.checkpoint.dir", scratch)
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.session.timeZone", "UTC")

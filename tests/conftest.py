@@ -4,5 +4,5 @@ from millrace.session import local_session
 
 
 @pytest.fixture(scope="session")
-def spark():
-    return local_session(8, app="millrace-tests")
+def spark(tmp_path_factory):
+    return local_session(str(tmp_path_factory.mktemp("scratch")), 8, app="millrace-tests")
