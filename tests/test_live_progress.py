@@ -32,7 +32,7 @@ def test_running_expires_and_terminal_states_stay(spark, tmp_path):
 
 def test_a_delivery_counts_once(spark, tmp_path):
     landing, out = f"{tmp_path}/in", f"{tmp_path}/out"
-    at = F.timestamp_seconds(F.col("id"))
+    at = F.timestamp_seconds(F.col("id") + 1_700_000_000)
     for k in range(4):
         for _ in range(2):
             spark.range(100 * k, 100 * k + 100).select("id", at.alias("ts")).coalesce(1).write.mode("append").parquet(landing)
