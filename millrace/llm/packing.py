@@ -8,7 +8,8 @@ into the other, removes the bins that would hold a piece twice, and puts the dis
 first. Between rounds each island sends its elite to the next one, through a join. The best island of a shard wins.
 
 A shard leaves few bins unfilled, and shards grow in number, not in size. Null and empty texts are one end id. Repeated
-rows are packed each by itself. Empty tables give empty results.
+rows are packed each by itself. A text is encoded whole, and its task holds a few copies of it; its pieces are rows of
+their own. Empty tables give empty results. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

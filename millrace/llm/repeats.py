@@ -18,7 +18,8 @@ Three passes over blocks of whole documents, tied together by shuffles of compre
 
 A passage in a third of all documents is sent once per block, not once per document. Null texts count as empty.
 Documents of equal id don't take from each other; a null id is larger than every other. Matches never cross documents.
-Empty tables give empty results. Other columns pass through, whatever their names.
+A text larger than a block is a block of its own. Empty tables give empty results. Other columns pass through, whatever
+their names.
 """
 
 from __future__ import annotations

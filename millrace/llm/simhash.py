@@ -7,7 +7,8 @@ whole fingerprints are compared there. A group does not emit its pairs but a spa
 keeps the components and grows with the group, not with its square.
 
 Null and empty texts, and texts of blanks, have fingerprint zero and are linked like any other. Repeated rows share a
-fingerprint. A null id is never a component's smallest while the component has another. Empty tables give empty results.
+fingerprint. A null id is never a component's smallest while the component has another. Texts are hashed whole, in blocks
+of shingles. Empty tables give empty results. Other columns are not read, or pass through, whatever their names.
 """
 
 from __future__ import annotations

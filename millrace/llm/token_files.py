@@ -10,7 +10,8 @@ the file and the chunks it needs.
 
 Documents are written in ascending order of id over all files, nulls first, equal ids in any order, which the range
 partitions of the sort give; each task writes one file, under a name of its own until it is whole. Null and empty
-texts are an end id alone. Empty tables give no rows.
+texts are an end id alone. A text is encoded whole; its ids fill as many chunks as they need. Empty tables give no rows.
+Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ harm. Of pages with equal payloads of at least `least_bytes`, the one of the lar
 that id all are), the others are revisits that refer to it and hold headers only.
 
 Null html is an empty payload; a null url or id leaves its header out, and a null id is smaller than every other. Empty
-tables give no files and no rows. Other columns are not read.
+tables give no files and no rows. A page is held whole while its record is made. Other columns are not read, whatever their
+names.
 """
 
 from __future__ import annotations

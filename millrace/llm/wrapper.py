@@ -20,7 +20,7 @@ has nothing there is read by its tags.
 
 Votes are sums by host and node, added up in tasks before they are shuffled, so a host with a third of all pages is
 no more work for one task than another. Null html is an empty page; null urls are one host. Copies of the first page
-don't vote. Repeated rows get equal results. Empty tables give no rows. Other columns pass through the operator.
+don't vote. Repeated rows get equal results. A page is read whole. Empty tables give no rows. Other columns pass through the operator.
 """
 
 from __future__ import annotations
