@@ -1,7 +1,9 @@
 """Documents to training sequences: each stage works on the rows that the one before has kept.
 
 Every stage but the last returns the columns of documents; the last returns the pieces of all documents with their
-places in sequences. Empty tables pass through; null texts are dropped by the first stage.
+places in sequences. Empty tables pass through; null texts are dropped by the first stage. Of repeated rows and copies the
+near-dedup keeps the one of the smallest id, and of equal ids any one; later stages find no ties. Texts of any length are
+handled whole. Columns beside those of documents pass through to the last stage, whatever their names.
 """
 
 from __future__ import annotations
