@@ -7,8 +7,8 @@ trained on these and scores every whole text, in one pass without a shuffle.
 
 A null text is scored like an empty one. Labels may repeat: a text is toxic if any of its rows says so; null labels and
 labels without a text are left out. Without labels of both classes the score is the smoothed share of toxic ones.
-Repeated rows get equal scores. Texts are read whole, a piece at a time. Empty tables give no rows. Other columns pass
-through, whatever their names.
+Repeated rows get equal scores. Texts are read whole, a piece at a time. Empty tables give no rows. Other columns are not
+read, whatever their names.
 """
 
 from __future__ import annotations
