@@ -400,7 +400,8 @@ class VersionedTable:
             hit = live.join(wanted, "partition", "left_semi")
         else:
             table = self._read_paths(self._all_paths(head), schema, parts, folder=True)
-            inside, _ = mg.split_by_bound(table, source, keys, layout, bound_by)
+            # there is nothing to skip in a table of less than a file
+            inside = mg.split_by_bound(table, source, keys, layout, bound_by)[0] if head["total_bytes"] > TARGET_FILE_BYTES else table
             names = [F.col(f"`{k}`") for k in keys]
             found = inside.select(*names, "_folder").join(source.select(*names).distinct(), list(keys), "left_semi")
             found = freeze(found, f"{batch}-found")  # read for the directories, and to tell inserts
