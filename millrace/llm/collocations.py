@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Scratch, packed, query, rows_of, table, unpacked
+from millrace.llm.common import Scratch, at_blanks, packed, query, rows_of, table, unpacked
 from millrace.llm.tokens import Numbers
 from millrace.operators.ordering import numbered, top_per_group
 
@@ -76,7 +76,7 @@ def _encoded(block_words: int):
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal made
             for lang, known in numbers.items():
-                flat = np.concatenate(codes[lang])
+                flat = np.concatenate([*codes[lang], np.zeros(0, np.int32)])
                 words = b"\n".join(known).decode().split("\n")[1:]  # no word holds a line feed
                 counts = np.bincount(flat, minlength=len(known))[1:]
                 yield _row((part << 32 | made, lang, np.array(words, object), counts, packed(flat)), _WORDS)
@@ -92,9 +92,10 @@ def _encoded(block_words: int):
             for lang, texts in by_lang.items():
                 if lang not in numbers:
                     numbers[lang], codes[lang] = Numbers({b".": 0}), []
-                words = split_words(b".".join([*texts, b""]))
-                codes[lang].append(np.fromiter(map(numbers[lang].__getitem__, words), np.int32, len(words)))
-                total += len(words)
+                for part in at_blanks(b".".join([*texts, b""])):
+                    words = split_words(part)
+                    codes[lang].append(np.fromiter(map(numbers[lang].__getitem__, words), np.int32, len(words)))
+                    total += len(words)
             if total >= block_words:
                 yield from flush()
                 total = 0

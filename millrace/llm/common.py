@@ -94,6 +94,16 @@ def rows_of(batches: Iterator[pa.RecordBatch], most_rows: int = 512, most_bytes:
             at += n
 
 
+def at_blanks(data: bytes, most: int = 4 << 20) -> Iterator[bytes]:
+    """A text in parts of about that size, cut at blanks, so that a very long one is not a list of all its words."""
+    at = 0
+    while at < len(data):
+        end = data.find(b" ", at + most)
+        end = len(data) if end < 0 else end
+        yield data[at:end]
+        at = end
+
+
 _FAST, _BACK = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 

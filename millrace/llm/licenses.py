@@ -15,7 +15,7 @@ itself. Empty tables give no rows. Other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from functools import lru_cache
 
 import pyarrow as pa
@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import query, rows_of, table
+from millrace.llm.common import at_blanks, query, rows_of, table
 
 #: Phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -69,9 +69,20 @@ _PLAIN = bytes.maketrans(_APART, b" " * len(_APART))
 _WORD = regex.compile(rb"[0-9a-z\x80-\xff]+")
 
 
-def words_of(text: bytes) -> list[bytes]:
-    """Words in lower case (A to Z only)."""
-    return text.lower().translate(_PLAIN).split()
+def plain_words(text: bytes) -> str:
+    """Words in lower case (A to Z only), one blank between them and at either end; a blank if there are none."""
+    found = b" ".join(filter(None, (b" ".join(part.split()) for part in at_blanks(text.lower().translate(_PLAIN))))).decode()
+    return f" {found} " if found else " "
+
+
+def word_numbers(text: str, places: Iterable[int]) -> dict[int, int]:
+    """The number, from 0, of the word that starts behind the blank at each place; the text is read once."""
+    out, at, n = {}, 0, 0
+    for place in sorted(set(places)):
+        n += text.count(" ", at, place)
+        at = place
+        out[place] = n
+    return out
 
 
 def pieces(notice: str, errors: int) -> list[tuple[int, str]]:
@@ -147,7 +158,8 @@ def base_places(text: str, base: Mapping[str, str]) -> list[tuple[int, str]]:
         whole, at = f" {phrase} ", -1
         while (at := text.find(whole, at + 1)) >= 0:
             out.append((at, label))
-    return [(text.count(" ", 0, at), label) for at, label in out]
+    number = word_numbers(text, (at for at, _ in out))
+    return [(number[at], label) for at, label in out]
 
 
 _MATCH = "label string, notice string, errors int, first_word long, n_words long, start long, end long, found string"
@@ -163,24 +175,25 @@ def _scanned(id_type: pa.DataType, notices: Mapping[str, Sequence[str]], base: M
         for batch in rows_of(batches):
             rows = []
             for key, raw in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                words = words_of(raw or b"")
-                text = f" {b' '.join(words).decode()} " if words else " "
+                text = plain_words(raw or b"")
+                n_words = text.count(" ") - 1 if len(text) > 1 else 0
                 places = base_places(text, base)
-                starts, found = [p for p, _ in places], []
-                spans = None
+                starts, fits = [p for p, _ in places], []
                 for n, s, e, errors in finder(text):
-                    s, e = (s + 1 if text[s] == " " else s), (e - 1 if text[e - 1] == " " else e)
-                    first = text.count(" ", 0, s) - 1
-                    many = text.count(" ", s, e) + 1
-                    if spans is None:
-                        spans = [m.span() for m in _WORD.finditer(raw.lower())]
-                    start, end = spans[first][0], spans[first + many - 1][1]
+                    fits.append((n, s if text[s] == " " else text.rindex(" ", 0, s), e - 1 if text[e - 1] == " " else e, errors))
+                number = word_numbers(text, (at for _, s, e, _ in fits for at in (s, e)))
+                wanted = {w for _, s, e, _ in fits for w in (number[s], number[e] - 1)}
+                span = {k: m.span() for k, m in zip(range(max(wanted, default=-1) + 1), _WORD.finditer(raw.lower()), strict=False) if k in wanted} if fits else {}
+                found = []
+                for n, s, e, errors in fits:
+                    first, last = number[s], number[e] - 1
+                    start, end = span[first][0], span[last][1]
                     label, notice = finder.notices[n]
                     found.append({
-                        "label": label, "notice": notice.strip(), "errors": errors, "first_word": first, "n_words": many,
+                        "label": label, "notice": notice.strip(), "errors": errors, "first_word": first, "n_words": last - first + 1,
                         "start": len(raw[:start].decode()), "end": len(raw[:end].decode()), "found": raw[start:end].decode(),
                     })
-                rows.append((key, len(words), len(places), min(starts, default=None), max(starts, default=None), sorted({x for _, x in places}), found))
+                rows.append((key, n_words, len(places), min(starts, default=None), max(starts, default=None), sorted({x for _, x in places}), found))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
