@@ -70,9 +70,13 @@ def variant_rows(df: DataFrame, document: str, json_path: str, keep: Sequence[st
         raise ValueError(f"more than {MAX_COLUMNS} different keys: name the columns, or keep the variant")
 
     def column(field: StructField) -> Column:
-        path = "$['" + field.name.replace("\\", "\\\\").replace("'", "\\'") + "']"
         mixed = "variant" in field.dataType.simpleString() or field.dataType.simpleString() == "void"
-        return F.variant_get("item", path, "string" if mixed else field.dataType.simpleString()).alias(field.name)
+        kind = "string" if mixed else field.dataType.simpleString()
+        if "'" in field.name and '"' in field.name:  # no path has a way to say this
+            value = F.variant_get("item", "$", "map<string, variant>").getItem(field.name)
+            return F.variant_get(value, "$", kind).alias(field.name)
+        quote = '"' if "'" in field.name else "'"
+        return F.variant_get("item", f"$[{quote}{field.name}{quote}]", kind).alias(field.name)
 
     return items.select(*keep, *[column(f) for f in types])
 

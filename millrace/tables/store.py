@@ -510,11 +510,20 @@ class VersionedTable:
         gone = told.where("action = 'expire'").select("path").unionByName(self.spark.read.parquet(beside).select("path")).distinct()
         now = self.spark.read.parquet(beside).select("path", F.lit(True).alias("now"))
         left = added.join(gone.withColumn("gone", F.lit(True)), "path", "left").join(now, "path", "left")
-        groups = left.groupBy(F.substring_index("path", "/", 2).alias("at")).agg(
+        kinds = left.groupBy(F.substring_index("path", "/", 2).alias("at")).agg(
             F.bool_and(F.col("gone").isNotNull()).alias("whole"), F.bool_or(F.col("now").isNotNull()).alias("any"),
             F.when(~F.bool_and(F.col("gone").isNotNull()), F.collect_list(F.when(F.col("now"), F.col("path")))).alias("some"),
-        ).where("any")
-        return sorted(name for r in groups.collect() for name in ([r["at"]] if r["whole"] else r["some"]))
+        )
+        versions = kinds.groupBy(F.substring_index("at", "/", 1).alias("version")).agg(
+            F.bool_and("whole").alias("whole"), F.bool_or("any").alias("any"), F.collect_list(F.when(F.col("any"), F.struct("at", "whole", "some"))).alias("kinds")
+        )
+        out: list[str] = []
+        for v in versions.where("any").collect():
+            if v["whole"]:
+                out.append(v["version"])
+            else:
+                out += [name for k in v["kinds"] for name in ([k["at"]] if k["whole"] else k["some"])]
+        return sorted(out)
 
 
 @dataclass(frozen=True)

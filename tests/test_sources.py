@@ -154,13 +154,14 @@ def test_zorder_keeps_neighbours_together(spark):
 def test_variant_rows_have_the_union_of_keys_and_types(spark):
     from millrace.sources.documents import variant_items, variant_rows, variant_types
 
-    body = '{"a":{"b":[{"n":1,"x":"t","it\'s":2},{"n":2.5,"o":{"k":1}},7,null,"s",{"x":true,"l":[1,2]}]}}'
+    body = '{"a":{"b":[{"n":1,"x":"t","it\'s":2},{"n":2.5,"o":{"k":1}},7,null,"s",{"x":true,"l":[1,2],"q\'\\"q":5}]}}'
     df = spark.createDataFrame([(1, body), (2, '{"a":{"b":[]}}'), (3, "no json"), (4, None), (5, '{"a":1}'), (6, '{"a":{"b":[{"x":null,"n":3}]}}')], "id long, doc string")
     found = variant_types(variant_items(df, "doc", "a.b"))
-    assert sorted(found.names) == ["it's", "l", "n", "o", "x"]
+    assert sorted(found.names) == ["it's", "l", "n", "o", "q'\"q", "x"]
     out = variant_rows(df, "doc", "a.b", keep=["id"]).orderBy("id", "n")
     got = [(r["id"], None if r["n"] is None else float(r["n"]), r["x"], r["it's"], r["o"] and r["o"]["k"], r["l"]) for r in out.collect()]
     assert got == [(1, None, "true", None, None, [1, 2]), (1, 1.0, "t", 2, None, None), (1, 2.5, None, None, 1, None), (6, 3.0, None, None, None, None)]
+    assert [r for r in out.select("`q'\"q`").collect() if r[0] is not None] == [(5,)]
     empty = df.limit(0)
     assert variant_rows(empty, "doc", "a.b", keep=["id"]).columns == ["id"]
 
