@@ -92,8 +92,8 @@ def _encoded(block_words: int):
             for lang, texts in by_lang.items():
                 if lang not in numbers:
                     numbers[lang], codes[lang] = Numbers({b".": 0}), []
-                for part in at_blanks(b".".join([*texts, b""])):
-                    words = split_words(part)
+                for some in at_blanks(b".".join([*texts, b""])):
+                    words = split_words(some)
                     codes[lang].append(np.fromiter(map(numbers[lang].__getitem__, words), np.int32, len(words)))
                     total += len(words)
             if total >= block_words:
