@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.session import scratch_path, shared_dir
+from millrace.session import UNION_PARTITIONING, scratch_path, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         @wraps(run)
         def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+            spark.conf.set(UNION_PARTITIONING, "false")
             shared_dir(spark)
             return run(spark, sf_dir)
 

@@ -9,6 +9,7 @@ import pytest
 import __spark_entry__ as entry
 from check_oracle import compare
 from millrace.queries import ORACLE, QUERIES
+from millrace.session import UNION_PARTITIONING, session_conf
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -54,3 +55,13 @@ def test_entry_without_the_optional_parts(tmp_path):
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True, check=True)
     assert said.stdout.split() == [str(len(QUERIES)), str(len(ORACLE))]
+
+
+def test_key_overlap_of_tables_too_large_to_broadcast(spark, con):
+    """Both sides are joined by sorting, and the target is a union of joins on the key."""
+    sf_dir = SF_DIR.replace("sf0.001", "sf0.01")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW orders AS SELECT * FROM '{sf_dir}/orders.parquet'")
+    with session_conf(spark, spark__sql__autoBroadcastJoinThreshold="-1", **{UNION_PARTITIONING.replace(".", "__"): "true"}):
+        got = [tuple(r) for r in QUERIES["b3_key_overlap"](spark, sf_dir).collect()]
+    assert got == con.execute(ORACLE["b3_key_overlap"]).fetchall()
