@@ -408,8 +408,9 @@ def run_cost(target: Column, duration_ms: Column, memory_mb: Column) -> Column:
     cost = F.when((duration_ms <= 0) | duration_ms.isNull() | memory_mb.isNull() | (memory_mb <= 0), 0.0)
     cost = cost.when(target == "lambda", seconds * gb * LAMBDA_GB_SECOND)
     for name, vcpu_hour in VCPU_HOUR.items():
-        hours = seconds / 3600.0
-        cost = cost.when(target == name, gb / GB_PER_VCPU * hours * vcpu_hour + gb * hours * GB_HOUR[name])
+        # Hourly prices are added up before they meet the hours: doubles round by the order of the steps.
+        per_hour = memory_mb / (1024.0 * GB_PER_VCPU) * vcpu_hour + gb * GB_HOUR[name]
+        cost = cost.when(target == name, per_hour * (duration_ms / 3_600_000.0))
     return cost.otherwise(0.0)
 
 

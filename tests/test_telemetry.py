@@ -89,6 +89,13 @@ def test_costs(spark):
     assert costs == pytest.approx([0.0000166667, 0, 0.04048 + 2 * 0.004445, 0.052624 + 2 * 0.0057785, 0, 0, 0])
 
 
+def test_costs_round_as_the_sql_does(spark):
+    """A cost on the edge of a whole nano-dollar: the order of the steps decides its last bit."""
+    df = spark.createDataFrame([("fargate", 26880, 576)], "target string, ms bigint, mb int")
+    cost = t.run_cost(F.col("target"), F.col("ms"), F.col("mb"))
+    assert df.select(F.floor(cost * 1e9)).first()[0] == 103677  # as DuckDB gives it
+
+
 def test_progress_states(spark):
     schema = "run string, node string, status string, updated_ms bigint, tasks_completed bigint"
     data = [("r", "old", "running", 0, 1), ("r", "new", "", 9000, 1), ("r", "done", "succeeded", 0, 1), ("r", "_run", "running", 9000, 1), ("r", "new", "running", 8000, 9)]
