@@ -65,3 +65,8 @@ def test_key_overlap_of_tables_too_large_to_broadcast(spark, con):
     with session_conf(spark, spark__sql__autoBroadcastJoinThreshold="-1", **{UNION_PARTITIONING.replace(".", "__"): "true"}):
         got = [tuple(r) for r in QUERIES["b3_key_overlap"](spark, sf_dir).collect()]
     assert got == con.execute(ORACLE["b3_key_overlap"]).fetchall()
+
+
+def test_top_values_of_every_column(spark):
+    lines = spark.read.parquet(f"{SF_DIR}/lineitem.parquet")
+    assert {r[0] for r in QUERIES["p2_top_values"](spark, SF_DIR).select("column_name").distinct().collect()} == set(lines.columns)
