@@ -2,14 +2,14 @@
 
 Benchmark items and overlapping windows of the documents are passages, weighted by TF-IDF over the items' words; the
 document frequencies come from all rows of the corpus. A randomised SVD of the passages gives a latent basis:
-tasks add up their share of (A'A) times a random matrix, the sums of fixed size meet in one small QR step, and a
-second pass refines it. Every passage is then projected, and the items whose latent cosine with it is high enough
+one pass over the corpus adds up the products of terms (A'A), which are written; tasks multiply them by a random matrix,
+the results meet in one small QR step, and a second product refines it. Every passage is then projected, and the items whose latent cosine with it is high enough
 become candidates. Each candidate is verified on the words themselves: the longest common subsequence of item and
 document around the passage must hold most of the item, and so must that of the item's answer, its last words.
 
 Items are handled in blocks of at most `block_items`, each with its own words and basis, so what a task holds does not
-grow with the benchmark. Passages for the basis are drawn evenly from the whole table, those of about `fit_rows` rows,
-and the items themselves, whose own directions all stay in the basis; frequencies, search and verification cover every passage.
+grow with the benchmark. The basis is fitted on every passage of the table and on the items, whose own directions all
+stay in it; frequencies, search and verification cover every passage as well.
 
 A text is searched whole, in windows. Null and empty texts match nothing; items without a word are never found; repeated items and rows each count. Empty
 tables give empty results. Other columns pass through, whatever their names.
@@ -171,14 +171,92 @@ def _counted(group: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, f.type) for c, f in zip(([group["part"][0].as_py()], [n], [packed(total)]), FREQUENCIES, strict=True)], schema=FREQUENCIES)
 
 
-def _grams(idf: np.ndarray, use: np.ndarray, omega: np.ndarray, size: int, step: int, cut: int = 512):
-    """Each task's share of (A'A) omega, in rows of `cut` terms that add up elsewhere."""
+PAIRS = pa.schema([("part", pa.int64()), ("code", pa.binary()), ("value", pa.binary())])
+#: Terms of which a row holds the products with all others.
+PART = 128
+
+
+def _products(passage: np.ndarray, term: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Products of the weights of any two terms of a passage, under first term * terms + second, the first no larger; a
+    term's own product by half, as it counts from both sides."""
+    new = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
+    counts = np.diff(np.r_[new, len(passage)])
+    weight = idf[term] / np.repeat(np.sqrt(np.add.reduceat(idf[term] ** 2, new)), counts)
+    codes, values = [], []
+    for n in np.unique(counts).tolist():  # passages of n terms are one array; their terms ascend
+        at = new[counts == n, None] + np.arange(n)
+        i, j = np.triu_indices(n)
+        t, w = term[at], weight[at]
+        codes.append((t[:, i] * len(idf) + t[:, j]).ravel())
+        values.append((w[:, i] * w[:, j] * np.where(i == j, 0.5, 1.0)).ravel())
+    return np.concatenate(codes), np.concatenate(values)
+
+
+def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Each code once, in order, with the sum of its values."""
+    codes, values = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.argsort(codes, kind="stable")
+    codes = codes[order]
+    first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+    return codes[first], np.add.reduceat(values[order], first)
+
+
+def _pairs(idf: np.ndarray, use: np.ndarray, size: int, step: int, most: int = 1 << 20):
+    """Each task's share of A'A for the unit TF-IDF rows A, in rows of `PART` terms that add up elsewhere; what grows too
+    large to hold is told in between."""
+    n_terms = len(idf)
+
+    def told(held) -> pa.RecordBatch:
+        codes, values = _summed(held)
+        edges = np.arange(-(-n_terms // PART) + 1) * (PART * n_terms)
+        at = np.searchsorted(codes, edges)
+        parts = [k for k in range(len(edges) - 1) if at[k] < at[k + 1]]
+        columns = (
+            parts,
+            [packed((codes[at[k] : at[k + 1]] - edges[k]).astype(np.int64)) for k in parts],
+            [packed(values[at[k] : at[k + 1]].astype(np.float64)) for k in parts],
+        )
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PAIRS, strict=True)], schema=PAIRS)
 
     def run(batches):
-        out = np.zeros_like(omega)
+        held, n = [], 0
         for _, rows in _term_batches(batches):
-            passage, term, _, _ = passages(rows, size, step, len(idf), use)
-            out += _gram(passage, term, idf, omega)
+            passage, term, _, _ = passages(rows, size, step, n_terms, use)
+            for part in _pieces(passage):
+                held.append(_products(passage[part], term[part], idf))
+                n += len(held[-1][0])
+                if n > most:
+                    held = [_summed(held)]
+                    n = len(held[0][0])
+                    if n > most // 2:
+                        yield told(held)
+                        held, n = [], 0
+        if held:
+            yield told(held)
+
+    return run
+
+
+def _pairs_added(group: pa.Table) -> pa.Table:
+    """The sum of all tasks' rows of a part."""
+    rows = zip(group["code"].to_pylist(), group["value"].to_pylist(), strict=True)
+    codes, values = _summed([(unpacked(c, np.int64), unpacked(v, np.float64)) for c, v in rows])
+    return pa.table([pa.array(c, f.type) for c, f in zip(([group["part"][0].as_py()], [packed(codes)], [packed(values)]), PAIRS, strict=True)], schema=PAIRS)
+
+
+def _grams(omega: np.ndarray, cut: int = 512):
+    """The share of (A'A) omega of some parts of A'A, in rows of `cut` terms that add up elsewhere."""
+
+    def run(batches):
+        out, n_terms = np.zeros_like(omega), len(omega)
+        for batch in rows_of(batches, 1):
+            for part, codes, values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                low, high = part * PART, min((part + 1) * PART, n_terms)
+                block = np.zeros((high - low) * n_terms, np.float32)
+                block[unpacked(codes, np.int64)] = unpacked(values, np.float64)
+                block = block.reshape(-1, n_terms)
+                out[low:high] += block @ omega
+                out += block.T @ omega[low:high]
         parts = range(0, len(out), cut)
         yield pa.RecordBatch.from_arrays([pa.array([k // cut for k in parts], pa.int64()), pa.array([out[k : k + cut].tobytes() for k in parts], pa.binary())], names=["part", "sums"])
 
@@ -190,15 +268,17 @@ def _added(group: pa.Table) -> pa.Table:
     return pa.table({"part": group["part"].slice(0, 1), "sums": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
 
-def latent_basis(sample: DataFrame, items: Items, idf: np.ndarray, use: np.ndarray, rank: int, size: int, step: int, item_weight: float, seed: int) -> np.ndarray:
-    """Terms by directions: the leading right singular directions of the sample's passages and the weighted items, and
+def latent_basis(texts: DataFrame, scratch: Scratch, items: Items, idf: np.ndarray, use: np.ndarray, rank: int, size: int, step: int, item_weight: float, seed: int) -> np.ndarray:
+    """Terms by directions: the leading right singular directions of all texts' passages and the weighted items, and
     those that the items' passages have besides, so that the basis holds the items whole: no latent cosine with an item
     is below the plain one."""
     n_terms = len(idf)
     used = use[items.term]
+    told = "part long, code binary, value binary"
+    pairs = scratch.write(texts.select("uid", "terms").mapInArrow(_pairs(idf, use, size, step), told).groupBy("part").applyInArrow(_pairs_added, told), "pairs")
 
     def gram(omega: np.ndarray) -> np.ndarray:
-        parts = sample.select("uid", "terms").mapInArrow(_grams(idf, use, omega, size, step), "part long, sums binary")
+        parts = pairs.mapInArrow(_grams(omega), "part long, sums binary")
         rows = parts.groupBy("part").applyInArrow(_added, "part long, sums binary").collect()  # n_terms x rank numbers
         out = np.zeros_like(omega)
         for row in rows:
@@ -210,6 +290,7 @@ def latent_basis(sample: DataFrame, items: Items, idf: np.ndarray, use: np.ndarr
     omega = np.random.default_rng(seed).standard_normal((n_terms, width)).astype(np.float32)
     q = np.linalg.qr(gram(omega))[0].astype(np.float32)
     small = q.T @ gram(q)
+    scratch.drop(pairs)
     _, turn = np.linalg.eigh((small + small.T) / 2)
     passage, term = items.passage[used], items.term[used]
     number = np.unique(passage, return_inverse=True)[1]
@@ -293,7 +374,7 @@ def _item_blocks(benchmark: DataFrame, most_items: int, most_chars: int, step: i
 
 
 def leaks(
-    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", uid_col: str = "uid", size: int = 64, step: int = 32, rank: int = 256, fit_rows: int = 2500,
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", uid_col: str = "uid", size: int = 64, step: int = 32, rank: int = 256,
     min_cosine: float = 0.3, min_share: float = 0.6, answer_share: float = 0.5, common_term: float = 0.05, block_items: int = 256, block_chars: int = 1 << 20, seed: int = 11,
 ) -> DataFrame:
     """(uid, item_id, common, n_words, cosine) for each row and item that it leaks: `common` words of the item's
@@ -316,12 +397,11 @@ def leaks(
         for row in items.rows:
             if len(np.unique(row[use[row]])) < 4:
                 use[row] = True
-        sample = scratch.write(terms.filter(F.pmod(F.xxhash64("uid"), F.lit(1 << 20)) < int(min(1.0, fit_rows / max(n, 1)) * (1 << 20))), "sample")
-        basis = latent_basis(sample, items, idf, use, rank, size, step, 4.0, seed)
+        basis = latent_basis(terms, scratch, items, idf, use, rank, size, step, 4.0, seed)
         index = Index(items, idf, use, basis)
         found = terms.mapInArrow(_search(index, size, step, min_cosine, min_share, answer_share), FOUND)
         out = out.unionByName(scratch.write(found, "found"))
-        scratch.drop(terms, sample)
+        scratch.drop(terms)
     return out
 
 

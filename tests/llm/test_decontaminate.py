@@ -3,6 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from millrace.llm import decontaminate as dc
 from millrace.llm.decontaminate import Items, benchmark_leaks, common_subsequence, decontaminate, passages, unit, words_of
 
 
@@ -116,3 +117,12 @@ def test_items_planted_once_are_found_at_defaults(spark):
     for short in (0, 1):
         true = [(500 + i, i) for i, t in items if i % 2 == short and common_subsequence(t.split(), docs[500 + i][1]) >= 0.6 * len(t.split())]
         assert len(set(true) & got) >= 0.97 * len(true)
+
+
+def test_the_basis_is_fitted_on_every_row(spark, monkeypatch):
+    seen, fit = [], dc.latent_basis
+    monkeypatch.setattr(dc, "latent_basis", lambda texts, *rest: seen.append(texts.count()) or fit(texts, *rest))
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words of text "), F.col("id") % 50).alias("text"))
+    bench = spark.createDataFrame([(1, "the words of an item about some text")], "item_id long, text string")
+    benchmark_leaks(docs, bench).count()
+    assert seen == [6000]
