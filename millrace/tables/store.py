@@ -279,14 +279,16 @@ class VersionedTable:
 
     # -- writing
 
-    def _write(self, df: DataFrame, version: int, parts: Sequence[str]) -> dict[str, int]:
-        """Write a commit's rows, which have their kind; how many of each. They are counted by the tasks that write them,
-        behind the last shuffle, so that a task that runs again counts once."""
+    def _write(self, df: DataFrame, version: int, parts: Sequence[str], kind: str | None = None) -> dict[str, int]:
+        """Write a commit's rows, which have their kind unless all are of one; how many of each. They are counted by the
+        tasks that write them, behind the last shuffle, so that a task that runs again counts once."""
         target = f"{self.path}/data/{_VERSION}={version}"
-        rows = df.hint("rebalance", _KIND, *parts) if parts else df
+        rows = df.hint("rebalance", *([] if kind else [_KIND]), *parts) if parts else df
         seen = Observation()
-        rows = rows.observe(seen, *[F.count_if(F.col(_KIND) == kind).alias(kind) for kind in KINDS])
+        rows = rows.observe(seen, *[F.count_if(F.lit(k == kind) if kind else F.col(_KIND) == k).alias(k) for k in KINDS])
         rows = rows.withColumns({p: _marked(F.col(f"`{p}`")) for p in _texts(df.schema, parts)})
+        if kind:  # a constant beside the write needs no sort by it, which would hold all that a task writes
+            rows = self._of_kind(rows, kind)
         rows.write.mode("overwrite").partitionBy(_KIND, *parts).parquet(target)
         return seen.get
 
@@ -302,12 +304,13 @@ class VersionedTable:
         cluster_by: Sequence[str] = (),
         replaces: bool = False,
         rebase: bool = False,
+        kind: str | None = None,
     ) -> int:
-        """Write rows with their kind, then the directories, then the commit's row. `dropped` are directories that
+        """Write rows with their kind (or all of one), then the directories, then the commit's row. `dropped` are directories that
         the commit takes out; `rebase` says that these are all there were."""
         version = head["version"] + 1 if head else 0
         parts = list(head["partition_by"]) if head else self._partition_by
-        kinds = self._write(rows, version, parts)
+        kinds = self._write(rows, version, parts, kind)
         told = self._describe(version, schema, parts)
         if dropped is not None:
             gone = dropped.select(F.lit("drop").alias("action"), "path", "kind", "partition", "files", "bytes")
@@ -357,9 +360,9 @@ class VersionedTable:
         """The output becomes the table, schema included. The layout columns are remembered."""
         head = self.commit()
         layout = list(cluster_by) or [c for c in (head["cluster_by"] if head else ()) if c in df.columns]
-        rows = self._of_kind(clustered(df, layout), "insert")
         dropped = self.dirs(head) if head else None
-        return self._commit(head, rows, "WRITE" if head else "CREATE", df.schema, by, dropped, merge_keys, layout, replaces=True, rebase=True)
+        operation = "WRITE" if head else "CREATE"
+        return self._commit(head, clustered(df, layout), operation, df.schema, by, dropped, merge_keys, layout, replaces=True, rebase=True, kind="insert")
 
     def append(self, df: DataFrame, by: Provenance = Provenance(), cluster_by: Sequence[str] = ()) -> int:
         """Add a batch, in time proportional to the batch; new columns read NULL in older rows."""
@@ -368,8 +371,8 @@ class VersionedTable:
             return self.replace(df, by, cluster_by)
         layout = list(cluster_by) or list(head["cluster_by"])
         schema = evolve(self._empty(head), df.schema).schema
-        rows = self._of_kind(clustered(df, [c for c in layout if c in df.columns]), "insert")
-        return self._commit(head, rows, "APPEND", schema, by, cluster_by=layout)
+        rows = clustered(df, [c for c in layout if c in df.columns])
+        return self._commit(head, rows, "APPEND", schema, by, cluster_by=layout, kind="insert")
 
     def _empty(self, head: Row) -> DataFrame:
         return self.spark.createDataFrame([], StructType.fromJson(json.loads(head["schema"])))
@@ -432,7 +435,7 @@ class VersionedTable:
         head = self.commit()
         schema = StructType.fromJson(json.loads(head["schema"]))
         old = self.dirs(head) if dropped is None else dropped
-        return self._commit(head, self._of_kind(df, "keep"), operation, schema, by, old, None, cluster_by, rebase=dropped is None)
+        return self._commit(head, df, operation, schema, by, old, None, cluster_by, rebase=dropped is None, kind="keep")
 
     def compact(self, target_bytes: int = TARGET_FILE_BYTES, by: Provenance = Provenance()) -> int:
         """Fewer, larger files: directories of a partition whose files are under half the target on average are

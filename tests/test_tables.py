@@ -255,3 +255,18 @@ def test_commits_without_rows_are_counted(spark, table):
     told = [(r.inserted, r.updated, r.output_rows, r.total_rows) for r in table.log().orderBy("version").collect()]
     assert told == [(0, None, 0, 0), (1, None, 1, 1), (0, 0, None, 1)]
     assert rows(table.read()) == [(1, 1)]
+
+
+def test_a_write_of_one_kind_sorts_nothing(spark, tmp_path, monkeypatch):
+    """The kind is a constant right before the write, so Spark needs no sort by it, which would hold all that a task writes."""
+    plans, frame = [], type(spark.range(1))
+    write = frame.write.fget
+    monkeypatch.setattr(frame, "write", property(lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df)))
+    t = VersionedTable(spark, str(tmp_path / "t"))
+    t.replace(spark.range(100).repartition(4))
+    t.append(spark.range(100, 200).repartition(4))
+    before = t.commit()["file_count"]
+    t.compact()
+    tops = [p.splitlines()[0] for p in plans if "_kind#" in p]
+    assert len(tops) == 3 and all(top.startswith("Project") and " AS _kind#" in top for top in tops)
+    assert t.commit()["file_count"] < before and t.read().count() == 200
