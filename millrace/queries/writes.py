@@ -478,12 +478,11 @@ def b1(spark, sf):
 
 def staged_orders(spark, sf):
     """Staging: orders that are not finished, one column more. Target: orders that are not open, twice."""
-    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    status = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
-    both_ = orders.join(status, "o_orderkey")
-    target = both_.where("o_orderstatus <> 'O'").select(orders.columns)
-    staging = both_.where("o_orderstatus <> 'F'").withColumn("note", F.lit("late"))
-    return staging.drop("o_orderstatus"), target.unionByName(target)
+    orders = table(spark, sf, "orders")
+    columns = ["o_orderkey", "o_custkey", "o_totalprice"]
+    target = orders.where("o_orderstatus <> 'O'").select(columns)
+    staging = orders.where("o_orderstatus <> 'F'").select(*columns, F.lit("late").alias("note"))
+    return staging, target.unionByName(target)
 
 
 @query(

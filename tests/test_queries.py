@@ -8,8 +8,9 @@ import pytest
 
 import __spark_entry__ as entry
 from check_oracle import compare
+from millrace.operators.backfill import key_overlap
 from millrace.queries import ORACLE, QUERIES
-from millrace.session import UNION_PARTITIONING, session_conf
+from millrace.session import session_conf
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -57,14 +58,21 @@ def test_entry_without_the_optional_parts(tmp_path):
     assert said.stdout.split() == [str(len(QUERIES)), str(len(ORACLE))]
 
 
-def test_key_overlap_of_tables_too_large_to_broadcast(spark, con):
+def test_key_overlap_of_tables_too_large_to_broadcast(spark):
     """Both sides are joined by sorting, and the target is a union of joins on the key."""
-    sf_dir = SF_DIR.replace("sf0.001", "sf0.01")
-    con = duckdb.connect()
-    con.sql(f"CREATE VIEW orders AS SELECT * FROM '{sf_dir}/orders.parquet'")
-    with session_conf(spark, spark__sql__autoBroadcastJoinThreshold="-1", **{UNION_PARTITIONING.replace(".", "__"): "true"}):
-        got = [tuple(r) for r in QUERIES["b3_key_overlap"](spark, sf_dir).collect()]
-    assert got == con.execute(ORACLE["b3_key_overlap"]).fetchall()
+    orders = spark.read.parquet(f"{SF_DIR.replace('sf0.001', 'sf0.01')}/orders.parquet")
+    both = orders.select("o_orderkey", "o_custkey").join(orders.select("o_orderkey", "o_orderstatus"), "o_orderkey")
+    target = both.where("o_orderstatus <> 'O'")
+    want = [tuple(orders.selectExpr("count_if(o_orderstatus = 'P')", "count_if(o_orderstatus = 'O')").first())]
+    with session_conf(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+        got = key_overlap(both.where("o_orderstatus <> 'F'"), target.unionByName(target), ["o_orderkey"]).collect()
+    assert [tuple(r) for r in got] == want
+
+
+@pytest.mark.parametrize("name, joins", [("b5_promote_merge", 3), ("b6_promote_append", 3)])
+def test_promotes_join_only_to_merge(spark, name, joins):
+    """A left join, a semi join and an anti join; what they read is filtered, not joined."""
+    assert QUERIES[name](spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString().count("Join ") == joins
 
 
 def test_top_values_of_every_column(spark):
