@@ -7,7 +7,8 @@ one thing per point: the last interval, where intervals don't overlap, or how fa
 `range_join` gives every pair, for intervals that overlap. Both sides get a bucket of fixed width: an interval one row per bucket it covers, a point its own bucket.
 The join is then an equi join on the bucket with the exact bounds as a filter. Intervals are first cut to where there
 are points, so that one without an end costs no more buckets than the points span. Choose the width so that typical
-intervals cover few buckets. A bucket that holds a large share of the points is spread by a salt
+intervals cover few buckets. An inner join puts longer intervals into buckets four times as wide, or sixteen times, and
+so on, so that each covers two at most; a point then has a bucket of each width. A bucket that holds a large share of the points is spread by a salt
 that is taken from the point's row; the (small) interval side is repeated once per salt value.
 """
 
@@ -21,18 +22,30 @@ from pyspark.sql import functions as F
 from millrace.session import freeze
 
 
-def _buckets(df: DataFrame, low: Column, high: Column, width: int, salts: int) -> DataFrame:
-    first, last = F.floor(low / width).cast("bigint"), F.floor(high / width).cast("bigint")
+def _level(length: Column, width: int) -> Column:
+    """How often a bucket of a width has to grow fourfold to be as long."""
+    return F.greatest(F.lit(0), F.ceil(F.log(4.0, length / width)).cast("int"))
+
+
+def _bucket(at: Column, width: int, level: Column) -> Column:
+    return F.floor(at / (F.pow(F.lit(4.0), level) * width)).cast("bigint")
+
+
+def _buckets(df: DataFrame, low: Column, high: Column, width: int, salts: int, levels: bool) -> DataFrame:
+    df = df.withColumn("_level", _level(high.cast("double") - low.cast("double"), width) if levels else F.lit(0))
+    first, last = (_bucket(end, width, F.col("_level")) for end in (low, high))
     spread = df.withColumn("_bucket", F.explode(F.sequence(first, last)))
     if salts == 1:
         return spread.withColumn("_salt", F.lit(0))
     return spread.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
 
-def _points(df: DataFrame, point: Column, width: int, salts: int) -> DataFrame:
+def _points(df: DataFrame, point: Column, width: int, salts: int, most: Column | None) -> DataFrame:
     plain = [F.col(f"`{c}`") for c, t in df.dtypes if not t.startswith("map")]
     salt = F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int") if salts > 1 else F.lit(0)
-    return df.withColumns({"_bucket": F.floor(point / width).cast("bigint"), "_salt": salt, "_point": point})
+    salted = df.withColumns({"_salt": salt, "_point": point})
+    level = F.lit(0) if most is None else F.explode(F.sequence(F.lit(0), most))
+    return salted.withColumn("_level", level).withColumn("_bucket", _bucket(F.col("_point"), width, F.col("_level")))
 
 
 def range_join(
@@ -50,13 +63,15 @@ def range_join(
     `left_semi` or `left_anti`. `keys` are further columns, of the same name on both sides, to be equal."""
     column = F.col(f"`{point}`").cast("bigint")
     bounds = {"_low": F.col(f"`{low}`").cast("bigint"), "_high": F.col(f"`{high}`").cast("bigint")}
-    left = _points(points, column, width, salts).alias("p")
     valid = ranges.withColumns(bounds).where("_low <= _high")
     span = points.agg(F.min(column).alias("least"), F.max(column).alias("most"))
-    reach = {"_from": F.greatest("_low", span.select("least").scalar()), "_upto": F.least("_high", span.select("most").scalar())}
-    reached = valid.withColumns(reach).where("_from <= _upto")
-    right = _buckets(reached, F.col("_from"), F.col("_upto"), width, salts).alias("r")
-    on = F.col("p._bucket") == F.col("r._bucket")
+    least, most = span.select("least").scalar(), span.select("most").scalar()
+    levels = how == "inner"  # a point of several buckets meets an interval once, but has no single row to keep
+    highest = F.coalesce(_level(most.cast("double") - least.cast("double"), width), F.lit(0))
+    left = _points(points, column, width, salts, highest if levels else None).alias("p")
+    reached = valid.withColumns({"_from": F.greatest("_low", least), "_upto": F.least("_high", most)}).where("_from <= _upto")
+    right = _buckets(reached, F.col("_from"), F.col("_upto"), width, salts, levels).alias("r")
+    on = (F.col("p._level") == F.col("r._level")) & (F.col("p._bucket") == F.col("r._bucket"))
     if salts > 1:
         on = on & (F.col("p._salt") == F.col("r._salt"))
     for key in keys:

@@ -4,6 +4,7 @@ from urllib.parse import parse_qs, quote, unquote
 from pyspark.sql import functions as F
 
 from helpers import rows
+from millrace.functions import ranges
 from millrace.functions.ranges import range_join
 from millrace.functions.scalars import ipv4_number
 from millrace.plans import web as a
@@ -98,6 +99,18 @@ def test_range_join_against_brute_force(spark):
         assert range_join(p, "p", r, "lo", "hi", width, "left", salts=salts).count() == len(want) + 800 - len(hit)
 
 
+def test_range_join_of_intervals_of_any_length(spark):
+    """Endless intervals cost two buckets each, not one for each width that they cover."""
+    random.seed(4)
+    points = [(i, random.randrange(-3000, 3000)) for i in range(300)]
+    spans = [(j, lo, lo + random.choice([0, 3, 16, 64, 300, 10**12])) for j, lo in enumerate(random.sample(range(-3500, 3500), 60))]
+    p, r = spark.createDataFrame(points, "i long, p long"), spark.createDataFrame(spans, "j long, lo long, hi long")
+    got = range_join(p, "p", r, "lo", "hi", 4, salts=2)
+    assert rows(got, "i", "j") == sorted((i, j) for i, at in points for j, lo, hi in spans if lo <= at <= hi)
+    made = spark.range(50).select(F.lit(0).alias("lo"), (F.col("id") * 100_000).alias("hi"))
+    assert ranges._buckets(made, F.col("lo"), F.col("hi"), 4, 1, True).count() <= 2 * 50
+
+
 def test_addresses(spark):
     df = spark.createDataFrame([("1.2.3.4",), ("255.255.255.255",), ("256.1.1.1",), ("1.2.3",), ("x",), (None,)], "a string")
     assert [r[0] for r in df.select(ipv4_number(F.col("a"))).collect()] == [16909060, 4294967295, None, None, None, None]
