@@ -9,8 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -49,22 +48,20 @@ class _Progress(StatefulProcessor):
     """The newest marker of a run's node, with a timer while it claims to run."""
 
     def __init__(self, fresh_ms: int, columns: Sequence[str]):
-        self.fresh_ms, self.columns = fresh_ms, list(columns)
+        self.fresh_ms, self.row = fresh_ms, Row(*columns)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.newest = handle.getValueState("newest", _STATE)
 
-    def _told(self, key, marker: tuple, status: str, at: int) -> pd.DataFrame:
-        return pd.DataFrame([(*key, marker[0], marker[1], status, at)], columns=self.columns)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        before = tuple(self.newest.get()) if self.newest.exists() else None
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        kept = self.newest.get()  # each question to the state is a message: one tells whether there is any, and what
+        before = None if kept is None else tuple(kept)
         best = before
-        for batch in rows:
-            for marker in zip(batch["updated_ms"].tolist(), batch["tasks_completed"].tolist(), batch["status"].tolist(), strict=True):
-                if best is None or marker[:2] > best[:2]:
-                    best = marker
+        for row in rows:
+            marker = (row["updated_ms"], row["tasks_completed"], row["status"])
+            if best is None or marker[:2] > best[:2]:
+                best = marker
         if best is None or best == before:
             return
         if before is not None and before[2] == "RUNNING":
@@ -72,15 +69,16 @@ class _Progress(StatefulProcessor):
         self.newest.update(best)
         if best[2] == "RUNNING":
             self.handle.registerTimer(best[0] + self.fresh_ms)
-        yield self._told(key, best, best[2], best[0])
+        yield self.row(*key, best[0], best[1], best[2], best[0])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.newest.exists():
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        kept = self.newest.get()
+        if kept is None:
             return
-        marker = tuple(self.newest.get())
+        marker = tuple(kept)
         if marker[2] == "RUNNING" and expiredTimerInfo.getExpiryTimeInMs() >= marker[0] + self.fresh_ms:
             self.newest.clear()
-            yield self._told(key, marker, STALE, marker[0] + self.fresh_ms)
+            yield self.row(*key, marker[0], marker[1], STALE, marker[0] + self.fresh_ms)
 
     def close(self) -> None:
         pass
@@ -95,7 +93,7 @@ def live_progress(markers: DataFrame, late: str, fresh_ms: int = PROGRESS_FRESH_
     plain = markers.where("node <> '_run'").select("run", "node", "updated_ms", "tasks_completed", known.alias("status"), F.timestamp_millis("updated_ms").alias("_event"))
     columns = [c.split()[0] for c in LIVE_SCHEMA.split(", ")]
     keyed = plain.withWatermark("_event", late).groupBy("run", "node")
-    return keyed.transformWithStateInPandas(statefulProcessor=_Progress(fresh_ms, columns), outputStructType=LIVE_SCHEMA, outputMode="Update", timeMode="EventTime")
+    return keyed.transformWithState(statefulProcessor=_Progress(fresh_ms, columns), outputStructType=LIVE_SCHEMA, outputMode="Update", timeMode="EventTime")
 
 
 def stream_live_progress(markers: DataFrame, checkpoint: str, table: VersionedTable, late: str, name: str = "live") -> StreamingQuery:
