@@ -1,20 +1,21 @@
 """Token ids of whole texts, by the tokenizers library, many times faster than text by text.
 
-A byte-level BPE splits text into words before it merges, and always splits before a blank that is followed by
-something other than white space. So a text is cut there, each distinct word is encoded once while a worker remembers
-it, and ids are put together again with array operations. The bytes of each id tell where a word ends.
+A byte-level BPE splits text into words before it merges, and some of these splits are certain whatever stands around:
+before a blank that something other than white space follows, before a mark or a line feed after a letter. Texts are cut
+there with array operations, a batch's distinct pieces are found by Arrow, each is encoded once while a worker remembers
+it, and ids are put together again by a take. The bytes of each id tell where a piece ends.
 """
 
 from __future__ import annotations
 
 import gc
 import os
-import re
 import threading
 import time
-from itertools import chain, islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -25,54 +26,70 @@ def default_tokenizer() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
-#: A blank before other white space or at the end: such texts are cut with more care.
-ODD = re.compile(r" (?=\s|\Z)")
+#: Bytes whose places to cut are looked for at once.
+WINDOW = 4 << 20
 
 
 class Numbers(dict):
-    """Numbers pieces in the order in which they are first asked for. A piece after a blank is known by what follows
-    the blank, one at the start of a text by a tuple."""
+    """Numbers keys in the order in which they are first asked for."""
 
     def __missing__(self, key):
         self[key] = n = len(self)
         return n
 
 
-def cut(text: str) -> list:
-    """Keys of the text's pieces. It is cut before each blank that other than white space follows."""
-    parts = text.split(" ")
-    if not ODD.search(text):
-        if parts[0]:
-            parts[0] = (parts[0],)
-            return parts
-        return parts[1:]
-    out: list[str] = [parts[0]] if parts[0] else []
-    for x in parts[1:]:
-        if x and not x[0].isspace() or not out:
-            out.append(" " + x)
-        else:  # a run of white space belongs to what stands before it
-            out[-1] += " " + x
-    return [x[1:] if x[0] == " " else (x,) for x in out]
-
-
-def cut_more(piece: str) -> tuple[str, ...]:
-    """A piece cut before line feeds that words surround, and before a full stop or comma that ends a word."""
-    if "\n" in piece:
-        lines = piece.split("\n")
-        if any(not x or x[-1].isspace() for x in lines) or any(x[0].isspace() for x in lines[1:]):
-            return (piece,)
-        lines = [lines[0], *("\n" + x for x in lines[1:])]
-        return tuple(y for x in lines for y in ((x[:-1], x[-1]) if x[-1] in ".," and len(x) > 1 and x[-2].isalpha() else (x,)))
-    if piece[-1] in ".," and len(piece) > 1 and piece[-2].isalpha():
-        return piece[:-1], piece[-1]
-    return (piece,)
+def certain_cuts(data: np.ndarray) -> np.ndarray:
+    """Where a text's bytes may be cut before: a blank that other than white space follows; a mark or line feed after a
+    letter; a line feed after another visible ASCII character. What is not surely so (other scripts) is not cut."""
+    visible = (data - 0x21) < 0x5E  # of ASCII; unsigned, so less wraps around
+    letter = ((data | 0x20) - 0x61) < 26
+    mark = visible & ~letter & ((data - 0x30) > 9)
+    letter[1:] |= (data[:-1] == 0xC3) & ((data[1:] | 0x20) != 0xB7)  # the second byte of U+00C0 to U+00FF but two signs
+    line = data == 0x0A
+    # first bytes of characters that are not white space: U+00C0 and beyond, but not where the other blanks are
+    solid = visible | ((data >= 0xC3) & ((data - 0xE1) > 2))
+    cut = np.zeros(len(data), bool)
+    cut[:-1] = (data[:-1] == 0x20) & solid[1:]
+    cut[1:] |= (mark | line)[1:] & letter[:-1]
+    cut[1:] |= line[1:] & visible[:-1]
+    return cut
+
+
+def cut_texts(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The texts' pieces one after the other, and for each text the number of pieces before it, then that of all."""
+    column = column.cast(pa.large_string()).fill_null("")
+    _, ends, data = column.buffers()
+    if not len(column) or data is None:
+        return pa.array([], pa.large_string()), np.zeros(len(column) + 1, np.int64)
+    ends = np.frombuffer(ends, np.int64)[column.offset : column.offset + len(column) + 1]
+    data = data.slice(int(ends[0]), int(ends[-1] - ends[0]))
+    ends, flat = ends - ends[0], np.frombuffer(data, np.uint8)
+    filled = ends[1:] > ends[:-1]
+    starts, lasts = ends[:-1][filled], ends[1:][filled] - 1
+    lasts = lasts[flat[lasts] == 0x20]  # what follows these is another text
+    at = []
+    for low in range(0, len(flat), WINDOW):
+        high = min(low + WINDOW, len(flat))
+        first = max(low - 1, 0)
+        cut = certain_cuts(flat[first : high + 1])[low - first : high - first]
+        for places, is_cut in ((lasts, False), (starts, True)):
+            cut[places[np.searchsorted(places, low) : np.searchsorted(places, high)] - low] = is_cut
+        at.append(np.flatnonzero(cut) + low)
+    at = np.concatenate([*at, [len(flat)]]).astype(np.int64, copy=False)
+    return pa.Array.from_buffers(pa.large_string(), len(at) - 1, [None, pa.py_buffer(at), data]), np.searchsorted(at, ends)
+
+
+def grown(x: np.ndarray, n: int) -> np.ndarray:
+    """The array with room for at least `n`, zeros behind what it holds."""
+    return x if n <= len(x) else np.concatenate((x, np.zeros(max(n, 2 * len(x)) - len(x), x.dtype)))
 
 
 class Encoder:
-    """Remembers the ids of words (`most_words`, the oldest go first) and of the pieces that they make up. All is
-    forgotten after `idle_s` seconds without work, as a worker outlives the stage that needs this."""
+    """Remembers the ids of `most_words` pieces; beyond them, it forgets those not asked for again. `most_pieces` of the
+    texts are looked up at once. All is forgotten after `idle_s` seconds without work, as a worker outlives the stage
+    that needs this."""
 
-    def __init__(self, path: str, most_pieces: int = 900_000, most_words: int = 800_000, idle_s: float = 2.0):
+    def __init__(self, path: str, most_pieces: int = 4 << 20, most_words: int = 800_000, idle_s: float = 2.0):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has one task for each core
         from tokenizers import Tokenizer
 
@@ -80,11 +97,8 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         size = self.tokenizer.get_vocab_size()
         self.n_bytes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)  # one character a byte
-        self.kind = np.uint16 if size <= 1 << 16 else np.uint32
         self.most_pieces, self.most_words = most_pieces, most_words
         self.idle_s, self.last, self.watched, self.lock = idle_s, 0.0, False, threading.Lock()
-        self.words: dict[str, bytes] = {}
-        self.old_words: dict[str, bytes] = {}
         self.forget()
 
     def _watch(self) -> None:
@@ -92,97 +106,105 @@ class Encoder:
             time.sleep(self.idle_s / 2)
             with self.lock:
                 if time.monotonic() - self.last > self.idle_s:
-                    self.words, self.old_words, self.watched = {}, {}, False
+                    self.watched = False
                     self.forget()
                     return
 
     def forget(self) -> None:
-        self.numbers = Numbers()
-        self.known = 0
-        self.ids = np.empty(1 << 16, self.kind)
-        self.n_ids = 0
-        self.starts = np.zeros(1 << 16, np.int64)
-
-    def learn_words(self, fresh: list[str], together: int) -> None:
-        """Encodes words, `together` to a string: the library must cut the string where they meet."""
-        if not fresh:
-            return
-        joined = ["".join(fresh[k : k + together]) for k in range(0, len(fresh), together)]
-        ids = np.concatenate([np.array(x.ids, self.kind) for x in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
-        sizes = np.fromiter(map(len, map(str.encode, fresh)), np.int64, len(fresh))
-        ends = (np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum(sizes)) + 1) * ids.itemsize
-        data, ends = ids.tobytes(), ends.tolist()
-        self.words.update(zip(fresh, [data[s:e] for s, e in zip([0, *ends], ends, strict=False)], strict=True))
-
-    def learn(self) -> None:
-        """Ids of the pieces that have a number only."""
-        if len(self.numbers) == self.known:
-            return
-        fresh = [(" " + x,) if type(x) is str and x.isalpha() else cut_more(" " + x if type(x) is str else x[0]) for x in islice(self.numbers, self.known, None)]
-        if len(self.words) > self.most_words // 2:
-            self.words, self.old_words = {}, self.words
-        words = self.words
-        unknown = {x for parts in fresh for x in parts if x not in words}
-        if self.old_words:
-            again = unknown & self.old_words.keys()
-            words.update((x, self.old_words[x]) for x in again)
-            unknown -= again
+        self.words: list[str] = []  # by number
+        self.numbers: dict[str, int] = {}
+        self.ids = np.zeros(1 << 16, "<u4")
+        self.ends = np.zeros(1 << 16, np.int64)  # bytes of ids before each word's, then of all
+        self.asked = np.zeros(1 << 16, np.uint32)  # lookups that held the word, halved whenever words are forgotten
+
+    def forget_rare(self) -> None:
+        """Keeps words of two lookups or more, unless these are still many."""
+        n = len(self.words)
+        kept = np.flatnonzero(self.asked[:n] > 1)
+        words, ids, ends, asked = self.words, self.ids, self.ends, self.asked[kept] // 2
+        self.forget()
+        if len(kept) <= self.most_words // 2:
+            sizes = (ends[kept + 1] - ends[kept]) // 4
+            ids = ids[: ends[n] // 4][np.repeat(np.isin(np.arange(n), kept, assume_unique=True), np.diff(ends[: n + 1]) // 4)]
+            self.add([words[k] for k in kept.tolist()], ids, sizes)
+            self.asked[: len(kept)] = asked
+
+    def add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Takes in words with their ids, one word's after the other's, and how many each has."""
+        n, n_ids = len(self.words), int(self.ends[len(self.words)]) // 4
+        self.numbers.update(zip(words, range(n, n + len(words)), strict=True))
+        self.words += words
+        self.ids = grown(self.ids, n_ids + len(ids))
+        self.ids[n_ids : n_ids + len(ids)] = ids
+        self.ends = grown(self.ends, len(self.words) + 1)
+        self.ends[n + 1 : len(self.words) + 1] = (n_ids + np.cumsum(sizes)) * 4
+        self.asked = grown(self.asked, len(self.words))
+
+    def learn(self, fresh: list[str]) -> None:
+        """Ids of new words."""
         after_blank, after_line, others = [], [], []
-        for x in unknown:
+        for x in fresh:
             if x[0] == " " and len(x) > 1 and not x[1].isspace():
                 after_blank.append(x)  # a cut before it is certain
             elif x[0] == "\n" and len(x) > 1 and not x[1].isspace() and not x[-1].isspace():
                 after_line.append(x)  # and so it is here, as no white space comes before
             else:
                 others.append(x)
-        self.learn_words(after_blank, 4096)
-        self.learn_words(after_line, 4096)
-        self.learn_words(others, 1)
-        parts = [words[p[0]] if len(p) == 1 else b"".join([words[x] for x in p]) for p in fresh]
-        ids = np.frombuffer(b"".join(parts), self.kind)
-        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))) // ids.itemsize
-        while self.n_ids + len(ids) > len(self.ids):
-            self.ids = np.concatenate((self.ids, np.empty_like(self.ids)))
-        while self.known + len(fresh) + 1 > len(self.starts):
-            self.starts = np.concatenate((self.starts, np.zeros_like(self.starts)))
-        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
-        self.starts[self.known + 1 : self.known + len(fresh) + 1] = self.n_ids + ends
-        self.n_ids += len(ids)
-        self.known += len(fresh)
+        for words, together in ((after_blank, 4096), (after_line, 4096), (others, 1)):
+            if words:
+                self.learn_words(words, together)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, unsigned 32-bit."""
+    def learn_words(self, fresh: list[str], together: int) -> None:
+        """Encodes words, `together` to a string: the library must cut the string where they meet."""
+        joined = ["".join(fresh[k : k + together]) for k in range(0, len(fresh), together)]
+        ids = np.concatenate([np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
+        sizes = np.fromiter(map(len, map(str.encode, fresh)), np.int64, len(fresh))
+        ends = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum(sizes)) + 1
+        self.add(fresh, ids, np.diff(ends, prepend=0))
+
+    def look_up(self, pieces: pa.Array) -> pa.Array:
+        """The ids of each piece, as bytes."""
+        coded = pieces.dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        numbers = list(map(self.numbers.get, words))
+        fresh = [x for x, n in zip(words, numbers, strict=True) if n is None]
+        if fresh:
+            self.learn(fresh)
+            numbers = map(self.numbers.__getitem__, words)
+        numbers = np.fromiter(numbers, np.int64, len(words))
+        self.asked[numbers] += 1
+        known = pa.Array.from_buffers(pa.large_binary(), len(self.words), [None, pa.py_buffer(self.ends), pa.py_buffer(self.ids)])
+        return pc.take(known, pa.array(numbers[coded.indices.to_numpy()]), boundscheck=False)
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, unsigned 32-bit, and for each text their number up to its end. Null is an empty text."""
+        pieces, before = cut_texts(column)
+        ids, ends = [], [np.zeros(1, np.int64)]
         with self.lock:
             if not self.watched:
                 self.watched = True
                 threading.Thread(target=self._watch, daemon=True).start()
-            out = self._remembering(texts)
+            collects = gc.isenabled()
+            gc.disable()  # all that is made here is free of cycles, and there is much of it
+            try:
+                for at in range(0, len(pieces), self.most_pieces):
+                    if len(self.words) > self.most_words:
+                        self.forget_rare()
+                    _, own, data = self.look_up(pieces.slice(at, self.most_pieces)).buffers()
+                    own = np.frombuffer(own, np.int64)[1 : min(self.most_pieces, len(pieces) - at) + 1] // 4
+                    ids.append(np.frombuffer(data, "<u4", int(own[-1])))
+                    ends.append(own + ends[-1][-1])
+            finally:
+                if collects:
+                    gc.enable()
             self.last = time.monotonic()
-        return out
-
-    def _remembering(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.numbers) > self.most_pieces:
-            self.forget()
-        collects = gc.isenabled()
-        gc.disable()  # all that is made here is free of cycles, and there is much of it
-        try:
-            return self._encode(texts)
-        finally:
-            if collects:
-                gc.enable()
-
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        number, keys = self.numbers.__getitem__, [cut(text) for text in texts]
-        counts = [len(x) for x in keys]
-        flat = np.fromiter(map(number, chain.from_iterable(keys)), np.int64, sum(counts))
-        self.learn()
-        start = self.starts[flat]
-        count = self.starts[flat + 1] - start
-        total = np.cumsum(count)
-        where = np.arange(int(total[-1]) if len(total) else 0) + np.repeat(start - (total - count), count)
-        ids = self.ids[where].astype(np.uint32)
-        cuts = np.r_[0, total][np.cumsum(counts)] if texts else []
-        return np.split(ids, cuts[:-1]) if texts else []
+        ids = ids[0] if len(ids) == 1 else np.concatenate([np.empty(0, "<u4"), *ids])
+        return ids, np.concatenate(ends)[before[1:]]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, unsigned 32-bit."""
+        ids, ends = self.encode_column(pa.array(texts, pa.large_string()))
+        return np.split(ids, ends[:-1]) if texts else []
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -1,8 +1,11 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 from tokenizers import Tokenizer
 
+from millrace.llm import tokens
 from millrace.llm.tokens import Encoder, default_tokenizer
 
 
@@ -33,3 +36,55 @@ def test_forgets_when_idle():
     time.sleep(1)
     assert not e.words and not e.numbers
     assert e.encode(["some words to remember"])[0].tolist() == first
+
+
+def test_a_word_is_learnt_once_whatever_mark_or_line_feed_follows():
+    words, after = [f"w{'abcdefgh'[k // 8]}{'élmnopqr'[k % 8]}" for k in range(64)], ["", ".", ",", "!?", ";\n", ".***", "'s", "\n"]
+    texts = [" " + " ".join(w + x for w in words) + " end" for x in after]
+    e = Encoder(default_tokenizer())
+    assert [x.tolist() for x in e.encode(texts)] == plain(texts)
+    assert len(e.numbers) <= len(words) + len(after) + 1
+
+
+class Counting(dict):
+    asked = 0
+
+    def get(self, key):
+        self.asked += 1
+        return super().get(key)
+
+    def __getitem__(self, key):
+        self.asked += 1
+        return super().__getitem__(key)
+
+
+def test_words_are_looked_up_once_a_batch():
+    e = Encoder(default_tokenizer())
+    e.numbers = Counting(e.numbers)
+    texts = [" one two three, four." * 500] * 20
+    assert [x.tolist() for x in e.encode(texts)] == plain(texts)
+    assert e.numbers.asked <= 2 * 6
+
+
+def test_columns_with_nulls_windows_and_slices(monkeypatch):
+    monkeypatch.setattr(tokens, "WINDOW", 16)
+    rng = random.Random(8)
+    alphabet = ["a", "the", " ", " ", "\n", "\t", "'s", "é", "×", "1", ".", ",", "\xa0", "\x85", "\u2003", "\u1680", "漢", "e\u0301", "Ж"]
+    texts = [rng.choice([None, "", "".join(rng.choices(alphabet, k=rng.randint(1, 60)))]) for _ in range(400)]
+    e = Encoder(default_tokenizer(), most_pieces=30)
+    for kind in (pa.string(), pa.large_string()):
+        column = pa.array(texts, kind).slice(7, 300)
+        ids, ends = e.encode_column(column)
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == plain([x or "" for x in column.to_pylist()])
+    for column in (pa.array([], pa.string()), pa.array([None, ""], pa.string())):
+        ids, ends = e.encode_column(column)
+        assert not len(ids) and ends.tolist() == [0] * len(column)
+
+
+def test_words_asked_for_again_are_kept():
+    e = Encoder(default_tokenizer(), most_words=300)
+    for k in range(20):
+        texts = [f"some often seen words n{chr(97 + k)}{chr(97 + j // 26)}{chr(97 + j % 26)}x" for j in range(100)]
+        assert [x.tolist() for x in e.encode(texts)] == plain(texts)
+        assert len(e.words) == len(e.numbers) <= 410
+    assert {"some", " often", " seen", " words"} <= e.numbers.keys() and e.asked[e.numbers[" often"]] > 1
