@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
+from functools import wraps
+from inspect import isgeneratorfunction
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +83,36 @@ def open_folder(path: str):
     return fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)  # glibc has it
+
+
+def give_back() -> None:
+    """What this worker has freed goes back to the system, which Arrow and malloc put off. Workers outlive their stage, and
+    an executor's memory is that of all its workers."""
+    pa.default_memory_pool().release_unused()
+    _TRIM(0)
+
+
+def thrifty(run: Callable) -> Callable:
+    """The same function of a task's batches, or of one large group; what it has freed is given back at its end."""
+
+    @wraps(run)
+    def over_batches(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    @wraps(run)
+    def over_group(group):
+        try:
+            return run(group)
+        finally:
+            give_back()
+
+    return over_batches if isgeneratorfunction(run) else over_group
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], most_rows: int = 512, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `most_bytes`, so that long texts don't pile up in a task.
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Scratch, packed, query, rows_of, table, unpacked
+from millrace.llm.common import Scratch, packed, query, rows_of, table, thrifty, unpacked
 
 WORD = re.compile(r"\w+")
 
@@ -130,6 +130,7 @@ TERMS = pa.schema([("uid", pa.int64()), ("terms", pa.binary())])
 
 
 def _to_terms(terms: dict[str, int]):
+    @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = terms.get
         for batch in rows_of(batches, 4096):
@@ -150,6 +151,7 @@ FREQUENCIES = pa.schema([("part", pa.int64()), ("n", pa.int64()), ("total", pa.b
 def _frequencies(n_terms: int, cut: int = 4096):
     """Each task's texts and document frequencies, in rows of `cut` terms that add up elsewhere."""
 
+    @thrifty
     def run(batches):
         total, n = np.zeros(n_terms, np.int64), 0
         for _, rows in _term_batches(batches):
@@ -164,6 +166,7 @@ def _frequencies(n_terms: int, cut: int = 4096):
     return run
 
 
+@thrifty
 def _counted(group: pa.Table) -> pa.Table:
     """The sum of all tasks' rows of a part."""
     n = sum(group["n"].to_pylist())
@@ -218,6 +221,7 @@ def _pairs(idf: np.ndarray, use: np.ndarray, size: int, step: int, most: int = 1
         )
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PAIRS, strict=True)], schema=PAIRS)
 
+    @thrifty
     def run(batches):
         held, n = [], 0
         for _, rows in _term_batches(batches):
@@ -237,6 +241,7 @@ def _pairs(idf: np.ndarray, use: np.ndarray, size: int, step: int, most: int = 1
     return run
 
 
+@thrifty
 def _pairs_added(group: pa.Table) -> pa.Table:
     """The sum of all tasks' rows of a part."""
     rows = zip(group["code"].to_pylist(), group["value"].to_pylist(), strict=True)
@@ -247,6 +252,7 @@ def _pairs_added(group: pa.Table) -> pa.Table:
 def _grams(omega: np.ndarray, cut: int = 512):
     """The share of (A'A) omega of some parts of A'A, in rows of `cut` terms that add up elsewhere."""
 
+    @thrifty
     def run(batches):
         out, n_terms = np.zeros_like(omega), len(omega)
         for batch in rows_of(batches, 1):
@@ -263,6 +269,7 @@ def _grams(omega: np.ndarray, cut: int = 512):
     return run
 
 
+@thrifty
 def _added(group: pa.Table) -> pa.Table:
     total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in group["sums"].to_pylist())
     return pa.table({"part": group["part"].slice(0, 1), "sums": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
@@ -329,6 +336,7 @@ def verified(item: np.ndarray, region: np.ndarray, min_share: float, answer_shar
 
 
 def _search(index: Index, size: int, step: int, min_cosine: float, min_share: float, answer_share: float):
+    @thrifty
     def run(batches):
         items = index.items
         for batch, rows in _term_batches(batches):

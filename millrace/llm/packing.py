@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Scratch, packed, query, rows_of, table, unpacked
+from millrace.llm.common import Scratch, packed, query, rows_of, table, thrifty, unpacked
 from millrace.llm.tokens import default_tokenizer, encoder
 
 PIECES = "id long, piece int, start long, length long, ids_crc32 long, ids binary"
@@ -35,6 +35,7 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def _to_pieces(path: str, capacity: int, end_id: int, with_ids: bool):
+    @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, 1 << 14, 16 << 20):  # the more texts at once, the fewer words are asked for
             ids, ends = encoder(path).encode_column(batch.column(1))
@@ -152,6 +153,7 @@ _STATE = pa.schema([("shard", pa.int64()), ("island", pa.int32()), ("bins", pa.i
 
 
 def _evolve(capacity: int, size: int, generations: int, turn: int, seed: int):
+    @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
@@ -172,6 +174,7 @@ def _evolve(capacity: int, size: int, generations: int, turn: int, seed: int):
     return run
 
 
+@thrifty
 def _to_shard(group: pa.Table) -> pa.Table:
     """One row for a shard's pieces, in the order of their numbers."""
     group = group.sort_by("uid")
@@ -180,6 +183,7 @@ def _to_shard(group: pa.Table) -> pa.Table:
     return pa.table({"shard": group["shard"].slice(0, 1), "lengths": pa.array([lengths], pa.binary()), "uids": pa.array([uids], pa.binary())})
 
 
+@thrifty
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():

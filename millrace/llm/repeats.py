@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Scratch, packed, query, rows_of, table, unpacked
+from millrace.llm.common import Scratch, packed, query, rows_of, table, thrifty, unpacked
 
 LAST = np.iinfo(np.int64).max
 K = 16
@@ -181,6 +181,7 @@ BLOCK_SCHEMA = pa.schema([("block", pa.int64()), ("n_triggers", pa.int64())] + [
 
 
 def _to_blocks(length: int, block_bytes: int):
+    @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list = []
         uids: list[int] = []
@@ -226,6 +227,7 @@ ASK_MORE = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("asked", p
 
 
 def _ask(bits: int):
+    @thrifty
     def run(batches):
         for row in _blocks(batches):
             block = Block(row)
@@ -235,6 +237,7 @@ def _ask(bits: int):
     return run
 
 
+@thrifty
 def _answer(group: pa.Table) -> pa.Table:
     """One bucket: which hashes more than one block has."""
     asked = [unpacked(x, np.uint64) for x in group["asked"].to_pylist()]
@@ -249,6 +252,7 @@ def _answer(group: pa.Table) -> pa.Table:
 
 
 def _ask_more(length: int, bits: int):
+    @thrifty
     def run(batches):
         for row in _blocks(batches):
             block = Block(row)
@@ -293,6 +297,7 @@ def smaller_documents(contexts: np.ndarray, near: np.ndarray, far: np.ndarray, l
 
 
 def _answer_more(length: int):
+    @thrifty
     def run(group: pa.Table) -> pa.Table:
         """One bucket: the contexts of all blocks, sorted once."""
         width = 10 + 2 * length - K
@@ -321,6 +326,7 @@ RESULT = "id long, uid long, n_bytes long, starts array<long>, lengths array<lon
 def _mark(length: int, bits: int):
     schema = pa.schema([("id", pa.int64()), ("uid", pa.int64()), ("n_bytes", pa.int64()), ("starts", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("kept", pa.binary())])
 
+    @thrifty
     def run(batches):
         for row in _blocks(batches):
             block = Block(row)
@@ -396,6 +402,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return whole.join(cut, "uid", "left").select(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
 
 
+@thrifty
 def _as_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in rows_of(batches):
         text = [x.decode("utf-8", "ignore") for x in batch.column(1).to_pylist()]

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import Scratch, components, query, rows_of, table
+from millrace.llm.common import Scratch, components, query, rows_of, table, thrifty
 
 SEED = 42
 
@@ -62,6 +62,7 @@ def commonness(docs: DataFrame, text_col: str, shingle: int, sample_rows: int =
     share = min(1.0, sample_rows / max(texts.count(), 1))
     texts = texts.filter(F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(1 << 20)) < int(share * (1 << 20)))
 
+    @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
             sets = [np.unique(b) for x in batch.column(0).cast(pa.binary()).to_pylist() for b in shingle_hashes(x, shingle)]
@@ -122,6 +123,7 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", shingle: int = 3,
     if similarity is not None:
         fields += [T.StructField("n", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("odd", T.BinaryType())]
 
+    @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
             blocks = [list(shingle_hashes(x, shingle)) for x in batch.column(1).cast(pa.binary()).to_pylist()]
@@ -172,6 +174,7 @@ def spanning(prints: np.ndarray, k: int) -> Iterator[tuple[np.uint64, np.ndarray
 def _links(k: int):
     """Spanning forests of the links of fingerprints with one key."""
 
+    @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept_key, kept_fp = np.empty(0, np.int64), np.empty(0, np.uint64)
 
@@ -233,6 +236,7 @@ def _windows(low: int, high: int, similarity: float):
     their order by n, have different roots, and by their sizes and parities may be that similar: (null, a, b). Before
     them, if there are keys with more rows than that, these rows: (key, fp, n)."""
 
+    @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] = []
 
@@ -286,6 +290,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, firsts: DataFrame, sets: DataFr
     """The pairs (a, b) of fingerprints whose shingle sets are that similar: those that parities don't rule out are
     compared themselves."""
 
+    @thrifty
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, 4096):
             _, _, n, m, odd, other = (batch.column(k).to_pylist() for k in range(6))
@@ -294,6 +299,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, firsts: DataFrame, sets: DataFr
             keep = [k <= most_apart(p, q, similarity) for k, p, q in zip(apart, n, m, strict=True)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
+    @thrifty
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
             keep = []
@@ -351,6 +357,7 @@ def similar_links(rows: DataFrame, scratch: Scratch, similarity: float, shingle:
     return links
 
 
+@thrifty
 def _shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in rows_of(batches, 4096):
         short = [folded(x, short_bytes(n)).tobytes() for n, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
@@ -391,14 +398,16 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     narrow = rows.select(F.col("row")[id_col].alias("id"), "fp", "uid")
     more = None
     if similarity is not None:
-        more = scratch.write(similar_links(rows.select("uid", "fp", F.col("row")[text_col].alias("text"), "n", "keys", "odd"), scratch, similarity, shingle), "more")
+        linking = Scratch(docs.sparkSession, "simhash-links")
+        more = scratch.write(similar_links(rows.select("uid", "fp", F.col("row")[text_col].alias("text"), "n", "keys", "odd"), linking, similarity, shingle), "more")
+        linking.clear()
     found = classes(narrow, scratch, k, more)
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("uid"))
     named = scratch.write(narrow.join(found, "fp").select("uid", "id", "root"), "named")
     kept = named.groupBy("root").agg(F.min(order)["uid"].alias("uid"))
     dropped = scratch.write(named.join(kept, "uid", "left_anti").select("uid"), "dropped")
-    out = scratch.write(rows.join(dropped, "uid", "left_anti").select("row.*"), "out")
-    scratch.drop(rows, found, named, dropped)
+    out = Scratch(docs.sparkSession, "simhash-kept").write(rows.join(dropped, "uid", "left_anti").select("row.*"), "out")
+    scratch.clear()
     return out
 
 

@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from millrace.llm.common import give_back
+
 TOKENIZER = "byte_bpe_50k.json"
 
 
@@ -108,6 +110,7 @@ class Encoder:
                 if time.monotonic() - self.last > self.idle_s:
                     self.watched = False
                     self.forget()
+                    give_back()
                     return
 
     def forget(self) -> None:

@@ -1,4 +1,6 @@
 import re
+from pathlib import Path
+from urllib.parse import unquote
 
 import xxhash
 from pyspark.sql import functions as F
@@ -156,3 +158,13 @@ def test_copies_with_a_repeated_phrase_are_linked(spark):
     assert sum((a ^ b).bit_count() > 20 for a, b in zip(prints[::2], prints[1::2], strict=True)) >= 5
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash_dedup(df, shingle=5, similarity=0.8).collect()) == list(range(0, 40, 2))
+
+
+def test_only_the_result_stays_in_the_shared_folder(spark, tmp_path, monkeypatch):
+    words = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join(words[k : k + 60])) for k in range(0, 300, 3)] + [(1000 + k, " ".join(words[:60])) for k in range(6)]
+    monkeypatch.setattr("millrace.session.shared_dir", lambda spark: str(tmp_path))
+    out = simhash_dedup(spark.createDataFrame(rows, "doc_id long, text string"), shingle=5, similarity=0.8)
+    assert 0 < out.count() < len(rows)
+    written = {x.parent for x in tmp_path.rglob("*.parquet")}
+    assert written and written == {Path(x.removeprefix("file:")).parent for x in map(unquote, out.inputFiles())}

@@ -1,4 +1,6 @@
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,33 @@ def test_forgets_when_idle():
     assert e.encode(["some words to remember"])[0].tolist() == first
 
 
+WORKER = """
+import random, re, time
+from pathlib import Path
+import pyarrow as pa
+from millrace.llm.packing import _to_pieces
+from millrace.llm.tokens import default_tokenizer, encoder
+
+held = lambda: sum(map(int, re.findall(r"Pss_Anon:\\s+(\\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+encoder(default_tokenizer()).idle_s = 0.2
+before, rng = held(), random.Random(1)
+
+def batches():
+    for _ in range(6):
+        texts = [" ".join("".join(rng.choices("abcdefghij", k=7)) for _ in range(200)) for _ in range(300)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array(texts)], names=["id", "text"])
+
+rows = sum(x.num_rows for x in _to_pieces(default_tokenizer(), 1024, 2, False)(batches()))
+time.sleep(2)
+print(rows, held() - before)
+"""
+
+
+def test_an_idle_worker_keeps_little_of_its_work():
+    rows, more = subprocess.run([sys.executable, "-c", WORKER], capture_output=True, text=True, check=True).stdout.split()
+    assert int(rows) >= 1800 and float(more) < 48  # MB
+
+
 def test_a_word_is_learnt_once_whatever_mark_or_line_feed_follows():
     words, after = [f"w{'abcdefgh'[k // 8]}{'élmnopqr'[k % 8]}" for k in range(64)], ["", ".", ",", "!?", ";\n", ".***", "'s", "\n"]
     texts = [" " + " ".join(w + x for w in words) + " end" for x in after]
